@@ -81,7 +81,7 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
             .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("under"), F.col("size").alias("held"), "rows")).alias("c"))
             .select(F.col("source").alias("s"), "c.*")
         )
-        found = plan.join(crossing, F.col("source").eqNullSafe(F.col("s")), "left")
+        found = plan.select("source", "source_size", "target", "passes", "budget", "prefix").join(crossing, F.col("source").eqNullSafe(F.col("s")), "left")
         # No crossing: the whole bucket fits, and the budget stays open beyond it.
         plan = found.select(
             "source",
