@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The word separators of the contracts: space, tab, LF, VT, FF, CR.
@@ -50,7 +51,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iter
     n = batch.num_rows
     if not n:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     start = 0
     while start < n:
