@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets, url_filter
+from . import jaccard_join, mixing, packing, secrets, url_filter
 
 #: The rules of the URL query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -27,6 +27,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The ranks file of the 50k byte-level BPE (the vocabulary of byte_bpe_50k.json) and its split pattern."""
     import public_tokenizers
@@ -39,7 +43,7 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op6_url_filter, op7_source_mix, op8_secret_scan, op10_sequence_packing)}
+    return {f.__name__: f for f in (op6_url_filter, op7_source_mix, op8_secret_scan, op9_jaccard_join, op10_sequence_packing)}
 
 
 OP6_SQL = r"""
