@@ -15,7 +15,7 @@ row; null and repeated page_ids are kept; without rules every verdict is the def
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -102,6 +102,17 @@ def _deal(batches: Iterator[pa.RecordBatch], splits: list[tuple[str, int]]) -> I
         yield batch.append_column("part", pa.array(np.array(parts, dtype=np.int32)))
 
 
+def _spread(batches: Iterator[pa.RecordBatch], splits: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    """A rule for each range that its interval meets."""
+    for batch in batches:
+        keys = batch.column("key").to_pylist()
+        first = [bisect_left(splits, (key[:KEY_CHARS], -(1 << 63))) for key in keys]
+        last = [bisect_right(splits, ((key[:-1] + "/")[:KEY_CHARS], 1 << 63)) for key in keys]
+        at = np.repeat(np.arange(len(keys)), [b - a + 1 for a, b in zip(first, last, strict=True)])
+        parts = np.array([p for a, b in zip(first, last, strict=True) for p in range(a, b + 1)], dtype=np.int32)
+        yield batch.take(pa.array(at)).append_column("part", pa.array(parts))
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url)."""
     spark = pages.sparkSession
@@ -117,15 +128,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     keys = sorted((r[0], r[1]) for r in picked.collect())
     splits = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     dealt = urls.mapInArrow(lambda batches: _deal(batches, splits), "page_id long, host string, path string, key string, part int")
-    # A rule goes to each range between the splits that its interval meets.
-    bounds = spark.createDataFrame(
-        [(i, splits[i - 1][0] if i else "", splits[i][0] if i < len(splits) else None) for i in range(len(splits) + 1)],
-        "part int, low string, high string",
-    )
     opened = rules.select("rule", "action", "path", host_key(F.col("host")).alias("key")).dropDuplicates(["rule", "action"])
-    upto = F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/"))
-    # bounds is one row per range, of MOST_RANGES at most.
-    spread = opened.join(F.broadcast(bounds), (F.col("low") < upto) & (F.col("high").isNull() | (F.substring("key", 1, KEY_CHARS) <= F.col("high"))))
+    spread = opened.mapInArrow(lambda batches: _spread(batches, splits), "rule string, action string, path string, key string, part int")
     null = F.lit(None)
     events = dealt.select("part", "key", F.lit(True).alias("is_url"), "page_id", "host", "path", null.cast("string").alias("rule"), null.cast("string").alias("action")).unionByName(
         spread.select("part", "key", F.lit(False).alias("is_url"), null.cast("long").alias("page_id"), null.cast("string").alias("host"), "path", "rule", "action")
