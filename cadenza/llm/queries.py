@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, packing, secrets, topk, url_filter, warc
+from . import fingerprints, jaccard_join, mixing, packing, secrets, topk, toxicity, url_filter, warc
 
 #: The rules of the URL query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,14 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op2_syncmer_fingerprints, op4_exact_topk, op5_warc_salvage, op6_url_filter, op7_source_mix, op8_secret_scan, op9_jaccard_join, op10_sequence_packing)}
+    return {f.__name__: f for f in (op1_kneser_ney_toxicity, op2_syncmer_fingerprints, op4_exact_topk, op5_warc_salvage, op6_url_filter, op7_source_mix, op8_secret_scan, op9_jaccard_join, op10_sequence_packing, pipeline)}
 
 
 OP6_SQL = r"""
@@ -76,5 +86,17 @@ FROM p LEFT JOIN fits f USING (page_id)
 """
 
 
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+
 def oracle_sql():
-    return {"op6_url_filter": OP6_SQL}
+    return {"op4_exact_topk": OP4_SQL, "op6_url_filter": OP6_SQL}
