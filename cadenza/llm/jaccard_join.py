@@ -35,7 +35,7 @@ BUCKET_BITS = 20
 CHUNK_BITS = 14
 #: N-grams counted more often than this are dealt out by n-gram and class, not by n-gram alone.
 HOT_COUNT = 1 << 17
-#: Members of a component that are verified against as one block, and classes that meet a block in one task.
+#: Classes that are verified against as one block, and classes that meet a block in one task.
 BLOCK = 128
 TASK_ROWS = 2_000
 #: Classes of an n-gram that one task pairs with the classes outside the n-gram's largest component.
@@ -158,55 +158,67 @@ def could_link(s, t, i, j, percent: int):
     return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (s + t))
 
 
+def _crossing(c: dict[str, np.ndarray], cuts: np.ndarray, percent: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """(blk, x, y) rows of whole groups: each probe by each member of its group, as far as the filters let them."""
+    starts = np.r_[0, cuts[cuts < len(c["token"])]].astype(np.int64)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(c["token"])]))
+    probe = c["probe"].astype(bool)
+    members = np.add.reduceat(~probe, starts, dtype=np.int64)  # they stand first in their group
+    probes = np.flatnonzero(probe)
+    widths = members[group[probes]]
+    ends = np.cumsum(widths)
+    lo = 0
+    while lo < len(probes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        width = widths[lo:hi]
+        a = np.repeat(probes[lo:hi], width)
+        b = starts[group[a]] + np.arange(len(a)) - np.repeat(np.cumsum(width) - width, width)
+        # Two outsiders meet twice; the pair is taken where x < y.
+        ok = np.flatnonzero((c["comp"][a] != c["comp"][b]) & (c["big"][b].astype(bool) | (c["node"][a] < c["node"][b])))
+        a, b = a[ok], b[ok]
+        s, t, i, j = c["size"][a], c["size"][b], c["place"][a], c["place"][b]
+        small = np.minimum(s, t)
+        overlap = np.minimum(np.minimum(i, j) + 1 + np.minimum(s - i, t - j) - 1, small)
+        ok = (100 * small >= percent * np.maximum(s, t)) & ((100 + percent) * overlap >= percent * (s + t))
+        if ok.any():
+            yield np.stack([c["blk"][b[ok]], c["node"][a[ok]], c["node"][b[ok]]])
+        lo = hi
+
+
+def _packed(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (blk, x, ys) of (blk, x, y) columns."""
+    blk, x, y = np.unique(np.concatenate(found, axis=1), axis=1)
+    new = np.r_[True, (blk[1:] != blk[:-1]) | (x[1:] != x[:-1])]
+    at = np.flatnonzero(new)
+    ys = pa.ListArray.from_arrays(pa.array(np.r_[at, len(y)].astype(np.int32)), pa.array(y))
+    return pa.RecordBatch.from_arrays([pa.array(blk[at]), pa.array(x[at]), ys], ["blk", "x", "ys"])
+
+
 def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (token, slice, probe), candidates (blk, x, ys): x of another component than y's block."""
     names = ("token", "slice", "probe", "node", "comp", "blk", "big", "size", "place")
-
-    def pairs(members: dict[str, np.ndarray], probes: dict[str, np.ndarray]) -> None:
-        for lo in range(0, len(probes["node"]), 256):
-            p = {k: v[lo : lo + 256, None] for k, v in probes.items()}
-            s, t = p["size"], members["size"][None]
-            small = np.minimum(s, t)
-            most = np.minimum(np.minimum(p["place"], members["place"][None]) + 1 + np.minimum(s - p["place"], t - members["place"][None]) - 1, small)
-            ok = (p["comp"] != members["comp"][None]) & (100 * small >= percent * np.maximum(s, t)) & ((100 + percent) * most >= percent * (s + t))
-            # Two outsiders meet twice; the pair is taken where x < y.
-            ok &= members["big"][None] | (p["node"] < members["node"][None])
-            for a, b in zip(*np.nonzero(ok), strict=True):
-                found.setdefault((int(members["blk"][b]), int(probes["node"][lo + a])), set()).add(int(members["node"][b]))
-
-    def flushed() -> pa.RecordBatch:
-        blk, x = zip(*found, strict=True)
-        columns = [pa.array(blk, pa.int64()), pa.array(x, pa.int64()), pa.array([sorted(y) for y in found.values()], pa.list_(pa.int64()))]
-        found.clear()
-        return pa.RecordBatch.from_arrays(columns, ["blk", "x", "ys"])
-
-    found: dict[tuple[int, int], set[int]] = {}
-    key, members, probes = None, [], []
-    empty = pa.RecordBatch.from_pydict({n: [] for n in names})
-    for batch in _with_end(batches, empty):
-        c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-        n = len(c["token"])
-        cuts = [0, *(np.flatnonzero((c["token"][1:] != c["token"][:-1]) | (c["slice"][1:] != c["slice"][:-1])) + 1), n] if n else [0]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            now = (c["token"][lo], c["slice"][lo])
-            if now != key:
-                if members and probes:
-                    join = lambda parts: {m: np.concatenate([p[m] for p in parts]) for m in names[3:]}
-                    pairs(join(members), join(probes))
-                key, members, probes = now, [], []
-                if sum(map(len, found.values())) > 1 << 18:
-                    yield flushed()
-            part = {m: c[m][lo:hi] for m in names[3:]}
-            probe = c["probe"][lo:hi].astype(bool)
-            if (~probe).any():
-                members.append({m: v[~probe] for m, v in part.items()})
-            if probe.any():
-                probes.append({m: v[probe] for m, v in part.items()})
-    if members and probes:
-        join = lambda parts: {m: np.concatenate([p[m] for p in parts]) for m in names[3:]}
-        pairs(join(members), join(probes))
+    held: dict[str, np.ndarray] = {n: np.zeros(0, np.int64) for n in names}
+    found: list[np.ndarray] = []
+    for batch in _with_end(batches, None):
+        if batch is not None:
+            held = {n: np.r_[held[n], batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)] for n in names}
+        n = len(held["token"])
+        cuts = np.flatnonzero((held["token"][1:] != held["token"][:-1]) | (held["slice"][1:] != held["slice"][:-1])) + 1
+        stop = n if batch is None else int(cuts[-1]) if len(cuts) else 0
+        if stop:
+            found += _crossing({m: v[:stop] for m, v in held.items()}, cuts[cuts < stop], percent)
+            held = {m: v[stop:] for m, v in held.items()}
+        if sum(f.shape[1] for f in found) > 1 << 20:
+            found = [_unique(found)]
+            if found[0].shape[1] > 1 << 19:
+                yield _packed(found)
+                found = []
     if found:
-        yield flushed()
+        yield _packed(found)
+
+
+def _unique(found: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(found, axis=1), axis=1)
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -226,35 +238,41 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (blk, salt, is_x): first a block's members, then the classes that meet it. One link each."""
+    """From rows sorted by (blk, salt, is_x): first a block's members, then the classes that meet it. A class gets one
+    link at most to each component."""
     key, members = None, {}
     for whole in batches:
         for batch in text_slices(whole, "text", 1 << 20):
             hashes, _, sizes = row_sets(batch, k)
             ends = np.cumsum(sizes)
-            c = {n: batch.column(n).to_pylist() for n in ("blk", "salt", "is_x", "node", "ys")}
+            c = {n: batch.column(n).to_pylist() for n in ("blk", "salt", "is_x", "node", "comp", "ys")}
             found = []
             for i in range(batch.num_rows):
                 if (c["blk"][i], c["salt"][i]) != key:
                     key, members = (c["blk"][i], c["salt"][i]), {}
                 own = hashes[ends[i] - sizes[i] : ends[i]]
                 if not c["is_x"][i]:
-                    members[c["node"][i]] = own.copy()
-                elif (y := next((y for y in c["ys"][i] if y in members and links(own, members[y], percent)), None)) is not None:
-                    found.append((c["node"][i], y))
+                    members[c["node"][i]] = own.copy(), c["comp"][i]
+                    continue
+                linked = set()
+                for y in c["ys"][i]:
+                    other, comp = members.get(y, (None, None))
+                    if other is not None and comp not in linked and links(own, other, percent):
+                        linked.add(comp)
+                        found.append((c["node"][i], y))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
 
 def verified(candidates: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among candidates (blk, x, ys), with members (blk, node) and texts (node, text)."""
+    """Links (a, b) among candidates (blk, x, ys), with members (blk, node, comp) and texts (node, text)."""
     merged = candidates.groupBy("blk", "x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
     merged = stage_table(merged, "jaccard-candidates")
     salts = merged.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("salts"))
-    xs = merged.join(salts, "blk").select("blk", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("is_x"), F.col("x").alias("node"), "ys")
+    xs = merged.join(salts, "blk").select("blk", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("is_x"), F.col("x").alias("node"), F.lit(None).cast("long").alias("comp"), "ys")
     none = F.lit(None).cast("array<long>")
-    own = members.join(salts, "blk").select("blk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_x"), "node", none.alias("ys"))
-    rows = xs.unionByName(own).join(texts, "node").select("blk", "salt", "is_x", "node", "ys", "text")
+    own = members.join(salts, "blk").select("blk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_x"), "node", "comp", none.alias("ys"))
+    rows = xs.unionByName(own).join(texts, "node").select("blk", "salt", "is_x", "node", "comp", "ys", "text")
     dealt = rows.repartition("blk", "salt").sortWithinPartitions("blk", "salt", "is_x")
     return stage_table(dealt.mapInArrow(lambda batches: _verify(batches, k, percent), "a long, b long"), "jaccard-links")
 
@@ -297,26 +315,28 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     near = near.filter(could_link(F.col("size"), F.col("hub.size"), F.col("place"), F.col("hub.place"), percent))
     pairs = near.select(F.col("hub.node").alias("blk"), F.col("node").alias("x")).distinct().withColumn("ys", F.array("blk"))
     pairs = stage_table(pairs, "jaccard-pairs")
-    found = verified(pairs, pairs.select("blk", F.col("blk").alias("node")).distinct(), sources, k, percent)
+    found = verified(pairs, pairs.select("blk", F.col("blk").alias("node"), F.col("blk").alias("comp")).distinct(), sources, k, percent)
     labels = components(found)
 
     sized = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("held")), "comp")
-    block = F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / BLOCK)))
-    sized = stage_table(sized.select("node", "comp", "held", block.alias("blk")), "jaccard-blocks")
-    placed = postings.join(sized, "node", "left").select(
-        "token", "node", "size", "place", F.coalesce("comp", "node").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"), F.coalesce("blk", "node").alias("blk")
-    )
+    placed = postings.join(sized, "node", "left").select("token", "node", "size", "place", F.coalesce("comp", "node").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
     placed = stage_table(placed, "jaccard-placed")
     open_ = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("held", "comp")).alias("most"), F.count(F.lit(1)).alias("rows"))
     open_ = open_.filter("low <> high").select("token", F.col("most.comp").alias("largest"), F.ceil(F.col("rows") / SLICE).cast("int").alias("slices"))
-    rows = placed.join(open_, "token").withColumn("big", F.col("comp") == F.col("largest"))
+    rows = stage_table(placed.join(open_, "token"), "jaccard-open")
+    # Blocks of a component, together with the lone classes that meet it.
+    family = F.when(F.max("held") > 1, F.max("comp")).otherwise(F.min("largest"))
+    nodes = rows.groupBy("node").agg(F.max("comp").alias("comp"), family.alias("family"))
+    sizes = nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    blk = F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    nodes = stage_table(nodes.join(sizes, "family").select("node", "comp", blk.alias("blk")), "jaccard-blocks")
+    rows = rows.join(nodes.select("node", "blk"), "node").withColumn("big", F.col("comp") == F.col("largest"))
     cols = ["token", "slice", "probe", "node", "comp", "blk", "big", "size", "place"]
     own = rows.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).withColumn("probe", F.lit(False)).select(cols)
     outside = rows.filter(~F.col("big")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("probe", F.lit(True)).select(cols)
-    crossing = own.unionByName(outside).repartition("token", "slice").sortWithinPartitions("token", "slice")
+    crossing = own.unionByName(outside).repartition("token", "slice").sortWithinPartitions("token", "slice", "probe")
     candidates = stage_table(crossing.mapInArrow(lambda batches: _cross(batches, percent), "blk long, x long, ys array<long>"), "jaccard-cross")
-    blocks = postings.select("node").distinct().join(sized.select("node", "blk"), "node", "left").select("node", F.coalesce("blk", "node").alias("blk"))
-    more = verified(candidates, blocks, sources, k, percent)
+    more = verified(candidates, nodes, sources, k, percent)
     labels = components(found.unionByName(more))
 
     grouped = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
