@@ -1,11 +1,557 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the scale-factor tables, and the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from . import lexicon
+from .functions import media as m
+from .functions import text as t
+from .operators import boundaries, candidates, captions, ranking, selection, transcript, windows
+from .sources import readers, tables
+from .streaming import jobs
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _in(names: list[str]) -> str:
+    return "(" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + ")"
+
+
+def media_of(segs: DataFrame) -> DataFrame:
+    return segs.groupBy("transcript_id").agg(F.max("end_ms").alias("media_ms"))
+
+
+MEDIA_SQL = tables.WORDS_SQL + ", media AS (SELECT transcript_id, max(end_ms) AS media_ms FROM segments GROUP BY 1)"
+
+# ---------------------------------------------------------------- transcripts
+
+
+@query(
+    f"""WITH {tables.WORDS_SQL}
+SELECT s.transcript_id, n_segments, n_words, round(media_ms / 1000.0, 2) AS duration, round(spoken_ms / 1000.0, 2) AS spoken,
+  round(n_words * 60000.0 / media_ms, 1) AS words_per_minute, mean_probability
+FROM (SELECT transcript_id, count(*) AS n_segments, max(end_ms) AS media_ms, CAST(sum(end_ms - start_ms) AS BIGINT) AS spoken_ms FROM segments GROUP BY 1) s
+JOIN (SELECT transcript_id, count(*) AS n_words, round(avg(probability_pct) / 100, 4) AS mean_probability FROM words GROUP BY 1) w USING (transcript_id)"""
+)
+def transcript_stats(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    return transcript.stats(segs, tables.words(segs))
+
+
+@query(f"""WITH {tables.SEGMENTS_SQL}
+SELECT transcript_id, string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' ' ORDER BY seg_idx) AS text FROM segments GROUP BY 1""")
+def transcript_text(spark, sf_dir):
+    return transcript.full_text(tables.segments(spark, sf_dir))
+
+
+@query(f"""WITH {tables.SEGMENTS_SQL}
+SELECT transcript_id, seg_idx,
+  coalesce(greatest(0, start_ms - lag(end_ms) OVER w) + 0 * lag(end_ms) OVER w, 999000) / 1000.0 AS gap_before,
+  coalesce(greatest(0, lead(start_ms) OVER w - end_ms) + 0 * lead(start_ms) OVER w, 999000) / 1000.0 AS gap_after
+FROM segments WINDOW w AS (PARTITION BY transcript_id ORDER BY seg_idx)""")
+def segment_gaps(spark, sf_dir):
+    return transcript.gaps(tables.segments(spark, sf_dir))
+
+
+def damaged(segs: DataFrame, w: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, words and media lengths with timing faults planted by position."""
+    k = F.col("seg_idx") * 13 + F.col("word_idx")
+    start = F.when(k % 43 == 11, F.col("start_ms") - 900).otherwise(F.col("start_ms"))
+    end = F.when(k % 37 == 5, F.col("start_ms") - 100).when(k % 41 == 7, F.col("start_ms") + 5000).otherwise(F.col("end_ms"))
+    s = F.when(F.col("seg_idx") % 9 == 4, F.col("start_ms") - 500).otherwise(F.col("start_ms"))
+    return (
+        segs.withColumn("end_ms", F.when(F.col("seg_idx") % 31 == 8, F.col("start_ms") - 700).otherwise(F.col("end_ms"))).withColumn("start_ms", s),
+        w.select("transcript_id", "seg_idx", "word_idx", "text", start.alias("start_ms"), end.alias("end_ms"), "probability_pct"),
+        media_of(segs).withColumn("media_ms", F.col("media_ms") - 600),
+    )
+
+
+@query(f"""WITH {MEDIA_SQL},
+ds AS (SELECT transcript_id, seg_idx, CASE WHEN seg_idx % 9 = 4 THEN start_ms - 500 ELSE start_ms END AS start_ms, CASE WHEN seg_idx % 31 = 8 THEN start_ms - 700 ELSE end_ms END AS end_ms FROM segments),
+dw AS (SELECT transcript_id, seg_idx, word_idx, CASE WHEN k % 43 = 11 THEN start_ms - 900 ELSE start_ms END AS start_ms,
+  CASE WHEN k % 37 = 5 THEN start_ms - 100 WHEN k % 41 = 7 THEN start_ms + 5000 ELSE end_ms END AS end_ms FROM (SELECT *, seg_idx * 13 + word_idx AS k FROM words)),
+sp AS (SELECT *, coalesce(max(end_ms) OVER (PARTITION BY transcript_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) AS prior FROM ds),
+wp AS (SELECT *, coalesce(max(end_ms) OVER (PARTITION BY transcript_id, seg_idx ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) AS prior FROM dw),
+e AS (SELECT transcript_id, seg_idx, arg_min(start_ms, word_idx) AS f, arg_max(end_ms, word_idx) AS l FROM dw GROUP BY 1, 2),
+late AS (SELECT dw.*, row_number() OVER (PARTITION BY transcript_id ORDER BY seg_idx, word_idx) AS n FROM dw JOIN media USING (transcript_id) WHERE dw.end_ms > media_ms - 600 + 500),
+x AS (
+SELECT transcript_id, 'segment_reversed' AS kind, seg_idx, -1 AS word_idx, start_ms AS t FROM sp WHERE end_ms < start_ms
+UNION ALL SELECT transcript_id, 'segment_overlap', seg_idx, -1, start_ms FROM sp WHERE start_ms < prior - 1
+UNION ALL SELECT transcript_id, 'word_before_segment', seg_idx, -1, start_ms FROM sp JOIN e USING (transcript_id, seg_idx) WHERE f < start_ms - 50
+UNION ALL SELECT transcript_id, 'word_after_segment', seg_idx, -1, end_ms FROM sp JOIN e USING (transcript_id, seg_idx) WHERE l > end_ms + 50
+UNION ALL SELECT transcript_id, 'word_reversed', seg_idx, word_idx, start_ms FROM wp WHERE end_ms < start_ms
+UNION ALL SELECT transcript_id, 'word_overlap', seg_idx, word_idx, start_ms FROM wp WHERE start_ms < prior - 1
+UNION ALL SELECT transcript_id, 'word_too_long', seg_idx, word_idx, start_ms FROM wp WHERE end_ms - start_ms > 4000
+UNION ALL SELECT transcript_id, 'beyond_media', seg_idx, word_idx, end_ms FROM late WHERE n = 1)
+SELECT transcript_id, kind, seg_idx, CAST(word_idx AS BIGINT) AS word_idx, t / 1000.0 AS "at" FROM x""")
+def validate_issues(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    return transcript.validate(*damaged(segs, tables.words(segs)))
+
+
+CHUNKS_SQL = """chunks AS (SELECT transcript_id, chunk, chunk * 30000 AS commit_start_ms, CASE WHEN chunk = n - 1 THEN media_ms ELSE chunk * 30000 + 30000 END AS commit_end_ms,
+  greatest(0, chunk * 30000 - 2000) AS read_start_ms, least(media_ms, CASE WHEN chunk = n - 1 THEN media_ms ELSE chunk * 30000 + 30000 END + 2000) AS read_end_ms, chunk = n - 1 AS is_last
+  FROM (SELECT transcript_id, media_ms, n, unnest(range(n)) AS chunk FROM (SELECT *, CASE WHEN media_ms <= 30000 THEN 1 ELSE CAST(ceil((media_ms - 0.001) / 30000) AS BIGINT) END AS n FROM media)))"""
+
+
+@query(f"WITH {MEDIA_SQL}, {CHUNKS_SQL} SELECT * FROM chunks")
+def chunk_plan(spark, sf_dir):
+    return transcript.plan_chunks(media_of(tables.segments(spark, sf_dir)), 30_000)
+
+
+@query(f"""WITH {MEDIA_SQL}, {CHUNKS_SQL}
+SELECT w.transcript_id, chunk, w.seg_idx, w.word_idx, w.text, w.start_ms, w.end_ms FROM words w JOIN chunks c
+  ON w.transcript_id = c.transcript_id AND w.start_ms >= read_start_ms AND w.start_ms < read_end_ms
+ AND (w.start_ms + w.end_ms) / 2 >= commit_start_ms - 0.001 AND (is_last OR (w.start_ms + w.end_ms) / 2 < commit_end_ms - 0.001)""")
+def merge_midpoint(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    w, chunks = tables.words(segs), transcript.plan_chunks(media_of(segs), 30_000)
+    # Each chunk hears the words of its read window, so words near a seam are heard twice.
+    heard = w.join(chunks.select("transcript_id", "chunk", "read_start_ms", "read_end_ms"), "transcript_id").filter((F.col("start_ms") >= F.col("read_start_ms")) & (F.col("start_ms") < F.col("read_end_ms")))
+    return transcript.merge_chunks(chunks, heard).select("transcript_id", "chunk", "seg_idx", "word_idx", "text", "start_ms", "end_ms")
+
+
+@query(f"""WITH {tables.WORDS_SQL}, {tables.ANCHORS_SQL}
+SELECT a.transcript_id, ord AS span_id, count(*) AS n_words, min(w.start_ms) AS first_ms FROM anchors a JOIN words w
+  ON a.transcript_id = w.transcript_id AND (w.start_ms + w.end_ms) / 2 >= anchor_ms AND (w.start_ms + w.end_ms) / 2 < a.end_ms GROUP BY 1, 2""")
+def words_in_span(spark, sf_dir):
+    spans = tables.anchors(spark, sf_dir).select("transcript_id", F.col("ord").alias("span_id"), F.col("anchor_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
+    met = transcript.words_between(tables.words(tables.segments(spark, sf_dir)), spans)
+    return met.groupBy("transcript_id", "span_id").agg(F.count(F.lit(1)).alias("n_words"), F.min("start_ms").alias("first_ms"))
+
+
+@query(f"""WITH {tables.WORDS_SQL}, {tables.ANCHORS_SQL},
+x AS (SELECT a.transcript_id, ord AS span_id, string_agg(regexp_replace(w.text, '^\\s+|\\s+$', '', 'g'), ' ' ORDER BY seg_idx, word_idx) AS e
+  FROM anchors a JOIN words w ON a.transcript_id = w.transcript_id AND w.start_ms >= anchor_ms AND w.start_ms < a.end_ms GROUP BY 1, 2)
+SELECT transcript_id, span_id, CASE WHEN length(e) > 120 THEN left(e, 120) || '…' ELSE e END AS excerpt FROM x""")
+def span_excerpts(spark, sf_dir):
+    spans = tables.anchors(spark, sf_dir).select("transcript_id", F.col("ord").alias("span_id"), F.col("anchor_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
+    return transcript.excerpt(tables.words(tables.segments(spark, sf_dir)), spans, 120)
+
+
+@query()
+def token_windows(spark, sf_dir):
+    return windows.token_windows(tables.segments(spark, sf_dir), 300)
+
+
+@query()
+def window_texts(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    return windows.window_text(windows.token_windows(segs, 300), segs)
+
+
+# ---------------------------------------------------------------- text functions
+
+CLEAN_SQL = r"""lower(regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '^["''“”‘’]+|["''“”‘’]+$', '', 'g'), '[,.!?;:]+$', '', 'g'))"""
+ENDS_SQL = r"""regexp_matches(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '["''”’]+$', '', 'g'), '[.!?…]$')"""
+
+
+@query(f"""WITH {tables.WORDS_SQL}
+SELECT {CLEAN_SQL.format("text")} AS word, {ENDS_SQL.format("text")} AS ends_sentence, count(*) AS n FROM words GROUP BY 1, 2""")
+def clean_words(spark, sf_dir):
+    w = tables.words(tables.segments(spark, sf_dir))
+    return w.groupBy(t.clean(F.col("text")).alias("word"), t.ends_sentence(F.col("text")).alias("ends_sentence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+STEM_SQL = (
+    "CASE "
+    + " ".join(f"WHEN ends_with(w, '{s}') AND length(w) > {len(s) + 2} THEN left(w, length(w) - {len(s)})" for s in lexicon.SUFFIXES)
+    + " ELSE w END"
+)
+TOKENS_SQL = f"list_distinct([{STEM_SQL} for w in regexp_extract_all(lower(text), '[a-z0-9'']+') if length(w) > 2 AND w NOT IN {_in(lexicon.STOPWORDS)}])"
+FLAT_SQL = r"regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+GRAMS_SQL = f"list_distinct([substring({FLAT_SQL}, i, 3) for i in range(1, length({FLAT_SQL}) - 1)])"
+SHARE_SQL = "len(list_intersect({0}, {1}))"
+JACCARD_SQL = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
+OVERLAP_SQL = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / least(len({0}), len({1})) END"
+
+
+def lexical_sql(a: str, b: str) -> str:
+    x, y, g, h = f"{a}.tokens", f"{b}.tokens", f"{a}.grams", f"{b}.grams"
+    return f"(CAST(0.7 AS DOUBLE) * (CAST(0.45 AS DOUBLE) * ({JACCARD_SQL.format(x, y)}) + CAST(0.55 AS DOUBLE) * ({OVERLAP_SQL.format(x, y)})) + CAST(0.3 AS DOUBLE) * ({JACCARD_SQL.format(g, h)}))"
+
+
+@query(f"SELECT item_id, list_sort({TOKENS_SQL}) AS tokens, len({GRAMS_SQL}) AS n_grams, greatest(1, length(text) // 4) AS token_estimate FROM benchmark")
+def token_sets(spark, sf_dir):
+    b = ranking.text_features(tables.table(spark, sf_dir, "benchmark"))
+    return b.select("item_id", F.sort_array("tokens").alias("tokens"), F.size("grams").cast("long").alias("n_grams"), t.estimate_tokens(F.col("text")).alias("token_estimate"))
+
+
+@query(f"""WITH f AS (SELECT item_id, item_id % 8 AS g, {TOKENS_SQL} AS tokens, {GRAMS_SQL} AS grams FROM benchmark)
+SELECT a.g AS g, a.item_id AS a, b.item_id AS b, round({lexical_sql("a", "b")}, 6) AS similarity FROM f a JOIN f b ON a.g = b.g AND a.item_id < b.item_id""")
+def lexical_pairs(spark, sf_dir):
+    items = tables.table(spark, sf_dir, "benchmark").withColumn("g", F.col("item_id") % 8)
+    return ranking.similar_pairs(items, "g", "item_id", "text")
+
+
+DOT_SQL = "list_sum([x * y for x, y in list_zip({0}, {1})])"
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, round(CASE WHEN list_inner_product(q.e, q.e) * list_inner_product(v.e, v.e) > 0
+  THEN greatest(0.0, list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e)))) ELSE 0.0 END, 6) AS similarity
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s QUALIFY rank <= 3""")
+def cosine_topk(spark, sf_dir):
+    v = tables.table(spark, sf_dir, "embeddings")
+    return ranking.most_alike(v.select("vec_id", "embedding"), v.filter("vec_id % 100 = 0").select("vec_id", "embedding"))
+
+
+@query("""SELECT event_id, '"' || CAST(value AS VARCHAR) || ' points"' AS shown, TRY_CAST(regexp_extract(json_extract_string(props, '$.k'), '-?\\d+(\\.\\d+)?', 0) AS DOUBLE) AS k FROM events""")
+def coerced_numbers(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    return e.select("event_id", F.concat(F.lit('"'), F.col("value").cast("string"), F.lit(' points"')).alias("shown"), t.coerce_float(F.get_json_object("props", "$.k")).alias("k"))
+
+
+# ---------------------------------------------------------------- candidates
+
+NORMALISED_SQL = f"""{tables.CANDIDATES_SQL},
+n0 AS (SELECT *, count(*) OVER c AS n, avg(raw_score) OVER c AS mean, stddev_pop(raw_score) OVER c AS sd FROM cands WINDOW c AS (PARTITION BY transcript_id, chunk_index)),
+n1 AS (SELECT *, min(CASE WHEN n < 3 THEN raw_score END) OVER t AS lo, max(CASE WHEN n < 3 THEN raw_score END) OVER t AS hi FROM n0 WINDOW t AS (PARTITION BY transcript_id)),
+norm AS (SELECT transcript_id, ord, start_ms, end_ms, chunk_index, raw_score, category,
+  round(CASE WHEN n >= 3 THEN CASE WHEN sd < 1e-6 THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + (raw_score - mean) / sd / 4)) END
+    ELSE CASE WHEN hi - lo < 1e-6 THEN 0.5 ELSE 0.15 + 0.7 * (raw_score - lo) / (hi - lo) END END, 4) AS normalized_score,
+  round(CASE WHEN n >= 3 AND sd < 1e-6 THEN 0.3 WHEN n >= 3 THEN least(1.0, 0.6 + n / 20.0) ELSE 0.4 END, 3) AS confidence FROM n1)"""
+
+
+@query(f"WITH {NORMALISED_SQL} SELECT transcript_id, ord, normalized_score, confidence FROM norm")
+def normalize_scores(spark, sf_dir):
+    return candidates.normalise(tables.candidates(spark, sf_dir)).select("transcript_id", "ord", "normalized_score", "confidence")
+
+
+def greedy_sql(rows: str, clash: str, full: str = "false") -> str:
+    """A greedy pass in SQL: rows(transcript_id, items) folded one item at a time."""
+    return f"""SELECT transcript_id, unnest(list_reduce(items[2:], lambda k, x: CASE WHEN {full} OR len(list_filter(k, lambda a: {clash})) > 0 THEN k ELSE list_append(k, x) END, [items[1]])) AS x FROM {rows}"""
+
+
+IOU_SQL = "least(a.end_ms, x.end_ms) > greatest(a.start_ms, x.start_ms) AND least(a.end_ms, x.end_ms) - greatest(a.start_ms, x.start_ms) >= 0.5 * (greatest(a.end_ms, x.end_ms) - least(a.start_ms, x.start_ms))"
+
+
+def _fold_sql(items: str, clash: str, columns: str, full: str = "k.n >= 1000000") -> str:
+    """list_reduce needs one type for state and items: each item travels as a list of one."""
+    return f"""folded AS (SELECT transcript_id, list_reduce(list_transform(items, lambda z: [z]), lambda k, x: CASE WHEN {full} OR len(list_filter(k, lambda a: {clash})) > 0 THEN k ELSE list_concat(k, x) END) AS kept FROM {items})
+SELECT transcript_id, {columns} FROM (SELECT transcript_id, unnest(kept) AS z FROM folded)"""
+
+
+@query(f"""WITH {NORMALISED_SQL},
+listed AS (SELECT transcript_id, list(struct_pack(ord := ord, start_ms := start_ms, end_ms := end_ms, s := normalized_score) ORDER BY normalized_score DESC, ord) AS items FROM norm GROUP BY 1),
+{_fold_sql("listed", IOU_SQL.replace("x.", "x[1]."), "z.ord AS ord, z.start_ms AS start_ms, z.end_ms AS end_ms, z.s AS normalized_score", "false")}""")
+def iou_nms(spark, sf_dir):
+    return candidates.drop_overlaps(candidates.normalise(tables.candidates(spark, sf_dir)))
+
+
+SNAP_SQL = f"""WITH {tables.WORDS_SQL}, {tables.ANCHORS_SQL},
+s AS (SELECT a.transcript_id, ord, arg_min(w.start_ms, struct_pack(d := abs(w.start_ms - anchor_ms), o := seg_idx, i := word_idx)) AS v FROM anchors a JOIN words w ON a.transcript_id = w.transcript_id AND abs(w.start_ms - anchor_ms) <= 6000 GROUP BY 1, 2),
+e AS (SELECT a.transcript_id, ord, arg_min(w.end_ms, struct_pack(d := abs(w.end_ms - a.end_ms), o := seg_idx, i := word_idx)) AS v FROM anchors a JOIN words w ON a.transcript_id = w.transcript_id AND abs(w.end_ms - a.end_ms) <= 6000 GROUP BY 1, 2)
+SELECT a.transcript_id, a.ord, anchor_ms AS start_ms, a.end_ms, CASE WHEN e.v > s.v THEN s.v END AS snapped_start_ms, CASE WHEN e.v > s.v THEN e.v END AS snapped_end_ms
+FROM anchors a LEFT JOIN s USING (transcript_id, ord) LEFT JOIN e USING (transcript_id, ord)"""
+
+
+@query(SNAP_SQL)
+def snap_nearest(spark, sf_dir):
+    spans = tables.anchors(spark, sf_dir).select("transcript_id", "ord", F.col("anchor_ms").alias("start_ms"), "end_ms")
+    return candidates.snap(spans, tables.words(tables.segments(spark, sf_dir))).select("transcript_id", "ord", "start_ms", "end_ms", "snapped_start_ms", "snapped_end_ms")
+
+
+REASONS = ["degenerate span (0.4s) at 12.0", "timestamps 1.0-2.0 do not match the transcript", "No valid JSON found in model output: x", "missing start/end: {}", "something else"]
+
+
+@query(f"""WITH r AS (SELECT user_id AS transcript_id, event_id AS ord, {_in(REASONS).replace("(", "[", 1)[:-1]}][1 + CAST(value * 7 AS BIGINT) % 5] AS reject_reason FROM events),
+k AS (SELECT *, CASE {" ".join(f"WHEN contains(reject_reason, '{n}') THEN '{v}'" for n, v in lexicon.REJECTION_KINDS)} ELSE 'other' END AS kind FROM r),
+g AS (SELECT transcript_id, kind, count(*) AS n, min(ord) AS first_ord, arg_min(reject_reason, ord) AS example FROM k GROUP BY 1, 2)
+SELECT transcript_id, kind, n, row_number() OVER (PARTITION BY transcript_id ORDER BY n DESC, first_ord) AS rank, example FROM g""")
+def rejection_summary(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), (1 + F.rint(F.col("value") * 7).cast("long") % 5).cast("int"))
+    return candidates.rejection_summary(e.select(F.col("user_id").alias("transcript_id"), F.col("event_id").alias("ord"), reason.alias("reject_reason")))
+
+
+# ---------------------------------------------------------------- boundaries and selection
+
+
+def _features_sql() -> str:
+    c = CLEAN_SQL.format("text")
+    return f"""{MEDIA_SQL},
+cw AS (SELECT transcript_id, seg_idx, word_idx, start_ms, end_ms, {c} AS c FROM words),
+cx AS (SELECT *, lead(c, 1) OVER w AS c2, lead(c, 2) OVER w AS c3 FROM cw WINDOW w AS (PARTITION BY transcript_id ORDER BY seg_idx, word_idx)),
+cy AS (SELECT *, CAST(c IN {_in(lexicon.FILLER_WORDS)} AS BIGINT) AS single, CAST(coalesce(c || ' ' || c2 IN {_in(lexicon.FILLER_PHRASES)}, false) AS BIGINT) AS phrase,
+  CASE WHEN coalesce(c || ' ' || c2 || ' ' || c3 IN {_in(lexicon.WEAK_OPENING_PHRASES)}, false) OR coalesce(c || ' ' || c2 IN {_in(lexicon.WEAK_OPENING_PHRASES)}, false)
+    THEN CASE WHEN c IN {_in(lexicon.DISCOURSE_MARKERS)} THEN 'forgivable' ELSE 'unforgivable' END
+    WHEN c IN {_in(lexicon.SUBORDINATORS)} THEN 'unforgivable' WHEN c IN {_in(lexicon.DISCOURSE_MARKERS)} THEN 'forgivable' ELSE 'strong' END AS opener_kind FROM cx),
+per AS (SELECT transcript_id, seg_idx, arg_min(opener_kind, word_idx) AS opener_kind, arg_min(start_ms, word_idx) AS first_ms, arg_max(end_ms, word_idx) AS last_ms,
+  arg_max(c, word_idx) IN {_in(lexicon.DANGLING_ENDINGS)} AS dangling, arg_max(phrase, word_idx) AS tail_phrase, count(*) AS n, CAST(sum(single) AS BIGINT) AS singles, CAST(sum(phrase) AS BIGINT) AS phrases FROM cy GROUP BY 1, 2),
+feats AS (SELECT s.transcript_id, row_number() OVER w - 1 AS idx, s.start_ms, s.end_ms, first_ms, last_ms, opener_kind,
+  coalesce(greatest(0, s.start_ms - lag(s.end_ms) OVER w) + 0 * lag(s.end_ms) OVER w, 999000) AS pause_ms,
+  coalesce(lag({ENDS_SQL.format("s.text")}) OVER w, true) AS starts_sentence, {ENDS_SQL.format("s.text")} AS ends_sentence, dangling, tail_phrase, n, singles, phrases,
+  CAST(sum(n) OVER w AS BIGINT) AS words_to, CAST(sum(singles) OVER w AS BIGINT) AS singles_to, CAST(sum(phrases) OVER w AS BIGINT) AS phrases_to
+  FROM segments s JOIN per p ON s.transcript_id = p.transcript_id AND s.seg_idx = p.seg_idx WINDOW w AS (PARTITION BY s.transcript_id ORDER BY s.seg_idx)),
+pairs0 AS (SELECT a.transcript_id, a.idx AS start_idx, b.idx AS end_idx, a.start_ms AS origin_ms, a.first_ms AS start_ms, b.last_ms AS end_ms,
+  CASE WHEN a.opener_kind = 'strong' THEN 1.0 WHEN a.opener_kind = 'forgivable' AND a.pause_ms >= 600 THEN 0.75 WHEN a.opener_kind = 'forgivable' THEN 0.15 ELSE 0.0 END::DOUBLE AS opener,
+  a.starts_sentence::INT::DOUBLE AS starts_sentence, b.ends_sentence::INT::DOUBLE AS ends_sentence, (NOT b.dangling)::INT::DOUBLE AS not_dangling,
+  least(1.0::DOUBLE, (b.singles_to - a.singles_to + a.singles + 2 * (b.phrases_to - a.phrases_to + a.phrases - b.tail_phrase))::DOUBLE / (b.words_to - a.words_to + a.n)) AS filler_ratio,
+  CASE WHEN b.last_ms - a.first_ms < 25000 OR b.last_ms - a.first_ms > 60000 THEN 0.0 ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(b.last_ms - a.first_ms - 42500.0::DOUBLE) / 17500.0::DOUBLE) END AS duration_fit
+  FROM feats a JOIN feats b ON a.transcript_id = b.transcript_id AND b.idx >= a.idx AND b.end_ms - a.start_ms BETWEEN 25000 AND 60000),
+pairs AS (SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - filler_ratio * 4) AS low_filler FROM pairs0),
+scored AS (SELECT *, round((0.0::DOUBLE + opener * 0.28::DOUBLE + starts_sentence * 0.18::DOUBLE + ends_sentence * 0.24::DOUBLE + not_dangling * 0.12::DOUBLE + low_filler * 0.1::DOUBLE + duration_fit * 0.08::DOUBLE)
+  / {max(1e-9, sum(lexicon.BOUNDARY_WEIGHTS.values()))!r}::DOUBLE, 4) AS total FROM pairs)"""
+
+
+FEATURES_SQL = _features_sql()
+SOLVED_SQL = """near AS (SELECT a.transcript_id, a.ord, a.anchor_ms, f.idx AS start_idx, abs(f.start_ms - a.anchor_ms) AS d, f.start_ms BETWEEN a.anchor_ms - 15000 AND a.anchor_ms + 25000 AS inside FROM {anchors} a JOIN feats f ON a.transcript_id = f.transcript_id),
+tried AS (SELECT transcript_id, ord, anchor_ms, start_idx FROM near WHERE inside
+  UNION ALL SELECT transcript_id, ord, anchor_ms, arg_min(start_idx, struct_pack(d := d, i := start_idx)) FROM near GROUP BY 1, 2, 3 HAVING NOT bool_or(inside)),
+met AS (SELECT t.ord, t.anchor_ms, s.*, row_number() OVER (PARTITION BY t.transcript_id, t.ord ORDER BY s.start_idx, s.end_idx) AS k FROM tried t JOIN scored s ON t.transcript_id = s.transcript_id AND t.start_idx = s.start_idx),
+solved AS (SELECT * FROM met WHERE k <= 400 QUALIFY row_number() OVER (PARTITION BY transcript_id, ord ORDER BY total DESC, start_idx, end_idx) = 1)"""
+
+
+def _features(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    w = tables.words(segs)
+    return segs, w, boundaries.segment_features(segs, w)
+
+
+@query(f"WITH {FEATURES_SQL} SELECT transcript_id, idx, opener_kind, pause_ms / 1000.0 AS pause, starts_sentence, ends_sentence, dangling FROM feats")
+def opener_class(spark, sf_dir):
+    _, _, f = _features(spark, sf_dir)
+    return f.select("transcript_id", "idx", "opener_kind", (F.col("pause_ms") / 1000.0).alias("pause"), "starts_sentence", "ends_sentence", "dangling")
+
+
+@query(f"WITH {FEATURES_SQL} SELECT transcript_id, start_idx, end_idx, round(filler_ratio, 6) AS filler_ratio, round(low_filler, 6) AS low_filler, round(duration_fit, 6) AS duration_fit, total FROM scored")
+def boundary_pairs(spark, sf_dir):
+    p = boundaries.scored_pairs(_features(spark, sf_dir)[2])
+    return p.select("transcript_id", "start_idx", "end_idx", *[F.round(c, 6).alias(c) for c in ("filler_ratio", "low_filler", "duration_fit")], "total")
+
+
+@query(f"WITH {FEATURES_SQL}, {tables.ANCHORS_SQL}, {SOLVED_SQL.format(anchors='anchors')} SELECT transcript_id, ord, anchor_ms, start_idx, end_idx, start_ms, end_ms, total FROM solved")
+def solve_boundaries(spark, sf_dir):
+    _, _, f = _features(spark, sf_dir)
+    return boundaries.solve(f, tables.anchors(spark, sf_dir)).select("transcript_id", "ord", "anchor_ms", "start_idx", "end_idx", "start_ms", "end_ms", "total")
+
+
+PAD_SQL = """padded AS (SELECT s.*, media_ms, (SELECT max(w.end_ms) FROM words w WHERE w.transcript_id = s.transcript_id AND w.end_ms <= s.start_ms) AS before_ms,
+  (SELECT min(w.start_ms) FROM words w WHERE w.transcript_id = s.transcript_id AND w.start_ms >= s.end_ms) AS after_ms FROM {spans} s JOIN media m ON s.transcript_id = m.transcript_id)"""
+PAD_BY_SQL = "CASE WHEN {0} <= 0 THEN 80.0 ELSE least({1}, greatest(80.0, ({0}) / 2)) END::DOUBLE"
+LEAD_SQL, TRAIL_SQL = "start_ms - coalesce(before_ms, 0)", "coalesce(after_ms, media_ms) - end_ms"
+
+
+@query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL}, {SOLVED_SQL.format(anchors='anchors')},
+spans AS (SELECT transcript_id, ord, start_ms, end_ms FROM solved), {PAD_SQL.format(spans='spans')}
+SELECT transcript_id, ord, greatest(0.0::DOUBLE, start_ms - {PAD_BY_SQL.format(LEAD_SQL, "350.0")}) / 1000.0 AS padded_start, least(media_ms::DOUBLE, end_ms + {PAD_BY_SQL.format(TRAIL_SQL, "350.0")}) / 1000.0 AS padded_end FROM padded""")
+def pad_silence(spark, sf_dir):
+    segs, w, f = _features(spark, sf_dir)
+    spans = boundaries.solve(f, tables.anchors(spark, sf_dir)).select("transcript_id", "ord", "start_ms", "end_ms")
+    padded = boundaries.pad_into_silence(spans, w, media_of(segs))
+    return padded.select("transcript_id", "ord", (F.col("padded_start_ms") / 1000.0).alias("padded_start"), (F.col("padded_end_ms") / 1000.0).alias("padded_end"))
+
+
+EVEN_SQL = """even AS (SELECT transcript_id, n, round(media_ms * 0.05::DOUBLE + (greatest(media_ms * 0.05::DOUBLE, media_ms - media_ms * 0.05::DOUBLE) - media_ms * 0.05::DOUBLE) / 15 * n, 6) AS anchor_ms
+  FROM (SELECT transcript_id, media_ms, unnest(range(15)) AS n FROM media))"""
+
+
+@query(f"WITH {MEDIA_SQL}, {EVEN_SQL} SELECT * FROM even")
+def even_anchors(spark, sf_dir):
+    return selection.even_anchors(media_of(tables.segments(spark, sf_dir)), 15)
+
+
+@query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL}, {EVEN_SQL},
+found AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY ord) AS ord, anchor_ms::DOUBLE AS anchor_ms, 'discovered' AS strategy FROM anchors WHERE ord % 20 = 0),
+tops AS (SELECT e.transcript_id, (1::BIGINT << 40) + n AS ord, e.anchor_ms, 'even' AS strategy FROM even e WHERE (SELECT count(*) FROM found f WHERE f.transcript_id = e.transcript_id) < 5
+  AND NOT EXISTS (SELECT 1 FROM found f WHERE f.transcript_id = e.transcript_id AND abs(f.anchor_ms - e.anchor_ms) <= 25000)),
+every AS (SELECT * FROM found UNION ALL SELECT * FROM tops),
+{SOLVED_SQL.format(anchors='every')},
+listed AS (SELECT s.transcript_id, list(struct_pack(ord := s.ord, start_ms := start_ms, end_ms := end_ms, total := total, strategy := strategy, start_idx := start_idx, end_idx := end_idx) ORDER BY s.ord) AS items
+  FROM solved s JOIN every e ON s.transcript_id = e.transcript_id AND s.ord = e.ord GROUP BY 1),
+folded AS (SELECT transcript_id, list_reduce(list_transform(items, lambda z: [z]), lambda k, x: CASE WHEN len(k) >= 5 OR len(list_filter(k, lambda a: a.start_ms < x[1].end_ms AND x[1].start_ms < a.end_ms)) > 0 THEN k ELSE list_concat(k, x) END) AS kept FROM listed),
+picked AS (SELECT transcript_id, z.* FROM (SELECT transcript_id, unnest(kept) AS z FROM folded)), {PAD_SQL.format(spans='picked')},
+allowed AS (SELECT *, least(350.0::DOUBLE, (60000 - (end_ms - start_ms)) / 2.0::DOUBLE) AS allowance FROM padded)
+SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY start_ms, ord) - 1 AS clip, strategy, start_idx, end_idx,
+  CASE WHEN allowance > 0 THEN greatest(0.0::DOUBLE, start_ms - {PAD_BY_SQL.format(LEAD_SQL, "allowance")}) ELSE start_ms END::DOUBLE AS start_ms,
+  CASE WHEN allowance > 0 THEN least(media_ms::DOUBLE, end_ms + {PAD_BY_SQL.format(TRAIL_SQL, "allowance")}) ELSE end_ms END::DOUBLE AS end_ms, total AS boundary_score FROM allowed""")
+def select_clips(spark, sf_dir):
+    segs, w, f = _features(spark, sf_dir)
+    return selection.select_clips(f, w, media_of(segs), tables.anchors(spark, sf_dir).filter("ord % 20 = 0"))
+
+
+# ---------------------------------------------------------------- ranking
+
+RANKED_SQL = f"""{NORMALISED_SQL},
+short AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY normalized_score DESC, ord) AS place FROM norm QUALIFY place <= 20),
+ranked AS (SELECT *, CASE WHEN count(*) OVER t = 1 THEN 1.0 ELSE 1.0 - (row_number() OVER (PARTITION BY transcript_id ORDER BY ord * 7919 % 1009, ord) - 1)::DOUBLE / greatest(count(*) OVER t - 1, 1) END AS rerank_score,
+  (ord % 11) / 10.0::DOUBLE AS boundary_hint FROM short WINDOW t AS (PARTITION BY transcript_id)),
+div AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 0.75::DOUBLE * (row_number() OVER (PARTITION BY transcript_id, category ORDER BY rerank_score DESC, ord) - 1)) AS diversity,
+  greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(end_ms - start_ms - 42500.0::DOUBLE) / 17500.0::DOUBLE) AS duration_fit FROM ranked)"""
+
+
+def _ranked(spark, sf_dir):
+    short = ranking.shortlist(candidates.normalise(tables.candidates(spark, sf_dir)))
+    return ranking.rank_scores(short, F.col("ord") * 7919 % 1009, F.col("ord")).withColumn("boundary_hint", (F.col("ord") % 11) / 10.0)
+
+
+@query(f"WITH {RANKED_SQL} SELECT transcript_id, ord, place, round(rerank_score, 6) AS rerank_score FROM ranked")
+def rank_to_score(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("transcript_id", "ord", F.col("place").cast("long").alias("place"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(f"WITH {RANKED_SQL} SELECT transcript_id, ord, category, round(diversity, 6) AS diversity FROM div")
+def diversity_scores(spark, sf_dir):
+    return ranking.diversity(_ranked(spark, sf_dir)).select("transcript_id", "ord", "category", F.round("diversity", 6).alias("diversity"))
+
+
+@query(f"""WITH {RANKED_SQL} SELECT transcript_id, ord, round((0.0::DOUBLE + normalized_score * 0.3::DOUBLE + rerank_score * 0.35::DOUBLE + boundary_hint * 0.2::DOUBLE + duration_fit * 0.08::DOUBLE + diversity * 0.07::DOUBLE)
+  / {max(1e-9, sum(lexicon.SCORING_WEIGHTS.values()))!r}::DOUBLE, 4) AS final_score FROM div""")
+def final_score(spark, sf_dir):
+    return ranking.final_scores(_ranked(spark, sf_dir)).select("transcript_id", "ord", "final_score")
+
+
+@query(f"""WITH items0 AS (SELECT item_id % 8 AS transcript_id, item_id AS ord, (item_id * 37 % 11) / 10.0::DOUBLE AS rerank_score, (item_id * 17 % 7) / 10.0::DOUBLE AS normalized_score, {TOKENS_SQL} AS tokens, {GRAMS_SQL} AS grams FROM benchmark),
+listed AS (SELECT transcript_id, list(struct_pack(ord := ord, tokens := tokens, grams := grams) ORDER BY rerank_score DESC, normalized_score DESC, ord) AS items FROM items0 GROUP BY 1),
+{_fold_sql("listed", lexical_sql("a", "x[1]") + " >= 0.27", "z.ord AS ord", "false")}""")
+def semantic_nms(spark, sf_dir):
+    b = tables.table(spark, sf_dir, "benchmark")
+    k = F.col("item_id")
+    c = b.select((k % 8).alias("transcript_id"), k.alias("ord"), (k * 37 % 11 / 10.0).alias("rerank_score"), (k * 17 % 7 / 10.0).alias("normalized_score"), "text")
+    return ranking.drop_similar(c)
+
+
+# ---------------------------------------------------------------- captions
+
+
+def _clip_words(spark, sf_dir):
+    w = tables.words(tables.segments(spark, sf_dir))
+    order = Window.partitionBy("transcript_id").orderBy("seg_idx", "word_idx")
+    return w.select(F.col("transcript_id").alias("clip_id"), (F.row_number().over(order) - 1).cast("long").alias("w"), "text", "start_ms", "end_ms")
+
+
+LINES_SQL = f"""WITH RECURSIVE {tables.WORDS_SQL},
+cw AS (SELECT transcript_id AS clip_id, row_number() OVER (PARTITION BY transcript_id ORDER BY seg_idx, word_idx) - 1 AS w, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, start_ms, end_ms FROM words),
+step AS (
+  SELECT clip_id, w, 0::BIGINT AS line, 1 AS n, length(text) AS chars, start_ms AS first_ms FROM cw WHERE w = 0
+  UNION ALL
+  SELECT c.clip_id, c.w, s.line + (x.brk)::INT::BIGINT, CASE WHEN x.brk THEN 1 ELSE s.n + 1 END, CASE WHEN x.brk THEN length(c.text) ELSE s.chars + length(c.text) + 1 END, CASE WHEN x.brk THEN c.start_ms ELSE s.first_ms END
+  FROM step s JOIN cw c ON c.clip_id = s.clip_id AND c.w = s.w + 1, LATERAL (SELECT s.chars + length(c.text) + 1 > 28 OR s.n >= 6 OR c.end_ms - s.first_ms > 3000 AS brk) x),
+lines AS (SELECT c.*, s.line FROM cw c JOIN step s USING (clip_id, w))"""
+
+
+@query(f"{LINES_SQL} SELECT clip_id, w, line, text, start_ms, end_ms FROM lines")
+def caption_lines(spark, sf_dir):
+    return captions.caption_lines(_clip_words(spark, sf_dir)).select("clip_id", "w", "line", "text", "start_ms", "end_ms")
+
+
+@query(f"""{LINES_SQL},
+spans AS (SELECT clip_id, line, arg_max(end_ms, w) + 350 AS held, arg_min(start_ms, w) AS first_start FROM lines GROUP BY 1, 2),
+ends AS (SELECT clip_id, line, least(held, coalesce(lead(first_start) OVER (PARTITION BY clip_id ORDER BY line), held)) AS line_end FROM spans)
+SELECT l.clip_id, l.line, l.w, l.start_ms, coalesce(lead(l.start_ms) OVER (PARTITION BY l.clip_id, l.line ORDER BY l.w), line_end) AS end_ms FROM lines l JOIN ends USING (clip_id, line)""")
+def caption_events(spark, sf_dir):
+    return captions.caption_events(captions.caption_lines(_clip_words(spark, sf_dir))).select("clip_id", "line", "w", "start_ms", "end_ms")
+
+
+@query()
+def caption_documents(spark, sf_dir):
+    lines = captions.caption_lines(_clip_words(spark, sf_dir))
+    return captions.documents(captions.dialogue(captions.caption_events(lines), lines), "[Events]\n")
+
+
+# ---------------------------------------------------------------- media, keys, lists, jobs
+
+
+@query("SELECT doc_id, left(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), source, 'turbo', coalesce(lang, 'auto'))), 16) AS cache_key FROM documents")
+def cache_key(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents")
+    return d.select("doc_id", readers.cache_key(F.col("doc_id").cast("string"), F.col("source"), F.lit("turbo"), F.col("lang")).alias("cache_key"))
+
+
+@query("""WITH s AS (SELECT p_partkey, 640 + p_partkey % 3 * 640 AS w, 360 + p_partkey % 5 * 360 AS h, ['30000/1001', '25/1', '0/0', 'N/A', '24'][1 + p_partkey % 5] AS r FROM part)
+SELECT p_partkey AS id, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, round(CASE r WHEN '30000/1001' THEN 30000.0 / 1001 WHEN '25/1' THEN 25.0 WHEN '24' THEN 24.0 END, 6) AS fps,
+  round(w::DOUBLE / h, 6) AS aspect_ratio, w > h AS is_landscape, CAST(p_partkey % 900 AS DOUBLE) AS duration, p_partkey % 7 <> 0 AS has_audio FROM s""")
+def media_probe(spark, sf_dir):
+    k = F.col("p_partkey")
+    w, h = 640 + k % 3 * 640, 360 + k % 5 * 360
+    rate = F.element_at(F.array(*map(F.lit, ["30000/1001", "25/1", "0/0", "N/A", "24"])), (1 + k % 5).cast("int"))
+    audio = F.when(k % 7 != 0, F.lit(',{"codec_type":"audio","codec_name":"aac","channels":2}')).otherwise("")
+    json = F.concat(
+        F.lit('{"format":{"format_name":"mov","duration":"'), (k % 900).cast("string"), F.lit('"},"streams":[{"codec_type":"video","codec_name":"h264","width":'), w.cast("string"),
+        F.lit(',"height":'), h.cast("string"), F.lit(',"avg_frame_rate":"'), rate, F.lit('"}'), audio, F.lit("]}"),
+    )
+    p = tables.table(spark, sf_dir, "part").select(k.alias("id"), m.probe(json).alias("p"))
+    return p.select("id", "p.width", "p.height", F.round("p.fps", 6).alias("fps"), F.round("p.aspect_ratio", 6).alias("aspect_ratio"), "p.is_landscape", "p.duration", "p.has_audio")
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, 640 + p_partkey % 3 * 640 AS iw, 360 + p_partkey % 5 * 360 AS ih FROM part),
+c AS (SELECT *, CAST(floor(least(iw::DOUBLE, ih * 0.5625::DOUBLE)) AS BIGINT) AS w, CAST(floor(least(ih::DOUBLE, iw / 0.5625::DOUBLE)) AS BIGINT) AS h FROM s)
+SELECT id, w, h, (iw - w) // 2 AS x, (ih - h) // 2 AS y FROM c""")
+def crop_geometry(spark, sf_dir):
+    k = F.col("p_partkey")
+    return tables.table(spark, sf_dir, "part").select(k.alias("id"), m.crop(640 + k % 3 * 640, 360 + k % 5 * 360).alias("c")).select("id", "c.*")
+
+
+@query("""SELECT o_orderkey AS clip_id, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND abs(o_orderkey % 4 - 1.5) <= 1.0 AND o_orderkey % 11 <> 0 AS qc_ok,
+  (o_orderkey % 5 = 0)::INT + (o_orderkey % 7 = 0)::INT + (abs(o_orderkey % 4 - 1.5) > 1.0)::INT + (o_orderkey % 11 = 0)::INT AS n_issues FROM orders""")
+def quality_check(spark, sf_dir):
+    k = F.col("o_orderkey")
+    renders = tables.table(spark, sf_dir, "orders").select(
+        k.alias("clip_id"), F.lit(31.5).alias("expected"), (30.0 + k % 4).alias("duration"), F.when(k % 11 == 0, 720).otherwise(1080).alias("width"), F.lit(1920).alias("height"), (k % 5 != 0).alias("has_video"), (k % 7 != 0).alias("has_audio")
+    )
+    return m.quality_check(renders).select("clip_id", "qc_ok", F.size("qc_issues").alias("n_issues"))
+
+
+@query("""SELECT clip_id, project_id, n - 1 AS index, round(score, 2) AS score, row_number() OVER (PARTITION BY project_id ORDER BY score DESC NULLS LAST, n, clip_id) AS place
+FROM (SELECT o_orderkey AS clip_id, o_custkey AS project_id, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)""")
+def clips_sorted(spark, sf_dir):
+    o = tables.table(spark, sf_dir, "orders")
+    clips = readers.numbered(o.select(F.col("o_orderkey").alias("clip_id"), F.col("o_custkey").alias("project_id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("score")), F.col("clip_id"))
+    order = Window.partitionBy("project_id").orderBy(F.desc_nulls_last("score"), "index", "clip_id")
+    return clips.select("clip_id", "project_id", F.col("index").cast("long").alias("index"), F.round("score", 2).alias("score"), F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("SELECT event_id AS job_id, user_id AS project_id, event_type AS status FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def jobs_latest(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("project_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"))
+    return readers.latest_jobs(e).select("job_id", "project_id", "status")
+
+
+@query("SELECT c_custkey AS project_id, count(o_orderkey) AS clip_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def project_counts(spark, sf_dir):
+    projects = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
+    return readers.clip_counts(projects, tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id")))
+
+
+def _job_events(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    status = F.when(F.col("value") > 97, "COMPLETED").when(F.col("value") < 1, "FAILED").when(F.col("value") < 20, "QUEUED").otherwise("PROCESSING")
+    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), status.alias("status"), (F.col("value") / 100 - 0.01).alias("progress"))
+
+
+@query("""WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN value > 97 THEN 'COMPLETED' WHEN value < 1 THEN 'FAILED' WHEN value < 20 THEN 'QUEUED' ELSE 'PROCESSING' END AS status, greatest(0.0, least(1.0, value / 100 - 0.01)) AS progress FROM events),
+x AS (SELECT *, coalesce(max((status IN ('COMPLETED', 'FAILED', 'CANCELLED'))::INT) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e)
+SELECT job_id, arg_max(status, seq) AS status, round(arg_max(progress, seq), 6) AS progress, count(*) AS n_events FROM x WHERE ended = 0 GROUP BY 1""")
+def job_states(spark, sf_dir):
+    return jobs.latest_state(_job_events(spark, sf_dir)).select("job_id", "status", F.round("progress", 6).alias("progress"), "n_events")
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2")
+def progress_rollup(spark, sf_dir):
+    r = jobs.progress_rollup(tables.table(spark, sf_dir, "events"))
+    return r.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("mean_value", 4).alias("mean_value"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
