@@ -307,8 +307,8 @@ pairs0 AS (SELECT a.transcript_id, a.idx AS start_idx, b.idx AS end_idx, a.start
   CASE WHEN b.last_ms - a.first_ms < 25000 OR b.last_ms - a.first_ms > 60000 THEN 0.0 ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(b.last_ms - a.first_ms - 42500.0::DOUBLE) / 17500.0::DOUBLE) END AS duration_fit
   FROM feats a JOIN feats b ON a.transcript_id = b.transcript_id AND b.idx >= a.idx AND b.end_ms - a.start_ms BETWEEN 25000 AND 60000),
 pairs AS (SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - filler_ratio * 4) AS low_filler FROM pairs0),
-scored AS (SELECT *, round((0.0::DOUBLE + opener * 0.28::DOUBLE + starts_sentence * 0.18::DOUBLE + ends_sentence * 0.24::DOUBLE + not_dangling * 0.12::DOUBLE + low_filler * 0.1::DOUBLE + duration_fit * 0.08::DOUBLE)
-  / {max(1e-9, sum(lexicon.BOUNDARY_WEIGHTS.values()))!r}::DOUBLE, 4) AS total FROM pairs)"""
+scored AS (SELECT *, floor(10000 * (0.0::DOUBLE + opener * 0.28::DOUBLE + starts_sentence * 0.18::DOUBLE + ends_sentence * 0.24::DOUBLE + not_dangling * 0.12::DOUBLE + low_filler * 0.1::DOUBLE + duration_fit * 0.08::DOUBLE)
+  / {max(1e-9, sum(lexicon.BOUNDARY_WEIGHTS.values()))!r}::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS total FROM pairs)"""
 
 
 FEATURES_SQL = _features_sql()
@@ -412,8 +412,8 @@ def diversity_scores(spark, sf_dir):
     return ranking.diversity(_ranked(spark, sf_dir)).select("transcript_id", "ord", "category", F.round("diversity", 6).alias("diversity"))
 
 
-@query(f"""WITH {RANKED_SQL} SELECT transcript_id, ord, round((0.0::DOUBLE + normalized_score * 0.3::DOUBLE + rerank_score * 0.35::DOUBLE + boundary_hint * 0.2::DOUBLE + duration_fit * 0.08::DOUBLE + diversity * 0.07::DOUBLE)
-  / {max(1e-9, sum(lexicon.SCORING_WEIGHTS.values()))!r}::DOUBLE, 4) AS final_score FROM div""")
+@query(f"""WITH {RANKED_SQL} SELECT transcript_id, ord, floor(10000 * (0.0::DOUBLE + normalized_score * 0.3::DOUBLE + rerank_score * 0.35::DOUBLE + boundary_hint * 0.2::DOUBLE + duration_fit * 0.08::DOUBLE + diversity * 0.07::DOUBLE)
+  / {max(1e-9, sum(lexicon.SCORING_WEIGHTS.values()))!r}::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS final_score FROM div""")
 def final_score(spark, sf_dir):
     return ranking.final_scores(_ranked(spark, sf_dir)).select("transcript_id", "ord", "final_score")
 
@@ -543,10 +543,10 @@ def job_states(spark, sf_dir):
     return jobs.latest_state(_job_events(spark, sf_dir)).select("job_id", "status", F.round("progress", 6).alias("progress"), "n_events")
 
 
-@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2")
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def progress_rollup(spark, sf_dir):
     r = jobs.progress_rollup(tables.table(spark, sf_dir, "events"))
-    return r.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("mean_value", 4).alias("mean_value"))
+    return r.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -77,9 +77,15 @@ def duration_fit(duration_ms: Column, min_ms: int, max_ms: int, gated: bool = Tr
     return F.when((duration_ms < min_ms) | (duration_ms > max_ms), F.lit(0.0)).otherwise(fit) if gated else fit
 
 
-def weighted_total(weights: dict[str, float]) -> Column:
-    total = sum((F.col(name) * F.lit(weight) for name, weight in weights.items()), F.lit(0.0))
-    return F.round(total / F.lit(max(1e-9, sum(weights.values()))), 4)
+def rounded(x: Column, digits: int = 4) -> Column:
+    """Half up, with room for the last bits of a sum: engines that add in another order round alike."""
+    return F.floor(x * 10**digits + 0.5000001) / F.lit(10.0**digits)
+
+
+def weighted_total(weights: dict[str, float], columns: dict[str, str] | None = None) -> Column:
+    """The weighted mean of columns by component name, to four digits."""
+    total = sum((F.col((columns or {}).get(name, name)) * F.lit(weight) for name, weight in weights.items()), F.lit(0.0))
+    return rounded(total / F.lit(max(1e-9, sum(weights.values()))))
 
 
 def scored_pairs(features: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000, weights: dict[str, float] | None = None) -> DataFrame:

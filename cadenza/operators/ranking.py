@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions.json_recovery import model_ranks
 from ..functions.text import cosine, lexical_similarity, tokens, trigrams
-from .boundaries import duration_fit
+from .boundaries import duration_fit, weighted_total
 from .candidates import greedy
 
 SIMILAR = 0.27
@@ -59,8 +59,7 @@ def final_scores(candidates: DataFrame, min_ms: int = 25_000, max_ms: int = 60_0
     weights = weights or lexicon.SCORING_WEIGHTS
     c = diversity(candidates).withColumn("duration_fit", duration_fit(F.col("end_ms") - F.col("start_ms"), min_ms, max_ms, gated=False))
     parts = {"llm_score": "normalized_score", "rerank": "rerank_score", "boundary": "boundary_hint", "duration_fit": "duration_fit", "diversity": "diversity"}
-    total = sum((F.col(column) * F.lit(weights[name]) for name, column in parts.items()), F.lit(0.0))
-    return c.withColumn("final_score", F.round(total / F.lit(max(1e-9, sum(weights.values()))), 4))
+    return c.withColumn("final_score", weighted_total(weights, parts))
 
 
 def text_features(df: DataFrame, text: str = "text") -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.text import stripped
 
 NO_NEIGHBOUR_S = 999.0
-_IN_TRANSCRIPT = Window.partitionBy("transcript_id").orderBy("seg_idx")
 
 
 def seconds(ms: Column) -> Column:
@@ -43,14 +42,15 @@ def full_text(segments: DataFrame) -> DataFrame:
 
 def gaps(segments: DataFrame) -> DataFrame:
     """gap_before and gap_after of each segment, in seconds; NO_NEIGHBOUR_S at the ends."""
-    before = F.greatest(F.lit(0), F.col("start_ms") - F.lag("end_ms").over(_IN_TRANSCRIPT))
-    after = F.greatest(F.lit(0), F.lead("start_ms").over(_IN_TRANSCRIPT) - F.col("end_ms"))
+    order = Window.partitionBy("transcript_id").orderBy("seg_idx")
+    before = F.greatest(F.lit(0), F.col("start_ms") - F.lag("end_ms").over(order))
+    after = F.greatest(F.lit(0), F.lead("start_ms").over(order) - F.col("end_ms"))
     # greatest() skips nulls, so the ends are told by the neighbour itself.
     return segments.select(
         "transcript_id",
         "seg_idx",
-        F.when(F.lag("end_ms").over(_IN_TRANSCRIPT).isNull(), F.lit(NO_NEIGHBOUR_S)).otherwise(seconds(before)).alias("gap_before"),
-        F.when(F.lead("start_ms").over(_IN_TRANSCRIPT).isNull(), F.lit(NO_NEIGHBOUR_S)).otherwise(seconds(after)).alias("gap_after"),
+        F.when(F.lag("end_ms").over(order).isNull(), F.lit(NO_NEIGHBOUR_S)).otherwise(seconds(before)).alias("gap_before"),
+        F.when(F.lead("start_ms").over(order).isNull(), F.lit(NO_NEIGHBOUR_S)).otherwise(seconds(after)).alias("gap_after"),
     )
 
 

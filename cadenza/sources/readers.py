@@ -64,7 +64,7 @@ def uploads(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
 
 def synthetic_transcripts(spark: SparkSession, n: int, duration_ms: int, step_ms: int = 400, segment_ms: int = 5_000, fill: float = 0.8) -> DataFrame:
     """Words (transcript_id, seg_idx, word_idx, text, start_ms, end_ms) of n made-up transcripts: one a step, filling most of it."""
-    each = spark.range(n).select(F.col("id").alias("transcript_id"), F.explode(F.sequence(F.lit(0), F.lit(duration_ms // step_ms - 1))).cast("long").alias("k"))
+    each = spark.range(n).select(F.col("id").alias("transcript_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(duration_ms // step_ms - 1).cast("long"))).alias("k"))
     start = F.col("k") * step_ms
     per = max(1, segment_ms // step_ms)
     return each.select("transcript_id", F.floor(F.col("k") / per).alias("seg_idx"), (F.col("k") % per).alias("word_idx"), F.concat(F.lit("word"), F.col("k").cast("string")).alias("text"), start.alias("start_ms"), (start + int(step_ms * fill)).alias("end_ms"), F.lit(95).cast("long").alias("probability_pct"))
