@@ -191,4 +191,5 @@ def redact(docs: DataFrame) -> DataFrame:
     """The rows of docs with their secrets replaced, and n_chars (where there is one) counted anew."""
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return docs.mapInArrow(lambda batches: _redact(batches, docs.columns), docs.schema)
+    columns = docs.columns
+    return docs.mapInArrow(lambda batches: _redact(batches, columns), docs.schema)

@@ -282,38 +282,45 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_g
     return shared, curve
 
 
-def scored(docs: DataFrame, trained, with_text: bool = True) -> DataFrame:
-    """docs with score, mean_evidence and peak_evidence (columns of these names are replaced)."""
-    names = ["score", "mean_evidence", "peak_evidence"]
-    base = docs.drop(*names)
+def _scores(batch: pa.RecordBatch, model: Model, curve) -> tuple[np.ndarray, np.ndarray]:
+    centre, scale, w = curve
+    f = model.features(batch.column("text"))
+    return 1 / (1 + np.exp(-np.clip(w[0] + ((f - centre) / scale) @ w[1:], -500, 500))), f
+
+
+def scored(docs: DataFrame, trained) -> DataFrame:
+    """doc_id, score, mean_evidence and peak_evidence of every row of docs."""
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if trained is None:
-        return (base if with_text else base.drop("text")).select("*", *[F.lit(0.0).alias(n) for n in names])
-    shared, (centre, scale, w) = trained
+        return thin.select("doc_id", *[F.lit(0.0).alias(n) for n in ("score", "mean_evidence", "peak_evidence")])
+    shared, curve = trained
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text", 1 << 20):
-                f = shared.value.features(batch.column("text"))
-                p = 1 / (1 + np.exp(-np.clip(w[0] + ((f - centre) / scale) @ w[1:], -500, 500)))
-                batch = batch if with_text else batch.drop_columns(["text"])
-                columns = [*batch.columns, pa.array(p), pa.array(f[:, 0]), pa.array(f[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
+                p, f = _scores(batch, shared.value, curve)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "score", "mean_evidence", "peak_evidence"])
 
-    schema = (base if with_text else base.drop("text")).schema
-    for n in names:
-        schema = schema.add(n, "double")
-    return base.mapInArrow(run, schema)
+    return thin.mapInArrow(run, f"doc_id long, {SCORED}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, mean_evidence, peak_evidence of every row of docs."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    found = scored(thin, train(docs, labels), with_text=False)
+    found = scored(docs, train(docs, labels))
     held = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
     return found.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mean_evidence", "peak_evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score is below one half."""
-    return scored(docs, train(docs, labels)).filter("score < 0.5").select(docs.columns)
+    """The rows of docs whose score is below one half, with all their columns."""
+    trained = train(docs, labels)
+    if trained is None:
+        return docs
+    shared, curve = trained
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole, "text", 1 << 20):
+                yield batch.filter(pa.array(_scores(batch, shared.value, curve)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
