@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every row has a size and a 64-bit hash. A source that is to give `target` of its `source_size` words gives whole passes
+Every row has a size and a hash. A source that is to give `target` of its `source_size` words gives whole passes
 of itself plus the rows whose hash lies below a threshold. The threshold comes from histograms: sizes are summed by
 source and leading hash bits, the bucket in which the running sum crosses the budget is found, and only the rows of that
 bucket are summed again by the next bits, until a bucket holds a single hash. Rows are never sorted, and a row's copies
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, stage_table
 
-#: Hash bits that one histogram resolves; six rounds cover a hash.
-ROUND_BITS = 11
-HASH_BITS = 62
+#: Hash bits that one histogram resolves; five rounds cover a hash.
+ROUND_BITS = 12
+HASH_BITS = 60
 
 
 def text_size(text: Column) -> Column:
@@ -27,8 +27,9 @@ def text_size(text: Column) -> Column:
 
 
 def row_hash(doc_id: Column, text: Column) -> Column:
-    """HASH_BITS bits, as a long of at least 0."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id, F.coalesce(text, F.lit("")), F.lit("mix")), 64 - HASH_BITS)
+    """HASH_BITS bits, as a long of at least 0: the first fifteen hex digits of SHA-1 of "id:text"."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.left(F.sha1(whole.cast("binary")), F.lit(HASH_BITS // 4)), 16, 10).cast("long")
 
 
 def water_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
