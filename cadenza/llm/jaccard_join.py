@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def could_link(s, t, i, j, percent: int):
 
 
 def _crossing(c: dict[str, np.ndarray], cuts: np.ndarray, percent: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """(blk, x, y) rows of whole groups: each probe by each member of its group, as far as the filters let them."""
+    """(x, blk, y) columns of whole groups: each probe by each member of its group, as far as the filters let them."""
     starts = np.r_[0, cuts[cuts < len(c["token"])]].astype(np.int64)
     group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(c["token"])]))
     probe = c["probe"].astype(bool)
@@ -181,21 +182,30 @@ def _crossing(c: dict[str, np.ndarray], cuts: np.ndarray, percent: int, most: in
         overlap = np.minimum(np.minimum(i, j) + 1 + np.minimum(s - i, t - j) - 1, small)
         ok = (100 * small >= percent * np.maximum(s, t)) & ((100 + percent) * overlap >= percent * (s + t))
         if ok.any():
-            yield np.stack([c["blk"][b[ok]], c["node"][a[ok]], c["node"][b[ok]]])
+            yield np.stack([c["node"][a[ok]], c["blk"][b[ok]], c["node"][b[ok]]])
         lo = hi
 
 
-def _packed(found: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows (blk, x, ys) of (blk, x, y) columns."""
-    blk, x, y = np.unique(np.concatenate(found, axis=1), axis=1)
-    new = np.r_[True, (blk[1:] != blk[:-1]) | (x[1:] != x[:-1])]
-    at = np.flatnonzero(new)
-    ys = pa.ListArray.from_arrays(pa.array(np.r_[at, len(y)].astype(np.int32)), pa.array(y))
-    return pa.RecordBatch.from_arrays([pa.array(blk[at]), pa.array(x[at]), ys], ["blk", "x", "ys"])
+def _unique(found: list[np.ndarray]) -> np.ndarray:
+    """The distinct columns, ascending."""
+    rows = np.concatenate(found, axis=1)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]] if rows.shape[1] else rows
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[at, len(values)].astype(np.int32)), pa.array(values))
+
+
+def _by_class(found: np.ndarray) -> pa.RecordBatch:
+    """Rows (x, blks, ys) of distinct (x, blk, y) columns."""
+    x, blk, y = found
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return pa.RecordBatch.from_arrays([pa.array(x[at]), _lists(blk, at), _lists(y, at)], ["x", "blks", "ys"])
 
 
 def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, slice, probe), candidates (blk, x, ys): x of another component than y's block."""
+    """From rows sorted by (token, slice, probe), candidates (x, blks, ys): x of another component than each y in its blk."""
     names = ("token", "slice", "probe", "node", "comp", "blk", "big", "size", "place")
     held: dict[str, np.ndarray] = {n: np.zeros(0, np.int64) for n in names}
     found: list[np.ndarray] = []
@@ -211,14 +221,27 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         if sum(f.shape[1] for f in found) > 1 << 20:
             found = [_unique(found)]
             if found[0].shape[1] > 1 << 19:
-                yield _packed(found)
+                yield _by_class(found[0])
                 found = []
     if found:
-        yield _packed(found)
+        yield _by_class(_unique(found))
 
 
-def _unique(found: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(found, axis=1), axis=1)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From _cross()'s rows sorted by x, distinct rows (blk, x, ys)."""
+    held = np.zeros((3, 0), dtype=np.int64)
+    for batch in _with_end(batches, None):
+        if batch is not None:
+            x = np.repeat(batch.column("x").to_numpy(), pc.list_value_length(batch.column("ys")).to_numpy())
+            flat = (batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("blks", "ys"))
+            held = np.concatenate([held, np.stack([x, *flat])], axis=1)
+        # Rows of the last x may go on in the next batch.
+        stop = held.shape[1] if batch is None else int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
+        if stop:
+            x, blk, y = _unique([held[:, :stop]])
+            held = held[:, stop:]
+            at = np.flatnonzero(np.r_[True, (blk[1:] != blk[:-1]) | (x[1:] != x[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(blk[at]), pa.array(x[at]), _lists(y, at)], ["blk", "x", "ys"])
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -265,11 +288,9 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
 
 
 def verified(candidates: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among candidates (blk, x, ys), with members (blk, node, comp) and texts (node, text)."""
-    merged = candidates.groupBy("blk", "x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
-    merged = stage_table(merged, "jaccard-candidates")
-    salts = merged.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("salts"))
-    xs = merged.join(salts, "blk").select("blk", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("is_x"), F.col("x").alias("node"), F.lit(None).cast("long").alias("comp"), "ys")
+    """Links (a, b) among candidates (blk, x, ys), a row for each blk and x, with members (blk, node, comp) and texts (node, text)."""
+    salts = candidates.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("salts"))
+    xs = candidates.join(salts, "blk").select("blk", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("is_x"), F.col("x").alias("node"), F.lit(None).cast("long").alias("comp"), "ys")
     none = F.lit(None).cast("array<long>")
     own = members.join(salts, "blk").select("blk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_x"), "node", "comp", none.alias("ys"))
     rows = xs.unionByName(own).join(texts, "node").select("blk", "salt", "is_x", "node", "comp", "ys", "text")
@@ -335,7 +356,9 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     own = rows.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).withColumn("probe", F.lit(False)).select(cols)
     outside = rows.filter(~F.col("big")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("probe", F.lit(True)).select(cols)
     crossing = own.unionByName(outside).repartition("token", "slice").sortWithinPartitions("token", "slice", "probe")
-    candidates = stage_table(crossing.mapInArrow(lambda batches: _cross(batches, percent), "blk long, x long, ys array<long>"), "jaccard-cross")
+    crossed = crossing.mapInArrow(lambda batches: _cross(batches, percent), "x long, blks array<long>, ys array<long>")
+    merged = crossed.repartition("x").sortWithinPartitions("x").mapInArrow(_merge, "blk long, x long, ys array<long>")
+    candidates = stage_table(merged, "jaccard-cross")
     more = verified(candidates, nodes, sources, k, percent)
     labels = components(found.unionByName(more))
 
