@@ -11,6 +11,7 @@ from . import lexicon
 from .functions import media as m
 from .functions import text as t
 from .operators import boundaries, candidates, captions, ranking, selection, transcript, windows
+from .plans import pipelines
 from .sources import readers, tables
 from .streaming import jobs
 
@@ -549,6 +550,37 @@ def progress_rollup(spark, sf_dir):
     return r.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
+# ---------------------------------------------------------------- whole flows
+
+
+def _answers(segs: DataFrame) -> DataFrame:
+    """A made-up model's answers: two moments for each token window, the second one wrapped and damaged."""
+    w = windows.token_windows(segs, 300).withColumn("a", F.col("start_ms") / 1000 + 3).withColumn("b", F.col("end_ms") / 1000 - 2)
+    one = F.format_string('{"start": %.1f, "end": %.1f, "hook": "moment %d of %d", "category": "story", "score": %d},', F.col("a"), F.col("a") + 12, F.col("window"), F.col("transcript_id"), (F.col("window") * 37 + F.col("transcript_id")) % 100)
+    two = F.format_string('{start: "%.1f s", end_time: %.1f, "hook": "second thought about point %d", "score": 55,}', F.col("b") - 9, F.col("b"), F.col("window") * 7)
+    return w.select("transcript_id", F.col("window").alias("window_idx"), F.concat(F.lit("Sure! ```json\n["), one, two, F.lit("]\n```")).alias("text"))
+
+
+@query()
+def discover_moments(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    moments, _ = pipelines.discover(segs, tables.words(segs), _answers(segs))
+    return moments.select("transcript_id", "ord", "start_ms", "end_ms", "hook", "category", "normalized_score", "boundary_hint", "final_score")
+
+
+@query()
+def generate_clips(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    w = tables.words(segs)
+    moments, _ = pipelines.discover(segs, w, _answers(segs))
+    return pipelines.generate_clips(segs, w, media_of(segs), moments)
+
+
+@query()
+def discovery_prompts(spark, sf_dir):
+    return pipelines.prompts(tables.segments(spark, sf_dir), pipelines.Settings(window_tokens=300))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
