@@ -94,13 +94,18 @@ def next_documents(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    every = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins read the texts by doc_id; as they ask for the same rows, these are dealt out once.
+    base = every.filter(F.col("doc_id").isNotNull())
     follows, repeated = next_documents(base)
     heads = base.join(follows.select("next_id", F.col("doc_id").alias("before"), F.floor(F.col("n_chars") / 4).cast("int").alias("q")), F.col("doc_id") == F.col("next_id"))
     heads = heads.select("before", sketch(F.col("text")).alias("next_sketch"), F.left("text", F.col("q")).alias("head"))
     if repeated:
         heads = heads.groupBy("before").agg(F.min(F.struct("next_sketch", "head")).alias("least")).select("before", "least.*")
-    joined = base.join(heads, F.col("doc_id") == F.col("before"), "left").withColumn("n_chars", F.char_length("text").cast("long"))
+    joined = base.join(heads, F.col("doc_id") == F.col("before"), "left").select("doc_id", "text", "head", "next_sketch")
+    apart = every.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
+    joined = joined.unionByName(apart).withColumn("n_chars", F.char_length("text").cast("long"))
     q = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.left("text", (F.col("n_chars") - q).cast("int")), F.coalesce(F.left("head", q), F.lit("")))
     marked = joined.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(edited).alias("other"), "next_sketch")
