@@ -163,12 +163,20 @@ def pad_into_silence(spans: DataFrame, words: DataFrame, media: DataFrame, max_p
     """spans (transcript_id, ord, start_ms, end_ms) with padded_start_ms and padded_end_ms: up to half of the gap to the
     neighbouring word, 80 ms at least, max_pad_ms at most; 80 ms where there is no gap; within [0, media_ms]."""
     most = F.lit(max_pad_ms) if isinstance(max_pad_ms, int) else max_pad_ms
-    w = words.select("transcript_id", F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"))
-    met = spans.join(w, "transcript_id", "left").groupBy(*[spans[c] for c in spans.columns]).agg(
-        F.max(F.when(F.col("w_end") <= F.col("start_ms"), F.col("w_end"))).alias("before"),
-        F.min(F.when(F.col("w_start") >= F.col("end_ms"), F.col("w_start"))).alias("after"),
-    )
-    met = met.join(media, "transcript_id")
+    # Words and spans in one order of time: a running maximum of word ends, and backwards a running minimum of starts.
+    held = spans.select("transcript_id", F.struct(*spans.columns).alias("span"))
+    none = F.lit(None).cast(held.schema["span"].dataType)
+
+    def neighbour(rows: DataFrame, time: str, word_time: str, best: Column, order: Column, name: str) -> DataFrame:
+        w = words.select("transcript_id", F.col(word_time).alias("t"), F.lit(0).alias("k"), none.alias("span"), F.col(word_time).alias("v"))
+        w = w.select("*", *[F.lit(None).cast("long").alias(c) for c in rows.columns if c not in ("transcript_id", "span")])
+        s = rows.select("*", F.col(f"span.{time}").alias("t"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("v"))
+        window = Window.partitionBy("transcript_id").orderBy(order, "k").rowsBetween(Window.unboundedPreceding, 0)
+        return w.unionByName(s).withColumn(name, best.over(window)).filter("k = 1").drop("t", "k", "v")
+
+    met = neighbour(held, "start_ms", "end_ms", F.max("v"), F.col("t").asc(), "before")
+    met = neighbour(met, "end_ms", "start_ms", F.min("v"), F.col("t").desc(), "after").join(media, "transcript_id")
+    met = met.select("before", "after", "media_ms", "span.*")
 
     def pad(gap: Column) -> Column:
         return F.when(gap <= 0, F.lit(80.0)).otherwise(F.least(most, F.greatest(F.lit(80.0), gap / 2)))
