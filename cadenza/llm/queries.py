@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, packing, secrets, topk, toxicity, url_filter, warc
+from . import fingerprints, jaccard_join, license_texts, licenses, mixing, packing, secrets, topk, toxicity, url_filter, warc
 
 #: The rules of the URL query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -23,6 +23,10 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_kneser_ney_toxicity, op2_syncmer_fingerprints, op4_exact_topk, op5_warc_salvage, op6_url_filter, op7_source_mix, op8_secret_scan, op9_jaccard_join, op10_sequence_packing, pipeline)}
+    return {f.__name__: f for f in (op1_kneser_ney_toxicity, op2_syncmer_fingerprints, op3_license_scan, op4_exact_topk, op5_warc_salvage, op6_url_filter, op7_source_mix, op8_secret_scan, op9_jaccard_join, op10_sequence_packing, pipeline)}
 
 
 OP6_SQL = r"""
@@ -86,6 +90,28 @@ FROM p LEFT JOIN fits f USING (page_id)
 """
 
 
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+    out = out.replace("'\n', 'g'", "chr(10), 'g'")
+    for variant, kept in licenses.SPELLINGS:
+        out = f"replace({out}, '{variant}', '{kept}')"
+    return f"trim(regexp_replace({out}, '{licenses.NOT_WORDS}', ' ', 'g'))"
+
+
+def _known_sql(texts) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(texts))
+    return f"(SELECT sha256({_canonical_sql('t')}) AS digest, arg_min(name, n) AS name FROM (VALUES {rows}) AS x(n, name, t) GROUP BY 1)"
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, text, sha256({_canonical_sql("text")}) AS digest FROM documents),
+k AS {_known_sql(license_texts.LICENSES)}, n AS {_known_sql(license_texts.NOTICES)},
+l AS (SELECT DISTINCT doc_id, sha256({_canonical_sql("line")}) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(lower(line), 'licen[cs]e|licensed|spdx')),
+f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM l JOIN n ON l.line = n.digest GROUP BY 1)
+SELECT d.doc_id, d.digest, k.name AS license, coalesce(f.notices, '') AS notices FROM d LEFT JOIN k USING (digest) LEFT JOIN f USING (doc_id)
+"""
+
 OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
@@ -138,4 +164,4 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS compon
 
 
 def oracle_sql():
-    return {"op4_exact_topk": OP4_SQL, "op5_warc_salvage": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_source_mix": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op3_license_scan": OP3_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_salvage": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_source_mix": OP7_SQL, "op9_jaccard_join": OP9_SQL}
