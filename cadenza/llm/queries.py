@@ -92,7 +92,6 @@ FROM p LEFT JOIN fits f USING (page_id)
 
 def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
-    out = out.replace("'\n', 'g'", "chr(10), 'g'")
     for variant, kept in licenses.SPELLINGS:
         out = f"replace({out}, '{variant}', '{kept}')"
     return f"trim(regexp_replace({out}, '{licenses.NOT_WORDS}', ' ', 'g'))"

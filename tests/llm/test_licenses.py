@@ -10,7 +10,7 @@ def test_whole_texts_and_notices(spark):
     mit, isc = LICENSES[0][1], LICENSES[1][1]
     rows = [
         (1, mit),
-        (2, "Copyright (c) 2020 Ann Other\n  (C) 2021 Someone\n" + mit.upper().replace(" ", "\n * ")),
+        (2, "Copyright (c) 2020 Ann Other\n  (C) 2021 Someone\n" + mit.upper().replace(", ", ",\n *  ")),
         (3, mit.replace("sublicense", "sub-licence").replace("License", "Licence")),
         (4, mit + " extra"),
         (5, isc + "\nAll rights reserved."),
