@@ -94,12 +94,16 @@ def drop_similar(candidates: DataFrame, threshold: float = SIMILAR, text: str =
     return per.select("transcript_id", F.inline(greedy(F.col("items"), text_clash(threshold)))).select("transcript_id", "ord")
 
 
-def most_alike(vectors: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
+def most_alike(vectors: DataFrame, queries: DataFrame, most: int = 3, blocks: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, similarity): for each of a stated set of query vectors its most alike other vectors.
 
-    vectors and queries: (vec_id, embedding). Each query meets all vectors, in blocks that Spark deals out."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    met = vectors.join(q, F.col("vec_id") != F.col("query_id"))
-    scored = met.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
+    vectors and queries: (vec_id, embedding). Vectors lie in blocks; each query is sent to every block and meets its
+    vectors there, keeps the best of the block, and then the best of those."""
+    v = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    met = v.join(q, "block").filter("vec_id <> query_id")
+    scored = met.select("query_id", "block", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    for keys in (("query_id", "block"), ("query_id",)):
+        order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "vec_id")
+        scored = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
+    return scored.select("query_id", "rank", "vec_id", "similarity")
