@@ -120,3 +120,18 @@ def test_lists(spark):
     assert order("score") == [3, 1, 2] and order("boundary") == [2, 3, 1] and order("duration") == [2, 3, 1] and order("start") == [2, 1, 3] and order("?") == [1, 2, 3]
     assert readers.replace_by_project(clips, clips.filter("clip_id = 1")).count() == 1
     assert readers.synthetic_transcripts(spark, 2, 10_000).count() == 50
+
+
+def test_progress_rollup_streams_like_a_batch(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.progress_rollup(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("rollup_out").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {tuple(r) for r in jobs.progress_rollup(events).collect()}
+    assert {tuple(r) for r in spark.table("rollup_out").collect()} == want
+
+
+def test_encoder_progress_lines(spark):
+    lines = spark.createDataFrame([(1, 1, "frame=3"), (1, 2, "out_time_us=5000000"), (1, 3, "out_time_us=99000000"), (1, 4, "out_time_us=N/A")], "job_id long, seq long, value string")
+    assert [r.progress for r in jobs.progress_lines(lines, F.lit(10.0)).orderBy("seq").collect()] == [0.5, 1.0]
