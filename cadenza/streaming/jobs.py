@@ -12,7 +12,8 @@ TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """x within 0 and 1; null stays null, which least() alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def latest_state(events: DataFrame) -> DataFrame:
