@@ -122,7 +122,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token, those whose token stands in another row, or is hot."""
     held = None
     none = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["token", "node", "at"])
-    for batch in (*batches, none) if isinstance(batches, (list, tuple)) else _with_end(batches, none):
+    for batch in _with_end(batches, none):
         token, node, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         last = not len(token)
         if held is not None:
