@@ -5,6 +5,10 @@ base64 and hex and dotted tokens are candidates that are reported only when thei
 key: DER whose nested lengths add up, key blobs of length-prefixed fields that open with a known algorithm, the frame of
 an OpenSSH private key, or a signed token whose header and payload are JSON objects, the header with an algorithm.
 
+Base64 may be wrapped: lines of at least LEAST_LINE characters, the last of any length, between line ends that may be
+written out as \\n and may be followed by an indent. A key may start at any of the lines, and ends at the line end that
+its own lengths name. A token may start at any ey of its header, as other letters may stand directly before it.
+
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; equal rows are scanned each;
 candidates that don't decode, or whose lengths don't add up, are not reported; whole texts are scanned, of any length.
 """
@@ -16,7 +20,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +37,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_SIGN = re.compile(r"""(?:word|passwd|secret|token|key)["']?\x20*[:=]""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
+LEAST_LINE, LEAST_KEY = 20, 40
+_BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
+#: A run of base64 begins behind another character, or behind an escape such as a written \n, whose letter isn't base64.
+_EDGE = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/\\])|(?<=\\)(?![nrt]))"
+_BASE64 = re.compile(rf"{_EDGE}[A-Za-z0-9+/]{{{LEAST_LINE},}}+(?:{_BREAK.pattern}[A-Za-z0-9+/]{{{LEAST_LINE},}}+)*+(?:{_BREAK.pattern}[A-Za-z0-9+/]++)?={{0,2}}")
+#: How a SEQUENCE, a length-prefixed algorithm and an OpenSSH frame open in base64.
+_OPENS = ("M", "AAAA", "b3BlbnNzaC1rZXktdjEA")
 _HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
-_TOKEN = re.compile(r"ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{4,}+)\.[A-Za-z0-9_-]*+")
 _KEY_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _OPENSSH = b"openssh-key-v1\x00"
 _LEAST = {"assign": 6, "access": 20}
@@ -115,21 +127,86 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _decoded(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _ends(run: str) -> Iterator[tuple[str, int]]:
+    """(kind, bytes) that a key at the start of unpadded base64 may have by its own lengths, the most first."""
+    head = _decoded(run[:32])
+    if head[0] == 0x30:
+        more = head[1] & 0x7F if head[1] & 0x80 else 0
+        if more <= 4:
+            yield "der", 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+        return
+    framed = head.startswith(_OPENSSH)
+    if not framed and head[4 : 4 + int.from_bytes(head[:4], "big")] not in _KEY_NAMES:
+        return
+    data, found = _decoded(run), []
+    at, fields, most = len(_OPENSSH) if framed else 0, 0, 3 if framed else 64
+    while at + 4 <= len(data) and fields < most:
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        fields += 1
+        if framed and fields == 3:  # the number of keys, the public ones, all private ones in one field
+            most += int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+        if at <= len(data) and (fields == most if framed else fields >= 2):
+            found.append(at)
+    yield from (("keyblob", end) for end in reversed(found))
+    if framed:
+        yield "keyblob", len(data)
+
+
+def _wrapped_keys(run: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in a run of base64, which begin and end with its lines."""
+    breaks = [m.span() for m in _BREAK.finditer(run)]
+    starts, stops = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(run)]
+    joined = "".join(run[a:b] for a, b in zip(starts, stops, strict=True)).rstrip("=")
+    pads = len(run) - len(run.rstrip("="))
+    marks = [0, *accumulate(b - a for a, b in zip(starts, stops, strict=True))]
+    marks[-1] = len(joined)
+    i = 0
+    while i < len(starts) and marks[i] + LEAST_KEY <= len(joined):
+        after = i + 1
+        if run.startswith(_OPENS, starts[i]):
+            for kind, size in _ends(joined[marks[i] :]):
+                chars = -(-size * 8 // 6)
+                last = bisect_left(marks, marks[i] + chars)
+                if chars < LEAST_KEY or last == len(marks) or marks[last] != marks[i] + chars:
+                    continue
+                if last == len(starts) and pads not in (0, -chars % 4):
+                    continue
+                if _key_kind(_decoded(joined[marks[i] : marks[last]])) == kind:
+                    yield kind, starts[i], stops[last - 1]
+                    after = last
+                    break
+        i = after
+
+
+def _token_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    at = 0
+    while m := _TOKEN.search(text, at):
+        at = m.end(1) + 1
+        start = text.find("ey", m.start(), m.end(1))
+        while 0 <= start <= m.end(1) - 10:
+            if is_signed_token(text[start : m.end()]):
+                yield "token", start, m.end()
+                at = m.end()
+                break
+            start = text.find("ey", start + 1, m.end(1))
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     for m in _BASE64.finditer(text):
-        run = re.sub(r"\s", "", m[0])
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4) if "=" not in run else run, validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        if kind := _key_kind(data):
-            found.append((kind, *m.span()))
+        if m.end() - m.start() >= LEAST_KEY:
+            found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _wrapped_keys(m[0])]
     for m in _HEX_ANY.finditer(text):
         if kind := _key_kind(bytes.fromhex(m[0])):
             found.append((kind, *m.span()))
-    if ".ey" in text or "ey" in text and "." in text:
-        found += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+    if "ey" in text and "." in text:
+        found += _token_spans(text)
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -51,3 +51,41 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert out.columns == docs.columns
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "a [SECRET] b", 12), (2, None, None), (3, "clean", 5)}
     assert secrets.span_report(secrets.scan(docs.limit(0))).collect() == []
+
+
+def long_der_key():
+    integer = lambda n: b"\x02\x82" + n.to_bytes(2, "big") + b"\x11" * n
+    body = b"\x02\x01\x00" + b"".join(map(integer, (257, 256, 256, 129, 129)))
+    return b"\x30\x82" + len(body).to_bytes(2, "big") + body
+
+
+def openssh_key(private=301):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    public = field(b"ssh-ed25519") + field(b"k" * 32)
+    return b"openssh-key-v1\x00" + field(b"none") + field(b"none") + field(b"") + b"\x00\x00\x00\x01" + field(public) + field(b"p" * private)
+
+
+def wrapped(data, width, end):
+    run = base64.b64encode(data).decode()
+    return end.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+def test_wrapped_keys():
+    for kind, data in (("der", long_der_key()), ("der", b"\x30\x82\x04\x00" + long_der_key()[4:]), ("keyblob", openssh_key()), ("keyblob", openssh_key(302)), ("keyblob", openssh_key(303))):
+        whole = data[:4] == long_der_key()[:4] or kind == "keyblob"
+        for width in (64, 70, 76):
+            for end in ("\n", "\r\n", "\n    ", "\\n"):
+                key = wrapped(data, width, end)
+                for before, after in (("", ""), (f"-----BEGIN KEY-----{end}", f"{end}-----END KEY-----"), (f"note {'Q' * 64}{end}", ""), ("", end if "=" in key else f"{end}end of it")):
+                    want = [(kind, len(before), len(before) + len(key))] if whole else []
+                    assert secrets.confirmed_spans(before + key + after) == want, (kind, width, end, before, after)
+    text = f"a\n{wrapped(long_der_key(), 64, chr(10))}\nb"
+    assert secrets.redacted(text) == "a\n[SECRET]\nb"
+    assert secrets.confirmed_spans("\n".join(["A" * 76] * 20_000)) == []
+
+
+def test_tokens_behind_other_letters():
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'x'})}.c2ln"
+    for before in ("key_", "monkey-", "x.keyvalues.", "they_obeyed.", "", "a=", "eyeyeyeyeyey"):
+        assert secrets.confirmed_spans(f"{before}{token} b") == [("token", len(before), len(before + token))], before
