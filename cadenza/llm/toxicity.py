@@ -7,8 +7,9 @@ its log-likelihoods per byte, over the whole text and over each of its PEAKS mos
 would vanish in the mean alone). A logistic curve, fitted on labelled rows that the models haven't seen, maps them to a
 score.
 
-The models learn from a bounded sample: at most MOST_ROWS labelled rows of each class, those of least hash, whole texts,
-and keep at most MOST_GRAMS n-grams, the most frequent. Every text is scored throughout.
+The models learn from a bounded sample: at most MOST_ROWS labelled rows of each class, those of least hash, whole texts.
+Every n-gram of the sample counts, also those seen once, so the size of the models follows the sample. Every text is
+scored throughout.
 
 Defined cases: a null text is empty; an empty text has a score as any other; labels that are null or without a document
 aren't learned from, of several labels of a document the highest counts; without both classes among the learned labels
@@ -35,7 +36,6 @@ PRIOR = 100.0
 PEAKS = 4
 LEAST_WORD = 8
 MOST_ROWS = 3_000
-MOST_GRAMS = 1 << 19
 FOLDS = 4
 SCORED = "score double, mean_evidence double, peak_evidence double"
 
@@ -236,7 +236,7 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_grams: int = MOST_GRAMS):
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS):
     """(Model, curve) from labels (doc_id, toxic) of the rows of docs that may be learned, or None without two classes."""
     spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
@@ -253,15 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_g
         return None
     counted = sample.filter("fold > 0").select("text", "toxic").mapInArrow(_count, "gram long, toxic long, plain long")
     counted = stage_table(counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "toxicity-grams")
-    # The least count of which no more than most_grams n-grams have as much; counts above 1,000 all stay together.
-    sizes = counted.groupBy(F.least(F.col("toxic") + F.col("plain"), F.lit(1000)).alias("c")).count().collect()
-    held, least = 0, 1001
-    for r in sorted(sizes, key=lambda r: -r["c"]):
-        held += r["count"]
-        if held > most_grams and least <= 1000:
-            break
-        least = r["c"]
-    grams = counted.filter(F.col("toxic") + F.col("plain") >= least).toArrow()
+    # All of them: those seen once are most of what the lower orders count.
+    grams = counted.toArrow()
     model = Model(grams["gram"].to_numpy().view(np.uint64), np.c_[grams["toxic"].to_numpy(), grams["plain"].to_numpy()])
     shared = spark.sparkContext.broadcast(model)
 

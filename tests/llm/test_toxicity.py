@@ -1,5 +1,9 @@
 """Toxicity: held-out accuracy on the small tables, edge cases."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cadenza.llm import toxicity
@@ -31,3 +35,20 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id = 901").count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.filter("toxic = 0")).collect()} == {0.0}
     assert toxicity.toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_rare_grams_count(spark):
+    letters = random.Random(7)
+    text = lambda i: "".join(letters.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000)) + (" wretchling" if i == 41 else "")
+    docs = spark.createDataFrame([(i, text(i)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)[0].value
+    learned = labels.filter(toxicity.learnable(F.col("doc_id"))).filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(toxicity.FOLDS)) > 0)
+    rows = docs.join(learned, "doc_id").select("text", "toxic").collect()
+    codes, sizes = toxicity.windows(pa.array([r.text for r in rows]))
+    toxic = np.repeat([r.toxic for r in rows], sizes)
+    keys, at = np.unique(codes, return_inverse=True)
+    assert len(keys) > 600_000
+    whole = toxicity.Model(keys, np.c_[np.bincount(at, toxic), np.bincount(at, 1 - toxic)])
+    assert model.grams[toxicity.ORDER].get(keys)[1].all()
+    assert np.allclose(model.evidence(keys), whole.evidence(keys), atol=1e-6)
