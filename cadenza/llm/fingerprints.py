@@ -2,13 +2,14 @@
 
 A text is its words. Every run of K words is a k-mer; its inner substrings are the runs of two words in it, by hash. It
 is an anchor when the least of them stands first or last: a property of the k-mer alone, so an edit moves no anchor that
-it doesn't touch. A fingerprint is the SKETCH anchors of largest hash, in text order; the likeness of two is the share
-of common anchors among the SKETCH largest of both together, an estimate of the Jaccard likeness of all anchors, and
-exact where neither has more.
+it doesn't touch. A fingerprint is all anchors in text order, each with the number of the word it starts at. Two texts
+match by places: an anchor of one matches where the other has the same anchor, followed by the same next anchor at the
+same distance in words, wherever that stands. The likeness is the Jaccard likeness of these matches over all anchors;
+a passage that a text repeats counts once.
 
 Defined cases: a null text is empty; a text without words has an empty fingerprint, like only to another such; fewer
 than K words are one anchor, the whole sequence; a document whose doc_id is null is in no order and has no next; rows
-that share a doc_id have the same next document, and where that id is repeated it is the row of least fingerprint, then
+that share a doc_id have the same next document, and where that id is repeated it is the row of least links, then
 text; the last document's next is the first, so a lone document is its own next.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 K = 5
-SKETCH = 128
 ROWS_PER_RANGE = 500_000
+ANCHORS = "array<struct<hash:bigint,place:int>>"
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -33,7 +34,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """The distinct anchors of a text, in order of first place."""
+    """All anchors of a text as (hash, place), in text order."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANK))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
@@ -41,41 +42,30 @@ def anchors(text: Column) -> Column:
         def chosen(x: Column, i: Column) -> Column:
             last = F.get(g, i + (K - 2))
             inner = F.least(F.get(g, i + 1), F.get(g, i + 2))
-            return F.when((i <= F.size(g) - K) & (F.least(x, last) <= inner), F.xxhash64(x, F.get(g, i + 2), last))
+            return F.when((i <= F.size(g) - K) & (F.least(x, last) <= inner), F.struct(F.xxhash64(x, F.get(g, i + 2), last).alias("hash"), i.alias("place")))
 
         return chosen
 
     def of_hashes(h: Column) -> Column:
         pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
-        found = let(pairs, lambda g: F.array_compact(F.array_distinct(F.transform(g, edge(g)))))
-        return F.when(F.size(h) >= K, found).when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(h)))
+        found = let(pairs, lambda g: F.array_compact(F.transform(g, edge(g))))
+        return F.when(F.size(h) >= K, found).when(F.size(h) == 0, F.array().cast(ANCHORS)).otherwise(F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("place"))))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
-def sketch(text: Column) -> Column:
-    """The anchors of largest hash, at most SKETCH, in text order."""
+def links(found: Column) -> Column:
+    """The distinct links of anchors(): each anchor with the next one and its distance, the last with none."""
+    return F.array_distinct(F.transform(found, lambda x, i: F.xxhash64(x["hash"], F.get(found, i + 1)["hash"], F.get(found, i + 1)["place"] - x["place"])))
 
-    def largest(a: Column) -> Column:
-        least = F.element_at(F.sort_array(a, False), SKETCH)
-        return F.when(F.size(a) <= SKETCH, a).otherwise(let(least, lambda t: F.filter(a, lambda x: x >= t)))
 
-    return let(anchors(text), largest)
-
-
-def written(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+def written(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda x: F.concat(F.lpad(F.lower(F.hex(x["hash"])), 16, "0"), F.lit(":"), x["place"].cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; two empty fingerprints are alike."""
-
-    def of_both(both: Column) -> Column:
-        least = F.element_at(both, F.size(both))
-        shared = let(least, lambda t: F.size(F.filter(F.array_intersect(a, b), lambda x: x >= t)))
-        return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
-
-    return let(F.slice(F.sort_array(F.array_union(a, b), False), 1, SKETCH), of_both)
+    """0 to 1, of links(); two empty ones are alike."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
 def next_documents(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -100,21 +90,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = every.filter(F.col("doc_id").isNotNull())
     follows, repeated = next_documents(base)
     heads = base.join(follows.select("next_id", F.col("doc_id").alias("before"), F.floor(F.col("n_chars") / 4).cast("int").alias("q")), F.col("doc_id") == F.col("next_id"))
-    heads = heads.select("before", sketch(F.col("text")).alias("next_sketch"), F.left("text", F.col("q")).alias("head"))
+    heads = heads.select("before", let(anchors(F.col("text")), links).alias("next_links"), F.left("text", F.col("q")).alias("head"))
     if repeated:
-        heads = heads.groupBy("before").agg(F.min(F.struct("next_sketch", "head")).alias("least")).select("before", "least.*")
-    joined = base.join(heads, F.col("doc_id") == F.col("before"), "left").select("doc_id", "text", "head", "next_sketch")
-    apart = every.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
+        heads = heads.groupBy("before").agg(F.min(F.struct("next_links", "head")).alias("least")).select("before", "least.*")
+    joined = base.join(heads, F.col("doc_id") == F.col("before"), "left").select("doc_id", "text", "head", "next_links")
+    apart = every.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("next_links"))
     joined = joined.unionByName(apart).withColumn("n_chars", F.char_length("text").cast("long"))
     q = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.left("text", (F.col("n_chars") - q).cast("int")), F.coalesce(F.left("head", q), F.lit("")))
-    marked = joined.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(edited).alias("other"), "next_sketch")
+    marked = joined.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), anchors(F.col("text")).alias("own"), anchors(edited).alias("other"), "next_links")
+    marked = marked.withColumns({"own_links": links(F.col("own")), "other_links": links(F.col("other"))})
     return marked.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written(F.col("own")).alias("fingerprint"),
         written(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        F.when(F.col("next_sketch").isNull(), F.lit(0.0)).otherwise(likeness(F.col("own"), F.col("next_sketch"))).alias("near_next"),
+        likeness(F.col("own_links"), F.col("other_links")).alias("near_edited"),
+        F.when(F.col("next_links").isNull(), F.lit(0.0)).otherwise(likeness(F.col("own_links"), F.col("next_links"))).alias("near_next"),
     )

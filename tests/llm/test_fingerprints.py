@@ -45,3 +45,19 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b c", None, None, None)], SCHEMA)
     plan = fingerprints(docs)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_long_texts_keep_all_anchors_and_places(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(12_000)]
+    changed = words[:6_000] + [f"v{i}" for i in range(40)] + words[6_040:]
+    lone = [f"u{i}" for i in range(6_000)] + words[3_000:3_060] + [f"t{i}" for i in range(6_000)]
+    moved = [w for i in range(600) for w in words[20 * (599 - i) : 20 * (600 - i)]]
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, None) for i, t in enumerate((words, changed, lone, words, moved))], SCHEMA)
+    got = {r.doc_id: r for r in fingerprints(docs).collect()}
+    places = [int(a.split(":")[1]) for a in got[0].fingerprint.split(",")]
+    assert places == sorted(set(places)) and len(places) > 4_000 and places[-1] > 11_900
+    assert got[0].fingerprint == got[3].fingerprint
+    assert 0.98 < got[0].near_next < 1  # a paragraph of 12,000 words
+    assert 0 < got[2].near_next < 0.02  # a shared passage of 60
+    assert 0.5 < got[3].near_next < 0.95  # passages in another order
