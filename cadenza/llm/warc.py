@@ -7,6 +7,10 @@ byte is zero below 16 MiB; behind a larger one stands an empty member, which end
 Reader: at each place it expects a gzip member or a version line. A member must decompress with the right checksum, a
 record must have its length, its closing blank lines and its digests. Where a check fails, the reader searches for the
 next place at which a member or version line is valid, goes on there, and logs the bytes between as a quarantined gap.
+Within a member's content it searches for version lines likewise; such a gap has the member's place, its decompressed
+bytes, and where it begins in the content as part of its reason. Of a cut or damaged member the sound records before the
+damage count too (of a cut one those with more behind them, of a damaged one those with a digest), and its gap begins
+behind the last of them.
 
 Of records with equal payloads of at least `least_bytes` bytes the one of largest page_id is the response and the others
 are revisits of it. Defined cases: a null html is an empty payload; rows that share page_id and payload are alike,
@@ -37,6 +41,7 @@ RECORD = "page_id long, target_uri string, record_type string, payload_digest st
 READ = f"archive string, at long, gap_bytes long, reason string, {RECORD}"
 _PAGE = re.compile(r"<urn:x-page:(-?\d+)>")
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
+_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
@@ -120,14 +125,61 @@ def parsed_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | s
     return headers, block, end + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """(content, end) of the gzip member at a place, or what is wrong with it."""
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(content, end, what is wrong with it) of the gzip member at a place. Of a wrong one the content is what decompresses."""
     inflate = zlib.decompressobj(31)
     try:
         content = inflate.decompress(memoryview(data)[at:])
+        return (content, len(data) - len(inflate.unused_data), "") if inflate.eof else (content, len(data), "cut member")
     except zlib.error as e:
-        return f"bad member: {e}"
-    return (content, len(data) - len(inflate.unused_data)) if inflate.eof else "cut member"
+        wrong = f"bad member: {e}"
+    return b"".join(part for part, _ in _inflated(data, at)), len(data), wrong
+
+
+def _inflated(data: bytes, at: int, most: int | None = None) -> Iterator[tuple[bytes, int]]:
+    """(part of the content, place up to which it was read) until an error, or until there are `most` bytes; what stands
+    around either is read byte by byte."""
+    inflate, done, step = zlib.decompressobj(31), 0, 1 << 12
+    while at < len(data) and not inflate.eof and (most is None or done < most):
+        before = inflate.copy()
+        try:
+            part = inflate.decompress(memoryview(data)[at : at + step])
+        except zlib.error:
+            part = None
+        if step > 1 and (part is None or most is not None and done + len(part) >= most):
+            inflate, step = before, 1
+            continue
+        if part is None:
+            return
+        at += step
+        done += len(part)
+        yield part, at
+
+
+def _within(content: bytes, wrong: str) -> tuple[list[tuple[int, tuple[dict[str, str], bytes, int] | str, int]], int]:
+    """((start, record or what is wrong, bytes) throughout a member's content, end of the last record). wrong: what is
+    wrong with the member; of a cut one a record counts when more stands behind it, of a bad one when it has a digest."""
+    items, at, bad, why, last = [], 0, None, "", 0
+    while at < len(content):
+        record = parsed_record(content, at)
+        if not isinstance(record, str) and wrong == "cut member" and record[2] == len(content):
+            record = wrong
+        if not isinstance(record, str) and wrong.startswith("bad member") and not {"warc-block-digest", "warc-payload-digest"} & record[0].keys():
+            record = "no digest"
+        if isinstance(record, str):
+            if bad is None:
+                bad, why = at, record
+            later = _VERSION_LINE.search(content, at + 1)
+            at = later.start() if later else len(content)
+            continue
+        if bad is not None:
+            items.append((bad, why, at - bad))
+            bad = None
+        items.append((at, record, record[2] - at))
+        at = last = record[2]
+    if bad is not None:
+        items.append((bad, why, len(content) - bad))
+    return items, last
 
 
 def salvaged(data: bytes) -> Iterator[tuple[int, dict[str, str] | None, bytes, int, str]]:
@@ -135,27 +187,28 @@ def salvaged(data: bytes) -> Iterator[tuple[int, dict[str, str] | None, bytes, i
     at, bad, why = 0, None, ""
     while at < len(data):
         if data[at : at + 2] == b"\x1f\x8b":
-            got = _member_at(data, at)
-            if not isinstance(got, str):
-                content, end = got
-                found, inner, wrong = [], 0, ""
-                while inner < len(content) and not wrong:
-                    record = parsed_record(content, inner)
-                    if isinstance(record, str):
-                        wrong = record
-                    else:
-                        found.append(record)
-                        inner = record[2]
-                if bad is not None and (found or not wrong):
-                    yield bad, None, b"", at - bad, why
-                    bad = None
-                for headers, block, _ in found:
-                    yield at, headers, block, 0, ""
-                if wrong and bad is None:
-                    yield at, None, b"", end - at, wrong
+            content, end, wrong = _member_at(data, at)
+            items, last = _within(content, wrong)
+            if bad is not None and (last or not items and not wrong):
+                yield bad, None, b"", at - bad, why
+                bad = None
+            for start, record, size in items if last else []:
+                if not isinstance(record, str):
+                    yield at, record[0], record[1], 0, ""
+                elif not wrong or start < last:
+                    yield at, None, b"", size, f"{record}, from byte {start} of the member's content"
+            if not wrong:
+                if items and not last and bad is None:
+                    yield at, None, b"", end - at, items[0][1]
                 at = end
                 continue
-            wrong = got
+            if last:  # nothing before the place that gives the last record's end is read again
+                for _, at in _inflated(data, at, last):
+                    pass
+                bad, why = at, wrong
+                later = _CANDIDATE.search(data, at)
+                at = later.start() if later else len(data)
+                continue
         elif data.startswith(b"WARC/", at):
             record = parsed_record(data, at)
             if not isinstance(record, str):
@@ -172,7 +225,7 @@ def salvaged(data: bytes) -> Iterator[tuple[int, dict[str, str] | None, bytes, i
             bad, why = at, wrong
         later = _CANDIDATE.search(data, at + 1)
         at = later.start() if later else len(data)
-    if bad is not None:
+    if bad is not None and bad < len(data):
         yield bad, None, b"", len(data) - bad, why
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -71,5 +72,32 @@ def test_wrong_digest_is_quarantined():
     assert salvage(warc.gzip_member(bad) + warc.gzip_member(r[1]))[0] == [1]
 
 
+def test_members_of_several_records():
+    r = records(8)
+    bad = r[3].replace(b"page 3", b"page 9", 1)
+    good, gaps = salvage(warc.gzip_member(b"".join([*r[:3], bad, *r[4:6]])) + warc.gzip_member(b"".join(r[6:])))
+    assert good == [0, 1, 2, 4, 5, 6, 7]
+    assert [g[:2] for g in gaps] == [(0, len(bad))] and gaps[0][2].endswith(f"from byte {sum(map(len, r[:3]))} of the member's content")
+
+
+def test_records_before_the_damage_of_a_member():
+    rng = random.Random(3)
+    r = [warc.record_bytes(i, "u", rng.randbytes(3_000), None) for i in range(8)]
+    for level in (0, 4):
+        whole, after = warc.gzip_member(b"".join(r[:6]), level), warc.gzip_member(r[6], level) + warc.gzip_member(r[7], level)
+        cut = whole[: len(whole) * 3 // 4]
+        for hurt in (cut, cut + b"\xff" * 40 + whole[len(cut) + 40 :]):
+            good, gaps = salvage(hurt + after)
+            assert good[:4] == [0, 1, 2, 3] and good[-2:] == [6, 7] and len(good) == len(set(good)) and gaps
+            if level:  # stored content is read on beyond the damage
+                assert len(gaps) == 1 and len(hurt) / 2 < gaps[0][0] and gaps[0][0] + gaps[0][1] == len(hurt)
+        begin = whole.index(zlib.crc32(b"".join(r[:6])).to_bytes(4, "little"))
+        assert salvage(whole[:begin] + b"\x00\x00\x00\x00" + whole[begin + 4 :] + after)[0] == list(range(8))
+    bare = [x.replace(b"WARC-Payload-Digest", b"X-P").replace(b"WARC-Block-Digest", b"X-B") for x in r[:3]]
+    member = warc.gzip_member(b"".join(bare))
+    begin = member.index(zlib.crc32(b"".join(bare)).to_bytes(4, "little"))
+    assert salvage(member)[0] == [0, 1, 2] and salvage(member[:begin] + b"\x00\x00\x00\x00" + member[begin + 4 :])[0] == []
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
