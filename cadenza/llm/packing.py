@@ -12,13 +12,17 @@ and j is the longest that fits; {i, a, b} if no three fit, a is the longest that
 pair of other pieces longer than b fits. What remains is packed by best fit, longest first.
 
 Defined cases: a null text is an empty document, of the closing id alone; equal rows are packed each on its own; a
-document longer than the capacity is cut into whole pieces, of which the first may be shorter; an empty table gives an
-empty result.
+document longer than the capacity is cut into whole pieces, of which the first may be shorter; rows that share a doc_id
+(null too) are documents of their own; added tokens that stand in a text have their own ids; other columns than doc_id
+and text, whatever their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,28 +39,82 @@ SLICE_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_encoder(ranks_path: str, pattern: str):
-    """The byte-level BPE of a ranks file; special tokens are ordinary text."""
-    import base64
+#: Token ids of stretches of text that a worker remembers, in characters of these stretches.
+MEMO_CHARS = 4_000_000
+#: White space and what follows it up to the next white space: tokens never reach across these stretches.
+_STRETCH = re.compile(r"\s*\S+|\s+")
+_BETWEEN = re.compile(r"(?<=\S)(?=\s)")
 
-    import tiktoken
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+class TokenEncoder:
+    """The ids that a tokenizer file gives, as bytes of unsigned 32-bit numbers.
 
+    A byte-level tokenizer cuts a text into words before it merges bytes, and no word holds white space behind anything
+    else. So each stretch of white space and what follows it has its own ids, and those of stretches met before are
+    remembered. Texts with an added token, or with one of the four separators that Python alone takes for white space,
+    go to the tokenizer whole."""
 
-def piece_rows(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode = token_encoder(ranks_path, pattern).encode_to_numpy
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([r"[\x1c-\x1f]", *added]))
+        self.memo: dict[str, bytes] = {}
+        self.chars = 0
+
+    def exact(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def stretches(self, text: str, most: int = 1 << 20) -> Iterator[list[str]]:
+        """The stretches of a text, for about `most` characters at a time."""
+        at = 0
+        while len(text) - at > most:
+            cut = _BETWEEN.search(text, at + most)
+            if not cut:
+                break
+            yield _STRETCH.findall(text, at, cut.start())
+            at = cut.start()
+        yield _STRETCH.findall(text, at)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        for text in texts:
+            if self.whole.search(text):
+                yield self.exact([text])[0]
+                continue
+            parts = []
+            for found in self.stretches(text):
+                new = list({*found} - self.memo.keys())
+                if new:
+                    if self.chars > MEMO_CHARS:
+                        self.memo.clear()
+                        self.chars, new = 0, list({*found})
+                    self.memo.update(zip(new, self.exact(new), strict=True))
+                    self.chars += sum(map(len, new))
+                parts += map(self.memo.__getitem__, found)
+            yield b"".join(parts)
+
+
+@functools.lru_cache(1)
+def token_encoder(path: str) -> TokenEncoder:
+    """One for a worker, whatever tasks it runs."""
+    return TokenEncoder(path)
+
+
+def piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    encoder, end = token_encoder(path), np.array([end_id], dtype="<u4").tobytes()
     for whole in batches:
         for batch in text_slices(whole, "text", 1 << 22):
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), end_id).astype("<u4")
-                start, stop, piece = 0, len(ids) % capacity or capacity, 0
-                while start < len(ids):
-                    part = ids[start:stop]
-                    for column, value in zip(rows, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                ids = memoryview(found + end)
+                n = len(ids) // 4
+                start, stop, piece = 0, n % capacity or capacity, 0
+                while start < n:
+                    for column, value in zip(rows, (doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
                         column.append(value)
                     start, stop, piece = stop, stop + capacity, piece + 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -123,7 +181,9 @@ def reduce_and_pack(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[l
             uses: dict[int, int] = {}
             for k in (i, *fixed):
                 uses[k] = uses.get(k, 0) + 1
-            # The same set dominates again while every length that the decision looked at is still there.
+            # The same set dominates again while every length that the decision looked at is still there. It looks at
+            # three pieces of a length at most, besides those of the set: until the last of n times 4 * m are left of a
+            # length that the set has m of, and m + 3 <= 4 * m. That a pair fills the room holds whatever else is left.
             n = max(1, min(left[k] // m for k, m in uses.items()) - 3) if not (fixed and sum((i, *fixed)) == capacity and len(fixed) == 1) and fixed else min(left[k] // m for k, m in uses.items())
             offset = 0
             for k, m in uses.items():
@@ -181,9 +241,10 @@ def _places(batches: Iterator[pa.RecordBatch], runs: np.ndarray) -> Iterator[pa.
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """A row for each piece: its document, place there, length, CRC of its ids, its sequence and place in it."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: piece_rows(batches, ranks_path, pattern, capacity, end_id), PIECES)
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """A row for each piece: its document, place there, length, CRC of its ids, its sequence and place in it. tokenizer:
+    a file of the tokenizers library, at a path that the executors have too."""
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: piece_rows(batches, tokenizer, capacity, end_id), PIECES)
     pieces = stage_table(pieces, "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slices = max(1, -(-max(counts.values(), default=0) // SLICE_ROWS))

@@ -51,11 +51,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """The ranks file of the 50k byte-level BPE (the vocabulary of byte_bpe_50k.json) and its split pattern."""
+def tokenizer_files() -> tuple[str]:
+    """The file of the 50k byte-level BPE."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return (public_tokenizers.path("byte_bpe_50k.json"),)
 
 
 def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

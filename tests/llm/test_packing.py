@@ -4,9 +4,13 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cadenza.llm import packing
 from cadenza.llm.packing import pack, reduce_and_pack
 from cadenza.llm.queries import tokenizer_files
 
@@ -70,9 +74,9 @@ def test_pieces_ids_and_places(spark):
     import public_tokenizers
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
-    texts = [None, "", "Hello world", "a<|endoftext|>b", "é ü ß 中文 🙂\n\n  x", "one two three " * 1500, "y " * 2047, "Hello world"]
+    texts = [None, "", "Hello world", "a<|endoftext|>b <|endoftext|> <|endoftext", "é ü ß 中文 🙂\n\n  x", "one two three " * 1500, "y " * 2047, "Hello world"]
     docs = spark.createDataFrame([(i if i != 6 else None, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    docs = docs.withColumns({c: F.lit("clash") for c in ("piece", "start", "length", "slice", "position", "offset")})
     rows = pack(docs, *tokenizer_files()).collect()
     by = {}
     for r in rows:
@@ -95,3 +99,50 @@ def test_pieces_ids_and_places(spark):
             at += length
         assert at <= 2048
     assert pack(docs.limit(0), *tokenizer_files()).collect() == []
+
+
+def odd_texts():
+    rng = random.Random(3)
+    spaces = [" ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f ", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u180e", "\u200b", "\ufeff"]
+    words = ["don't", "we'll've", "'s", "'S", "x'", "a1b2", "½", "٣", "中文字", "é", "e\u0301", "🙂👍🏽", "%%%", "...", "<|endoftext|>", "<|endof", "text|>", "\x00", "\x07", "ﬁ", "İ", "ǅ", "_", "a_b", "http://x.y/z?q=1#f"]
+    found = ["".join(rng.choice(words) + rng.choice(spaces) * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    found += ["".join(rng.choice(spaces) + rng.choice([*words, ""]) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    return found + ["".join(chr(rng.choice([*range(0xD800), *range(0xE000, 0x11000)])) for _ in range(200)) for _ in range(300)]
+
+
+def test_ids_are_those_of_the_tokenizer(monkeypatch):
+    """Whole texts of a table, and odd ones, with a memory so small that it is emptied again and again."""
+    (path,) = tokenizer_files()
+    plain = Tokenizer.from_file(path)
+    texts = odd_texts() + [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    monkeypatch.setattr(packing, "MEMO_CHARS", 20_000)
+    for text, found in zip(texts, packing.TokenEncoder(path).encode(texts), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:80])
+
+
+def test_parts_of_a_long_text():
+    encoder = packing.TokenEncoder(*tokenizer_files())
+    text = "ab  c\n\n d\t" * 40 + " "
+    for most in (1, 2, 3, 7):
+        parts = [c for part in encoder.stretches(text, most) for c in part]
+        assert parts == [c for part in encoder.stretches(text) for c in part] and "".join(parts) == text
+
+
+def test_repeated_sets_dominate_each_time():
+    """Sets fixed many times at once pack as well as the same pieces one by one."""
+    rng = random.Random(4)
+    for _ in range(200):
+        capacity = rng.choice([12, 20, 37])
+        few = [rng.randint(max(2, capacity // 5), capacity) for _ in range(rng.randint(1, 3))]
+        lengths = [k for k in few for _ in range(rng.randint(1, 5))][:11]
+        assert bins(lengths, capacity) == optimum(lengths, capacity)
+        # Ten times as many pieces take at most ten times as many sequences.
+        assert bins(lengths * 10, capacity) <= 10 * bins(lengths, capacity)
+
+
+def test_few_runs():
+    rng = random.Random(5)
+    for most in (2048, 700, 100):
+        counts = Counter(min(2048, 1 + int(rng.expovariate(1 / most))) for _ in range(300_000))
+        runs, _ = reduce_and_pack(counts)
+        assert len(runs) <= 16 * 2048
