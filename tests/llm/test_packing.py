@@ -107,7 +107,8 @@ def odd_texts():
     words = ["don't", "we'll've", "'s", "'S", "x'", "a1b2", "½", "٣", "中文字", "é", "e\u0301", "🙂👍🏽", "%%%", "...", "<|endoftext|>", "<|endof", "text|>", "\x00", "\x07", "ﬁ", "İ", "ǅ", "_", "a_b", "http://x.y/z?q=1#f"]
     found = ["".join(rng.choice(words) + rng.choice(spaces) * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(30))) for _ in range(3000)]
     found += ["".join(rng.choice(spaces) + rng.choice([*words, ""]) for _ in range(rng.randrange(30))) for _ in range(2000)]
-    return found + ["".join(chr(rng.choice([*range(0xD800), *range(0xE000, 0x11000)])) for _ in range(200)) for _ in range(300)]
+    points = [*range(0xD800), *range(0xE000, 0x11000)]
+    return found + ["".join(map(chr, rng.choices(points, k=200))) for _ in range(300)]
 
 
 def test_ids_are_those_of_the_tokenizer(monkeypatch):
