@@ -26,9 +26,12 @@ _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if all
+    executors run on this machine, and an error if they don't: other machines wouldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +49,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column, in any case of letters."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most` bytes of text each (one row at least), to bound what numpy allocates."""
     n = batch.num_rows

@@ -13,9 +13,11 @@
    components is lost.
 4. Components come from links by contraction: every vertex moves to the least of its neighbours, until no edge is left.
 
-Classes are known by 64-bit signatures and n-grams by 64-bit hashes. Defined cases: a null or blank text has an empty
-set, links with nothing and is its own component; fewer than k words are one n-gram, the whole sequence; equal rows
-share a class; a null doc_id takes no part and has a null component; an empty table gives an empty result.
+Sets are one class if two 64-bit signatures agree; the first names the class, and should it be that of two sets, all of
+them are signed anew. N-grams are known by 64-bit hashes. Defined cases: a null or blank text has an empty set, links
+with nothing and is its own component; fewer than k words are one n-gram, the whole sequence; equal rows share a class;
+rows that share a doc_id are documents of their own, each with its own text; a null doc_id takes no part and has a null
+component; other columns than doc_id and text, whatever their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import mixed, shingle_hashes, stage_table, text_bytes, text_slices
+from .common import free_names, mixed, shingle_hashes, stage_table, text_bytes, text_slices
 
 #: The bucket table that orders n-grams: 2**BUCKET_BITS counts, dealt out in chunks of 2**CHUNK_BITS.
 BUCKET_BITS = 20
@@ -56,27 +59,35 @@ def row_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return hashes, rows, np.bincount(rows, minlength=batch.num_rows)
 
 
-def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit signature of each row's set."""
-    sums = np.r_[np.uint64(0), np.cumsum(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
+def signatures(hashes: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit signature of each row's set, another one for each seed."""
+    sums = np.r_[np.uint64(0), np.cumsum(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D * (2 * seed + 1) % (1 << 64))), dtype=np.uint64)]
     ends = np.cumsum(sizes)
     return mixed((sums[ends] - sums[ends - sizes]) ^ mixed(sizes.astype(np.uint64))).astype(np.int64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
-    names = ["doc_id", "n_shingles", "node", "chunk", "counts"]
+    names = ["doc_id", "n_shingles", "node", "proof", "chunk", "counts"]
     for whole in batches:
         for batch in text_slices(whole, "text"):
             hashes, _, sizes = row_sets(batch, k)
             counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            node = pa.array(signatures(hashes, sizes), mask=sizes == 0)
+            signed = (pa.array(signatures(hashes, sizes, s), mask=sizes == 0) for s in (seed, seed + 1))
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), node, *none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), *signed, *none], names)
     chunks = [c for c in range(1 << (BUCKET_BITS - CHUNK_BITS)) if counts[c << CHUNK_BITS : (c + 1) << CHUNK_BITS].any()]
     packed = [zlib.compress(counts[c << CHUNK_BITS : (c + 1) << CHUNK_BITS].tobytes(), 1) for c in chunks]
     none = pa.nulls(len(chunks), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], names)
+
+
+def _signed(batches: Iterator[pa.RecordBatch], k: int, seed: int, name: str) -> Iterator[pa.RecordBatch]:
+    """The rows, each with the class of its text as the last column."""
+    for whole in batches:
+        for batch in text_slices(whole, "text"):
+            hashes, _, sizes = row_sets(batch, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signatures(hashes, sizes, seed), mask=sizes == 0)], [*batch.schema.names, name])
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,18 +111,18 @@ def bucket_table(scanned: DataFrame) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The n-grams (token, node, at) of each class's prefix; at: size, place, and a sign where the n-gram is hot."""
     hot = np.uint16(2047 * np.log2(1.0 + HOT_COUNT))
     for whole in batches:
         for batch in text_slices(whole, "text"):
             hashes, rows, sizes = row_sets(batch, k)
-            own = signatures(hashes, sizes) == batch.column("node").to_numpy(zero_copy_only=False)
             rank = table[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             order = np.argsort(rank, kind="stable")
             order = order[np.argsort(rows[order].astype(np.uint16), kind="stable")] if batch.num_rows <= 65_536 else order[np.argsort(rows[order], kind="stable")]
             hashes, rank, rows = hashes[order], rank[order], rows[order]
             place = np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[rows]
             size = sizes[rows]
-            keep = (place <= size - (percent * size + 99) // 100) & own[rows]
+            keep = place <= size - (percent * size + 99) // 100
             where = (size[keep].astype(np.int64) << 32) | place[keep]
             where[rank[keep] >= hot] |= np.int64(-(1 << 63))
             node = batch.column("node").to_numpy(zero_copy_only=False)[rows[keep]]
@@ -316,20 +327,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) of every row of docs (doc_id, text); node is the class."""
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    sets, components, _ = grouped(docs, k, percent)
+    return sets.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def scan(thin: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """(a row for each document with its set's signatures, and rows of counts; the least doc_id of each class; seed).
+
+    No two sets have one node: should they, as their other signatures show, all are signed anew."""
+    seed = 0
+    while True:
+        scanned = stage_table(thin.mapInArrow(lambda batches, s=seed: _scan(batches, k, s), "doc_id long, n_shingles long, node long, proof long, chunk int, counts binary"), "jaccard-scan")
+        sets = scanned.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+        classes = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("proof").alias("low"), F.max("proof").alias("high"), F.count(F.lit(1)).alias("rows"))
+        classes = stage_table(classes, "jaccard-classes")
+        if classes.filter("low <> high").isEmpty():
+            return scanned, classes.select("node", "doc_id"), seed
+        seed += 2
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """((doc_id, n_shingles, node) of every row, (node, least_node, component_id) of every class, seed of the nodes); the
+    least document of a component has component_id and least_node."""
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    scanned = stage_table(thin.mapInArrow(lambda batches: _scan(batches, k), "doc_id long, n_shingles long, node long, chunk int, counts binary"), "jaccard-scan")
+    scanned, classes, seed = scan(thin, k)
     sets = scanned.filter(F.col("chunk").isNull()).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     table = spark.sparkContext.broadcast(bucket_table(scanned))
-    classes = stage_table(sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-
-    texts = thin.join(classes, "doc_id").select("node", "text")
+    repeated = repeats(sets)
+    if repeated:  # a doc_id isn't enough to find a class's text
+        signed = thin.mapInArrow(lambda batches: _signed(batches, k, seed, "node"), "doc_id long, text string, node long")
+        texts = stage_table(signed.join(classes, ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text")), "jaccard-class-texts")
+    else:
+        texts = thin.join(classes, "doc_id").select("node", "text")
     prefixes = texts.mapInArrow(lambda batches: _prefixes(batches, k, percent, table.value), "token long, node long, at long")
     dealt = prefixes.repartition("token", F.when(F.col("at") < 0, F.col("node"))).sortWithinPartitions("token")
     postings = stage_table(dealt.mapInArrow(_shared_only, "token long, node long, size long, place long"), "jaccard-postings")
     wanted = postings.select("node").distinct().join(classes, "node")
-    sources = stage_table(thin.join(wanted, "doc_id").select("node", "text").groupBy("node").agg(F.first("text").alias("text")) if _repeats(sets) else thin.join(wanted, "doc_id").select("node", "text"), "jaccard-texts")
+    sources = texts.join(wanted, "node") if repeated else thin.join(wanted, "doc_id")
+    sources = stage_table(sources.select("node", "text"), "jaccard-texts")
 
     hubs = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "place")).alias("hub"))
     near = postings.join(hubs, "token").filter(F.col("node") != F.col("hub.node"))
@@ -340,11 +377,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     labels = components(found)
 
     sized = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("held")), "comp")
-    placed = postings.join(sized, "node", "left").select("token", "node", "size", "place", F.coalesce("comp", "node").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
-    placed = stage_table(placed, "jaccard-placed")
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("held", "comp")).alias("most"), F.count(F.lit(1)).alias("rows"))
+    met = postings.join(sized, "node", "left").select("token", "node", "size", "place", F.coalesce("comp", "node").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
+    met = stage_table(met, "jaccard-placed")
+    open_ = met.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("held", "comp")).alias("most"), F.count(F.lit(1)).alias("rows"))
     open_ = open_.filter("low <> high").select("token", F.col("most.comp").alias("largest"), F.ceil(F.col("rows") / SLICE).cast("int").alias("slices"))
-    rows = stage_table(placed.join(open_, "token"), "jaccard-open")
+    rows = stage_table(met.join(open_, "token"), "jaccard-open")
     # Blocks of a component, together with the lone classes that meet it.
     family = F.when(F.max("held") > 1, F.max("comp")).otherwise(F.min("largest"))
     nodes = rows.groupBy("node").agg(F.max("comp").alias("comp"), family.alias("family"))
@@ -362,25 +399,32 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     more = verified(candidates, nodes, sources, k, percent)
     labels = components(found.unionByName(more))
 
-    grouped = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    least = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    final = stage_table(grouped.join(least, "comp").select("node", "component_id"), "jaccard-components")
-    return sets.join(final, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    least = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    final = placed.join(least, "comp").select("node", F.col("least.node").alias("least_node"), F.col("least.doc_id").alias("component_id"))
+    return sets, stage_table(final, "jaccard-components"), seed
 
 
-def _repeats(sets: DataFrame) -> bool:
+def repeats(sets: DataFrame) -> bool:
     """Whether a doc_id stands in more than one row."""
     return not sets.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs without near copies: of each component the row of least doc_id (then of least text) stays, and
-    every row without words or doc_id."""
-    found = stage_table(similar_documents(docs, k, percent), "jaccard-result")
-    drops = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
-    if not _repeats(found):
-        return docs.join(drops, docs["doc_id"] == F.col("_drop"), "left_anti")
-    # Rows that share a doc_id: their components are told apart by text.
-    kept = docs.join(drops, docs["doc_id"] == F.col("_drop"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(first)).filter(F.col("doc_id").isNull() | (F.col("_n") == 1)).drop("_n")
+    """The rows of docs without near copies: of each component one row of least doc_id stays, and every row without words
+    or doc_id. Where rows share a doc_id, of a component's rows with its least doc_id one stays: of one class, the least
+    text."""
+    sets, components, seed = grouped(docs, k, percent)
+    found = stage_table(sets.filter(F.col("node").isNotNull()).join(components, "node"), "jaccard-result")
+    drop, node = free_names(docs, "drop", "node")
+    if not repeats(found):
+        drops = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(drop))
+        return docs.join(drops, F.col("doc_id").cast("long") == F.col(drop), "left_anti")
+    schema = StructType([*docs.schema.fields, StructField(node, LongType())])
+    signed = docs.mapInArrow(lambda batches: _signed(batches, k, seed, node), schema)
+    signed = signed.withColumn(node, F.when(F.col("doc_id").isNotNull(), F.col(node)))
+    keeps = components.filter("node = least_node").select(F.col("node").alias(drop), F.col("component_id"))
+    keeps = keeps.select(drop, F.col("component_id").alias(f"{drop}_id"))
+    met = signed.join(keeps, (F.col(node) == F.col(drop)) & (F.col("doc_id").cast("long") == F.col(f"{drop}_id")))
+    kept = met.groupBy(node).agg(F.min_by(F.struct(*docs.columns), "text").alias(drop)).select(f"{drop}.*")
+    return kept.unionByName(signed.filter(F.col(node).isNull()).select(*docs.columns))

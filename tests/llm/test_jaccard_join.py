@@ -2,14 +2,15 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cadenza.llm.jaccard_join import one_of_each_group, similar_documents
+from cadenza.llm.jaccard_join import one_of_each_group, signatures, similar_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def brute(rows, k=5, percent=75):
+def brute(rows, k=5, percent=75, each=False, named=False):
     def words(t):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
         for c in "\t\n\x0b\x0c\r":
@@ -36,7 +37,8 @@ def brute(rows, k=5, percent=75):
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(d, least.get(find(i), d))
-    return {(d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
+    found = [(d, len(sets[i]), least[find(i)], find(i))[: 4 if named else 3] for i, (d, _) in enumerate(rows)]
+    return found if each else set(found)
 
 
 def corpus(seed, n=160):
@@ -86,5 +88,34 @@ def test_nulls_and_repeats(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, None]
 
 
+def test_rows_that_share_an_id(spark):
+    """Ids of several texts each, against all pairs; one row of each component stays, and no other text goes."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(30), t) for _, t in corpus(4, 200)] + [(None, "w1 w2 w3 w4 w5"), (None, None)]
+    rows += [(500, "a b c d e f g h i j k l m n"), (500, "o p q r s t u v w x y z"), (500, "O P q r s t u v w x y z"), (501, "o p q r s t u v w x y z aa")]
+    docs = spark.createDataFrame([(d, t, "en", "s", i, "x", "y") for i, (d, t) in enumerate(rows)], SCHEMA + ", node string, component_id string")
+    own = [(d, t) for d, t in rows if d is not None]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar_documents(docs).collect() if r.doc_id is not None)
+    assert got == sorted(brute(own, each=True))
+    groups = {}
+    for (d, t), (_, size, _, group) in zip(own, brute(own, each=True, named=True), strict=True):
+        if size:
+            groups.setdefault(group, []).append((d, t))
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    for members in groups.values():
+        assert sum((r.doc_id, r.text) in members for r in kept) >= 1
+        assert sum(r.n_chars in [i for i, row in enumerate(rows) if row in members] for r in kept) == 1
+        assert any((r.doc_id, r.text) in members and r.doc_id == min(d for d, _ in members) for r in kept)
+    assert len(kept) == len(groups) + sum(d is None or not (t or "").strip() for d, t in rows)
+
+
+def test_signatures_differ_by_seed():
+    hashes, sizes = np.array([1, 2, 3, 1, 2, 3, 9], np.uint64), np.array([3, 3, 1])
+    found = [signatures(hashes, sizes, seed) for seed in range(4)]
+    assert all(f[0] == f[1] != f[2] for f in found) and len({f[0] for f in found}) == 4
+
+
 def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], SCHEMA)).collect() == []
