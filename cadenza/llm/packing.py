@@ -86,11 +86,12 @@ class TokenEncoder:
                 continue
             parts = []
             for found in self.stretches(text):
-                new = list({*found} - self.memo.keys())
+                distinct = {*found}
+                if self.chars > MEMO_CHARS:
+                    self.memo.clear()
+                    self.chars = 0
+                new = [c for c in distinct if c not in self.memo]
                 if new:
-                    if self.chars > MEMO_CHARS:
-                        self.memo.clear()
-                        self.chars, new = 0, list({*found})
                     self.memo.update(zip(new, self.exact(new), strict=True))
                     self.chars += sum(map(len, new))
                 parts += map(self.memo.__getitem__, found)
