@@ -39,20 +39,21 @@ SLICE_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Token ids of stretches of text that a worker remembers, in characters of these stretches.
+#: Characters of the stretches of text whose ids a worker remembers, twice: those met of late, and those before.
 MEMO_CHARS = 4_000_000
-#: White space and what follows it up to the next white space: tokens never reach across these stretches.
-_STRETCH = re.compile(r"\s*\S+|\s+")
+#: A stretch is white space and the Latin letters that follow, up to an ASCII sign or white space, or else all that
+#: follows up to white space. Tokens never reach across stretches.
+_STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
 _BETWEEN = re.compile(r"(?<=\S)(?=\s)")
 
 
 class TokenEncoder:
     """The ids that a tokenizer file gives, as bytes of unsigned 32-bit numbers.
 
-    A byte-level tokenizer cuts a text into words before it merges bytes, and no word holds white space behind anything
-    else. So each stretch of white space and what follows it has its own ids, and those of stretches met before are
-    remembered. Texts with an added token, or with one of the four separators that Python alone takes for white space,
-    go to the tokenizer whole."""
+    A byte-level tokenizer cuts a text into words before it merges bytes: no word holds white space behind anything else,
+    or a letter before a sign. So each stretch has its own ids, and those of stretches met before are remembered. Texts
+    with an added token, or with one of the four separators that Python alone takes for white space, go to the tokenizer
+    whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
@@ -62,6 +63,7 @@ class TokenEncoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"[\x1c-\x1f]", *added]))
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chars = 0
 
     def exact(self, texts: list[str]) -> list[bytes]:
@@ -78,6 +80,17 @@ class TokenEncoder:
             at = cut.start()
         yield _STRETCH.findall(text, at)
 
+    def learn(self, found: set[str]) -> None:
+        """From now on the memory has these stretches."""
+        if self.chars > MEMO_CHARS:
+            self.memo, self.older, self.chars = {}, self.memo, 0
+        found = [c for c in found if c not in self.memo]
+        self.chars += sum(map(len, found))
+        new = [c for c in found if c not in self.older]
+        self.memo.update((c, self.older[c]) for c in found if c in self.older)
+        if new:
+            self.memo.update(zip(new, self.exact(new), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         for text in texts:
@@ -86,14 +99,7 @@ class TokenEncoder:
                 continue
             parts = []
             for found in self.stretches(text):
-                distinct = {*found}
-                if self.chars > MEMO_CHARS:
-                    self.memo.clear()
-                    self.chars = 0
-                new = [c for c in distinct if c not in self.memo]
-                if new:
-                    self.memo.update(zip(new, self.exact(new), strict=True))
-                    self.chars += sum(map(len, new))
+                self.learn({*found})
                 parts += map(self.memo.__getitem__, found)
             yield b"".join(parts)
 
