@@ -2,7 +2,10 @@
 
 Writer: each record is a gzip member of its own. Spark's text writer commits the files, on any file system: a row is a
 member without its last byte, and the line separator, one zero byte, supplies it. A member ends with its size, whose last
-byte is zero below 16 MiB; behind a larger one stands an empty member, which ends with a zero too.
+byte is zero below 16 MiB; behind a larger one stands an empty member, which ends with a zero too. This rests on Spark
+keeping the bytes of a binary column as they are when it casts them to a string and writes them as text; were they
+changed, the reader's checks would fail and every record would show as a gap. A task begins a new file before its file
+holds FILE_BYTES, so an archive is that long, or one record.
 
 Reader: at each place it expects a gzip member or a version line. A member must decompress with the right checksum, a
 record must have its length, its closing blank lines and its digests. Where a check fails, the reader searches for the
@@ -15,7 +18,8 @@ behind the last of them.
 Of records with equal payloads of at least `least_bytes` bytes the one of largest page_id is the response and the others
 are revisits of it. Defined cases: a null html is an empty payload; rows that share page_id and payload are alike,
 so where that page_id is the largest each is a response; a null page_id is smaller than all others; a null url has no
-target header; an empty table gives an empty archive and no records.
+target header; other columns than page_id, url and html, whatever their names, play no part; an empty table gives an
+empty archive and no records.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_path, text_slices
+from .common import stage_path, stage_table, text_slices
 
-RECORDS_PER_FILE = 4_000
+#: Archives end before they are longer, and hold so many records at most.
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 20_000
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
@@ -75,30 +80,37 @@ def gzip_member(data: bytes, level: int = LEVEL) -> bytes:
     return member
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Members, and the number of the task's file that each goes to."""
+    file, held = 0, 0
     for whole in batches:
         for batch in text_slices(whole, "payload", 1 << 23):
             c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            rows = []
+            rows, files = [], []
             for page_id, url, payload, sha1, refers_to in zip(c["page_id"], c["url"], c["payload"], c["sha1"], c["refers_to"], strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 rows.append(gzip_member(record_bytes(page_id, url, payload.encode(), refers_to, digest))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["member"])
+                held += len(rows[-1]) + 1
+                if held > most:
+                    file, held = file + 1, len(rows[-1]) + 1
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(files, pa.int32())], ["member", "file"])
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes a record for every row of pages (page_id, url, html) to archives in the folder path."""
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Writes a record for every row of pages (page_id, url, html) to archives below the folder path."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     base = base.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
     # Payloads of one row need no lookup: only those of several are joined.
     shared = base.filter(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("keeps"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     joined = base.join(shared.select("sha1", "keeps"), "sha1", "left")
     refers = F.when(F.col("keeps").isNotNull() & ~F.col("keeps").eqNullSafe(F.col("page_id")), F.col("keeps"))
-    members = joined.select("page_id", "url", "payload", "sha1", refers.alias("refers_to")).mapInArrow(_members, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members = joined.select("page_id", "url", "payload", "sha1", refers.alias("refers_to")).mapInArrow(lambda batches: _members(batches, file_bytes), "member binary, file int")
+    lines = members.select(F.col("member").cast("string").alias("value"), "file")
+    lines.write.partitionBy("file").option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parsed_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
+def parsed_record(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """(headers, block, end) of the record at a version line, or what is wrong with it."""
     head = _HEADER.match(data, at)
     if not head:
@@ -115,7 +127,7 @@ def parsed_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | s
     end = head.end() + int(length)
     if end + 4 > len(data) or data[end : end + 4] != b"\r\n\r\n":
         return "wrong length"
-    block = data[head.end() : end]
+    block = bytes(data[head.end() : end])
     said = headers.get("warc-block-digest", "")
     if said.startswith("sha1:") and said[5:] != base32_sha1(block):
         return "wrong block digest"
@@ -125,25 +137,28 @@ def parsed_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | s
     return headers, block, end + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """(content, end, what is wrong with it) of the gzip member at a place. Of a wrong one the content is what decompresses."""
-    inflate = zlib.decompressobj(31)
+def _member_at(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """(content, end, what is wrong with it) of the gzip member at a place. Of a wrong one the content is what decompresses.
+    The inflater gets the bytes in steps, as it copies what it is given beyond the member's end."""
+    inflate, parts, place, step = zlib.decompressobj(31), [], at, 1 << 12
     try:
-        content = inflate.decompress(memoryview(data)[at:])
-        return (content, len(data) - len(inflate.unused_data), "") if inflate.eof else (content, len(data), "cut member")
+        while place < len(data) and not inflate.eof:
+            parts.append(inflate.decompress(data[place : place + step]))
+            place, step = min(len(data), place + step), min(1 << 20, 2 * step)
+        return (b"".join(parts), place - len(inflate.unused_data), "") if inflate.eof else (b"".join(parts), len(data), "cut member")
     except zlib.error as e:
         wrong = f"bad member: {e}"
     return b"".join(part for part, _ in _inflated(data, at)), len(data), wrong
 
 
-def _inflated(data: bytes, at: int, most: int | None = None) -> Iterator[tuple[bytes, int]]:
+def _inflated(data: memoryview, at: int, most: int | None = None) -> Iterator[tuple[bytes, int]]:
     """(part of the content, place up to which it was read) until an error, or until there are `most` bytes; what stands
     around either is read byte by byte."""
     inflate, done, step = zlib.decompressobj(31), 0, 1 << 12
     while at < len(data) and not inflate.eof and (most is None or done < most):
         before = inflate.copy()
         try:
-            part = inflate.decompress(memoryview(data)[at : at + step])
+            part = inflate.decompress(data[at : at + step])
         except zlib.error:
             part = None
         if step > 1 and (part is None or most is not None and done + len(part) >= most):
@@ -182,8 +197,9 @@ def _within(content: bytes, wrong: str) -> tuple[list[tuple[int, tuple[dict[str,
     return items, last
 
 
-def salvaged(data: bytes) -> Iterator[tuple[int, dict[str, str] | None, bytes, int, str]]:
+def salvaged(data: bytes | pa.Buffer) -> Iterator[tuple[int, dict[str, str] | None, bytes, int, str]]:
     """(place, headers, block, 0, "") for each sound record, (place, None, b"", bytes, reason) for each gap."""
+    data = memoryview(data).cast("B")
     at, bad, why = 0, None, ""
     while at < len(data):
         if data[at : at + 2] == b"\x1f\x8b":
@@ -209,7 +225,7 @@ def salvaged(data: bytes) -> Iterator[tuple[int, dict[str, str] | None, bytes, i
                 later = _CANDIDATE.search(data, at)
                 at = later.start() if later else len(data)
                 continue
-        elif data.startswith(b"WARC/", at):
+        elif data[at : at + 5] == b"WARC/":
             record = parsed_record(data, at)
             if not isinstance(record, str):
                 if bad is not None:
@@ -241,7 +257,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows: list[tuple] = []
             held = 0
-            for at, headers, block, gap, why in salvaged(data.as_py()):
+            for at, headers, block, gap, why in salvaged(data.as_buffer()):
                 if headers is None:
                     rows.append((path, at, gap, why, *(None,) * 7))
                     continue
@@ -260,13 +276,22 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records (gap_bytes null) and quarantined gaps (reason, at, gap_bytes) of the archives in a folder."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """Records (gap_bytes null) and quarantined gaps (reason, at, gap_bytes) of the archives in a folder and below it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(lambda batches: _read(batches, with_payload), READ)
 
 
+def salvage(spark: SparkSession, path: str, with_payload: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine log) of the archives in a folder, read once; both are tables in the shared folder. The log has
+    archive, at, gap_bytes and reason of each gap."""
+    rows = stage_table(read_warc(spark, path, with_payload), "warc-read")
+    gaps = stage_table(rows.filter("gap_bytes is not null").select("archive", "at", "gap_bytes", "reason"), "warc-quarantine")
+    return rows.filter("gap_bytes is null").drop("gap_bytes", "reason"), gaps
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes pages as archives in the shared folder and reads them back: the records, without payloads."""
     path = stage_path(pages.sparkSession, "warc")
     write_warc(pages, path, least_bytes)
-    return read_warc(pages.sparkSession, path, with_payload=False).filter("gap_bytes is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records, _ = salvage(pages.sparkSession, path, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 from pyspark.sql import functions as F
@@ -99,5 +100,39 @@ def test_records_before_the_damage_of_a_member():
     assert salvage(member)[0] == [0, 1, 2] and salvage(member[:begin] + b"\x00\x00\x00\x00" + member[begin + 4 :])[0] == []
 
 
-def test_empty(spark):
-    assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
+def test_empty_and_clashing_columns(spark):
+    clash = {c: F.lit("clash") for c in ("payload", "sha1", "keeps", "file", "value", "member")}
+    assert warc.round_trip(spark.createDataFrame([], SCHEMA).withColumns(clash)).collect() == []
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, None, None)], SCHEMA)
+    assert sorted(warc.round_trip(pages.withColumns(clash)).collect()) == sorted(warc.round_trip(pages).collect())
+
+
+def test_archives_end_at_their_size(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, f"http://a.org/{i}", rng.randbytes(1_000).hex()) for i in range(60)] + [(99, "u", rng.randbytes(40_000).hex())]
+    warc.write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "w"), file_bytes=20_000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").rglob("part-*"))
+    assert len(sizes) >= 5 and sizes[-2] <= 20_000 < sizes[-1]
+    records, gaps = warc.salvage(spark, str(tmp_path / "w"))
+    assert sorted(r.page_id for r in records.collect()) == [r[0] for r in rows] and gaps.count() == 0
+
+
+def test_quarantine_log(spark, tmp_path):
+    parts = [warc.gzip_member(r) for r in records(5)]
+    (tmp_path / "a").write_bytes(b"".join(parts[:2]) + b"??" + parts[2])
+    (tmp_path / "b").write_bytes(parts[3][:60] + parts[4])
+    records_, gaps = warc.salvage(spark, str(tmp_path))
+    assert sorted(r.page_id for r in records_.collect()) == [0, 1, 2, 4]
+    assert sorted((r.archive[-1], r.at, r.gap_bytes) for r in gaps.collect()) == [("a", len(parts[0]) + len(parts[1]), 2), ("b", 0, 60)]
+
+
+def test_seconds_follow_the_records():
+    """Four times as many records take about four times as long, in one file."""
+    rng = random.Random(5)
+    part = [warc.gzip_member(warc.record_bytes(i, "u", rng.randbytes(4_000), None)) for i in range(2_000)]
+    took = []
+    for n in (1, 4):
+        data, start = b"".join(part * n), time.process_time()
+        assert sum(1 for _ in warc.salvaged(data)) == 2_000 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]
