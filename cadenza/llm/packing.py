@@ -40,7 +40,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 #: Characters of the stretches of text whose ids a worker remembers, twice: those met of late, and those before.
-MEMO_CHARS = 4_000_000
+MEMO_CHARS = 6_000_000
 #: A stretch is white space and the Latin letters that follow, up to an ASCII sign or white space, or else all that
 #: follows up to white space. Tokens never reach across stretches.
 _STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
@@ -67,7 +67,7 @@ class TokenEncoder:
         self.chars = 0
 
     def exact(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def stretches(self, text: str, most: int = 1 << 20) -> Iterator[list[str]]:
         """The stretches of a text, for about `most` characters at a time."""
@@ -80,15 +80,16 @@ class TokenEncoder:
             at = cut.start()
         yield _STRETCH.findall(text, at)
 
-    def learn(self, found: set[str]) -> None:
+    def learn(self, found: list[str]) -> None:
         """From now on the memory has these stretches."""
         if self.chars > MEMO_CHARS:
             self.memo, self.older, self.chars = {}, self.memo, 0
-        found = [c for c in found if c not in self.memo]
-        self.chars += sum(map(len, found))
-        new = [c for c in found if c not in self.older]
-        self.memo.update((c, self.older[c]) for c in found if c in self.older)
+        new = set(found).difference(self.memo)
         if new:
+            self.chars += sum(map(len, new))
+            before = {c: self.older[c] for c in new if c in self.older}
+            self.memo.update(before)
+            new = [c for c in new if c not in before]
             self.memo.update(zip(new, self.exact(new), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -99,7 +100,7 @@ class TokenEncoder:
                 continue
             parts = []
             for found in self.stretches(text):
-                self.learn({*found})
+                self.learn(found)
                 parts += map(self.memo.__getitem__, found)
             yield b"".join(parts)
 
