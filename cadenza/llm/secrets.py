@@ -2,15 +2,20 @@
 
 Base spans come from three patterns: assignments of a password or key, access key ids, long hex runs. On top, runs of
 base64 and hex and dotted tokens are candidates that are reported only when their decoded bytes have the structure of a
-key: DER whose nested lengths add up, key blobs of length-prefixed fields that open with a known algorithm, the frame of
-an OpenSSH private key, or a signed token whose header and payload are JSON objects, the header with an algorithm.
+private key: DER whose nested lengths add up and whose fields are those of a PKCS#1, PKCS#8 (encrypted or not), SEC1 or
+DSA private key; the frame of an OpenSSH private key; or a signed token whose header and payload are JSON objects, the
+header with an algorithm. Public keys and certificates have the same encodings but are no secrets: they aren't reported.
+Nor are keys whose whole body is encrypted and shows no structure.
 
-Base64 may be wrapped: lines of at least LEAST_LINE characters, the last of any length, between line ends that may be
-written out as \\n and may be followed by an indent. A key may start at any of the lines, and ends at the line end that
-its own lengths name. A token may start at any ey of its header, as other letters may stand directly before it.
+Base64 may be of either alphabet, and wrapped: lines of at least LEAST_LINE characters, the last of any length, between
+line ends that may be written out as \\n and may be followed by an indent. A key may start at any of the lines, and ends
+at the line end that its own lengths name: its span is the whole block. A token may start at any ey of its header, as
+other letters may stand directly before it.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; equal rows are scanned each;
-candidates that don't decode, or whose lengths don't add up, are not reported; whole texts are scanned, of any length.
+candidates that don't decode, or whose lengths don't add up, are not reported; whole texts are scanned, of any length;
+other columns than doc_id and text, whatever their names, play no part, and redact() keeps them as they are; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,11 +47,14 @@ _BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
 #: A run of base64 begins behind another character, or behind an escape such as a written \n, whose letter isn't base64.
 _EDGE = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/\\])|(?<=\\)(?![nrt]))"
 _BASE64 = re.compile(rf"{_EDGE}[A-Za-z0-9+/]{{{LEAST_LINE},}}+(?:{_BREAK.pattern}[A-Za-z0-9+/]{{{LEAST_LINE},}}+)*+(?:{_BREAK.pattern}[A-Za-z0-9+/]++)?={{0,2}}")
-#: How a SEQUENCE, a length-prefixed algorithm and an OpenSSH frame open in base64.
-_OPENS = ("M", "AAAA", "b3BlbnNzaC1rZXktdjEA")
+_URL_EDGE = _EDGE.replace("+/", r"_\-")
+_BASE64_URL = re.compile(_BASE64.pattern.replace(_EDGE, _URL_EDGE).replace("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
+#: All encoded keys have a run as long as this.
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}")
+#: How a SEQUENCE and an OpenSSH frame open in base64.
+_OPENS = ("M", "b3BlbnNzaC1rZXktdjEA")
 _HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{4,}+)\.[A-Za-z0-9_-]*+")
-_KEY_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _OPENSSH = b"openssh-key-v1\x00"
 _LEAST = {"assign": 6, "access": 20}
 
@@ -74,24 +82,71 @@ def der_ends(data: bytes, at: int, stop: int, depth: int = 0) -> int:
     return end
 
 
+def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
+    """(tag, content) of the fields of a SEQUENCE that spans the bytes and nests well."""
+    if data[:1] != b"\x30" or der_ends(data, 0, len(data)) != len(data):
+        return None
+    at, found = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0), []
+    while at < len(data):
+        end = der_ends(data, at, len(data))
+        body = at + 2 + (data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0)
+        found.append((data[at], data[body:end]))
+        at = end
+    return found
+
+
+# Tags of DER, and the sizes of elliptic private keys in bytes.
+INTEGER, OCTETS, OID, SEQUENCE, FIRST, SECOND = 0x02, 0x04, 0x06, 0x30, 0xA0, 0xA1
+CURVE_BYTES = (14, 16, 20, 21, 24, 28, 29, 30, 32, 36, 48, 52, 64, 66, 72)
+
+
+def _algorithm(content: bytes) -> bool:
+    """Whether the content of a SEQUENCE opens with an object identifier."""
+    return len(content) > 2 and content[0] == OID and 0 < content[1] <= len(content) - 2
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that spans the bytes, holds an INTEGER or a SEQUENCE first, and nests well."""
-    return len(data) >= 24 and data[0] == 0x30 and der_ends(data, 0, len(data)) == len(data) and data[2 + (data[1] & 0x7F if data[1] & 0x80 else 0)] in (0x02, 0x30)
+    """The fields of a private key, by tags, version and sizes."""
+    fields = der_fields(data) if len(data) >= 24 else None
+    if not fields:
+        return False
+    tags, first = [t for t, _ in fields], fields[0][1]
+    if tags == [SEQUENCE, OCTETS]:  # PKCS#8, encrypted: how, and the key
+        return _algorithm(first) and len(fields[1][1]) >= 16
+    if tags[0] != INTEGER or first not in (b"\x00", b"\x01"):
+        return False
+    if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8: version, algorithm, key, attributes, public key
+        return _algorithm(fields[1][1]) and len(fields[2][1]) >= 16 and all(t in (FIRST, SECOND, 0x81) for t in tags[3:])
+    if tags[1:2] == [OCTETS]:  # SEC1: version 1, key, curve, public key
+        return first == b"\x01" and len(fields[1][1]) in CURVE_BYTES and len(tags) > 2 and all(t in (FIRST, SECOND) for t in tags[2:])
+    sizes = [len(c.lstrip(b"\x00")) for _, c in fields]
+    if tags == [INTEGER] * 6:  # DSA: version, p, q, g, public, private
+        return first == b"\x00" and sizes[1] >= 64 and 16 <= sizes[2] <= sizes[1] and sizes[5] <= sizes[2]
+    # PKCS#1: version, modulus, exponents, two primes, their exponents, coefficient, and other primes of version 1
+    rsa = tags[:9] == [INTEGER] * 9 and tags[9:] == ([SEQUENCE] if first == b"\x01" else [])
+    return rsa and sizes[1] >= 32 and sizes[2] <= sizes[1] and max(sizes[4:9]) < sizes[1]
+
+
+def _key_name(field: bytes) -> bool:
+    return field.startswith((b"ssh-", b"ecdsa-sha2-", b"sk-")) and field.isascii() and len(field) <= 64
 
 
 def is_key_blob(data: bytes) -> bool:
-    """Length-prefixed fields that fill the bytes and open with a key algorithm, or an OpenSSH private key's frame."""
-    framed = data.startswith(_OPENSSH)
-    at, fields = len(_OPENSSH) if framed else 0, []
-    while at + 4 <= len(data) and len(fields) < (3 if framed else 64):
+    """The frame of an OpenSSH private key: its cipher, derivation and options, a number of keys, and as far as they are
+    there the first public key, which names its algorithm."""
+    if not data.startswith(_OPENSSH):
+        return False
+    at, fields = len(_OPENSSH), []
+    while len(fields) < 3:
         size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
+        if at + 4 + size + 4 > len(data):
             return False
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    if framed:
-        return len(fields) == 3 and at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
-    return at == len(data) and len(fields) >= 2 and fields[0] in _KEY_NAMES
+    if not 1 <= int.from_bytes(data[at : at + 4], "big") <= 16 or not all(f.isascii() and f for f in fields[:2]):
+        return False
+    name = data[at + 12 : at + 12 + int.from_bytes(data[at + 8 : at + 12], "big")]
+    return at + 12 + 64 > len(data) or _key_name(name)
 
 
 def _url_decoded(part: str) -> bytes | None:
@@ -140,22 +195,20 @@ def _ends(run: str) -> Iterator[tuple[str, int]]:
         if more <= 4:
             yield "der", 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
         return
-    framed = head.startswith(_OPENSSH)
-    if not framed and head[4 : 4 + int.from_bytes(head[:4], "big")] not in _KEY_NAMES:
+    if not head.startswith(_OPENSSH):
         return
     data, found = _decoded(run), []
-    at, fields, most = len(_OPENSSH) if framed else 0, 0, 3 if framed else 64
+    at, fields, most = len(_OPENSSH), 0, 3
     while at + 4 <= len(data) and fields < most:
         at += 4 + int.from_bytes(data[at : at + 4], "big")
         fields += 1
-        if framed and fields == 3:  # the number of keys, the public ones, all private ones in one field
+        if fields == 3:  # the number of keys, the public ones, all private ones in one field
             most += int.from_bytes(data[at : at + 4], "big") + 1
             at += 4
-        if at <= len(data) and (fields == most if framed else fields >= 2):
+        if at <= len(data) and fields == most:
             found.append(at)
     yield from (("keyblob", end) for end in reversed(found))
-    if framed:
-        yield "keyblob", len(data)
+    yield "keyblob", len(data)
 
 
 def _wrapped_keys(run: str) -> Iterator[tuple[str, int, int]]:
@@ -199,10 +252,14 @@ def _token_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
-    for m in _BASE64.finditer(text):
-        if m.end() - m.start() >= LEAST_KEY:
-            found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _wrapped_keys(m[0])]
-    for m in _HEX_ANY.finditer(text):
+    encoded = _LONG.search(text)
+    for pattern in (_BASE64, _BASE64_URL) if encoded else ():
+        for m in pattern.finditer(text):
+            run = m[0]
+            if len(run) < LEAST_KEY or not any(x in run for x in _OPENS) or pattern is _BASE64_URL and not ("-" in run or "_" in run):
+                continue
+            found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _wrapped_keys(run.replace("-", "+").replace("_", "/"))]
+    for m in _HEX_ANY.finditer(text) if encoded else ():
         if kind := _key_kind(bytes.fromhex(m[0])):
             found.append((kind, *m.span()))
     if "ey" in text and "." in text:

@@ -3,17 +3,106 @@
 import base64
 import hashlib
 import json
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from cadenza.llm import secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def der_key():
-    integer = lambda n: b"\x02" + bytes([n]) + b"\x11" * n
-    body = integer(1) + integer(64) + integer(3)
-    return b"\x30" + bytes([len(body)]) + body
+def tlv(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else (b"\x82" + len(body).to_bytes(2, "big"))
+    return bytes([tag]) + size + body
+
+
+def integer(n, byte=b"\x11"):
+    return tlv(2, byte * n)
+
+
+ALGORITHM = tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), tlv(5))
+CURVE = tlv(0xA0, tlv(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07"))
+
+
+def rsa_key(n=256):
+    return tlv(0x30, integer(1, b"\x00"), integer(n), integer(3), integer(n), *[integer(n // 2)] * 5)
+
+
+def private_keys():
+    sec1 = tlv(0x30, integer(1, b"\x01"), tlv(4, b"s" * 32), CURVE, tlv(0xA1, tlv(3, b"\x00" + b"p" * 65)))
+    return {
+        "rsa": rsa_key(),
+        "pkcs8": tlv(0x30, integer(1, b"\x00"), ALGORITHM, tlv(4, rsa_key(128))),
+        "pkcs8 encrypted": tlv(0x30, ALGORITHM, tlv(4, b"e" * 700)),
+        "sec1": sec1,
+        "pkcs8 ed25519": tlv(0x30, integer(1, b"\x00"), tlv(0x30, tlv(6, b"\x2b\x65\x70")), tlv(4, tlv(4, b"s" * 32))),
+        "dsa": tlv(0x30, integer(1, b"\x00"), integer(128), integer(20), integer(128), integer(127), integer(20)),
+        "openssh": openssh_key(),
+    }
+
+
+def look_alikes():
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return {
+        "spki": tlv(0x30, ALGORITHM, tlv(3, b"\x00" + tlv(0x30, integer(256), integer(3)))),
+        "rsa public": tlv(0x30, integer(256), integer(3)),
+        "certificate": tlv(0x30, tlv(0x30, tlv(0xA0, integer(1)), integer(8), ALGORITHM, tlv(0x30, tlv(0x31, ALGORITHM))), ALGORITHM, tlv(3, b"s" * 257)),
+        "octets": tlv(0x30, integer(1, b"\x01"), tlv(4, b"z" * 33)),
+        "octets and no curve": tlv(0x30, integer(1, b"\x01"), tlv(4, b"z" * 32)),
+        "three integers": tlv(0x30, integer(1), integer(64), integer(3)),
+        "eight integers": tlv(0x30, integer(1, b"\x00"), *[integer(64)] * 7),
+        "signature": tlv(0x30, integer(32), integer(32)),
+        "ssh public": field(b"ssh-ed25519") + field(b"k" * 32),
+        "ssh rsa public": field(b"ssh-rsa") + field(b"\x01\x00\x01") + field(b"n" * 257),
+        "length beyond": rsa_key()[:-1],
+        "length short": rsa_key() + b"\x00\x00\x00",
+    }
+
+
+def test_private_keys_and_look_alikes():
+    for encode in (base64.b64encode, base64.urlsafe_b64encode, lambda d: d.hex().encode(), lambda d: d.hex().upper().encode()):
+        for name, data in private_keys().items():
+            data = data[:-9] + b"\xff\xef\xfe\x3e\xfb" + data[-4:] if name == "pkcs8 encrypted" else data  # signs of both alphabets
+            key = encode(data).decode()
+            assert [(a, b) for _, a, b in secrets.confirmed_spans(f"k {key} z")] == [(2, 2 + len(key))], name
+        for name, data in look_alikes().items():
+            assert secrets.confirmed_spans(f"k {encode(data).decode()} z") == [], name
+
+
+def test_no_byte_of_a_wrapped_key_stays():
+    for name, data in private_keys().items():
+        for width in (64, 70, 76):
+            for end in ("\n", "\r\n", "\n  ", "\\n"):
+                key = wrapped(data, width, end)
+                text = f"x{end}-----BEGIN PRIVATE KEY-----{end}{key}{end}-----END PRIVATE KEY-----{end}y"
+                assert secrets.redacted(text) == text.replace(key, "[SECRET]"), (name, width, end)
+
+
+def brute_spans(text):
+    """Every run of one alphabet that decodes whole to a private key, by trying all of them."""
+    found = set()
+    for alphabet, decode in (("A-Za-z0-9+/", base64.b64decode), ("A-Za-z0-9_-", base64.urlsafe_b64decode)):
+        for m in re.finditer(f"[{alphabet}]{{40,}}={{0,2}}", text):
+            data = decode(m[0].rstrip("=") + "=" * (-len(m[0].rstrip("=")) % 4))
+            found |= {("keyblob" if name == "openssh" else "der", *m.span()) for name, key in private_keys().items() if data == key}
+    for m in re.finditer("(?:[0-9a-fA-F]{2}){24,}", text):
+        found |= {("keyblob" if name == "openssh" else "der", *m.span()) for name, key in private_keys().items() if bytes.fromhex(m[0]) == key}
+    return sorted(found, key=lambda s: s[1])
+
+
+def test_added_spans_against_brute_force():
+    rng = random.Random(6)
+    every = [*private_keys().values(), *look_alikes().values(), b"noise" * 30, bytes(range(256))]
+    for _ in range(60):
+        text = ""
+        for _ in range(rng.randrange(1, 8)):
+            encode = rng.choice([base64.b64encode, base64.urlsafe_b64encode, lambda d: d.hex().encode()])
+            text += rng.choice([" word ", "\u00e9 ", " 🙂", "; ", ", a-long-name-of-words-with-hyphens-in-it "]) + encode(rng.choice(every)).decode()
+        text += " end"
+        assert secrets.confirmed_spans(text) == brute_spans(text)
 
 
 def plain_base(text):
@@ -25,14 +114,13 @@ def plain_base(text):
 
 
 def test_base_and_confirmed(spark):
-    key = base64.b64encode(der_key()).decode()
+    key = base64.b64encode(rsa_key(32)).decode()
     part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
     token = f"{part({'alg': 'HS256'})}.{part({'sub': 'x'})}.c2ln"
-    field = lambda b: len(b).to_bytes(4, "big") + b
-    blob = base64.b64encode(field(b"ssh-ed25519") + field(b"k" * 32)).decode()
+    blob = base64.b64encode(openssh_key()).decode()
     texts = [
         None, "", "no secrets here", 'PASSWORD = "hunter22" and token: abc', "é🙂 api_key:abcdef AKIA" + "A1" * 9, "0123456789abcdef01234567 x", f"{key} tail", f"a {token} b", blob,
-        "QUJD" * 20, "30" + "82" * 30, "ſecret=abcdefgh paſſword: abcdefg", "secret=" + "f" * 30, der_key().hex(), "x" * 200_000 + " passwd: 123456", "ey" + "." * 50,
+        "QUJD" * 20, "30" + "82" * 30, "ſecret=abcdefgh paſſword: abcdefg", "secret=" + "f" * 30, rsa_key(32).hex(), "x" * 200_000 + " passwd: 123456", "ey" + "." * 50,
     ]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r for r in secrets.span_report(secrets.scan(docs)).collect()}
@@ -51,12 +139,9 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert out.columns == docs.columns
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "a [SECRET] b", 12), (2, None, None), (3, "clean", 5)}
     assert secrets.span_report(secrets.scan(docs.limit(0))).collect() == []
-
-
-def long_der_key():
-    integer = lambda n: b"\x02\x82" + n.to_bytes(2, "big") + b"\x11" * n
-    body = b"\x02\x01\x00" + b"".join(map(integer, (257, 256, 256, 129, 129)))
-    return b"\x30\x82" + len(body).to_bytes(2, "big") + body
+    clash = docs.withColumns({c: F.lit("password=hunter22") for c in ("spans", "kind", "start", "end")})
+    assert secrets.redact(clash).columns == clash.columns and secrets.redact(clash).first().spans == "password=hunter22"
+    assert secrets.span_report(secrets.scan(clash)).collect() == secrets.span_report(secrets.scan(docs)).collect()
 
 
 def openssh_key(private=301):
@@ -71,15 +156,15 @@ def wrapped(data, width, end):
 
 
 def test_wrapped_keys():
-    for kind, data in (("der", long_der_key()), ("der", b"\x30\x82\x04\x00" + long_der_key()[4:]), ("keyblob", openssh_key()), ("keyblob", openssh_key(302)), ("keyblob", openssh_key(303))):
-        whole = data[:4] == long_der_key()[:4] or kind == "keyblob"
+    for kind, data in (("der", rsa_key()), ("der", b"\x30\x82\x04\x00" + rsa_key()[4:]), ("keyblob", openssh_key()), ("keyblob", openssh_key(302)), ("keyblob", openssh_key(303))):
+        whole = data[:4] == rsa_key()[:4] or kind == "keyblob"
         for width in (64, 70, 76):
             for end in ("\n", "\r\n", "\n    ", "\\n"):
                 key = wrapped(data, width, end)
                 for before, after in (("", ""), (f"-----BEGIN KEY-----{end}", f"{end}-----END KEY-----"), (f"note {'Q' * 64}{end}", ""), ("", end if "=" in key else f"{end}end of it")):
                     want = [(kind, len(before), len(before) + len(key))] if whole else []
                     assert secrets.confirmed_spans(before + key + after) == want, (kind, width, end, before, after)
-    text = f"a\n{wrapped(long_der_key(), 64, chr(10))}\nb"
+    text = f"a\n{wrapped(rsa_key(), 64, chr(10))}\nb"
     assert secrets.redacted(text) == "a\n[SECRET]\nb"
     assert secrets.confirmed_spans("\n".join(["A" * 76] * 20_000)) == []
 
