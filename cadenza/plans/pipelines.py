@@ -79,7 +79,7 @@ def discover(segments: DataFrame, words: DataFrame, answers: DataFrame, rankings
     c = c.withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.5)) if rankings is not None else F.lit(0.5))
 
     c = staged(c, "ranked")
-    texts = c.withColumn("text", F.concat_ws(" ", "hook", "topic"))
+    texts = c.withColumn("text", F.concat_ws(" ", "hook", "topic", "reason"))
     c = c.join(ranking.drop_similar(texts, settings.similar), ["transcript_id", "ord"])
     return staged(ranking.final_scores(c, settings.min_ms, settings.max_ms, settings.scoring_weights), "moments"), rejections
 

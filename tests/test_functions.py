@@ -34,19 +34,54 @@ def test_similarity_calibration(spark):
     assert one(spark, text.lexical_similarity(text.tokens(F.col("a")), text.tokens(F.col("a")), text.trigrams(F.col("a")), text.trigrams(F.col("a"))), a="") == 0.0
 
 
-DAMAGED = ['[{"start": 1}]', '```json\n[{"start": 1}]\n```', 'Sure! [{"start": 1}] ok?', '[{"start": 1,}]', "[{“start”: 1}]", "[{start: 1}]", '{"clips": [{"start": 1}]}', '{"start": 1}', '{"whatever": [{"start": 1}]}', 'x {"moments": [{"start": 1,},]} y']
-
-
-@pytest.mark.parametrize("raw", DAMAGED)
-def test_json_ladder(raw):
-    assert json_recovery.parse_list(raw) == [{"start": 1}]
+#: Damage to a list of one item, by what is wrong with it.
+DAMAGED = {
+    "nothing": '[{"start": 1}]',
+    "a fence": '```json\n[{"start": 1}]\n```',
+    "a bare fence": '```\n[{"start": 1}]\n```',
+    "an open fence": '```json\n[{"start": 1}]',
+    "prose before": 'Here are the best:\n[{"start": 1}]',
+    "prose around": 'Sure! [{"start": 1}] ok? [2]',
+    "comma in an object": '[{"start": 1,}]',
+    "comma in an array": '[{"start": 1} , ]',
+    "typographic quotes": "[{“start”: 1}]",
+    "bare keys": "[{start: 1}]",
+    "no-break spaces": '[\xa0{"start":\xa01}]',
+    "all of it": "x {moments:\xa0[{“start” : 1,},]} y",
+    "a known key": '{"clips": [{"start": 1}], "other": [2]}',
+    "one item": '{"start": 1}',
+    "an unknown key": '{"whatever": [{"start": 1}]}',
+    "an object in prose": 'best: {"start": 1} fine',
+    "an object in a fence": 'see [here\n```json\n{"start": 1}\n```',
+}
+
+
+@pytest.mark.parametrize("raw", DAMAGED.values(), ids=DAMAGED.keys())
+def test_damaged_lists(raw):
+    assert json_recovery.read_list(raw) == [{"start": 1}]
+
+
+def test_values_that_are_read():
+    read = json_recovery.read
+    assert read('say: [{"hook": "a ] \\" } b"}] end') == [{"hook": 'a ] " } b'}]
+    assert read('before {"hook": "he said {this} aloud", "n": 1} after') == {"hook": "he said {this} aloud", "n": 1}
+    assert read('{"a": –5, "b": "x – y", "c": [1.5e—2]}') == {"a": -5, "b": "x - y", "c": [0.015]}
+    assert read('{"a": "x – “y”"}') == {"a": "x – “y”"}  # nothing had to be mended
+    assert read("{“a”: “it’s”,}") == {"a": "it's"}
+    assert read('at [10.0] there is {"a": 1}') == [10.0]
+    assert read('{"a": 1, "a": 2, "b": [true, false, null, -0.5E+1, 0]}') == {"a": 2, "b": [True, False, None, -5.0, 0]}
+    assert str(read("[NaN, -Infinity]")) == "[nan, -inf]" and read('"only text"') == "only text"
+    for raw in ("", None, " \n", "prose only", "[1, 2", '{"a" 1}', "[" * 5000, '["open', "{“a”: “open}", "[01]", "[1,,]", '["line\nbreak"]'):
+        with pytest.raises(json_recovery.NoJson):
+            read(raw)
+    with pytest.raises(json_recovery.NoJson, match="totally broken"):
+        read("totally broken output")
 
 
-def test_json_strings_keep_their_brackets():
-    assert json_recovery.parse_list('say: [{"hook": "a ] \\" } b"}] end') == [{"hook": 'a ] " } b'}]
-    for raw in ("", None, "prose only", "42"):
+def test_what_is_no_list():
+    for raw in ("42", '"x"', '{"a": 1}', '{"a": [1], "b": [2]}', "prose"):
         with pytest.raises(json_recovery.NoJson):
-            json_recovery.parse_list(raw)
+            json_recovery.read_list(raw)
 
 
 @pytest.mark.parametrize("raw,rate", [("30000/1001", 30000 / 1001), ("25/1", 25.0), ("29.97", 29.97), ("0/0", None), ("N/A", None), (None, None), ("30/0", None)])
