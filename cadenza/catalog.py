@@ -145,17 +145,57 @@ def span_excerpts(spark, sf_dir):
     return transcript.excerpt(tables.words(tables.segments(spark, sf_dir)), spans, 120)
 
 
-@query()
+WINDOWS_SQL = f"""WITH RECURSIVE {tables.SEGMENTS_SQL},
+s0 AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY seg_idx) - 1 AS idx, start_ms, end_ms, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, greatest(1, length(text) // 4) + 8 AS cost
+  FROM segments WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
+s AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY transcript_id ORDER BY idx) AS BIGINT) AS upto, count(*) OVER (PARTITION BY transcript_id) AS n FROM s0),
+ahead AS (SELECT a.transcript_id, a.idx, min(b.idx) AS stop FROM s a JOIN s b ON a.transcript_id = b.transcript_id AND b.idx > a.idx AND b.upto - a.upto + a.cost > 300 GROUP BY 1, 2),
+chain AS (SELECT transcript_id, 0::BIGINT AS "window", 0::BIGINT AS first_idx FROM s WHERE idx = 0
+  UNION ALL SELECT c.transcript_id, c."window" + 1, greatest(c.first_idx + 1, a.stop - 2) FROM chain c JOIN ahead a ON c.transcript_id = a.transcript_id AND c.first_idx = a.idx),
+wins AS (SELECT c.transcript_id, c."window", c.first_idx, coalesce(a.stop, f.n) - 1 AS last_idx, f.start_ms, f.n FROM chain c JOIN s f ON c.transcript_id = f.transcript_id AND c.first_idx = f.idx
+  LEFT JOIN ahead a ON c.transcript_id = a.transcript_id AND c.first_idx = a.idx),
+texts AS (SELECT w.transcript_id, w."window", string_agg(printf('[%.1f] %s', s.start_ms / 1000.0, s.text), chr(10) ORDER BY s.idx) AS text FROM wins w JOIN s ON w.transcript_id = s.transcript_id AND s.idx BETWEEN w.first_idx AND w.last_idx GROUP BY 1, 2)"""
+
+
+@query(f"""{WINDOWS_SQL} SELECT w.transcript_id, w."window", w.first_idx, w.last_idx, w.start_ms, l.end_ms FROM wins w JOIN s l ON w.transcript_id = l.transcript_id AND w.last_idx = l.idx""")
 def token_windows(spark, sf_dir):
     return windows.token_windows(tables.segments(spark, sf_dir), 300)
 
 
-@query()
+@query(f"{WINDOWS_SQL} SELECT * FROM texts")
 def window_texts(spark, sf_dir):
     segs = tables.segments(spark, sf_dir)
     return windows.window_text(windows.token_windows(segs, 300), segs)
 
 
+def _heard(spark, sf_dir):
+    """Chunks of 30 s, and the segments and words that each hears; every seventh segment has no words."""
+    segs = tables.segments(spark, sf_dir)
+    chunks = transcript.plan_chunks(media_of(segs), 30_000)
+    reads = chunks.select("transcript_id", "chunk", "read_start_ms", "read_end_ms")
+    heard = transcript.in_spans(segs, F.col("start_ms"), reads, "read_start_ms", "read_end_ms").select("transcript_id", "chunk", "seg_idx", "start_ms", "end_ms", "text")
+    return chunks, heard, tables.words(segs).filter("seg_idx % 7 <> 3").join(heard.select("transcript_id", "chunk", "seg_idx"), ["transcript_id", "seg_idx"])
+
+
+@query(f"""WITH {MEDIA_SQL}, {CHUNKS_SQL},
+heard AS (SELECT s.transcript_id, c.chunk, s.seg_idx, s.start_ms, s.end_ms, s.text, c.commit_start_ms - 0.001 AS lo, CASE WHEN is_last THEN 1e18 ELSE c.commit_end_ms - 0.001 END AS hi FROM segments s JOIN chunks c
+  ON s.transcript_id = c.transcript_id AND s.start_ms >= read_start_ms AND s.start_ms < read_end_ms),
+m AS (SELECT h.transcript_id, h.chunk, h.seg_idx, arg_min(w.start_ms, word_idx) AS start_ms, arg_max(w.end_ms, word_idx) AS end_ms, string_agg(w.text, ' ' ORDER BY word_idx) AS text
+  FROM heard h JOIN words w ON h.transcript_id = w.transcript_id AND h.seg_idx = w.seg_idx WHERE h.seg_idx % 7 <> 3 AND (w.start_ms + w.end_ms) / 2 >= lo AND (w.start_ms + w.end_ms) / 2 < hi GROUP BY 1, 2, 3
+  UNION ALL SELECT transcript_id, chunk, seg_idx, start_ms, end_ms, text FROM heard WHERE seg_idx % 7 = 3 AND (start_ms + end_ms) / 2 >= lo AND (start_ms + end_ms) / 2 < hi)
+SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY start_ms, chunk, seg_idx) - 1 AS seg_idx, chunk, start_ms, end_ms, text FROM m""")
+def merged_segments(spark, sf_dir):
+    return transcript.merge_segments(*_heard(spark, sf_dir))
+
+
+@query(f"""WITH {MEDIA_SQL}, {CHUNKS_SQL}
+SELECT transcript_id, arg_max(CASE chunk % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'unknown' END, struct_pack(l := read_end_ms - read_start_ms, c := -chunk)) AS language FROM chunks GROUP BY 1""")
+def spoken_language(spark, sf_dir):
+    chunks = transcript.plan_chunks(media_of(tables.segments(spark, sf_dir)), 30_000)
+    heard = chunks.select("transcript_id", "chunk", F.when(F.col("chunk") % 3 == 0, "en").when(F.col("chunk") % 3 == 1, "de").alias("language"))
+    return transcript.spoken_language(chunks, heard)
+
+
 # ---------------------------------------------------------------- text functions
 
 CLEAN_SQL = r"""lower(regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '^["''“”‘’]+|["''“”‘’]+$', '', 'g'), '[,.!?;:]+$', '', 'g'))"""
@@ -344,6 +384,20 @@ def solve_boundaries(spark, sf_dir):
     return boundaries.solve(f, tables.anchors(spark, sf_dir)).select("transcript_id", "ord", "anchor_ms", "start_idx", "end_idx", "start_ms", "end_ms", "total")
 
 
+@query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL}, {SOLVED_SQL.format(anchors='anchors')},
+named0 AS (SELECT transcript_id, seg_idx, arg_min(CASE WHEN coalesce(c || ' ' || c2 || ' ' || c3 IN {_in(lexicon.WEAK_OPENING_PHRASES)}, false) THEN c || ' ' || c2 || ' ' || c3 WHEN coalesce(c || ' ' || c2 IN {_in(lexicon.WEAK_OPENING_PHRASES)}, false) THEN c || ' ' || c2 ELSE c END, word_idx) AS o,
+  arg_max(c, word_idx) AS l FROM cx GROUP BY 1, 2),
+named AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY seg_idx) - 1 AS idx FROM named0)
+SELECT s.transcript_id, s.ord, concat_ws(' | ', CASE WHEN opener = 0.75 THEN printf('opens on ''%s'', forgiven by %.1fs pause', a.o, f.pause_ms / 1000.0) WHEN opener = 0.15 THEN printf('opens on ''%s'' with only %.1fs before it', a.o, f.pause_ms / 1000.0)
+  WHEN opener = 0 THEN 'opens on subordinate ''' || a.o || ''' — refers to unseen context' END, CASE WHEN s.starts_sentence = 0 THEN 'starts mid-sentence' END, CASE WHEN s.ends_sentence = 0 THEN 'does not end on a sentence' END,
+  CASE WHEN not_dangling = 0 THEN 'ends on ''' || b.l || '''' END, CASE WHEN filler_ratio > 0.12 THEN printf('%.0f%% filler words', filler_ratio * 100) END) AS notes
+FROM solved s JOIN named a ON s.transcript_id = a.transcript_id AND s.start_idx = a.idx JOIN named b ON s.transcript_id = b.transcript_id AND s.end_idx = b.idx JOIN feats f ON s.transcript_id = f.transcript_id AND s.start_idx = f.idx""")
+def boundary_notes(spark, sf_dir):
+    _, _, f = _features(spark, sf_dir)
+    noted = boundaries.boundary_notes(boundaries.solve(f, tables.anchors(spark, sf_dir)), f)
+    return noted.select("transcript_id", "ord", F.array_join("notes", " | ").alias("notes"))
+
+
 PAD_SQL = """padded AS (SELECT s.*, media_ms, (SELECT max(w.end_ms) FROM words w WHERE w.transcript_id = s.transcript_id AND w.end_ms <= s.start_ms) AS before_ms,
   (SELECT min(w.start_ms) FROM words w WHERE w.transcript_id = s.transcript_id AND w.start_ms >= s.end_ms) AS after_ms FROM {spans} s JOIN media m ON s.transcript_id = m.transcript_id)"""
 PAD_BY_SQL = "CASE WHEN {0} <= 0 THEN 80.0 ELSE least({1}, greatest(80.0, ({0}) / 2)) END::DOUBLE"
@@ -370,7 +424,7 @@ def even_anchors(spark, sf_dir):
 
 
 @query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL}, {EVEN_SQL},
-found AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY ord) AS ord, anchor_ms::DOUBLE AS anchor_ms, 'discovered' AS strategy FROM anchors WHERE ord % 20 = 0),
+found AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY ord) AS ord, anchor_ms::DOUBLE AS anchor_ms, 'discovered' AS strategy FROM anchors),
 tops AS (SELECT e.transcript_id, (1::BIGINT << 40) + n AS ord, e.anchor_ms, 'even' AS strategy FROM even e WHERE (SELECT count(*) FROM found f WHERE f.transcript_id = e.transcript_id) < 5
   AND NOT EXISTS (SELECT 1 FROM found f WHERE f.transcript_id = e.transcript_id AND abs(f.anchor_ms - e.anchor_ms) <= 25000)),
 every AS (SELECT * FROM found UNION ALL SELECT * FROM tops),
@@ -385,7 +439,7 @@ SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY sta
   CASE WHEN allowance > 0 THEN least(media_ms::DOUBLE, end_ms + {PAD_BY_SQL.format(TRAIL_SQL, "allowance")}) ELSE end_ms END::DOUBLE AS end_ms, total AS boundary_score FROM allowed""")
 def select_clips(spark, sf_dir):
     segs, w, f = _features(spark, sf_dir)
-    return selection.select_clips(f, w, media_of(segs), tables.anchors(spark, sf_dir).filter("ord % 20 = 0"))
+    return selection.select_clips(f, w, media_of(segs), tables.anchors(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- ranking
@@ -461,10 +515,25 @@ def caption_events(spark, sf_dir):
     return captions.caption_events(captions.caption_lines(_clip_words(spark, sf_dir))).select("clip_id", "line", "w", "start_ms", "end_ms")
 
 
-@query()
+def _time_sql(ms: str) -> str:
+    return f"printf('%d:%02d:%05.2f', {ms} // 3600000, {ms} // 60000 % 60, ({ms} % 60000) / 1000.0)"
+
+
+_STYLE = captions.Style()
+
+
+@query(f"""{LINES_SQL},
+spans AS (SELECT clip_id, line, arg_max(end_ms, w) + 350 AS held, arg_min(start_ms, w) AS first_start FROM lines GROUP BY 1, 2),
+ends AS (SELECT clip_id, line, least(held, coalesce(lead(first_start) OVER (PARTITION BY clip_id ORDER BY line), held)) AS line_end FROM spans),
+e AS (SELECT l.clip_id, l.line, l.w, l.start_ms, coalesce(lead(l.start_ms) OVER (PARTITION BY l.clip_id, l.line ORDER BY l.w), line_end) AS end_ms FROM lines l JOIN ends USING (clip_id, line)),
+x AS (SELECT clip_id, line, w, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '{{', chr(92) || '{{'), '}}', chr(92) || '}}'), chr(10), ' ') AS t FROM lines),
+d AS (SELECT e.clip_id, e.w, 'Dialogue: 0,' || {_time_sql("any_value(e.start_ms)")} || ',' || {_time_sql("any_value(e.end_ms)")} || ',Main,,0,0,0,,' ||
+  string_agg(CASE WHEN x.w = e.w THEN '{{' || chr(92) || 'c{_STYLE.highlight}' || chr(92) || 't(0,120,' || chr(92) || 'fscx112' || chr(92) || 'fscy112)}}' || t || '{{' || chr(92) || 'c{_STYLE.primary}' || chr(92) || 'fscx100' || chr(92) || 'fscy100}}' ELSE t END, ' ' ORDER BY x.w) AS s
+  FROM e JOIN x ON e.clip_id = x.clip_id AND e.line = x.line GROUP BY 1, 2)
+SELECT clip_id, '{captions.header()}' || string_agg(s, chr(10) ORDER BY w) || chr(10) AS document FROM d GROUP BY 1""")
 def caption_documents(spark, sf_dir):
     lines = captions.caption_lines(_clip_words(spark, sf_dir))
-    return captions.documents(captions.dialogue(captions.caption_events(lines), lines), "[Events]\n")
+    return captions.documents(captions.dialogue(captions.caption_events(lines), lines), captions.header())
 
 
 # ---------------------------------------------------------------- media, keys, lists, jobs
@@ -500,6 +569,14 @@ def crop_geometry(spark, sf_dir):
     return tables.table(spark, sf_dir, "part").select(k.alias("id"), m.crop(640 + k % 3 * 640, 360 + k % 5 * 360).alias("c")).select("id", "c.*")
 
 
+@query("""WITH s AS (SELECT p_partkey AS id, 640 + p_partkey % 3 * 640 AS iw, 360 + p_partkey % 5 * 360 AS ih FROM part),
+c AS (SELECT id, CAST(floor(iw * least(1080.0::DOUBLE / iw, 1920.0::DOUBLE / ih) + 1e-9::DOUBLE) AS BIGINT) AS w, CAST(floor(ih * least(1080.0::DOUBLE / iw, 1920.0::DOUBLE / ih) + 1e-9::DOUBLE) AS BIGINT) AS h FROM s)
+SELECT id, w, h, (1080 - w) // 2 AS x, (1920 - h) // 2 AS y FROM c""")
+def fit_geometry(spark, sf_dir):
+    k = F.col("p_partkey")
+    return tables.table(spark, sf_dir, "part").select(k.alias("id"), m.reframe("fit", 640 + k % 3 * 640, 360 + k % 5 * 360).alias("c")).select("id", "c.*")
+
+
 @query("""SELECT o_orderkey AS clip_id, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND abs(o_orderkey % 4 - 1.5) <= 1.0 AND o_orderkey % 11 <> 0 AS qc_ok,
   (o_orderkey % 5 = 0)::INT + (o_orderkey % 7 = 0)::INT + (abs(o_orderkey % 4 - 1.5) > 1.0)::INT + (o_orderkey % 11 = 0)::INT AS n_issues FROM orders""")
 def quality_check(spark, sf_dir):
@@ -531,6 +608,30 @@ def project_counts(spark, sf_dir):
     return readers.clip_counts(projects, tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id")))
 
 
+@query("""SELECT event_id AS job_id, CASE WHEN value > 97 THEN 'COMPLETED' WHEN value < 1 THEN 'FAILED' WHEN value < 20 THEN 'QUEUED' ELSE 'FAILED' END AS status,
+  CASE WHEN value >= 20 AND value <= 97 THEN 'Interrupted by a restart.' END AS error FROM events""")
+def jobs_recovered(spark, sf_dir):
+    e = _job_events(spark, sf_dir).select(F.col("seq").alias("job_id"), "status", F.lit(None).cast("string").alias("error"))
+    return jobs.recover(e)
+
+
+@query("""SELECT event_id AS seq, round(least(1.0, (event_id * 10007 % 90000000) / 1e6 / 60.0), 8) AS progress FROM events WHERE event_id % 3 = 0""")
+def encoder_progress(spark, sf_dir):
+    k = F.col("event_id")
+    value = F.when(k % 3 == 0, F.concat(F.lit("out_time_us="), (k * 10007 % 90_000_000).cast("string"))).when(k % 3 == 1, "out_time_us=N/A").otherwise("fps=30")
+    lines = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), k.alias("seq"), value.alias("value"))
+    return jobs.progress_lines(lines, F.lit(60.0)).select("seq", F.round("progress", 8).alias("progress"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS project_id, o_orderkey AS clip_id FROM orders)
+SELECT project_id, clip_id FROM c WHERE project_id % 4 <> 0 AND project_id % 5 <> 0 UNION ALL SELECT c_custkey, -c_custkey FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 5 <> 0""")
+def clips_replaced(spark, sf_dir):
+    clips = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("clip_id"))
+    projects = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
+    new = projects.filter("project_id % 4 = 0").select("project_id", (-F.col("project_id")).alias("clip_id"))
+    return readers.without_project(readers.replace_by_project(clips, new), projects.filter("project_id % 5 = 0"))
+
+
 def _job_events(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events")
     status = F.when(F.col("value") > 97, "COMPLETED").when(F.col("value") < 1, "FAILED").when(F.col("value") < 20, "QUEUED").otherwise("PROCESSING")
@@ -576,7 +677,9 @@ def generate_clips(spark, sf_dir):
     return pipelines.generate_clips(segs, w, media_of(segs), moments)
 
 
-@query()
+@query(f"""{WINDOWS_SQL},
+p AS (SELECT transcript_id, "window", 'Find the best moments of 25 to 60 seconds. Categories: {", ".join(sorted(lexicon.CATEGORIES))}.' || chr(10) || chr(10) || text AS prompt FROM texts)
+SELECT *, CASE WHEN greatest(1, length(prompt) // 4) + 768 > 0.9 * 8192 THEN printf('needs %d tokens of %d', greatest(1, length(prompt) // 4) + 768, 8192) END AS budget_issue FROM p""")
 def discovery_prompts(spark, sf_dir):
     return pipelines.prompts(tables.segments(spark, sf_dir), pipelines.Settings(window_tokens=300))
 

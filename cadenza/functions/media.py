@@ -51,6 +51,21 @@ def crop(width: Column, height: Column, out_width: int = 1080, out_height: int =
     return F.struct(w.alias("w"), h.alias("h"), F.floor((width - w) / 2).cast("long").alias("x"), F.floor((height - h) / 2).cast("long").alias("y"))
 
 
+def fit(width: Column, height: Column, out_width: int = 1080, out_height: int = 1920) -> Column:
+    """The whole picture within the target, centred on a fill of it: (w, h, x, y) in the target, whole pixels."""
+    scale = F.least(F.lit(float(out_width)) / width, F.lit(float(out_height)) / height)
+    w, h = (F.floor(side * scale + 1e-9).cast("long") for side in (width, height))
+    return F.struct(w.alias("w"), h.alias("h"), F.floor((F.lit(out_width) - w) / 2).cast("long").alias("x"), F.floor((F.lit(out_height) - h) / 2).cast("long").alias("y"))
+
+
+def reframe(strategy: str, width: Column, height: Column, out_width: int = 1080, out_height: int = 1920) -> Column:
+    """crop() for "center", fit() for "fit"."""
+    kinds = {"center": crop, "fit": fit}
+    if strategy not in kinds:
+        raise ValueError(f"unknown strategy {strategy!r}: {' or '.join(kinds)}")
+    return kinds[strategy](width, height, out_width, out_height)
+
+
 def quality_issues(expected: Column, found: Column, width: Column, height: Column, has_video: Column, has_audio: Column, out_width: int = 1080, out_height: int = 1920) -> Column:
     """What is wrong with a rendered clip, as a list."""
     return F.array_compact(

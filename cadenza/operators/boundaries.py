@@ -31,6 +31,12 @@ def opener_class(first: Column, second: Column, third: Column) -> Column:
     )
 
 
+def opener_text(first: Column, second: Column, third: Column) -> Column:
+    """The words that opener_class() goes by."""
+    three, two = F.concat_ws(" ", first, second, third), F.concat_ws(" ", first, second)
+    return F.when(third.isNotNull() & three.isin(lexicon.WEAK_OPENING_PHRASES), three).when(second.isNotNull() & two.isin(lexicon.WEAK_OPENING_PHRASES), two).otherwise(first)
+
+
 def segment_features(segments: DataFrame, words: DataFrame) -> DataFrame:
     """Per segment with words, numbered anew as idx: its bounds, its words' bounds, opener class, sentence ends, and
     prefix sums of words, fillers and filler phrases."""
@@ -57,6 +63,8 @@ def segment_features(segments: DataFrame, words: DataFrame) -> DataFrame:
         F.col("head.start_ms").alias("first_ms"),
         F.col("tail.end_ms").alias("last_ms"),
         opener_class(F.col("head.c"), F.col("head.c2"), F.col("head.c3")).alias("opener_kind"),
+        opener_text(F.col("head.c"), F.col("head.c2"), F.col("head.c3")).alias("opener_text"),
+        F.col("tail.c").alias("closer_text"),
         F.coalesce(F.greatest(F.lit(0), F.col("start_ms") - F.lag("end_ms").over(by_order)) + 0 * F.lag("end_ms").over(by_order), F.lit(NO_GAP_MS)).alias("pause_ms"),
         F.coalesce(ends_sentence(F.lag("text").over(by_order)), F.lit(True)).alias("starts_sentence"),
         ends_sentence(F.col("text")).alias("ends_sentence"),
@@ -88,22 +96,32 @@ def weighted_total(weights: dict[str, float], columns: dict[str, str] | None = N
     return rounded(total / F.lit(max(1e-9, sum(weights.values()))))
 
 
-def scored_pairs(features: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000, weights: dict[str, float] | None = None) -> DataFrame:
-    """Every pair of segments whose span is of legal length, with six components and their weighted total.
+def scored_pairs(features: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000, weights: dict[str, float] | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """Every pair of segments whose span is of legal length, with six components and their weighted total; with starts
+    (transcript_id, start_idx) the pairs that start there.
 
-    An end is out of reach once an earlier end has passed the longest length (a running maximum)."""
+    An end is out of reach once an earlier one, from the start segment on, has passed the longest length."""
     weights = weights or lexicon.BOUNDARY_WEIGHTS
-    a = features.select("transcript_id", F.col("idx").alias("start_idx"), *[F.col(c).alias(f"a_{c}") for c in ("start_ms", "first_ms", "opener_kind", "pause_ms", "starts_sentence", "words_to", "singles_to", "phrases_to", "n", "singles", "phrases")])
-    reach = Window.partitionBy("transcript_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    b = features.withColumn("top_ms", F.max("end_ms").over(reach)).select(
-        "transcript_id", F.col("idx").alias("end_idx"), "top_ms", *[F.col(c).alias(f"b_{c}") for c in ("end_ms", "last_ms", "ends_sentence", "dangling", "tail_phrase", "words_to", "singles_to", "phrases_to")]
+    before = Window.partitionBy("transcript_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    f = features.withColumn("top_ms", F.coalesce(F.max("end_ms").over(before), F.lit(-(1 << 62))))
+    a = f.select("transcript_id", F.col("idx").alias("start_idx"), *[F.col(c).alias(f"a_{c}") for c in ("start_ms", "first_ms", "opener_kind", "pause_ms", "starts_sentence", "words_to", "singles_to", "phrases_to", "n", "singles", "phrases", "top_ms")])
+    a = a if starts is None else a.join(starts.select("transcript_id", "start_idx").distinct(), ["transcript_id", "start_idx"], "left_semi")
+    b = f.select(
+        "transcript_id", F.col("idx").alias("end_idx"), F.col("top_ms").alias("b_top_ms"), *[F.col(c).alias(f"b_{c}") for c in ("end_ms", "last_ms", "ends_sentence", "dangling", "tail_phrase", "words_to", "singles_to", "phrases_to")]
     )
+    # The running maximum at an end tells whether it is in reach, but where a segment before the start ends that late
+    # already. Such starts are few, and meet all segments from them on.
+    odd = F.col("a_top_ms") > F.col("a_start_ms") + max_ms
+    ends = features.select("transcript_id", F.col("idx").alias("k"), F.col("end_ms").alias("k_end"))
+    late = a.filter(odd).select("transcript_id", "start_idx", "a_start_ms").join(ends, "transcript_id").filter((F.col("k") >= F.col("start_idx")) & (F.col("k_end") > F.col("a_start_ms") + max_ms))
+    a = a.join(late.groupBy("transcript_id", "start_idx").agg(F.min("k").alias("stop_idx")), ["transcript_id", "start_idx"], "left")
     width = max(1, max_ms)
     a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("a_start_ms") + min_ms) / width), F.floor((F.col("a_start_ms") + max_ms) / width))))
     b = b.withColumn("bucket", F.floor(F.col("b_end_ms") / width))
     span = F.col("b_end_ms") - F.col("a_start_ms")
     pairs = a.join(b, ["transcript_id", "bucket"]).filter((F.col("end_idx") >= F.col("start_idx")) & (span >= min_ms) & (span <= max_ms))
-    # top_ms runs from the transcript's start; an end before the start segment that reaches beyond is rare and checked exactly.
+    in_reach = F.when(odd, F.coalesce(F.col("end_idx") < F.col("stop_idx"), F.lit(True))).otherwise(F.col("b_top_ms") <= F.col("a_start_ms") + max_ms)
+    pairs = pairs.filter(in_reach)
     n_words = F.col("b_words_to") - F.col("a_words_to") + F.col("a_n")
     singles = F.col("b_singles_to") - F.col("a_singles_to") + F.col("a_singles")
     phrases = F.col("b_phrases_to") - F.col("a_phrases_to") + F.col("a_phrases") - F.col("b_tail_phrase")
@@ -119,8 +137,6 @@ def scored_pairs(features: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000
         "start_idx",
         "end_idx",
         F.col("a_start_ms").alias("origin_ms"),
-        F.col("b_end_ms").alias("close_ms"),
-        "top_ms",
         F.col("a_first_ms").alias("start_ms"),
         F.col("b_last_ms").alias("end_ms"),
         opener.alias("opener"),
@@ -131,27 +147,60 @@ def scored_pairs(features: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000
         duration_fit(F.col("b_last_ms") - F.col("a_first_ms"), min_ms, max_ms).alias("duration_fit"),
         ratio.alias("filler_ratio"),
     )
-    return _within_reach(scored, features, max_ms).withColumn("total", weighted_total(weights))
+    return scored.withColumn("total", weighted_total(weights))
+
+
+def boundary_notes(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """pairs of scored_pairs() or solve() with notes: what speaks against a boundary, as a list."""
+    opens = features.select("transcript_id", F.col("idx").alias("start_idx"), "opener_text", (F.col("pause_ms") / 1000).alias("pause"))
+    closes = features.select("transcript_id", F.col("idx").alias("end_idx"), "closer_text")
+    met = pairs.join(opens, ["transcript_id", "start_idx"]).join(closes, ["transcript_id", "end_idx"])
+    # The texts of notes are part of the result.
+    notes = F.array(
+        F.when(F.col("opener") == 0.75, F.format_string("opens on '%s', forgiven by %.1fs pause", "opener_text", "pause")),
+        F.when(F.col("opener") == 0.15, F.format_string("opens on '%s' with only %.1fs before it", "opener_text", "pause")),
+        F.when(F.col("opener") == 0.0, F.format_string("opens on subordinate '%s' — refers to unseen context", "opener_text")),
+        F.when(F.col("starts_sentence") == 0.0, F.lit("starts mid-sentence")),
+        F.when(F.col("ends_sentence") == 0.0, F.lit("does not end on a sentence")),
+        F.when(F.col("not_dangling") == 0.0, F.format_string("ends on '%s'", "closer_text")),
+        F.when(F.col("filler_ratio") > 0.12, F.format_string("%.0f%% filler words", F.col("filler_ratio") * 100)),
+    )
+    return met.withColumn("notes", F.array_compact(notes)).drop("opener_text", "closer_text", "pause")
 
 
-def _within_reach(pairs: DataFrame, features: DataFrame, max_ms: int) -> DataFrame:
-    """Pairs before whose end no segment from the start on ends later than allowed."""
-    suspect = pairs.filter(F.col("top_ms") > F.col("origin_ms") + max_ms).select("transcript_id", "start_idx", "end_idx", "origin_ms")
-    ends = features.select("transcript_id", F.col("idx").alias("k"), F.col("end_ms").alias("k_end"))
-    broken = suspect.join(ends, "transcript_id").filter((F.col("k") >= F.col("start_idx")) & (F.col("k") < F.col("end_idx")) & (F.col("k_end") > F.col("origin_ms") + max_ms))
-    return pairs.join(broken.select("transcript_id", "start_idx", "end_idx").distinct(), ["transcript_id", "start_idx", "end_idx"], "left_anti").drop("top_ms", "close_ms")
+def starts_near(features: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(transcript_id, ord, anchor_ms, start_idx): the segments that start within reach of an anchor, or the nearest one.
+
+    Both meet in buckets of the reach. The nearest is the last start before or the first after an anchor that has none."""
+    reach_ms = SEARCH_BACK_MS + SEARCH_FORWARD_MS
+    starts = features.select("transcript_id", F.col("idx").alias("start_idx"), F.col("start_ms").alias("origin"))
+    points = anchors.select("transcript_id", "ord", "anchor_ms")
+    low, high = F.col("anchor_ms") - SEARCH_BACK_MS, F.col("anchor_ms") + SEARCH_FORWARD_MS
+    dealt = points.withColumn("bucket", F.explode(F.sequence(F.floor(low / reach_ms), F.floor(high / reach_ms))))
+    met = dealt.join(starts.withColumn("bucket", F.floor(F.col("origin") / reach_ms)), ["transcript_id", "bucket"])
+    reach = met.filter((F.col("origin") >= low) & (F.col("origin") <= high)).select("transcript_id", "ord", "anchor_ms", "start_idx")
+    lost = points.join(reach.select("transcript_id", "ord").distinct(), ["transcript_id", "ord"], "left_anti")
+    # Of segments that start at one time the first counts.
+    firsts = starts.join(lost.select("transcript_id").distinct(), "transcript_id", "left_semi").groupBy("transcript_id", "origin").agg(F.min("start_idx").alias("start_idx"))
+    none = F.lit(None)
+    line = firsts.select("transcript_id", F.col("origin").cast("double").alias("at"), none.cast("long").alias("ord"), none.cast("double").alias("anchor_ms"), F.struct("origin", "start_idx").alias("s")).unionByName(
+        lost.select("transcript_id", F.col("anchor_ms").cast("double").alias("at"), "ord", F.col("anchor_ms").cast("double").alias("anchor_ms"), none.cast("struct<origin:bigint,start_idx:bigint>").alias("s"))
+    )
+    order = Window.partitionBy("transcript_id").orderBy("at")
+    before = F.last("s", True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("s", True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    both = line.select("*", before.alias("before"), after.alias("after")).filter("ord is not null")
+    each = F.transform(F.array_compact(F.array("before", "after")), lambda s: F.struct(F.abs(s["origin"] - F.col("anchor_ms")).alias("d"), s["start_idx"].alias("start_idx")))
+    nearest = both.select("transcript_id", "ord", "anchor_ms", F.array_min(each)["start_idx"].alias("start_idx")).filter("start_idx is not null")
+    kind = dict(reach.dtypes)["anchor_ms"]
+    return reach.unionByName(nearest.withColumn("anchor_ms", F.col("anchor_ms").cast(kind)))
 
 
 def solve(features: DataFrame, anchors: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000, weights: dict[str, float] | None = None) -> DataFrame:
     """The best pair near each anchor (transcript_id, ord, anchor_ms): of the first MOST_PAIRS pairs by start and end
     index whose start lies within reach of the anchor (else at the nearest segment), the first of the highest total."""
-    pairs = scored_pairs(features, min_ms, max_ms, weights)
-    starts = features.select("transcript_id", F.col("idx").alias("start_idx"), F.col("start_ms").alias("origin"))
-    near = anchors.select("transcript_id", "ord", "anchor_ms").join(starts, "transcript_id")
-    reach = near.filter((F.col("origin") >= F.col("anchor_ms") - SEARCH_BACK_MS) & (F.col("origin") <= F.col("anchor_ms") + SEARCH_FORWARD_MS))
-    lost = anchors.select("transcript_id", "ord", "anchor_ms").join(reach.select("transcript_id", "ord").distinct(), ["transcript_id", "ord"], "left_anti")
-    nearest = lost.join(starts, "transcript_id").groupBy("transcript_id", "ord", "anchor_ms").agg(F.min(F.struct(F.abs(F.col("origin") - F.col("anchor_ms")).alias("d"), "start_idx")).alias("m"))
-    tried = reach.select("transcript_id", "ord", "anchor_ms", "start_idx").unionByName(nearest.select("transcript_id", "ord", "anchor_ms", "m.start_idx"))
+    tried = starts_near(features, anchors)
+    pairs = scored_pairs(features, min_ms, max_ms, weights, tried)
     met = tried.join(pairs, ["transcript_id", "start_idx"])
     by_order = Window.partitionBy("transcript_id", "ord").orderBy("start_idx", "end_idx")
     counted = met.withColumn("n", F.row_number().over(by_order)).filter(F.col("n") <= MOST_PAIRS)

@@ -47,6 +47,7 @@ def parse(responses: DataFrame, words: DataFrame, min_ms: int = 25_000, max_ms:
     spans = timed.filter("start_ms is not null").select("transcript_id", "ord", "start_ms", "end_ms")
     snapped = timed.join(snap(spans, words).drop("start_ms", "end_ms"), ["transcript_id", "ord"], "left")
     length = F.col("snapped_end_ms") - F.col("snapped_start_ms")
+    # The texts of reasons and issues are part of the result.
     reason = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(~F.col("is_object"), F.concat(F.lit("not an object: "), F.left("shown", F.lit(60))))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import caption_escape, caption_time, stripped
 
@@ -19,37 +22,46 @@ class Style:
     max_line_ms: int = 3_000
     hold_ms: int = 350
     scale_percent: int = 112
+    # Colours (alpha, blue, green, red), font and layout of the track.
     primary: str = "&H00FFFFFF"
-    highlight: str = "&H0000E5FF"
-    font: str = "Arial"
-    size: int = 92
+    highlight: str = "&H0000D7FF"
+    outline: str = "&H00000000"
+    back: str = "&H00000000"
+    font: str = "Helvetica"
+    size: int = 64
+    outline_width: float = 3.0
+    shadow: float = 0.0
+    bold: int = 1
+    alignment: int = 2
+    margin_v: int = 180
+    margin_h: int = 80
+
+
+def _pack(batches: Iterator[pa.RecordBatch], style: Style) -> Iterator[pa.RecordBatch]:
+    """`line` for rows sorted by (clip_id, w); a clip may go on in the next batch."""
+    clip, line, n, chars, first = object(), 0, 0, 0, 0
+    for batch in batches:
+        lines = []
+        c = {name: batch.column(name).to_pylist() for name in ("clip_id", "size", "start_ms", "end_ms")}
+        for own, size, start, end in zip(*c.values(), strict=True):
+            if own != clip:
+                clip, line, n = own, 0, 0
+            elif chars + 1 + size > style.max_chars or n >= style.max_words or end - first > style.max_line_ms:
+                line, n = line + 1, 0
+            first = start if n == 0 else first
+            chars = size if n == 0 else chars + 1 + size
+            n += 1
+            lines.append(line)
+        yield batch.drop_columns(["size"]).append_column("line", pa.array(lines, pa.int64()))
 
 
 def caption_lines(words: DataFrame, style: Style = Style()) -> DataFrame:
     """words (clip_id, w, text, start_ms, end_ms) with `line`: a new line starts when a word would pass the characters,
-    the words or the time of one. Blank words go."""
+    the words or the time of one. Blank words go. One pass over the words of each clip in order, holding a line's sums."""
     w = words.withColumn("text", stripped(F.col("text"))).filter("text <> ''")
-    rows = w.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("w", "text", "start_ms", "end_ms"))).alias("ws"))
-    out = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("line"))), 1, 0)
-    zero = F.lit(0).cast("long")
-    state = F.struct(zero.alias("line"), zero.alias("n"), zero.alias("chars"), zero.alias("first_ms"), out.alias("out"))
-
-    def step(a, x):
-        size = F.length(x["text"]).cast("long")
-        wide = a["chars"] + size + F.when(a["n"] > 0, F.lit(1)).otherwise(0)
-        new = (a["n"] > 0) & ((wide > style.max_chars) | (a["n"] >= style.max_words) | (x["end_ms"] - a["first_ms"] > style.max_line_ms))
-        line = a["line"] + new.cast("long")
-        first = new | (a["n"] == 0)
-        return F.struct(
-            line.alias("line"),
-            F.when(new, F.lit(1)).otherwise(a["n"] + 1).cast("long").alias("n"),
-            F.when(new, size).otherwise(wide).cast("long").alias("chars"),
-            F.when(first, x["start_ms"]).otherwise(a["first_ms"]).cast("long").alias("first_ms"),
-            F.concat(a["out"], F.array(F.struct(x["w"].cast("long").alias("w"), line.alias("line")))).alias("out"),
-        )
-
-    folded = rows.select("clip_id", F.inline(F.aggregate("ws", state, step)["out"]))
-    return w.join(folded, ["clip_id", "w"])
+    rows = w.withColumn("size", F.length("text")).repartition("clip_id").sortWithinPartitions("clip_id", "w")
+    schema = StructType([*w.schema.fields, StructField("line", LongType())])
+    return rows.mapInArrow(lambda batches: _pack(batches, style), schema)
 
 
 def caption_events(lines: DataFrame, offset_ms: int = 0, style: Style = Style()) -> DataFrame:
@@ -78,6 +90,32 @@ def dialogue(events: DataFrame, lines: DataFrame, style: Style = Style()) -> Dat
     return met.select("clip_id", "w", F.concat(head, F.array_join(marked, " ")).alias("dialogue"))
 
 
+# The fields of a style and of an event, in a subtitle file's order.
+STYLE_FIELDS = (
+    "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, "
+    "BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+)
+EVENT_FIELDS = "Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
+
+
+def header(style: Style = Style(), width: int = 1080, height: int = 1920) -> str:
+    """What a subtitle file says before its events: the picture's size, the one style, the fields."""
+    colours = [style.primary, style.primary, style.outline, style.back]
+    values = ["Main", style.font, style.size, *colours, style.bold, 0, 0, 0, 100, 100, 0, 0, 1, style.outline_width, style.shadow, style.alignment, style.margin_h, style.margin_h, style.margin_v, 1]
+    info = {"ScriptType": "v4.00+", "PlayResX": width, "PlayResY": height, "WrapStyle": 2, "ScaledBorderAndShadow": "yes"}
+    sections = {
+        "Script Info": [f"{k}: {v}" for k, v in info.items()],
+        "V4+ Styles": [f"Format: {STYLE_FIELDS}", "Style: " + ",".join(map(str, values))],
+        "Events": [f"Format: {EVENT_FIELDS}"],
+    }
+    return "\n\n".join("\n".join([f"[{name}]", *lines]) for name, lines in sections.items()) + "\n"
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """A text file for each clip, below clip_id=... in the folder."""
+    documents.select("clip_id", F.col("document").alias("value")).write.partitionBy("clip_id").option("lineSep", "\n").text(path)
+
+
 def documents(dialogues: DataFrame, header: str) -> DataFrame:
     """(clip_id, document): a subtitle document for each clip."""
     per = dialogues.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("w", "dialogue"))).alias("d"))

@@ -34,6 +34,23 @@ def parse_rankings(responses: DataFrame) -> DataFrame:
     )
 
 
+def ranking_problems(responses: DataFrame) -> DataFrame:
+    """(transcript_id, n, problem) of ranking answers: one that doesn't parse, entries of unknown or repeated candidates,
+    how many are left out. n: the entry's place, the count of left-out ones last."""
+    read = responses.select("transcript_id", "candidate_count", model_ranks(F.col("text")).alias("m"))
+    unread = read.filter("m.error is not null").select("transcript_id", F.lit(-1).alias("n"), F.col("m.error").alias("problem"))
+    e = read.filter("m.error is null").select("transcript_id", "candidate_count", F.posexplode_outer("m.items").alias("pos", "e"))
+    known = F.col("e.id").between(0, F.col("candidate_count") - 1)
+    seen = F.row_number().over(Window.partitionBy("transcript_id", "e.id").orderBy("pos"))
+    e = e.withColumn("seen", seen).select("transcript_id", "candidate_count", F.col("pos").alias("n"), F.col("e.id").alias("id"), known.alias("known"), "seen")
+    # The texts of problems are part of the result.
+    entry = F.when(~F.col("known"), F.format_string("rank refers to unknown candidate %d", F.col("id"))).when(F.col("seen") > 1, F.format_string("candidate %d ranked twice", F.col("id")))
+    entries = e.withColumn("problem", entry).filter("problem is not null").select("transcript_id", "n", "problem")
+    left = e.groupBy("transcript_id", "candidate_count").agg((F.col("candidate_count") - F.count_distinct(F.when(F.col("known"), F.col("id")))).alias("left"))
+    out = left.filter("left > 0").select("transcript_id", F.lit((1 << 31) - 1).alias("n"), F.format_string("%d candidate(s) left unranked", F.col("left")).alias("problem"))
+    return unread.unionByName(entries).unionByName(out)
+
+
 def rank_scores(ranked: DataFrame, *order: Column) -> DataFrame:
     """rerank_score from 1 for the first to 0 for the last of each transcript; a lone one has 1."""
     w = Window.partitionBy("transcript_id")
@@ -75,23 +92,28 @@ def similar_pairs(items: DataFrame, group: str, key: str, text: str, least: floa
     return met.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), s.alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def text_clash(threshold: float):
-    def clash(a: Column, b: Column) -> Column:
-        return lexical_similarity(a["tokens"], b["tokens"], a["grams"], b["grams"]) >= threshold
-
-    return clash
+#: How alike two items are, by backend: of their words and letters, or of their vectors.
+SIMILARITY = {
+    "lexical": (("tokens", "grams"), lambda a, b: lexical_similarity(a["tokens"], b["tokens"], a["grams"], b["grams"])),
+    "embedding": (("embedding",), lambda a, b: cosine(a["embedding"], b["embedding"])),
+}
 
 
-def vector_clash(threshold: float):
-    return lambda a, b: cosine(a["embedding"], b["embedding"]) >= threshold
+def similarity_backend(name: str, columns: list[str]) -> str:
+    """The backend of a name; "embedding" falls back to "lexical" where there are no vectors."""
+    if name not in SIMILARITY:
+        raise ValueError(f"unknown similarity backend {name!r}: {' or '.join(SIMILARITY)}")
+    return "lexical" if name == "embedding" and "embedding" not in columns else name
 
 
-def drop_similar(candidates: DataFrame, threshold: float = SIMILAR, text: str = "text") -> DataFrame:
+def drop_similar(candidates: DataFrame, threshold: float = SIMILAR, text: str = "text", backend: str = "lexical") -> DataFrame:
     """(transcript_id, ord) of the candidates that stay when each that resembles a better one that stays is dropped;
     best by (rerank_score, normalized_score), then ord."""
-    item = F.struct((-F.col("rerank_score")).alias("k1"), (-F.col("normalized_score")).alias("k2"), "ord", "tokens", "grams")
-    per = text_features(candidates, text).groupBy("transcript_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return per.select("transcript_id", F.inline(greedy(F.col("items"), text_clash(threshold)))).select("transcript_id", "ord")
+    columns, alike = SIMILARITY[similarity_backend(backend, candidates.columns)]
+    item = F.struct((-F.col("rerank_score")).alias("k1"), (-F.col("normalized_score")).alias("k2"), "ord", *columns)
+    featured = text_features(candidates, text) if "tokens" in columns else candidates
+    per = featured.groupBy("transcript_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return per.select("transcript_id", F.inline(greedy(F.col("items"), lambda a, b: alike(a, b) >= threshold))).select("transcript_id", "ord")
 
 
 def most_alike(vectors: DataFrame, queries: DataFrame, most: int = 3, blocks: int = 64) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import stripped
 
 NO_NEIGHBOUR_S = 999.0
+SPAN_BUCKET_MS = 60_000
 
 
 def seconds(ms: Column) -> Column:
@@ -124,15 +125,49 @@ def merge_chunks(chunks: DataFrame, words: DataFrame) -> DataFrame:
     return words.join(chunks.select("transcript_id", "chunk", "commit_start_ms", "commit_end_ms", "is_last"), ["transcript_id", "chunk"]).filter(inside).drop("commit_start_ms", "commit_end_ms", "is_last")
 
 
+def merge_segments(chunks: DataFrame, segments: DataFrame, words: DataFrame) -> DataFrame:
+    """(transcript_id, seg_idx, chunk, start_ms, end_ms, text) of the merged transcript: a segment of the words of its
+    own that its chunk commits, from the first to the last; one without words is kept or not by its own midpoint.
+
+    segments and words: as heard, by (transcript_id, chunk, seg_idx). Segments are numbered anew by start, then chunk."""
+    kept = merge_chunks(chunks, words).groupBy("transcript_id", "chunk", "seg_idx").agg(
+        F.min_by("start_ms", "word_idx").alias("start_ms"),
+        F.max_by("end_ms", "word_idx").alias("end_ms"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("word_idx", stripped(F.col("text")).alias("text"))))["text"], " ").alias("text"),
+    )
+    spoken = words.select("transcript_id", "chunk", "seg_idx").distinct()
+    silent = segments.join(spoken, ["transcript_id", "chunk", "seg_idx"], "left_anti").select("transcript_id", "chunk", "seg_idx", "start_ms", "end_ms", "text")
+    both = kept.select("transcript_id", "chunk", "seg_idx", "start_ms", "end_ms", stripped(F.col("text")).alias("text")).unionByName(merge_chunks(chunks, silent))
+    order = Window.partitionBy("transcript_id").orderBy("start_ms", "chunk", "seg_idx")
+    return both.select("transcript_id", (F.row_number().over(order) - 1).cast("long").alias("seg_idx"), "chunk", "start_ms", "end_ms", "text")
+
+
+def spoken_language(chunks: DataFrame, heard: DataFrame) -> DataFrame:
+    """(transcript_id, language): what was heard in the chunk that reads longest, the first of them; "unknown" for none.
+    heard: (transcript_id, chunk, language)."""
+    length = F.col("read_end_ms") - F.col("read_start_ms")
+    met = heard.join(chunks, ["transcript_id", "chunk"])
+    best = met.groupBy("transcript_id").agg(F.max_by(F.struct("language"), F.struct(length, -F.col("chunk"))).alias("b"))
+    return best.select("transcript_id", F.coalesce("b.language", F.lit("unknown")).alias("language"))
+
+
+def in_spans(words: DataFrame, at: Column, spans: DataFrame, low: str, high: str) -> DataFrame:
+    """Words joined to the spans (transcript_id, ...) with low <= at < high. Both meet in buckets of time, so a long
+    transcript isn't one product of all its words and spans."""
+    width = F.lit(SPAN_BUCKET_MS)
+    dealt = spans.filter(F.col(high) > F.col(low)).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    met = words.withColumn("bucket", F.floor(at / width)).join(dealt, ["transcript_id", "bucket"])
+    return met.filter((at >= F.col(low)) & (at < F.col(high))).drop("bucket")
+
+
 def words_between(words: DataFrame, spans: DataFrame) -> DataFrame:
     """Words whose midpoint lies in spans (transcript_id, span_id, from_ms, to_ms)."""
-    middle = (F.col("start_ms") + F.col("end_ms")) / 2
-    return words.join(spans, "transcript_id").filter((middle >= F.col("from_ms")) & (middle < F.col("to_ms"))).drop("from_ms", "to_ms")
+    return in_spans(words, (F.col("start_ms") + F.col("end_ms")) / 2, spans, "from_ms", "to_ms").drop("from_ms", "to_ms")
 
 
 def excerpt(words: DataFrame, spans: DataFrame, most: int = 320) -> DataFrame:
     """(transcript_id, span_id, excerpt): the words that start in a span, cut to `most` characters and an ellipsis."""
-    inside = words.join(spans, "transcript_id").filter((F.col("start_ms") >= F.col("from_ms")) & (F.col("start_ms") < F.col("to_ms")))
+    inside = in_spans(words, F.col("start_ms"), spans, "from_ms", "to_ms")
     joined = inside.groupBy("transcript_id", "span_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "word_idx", stripped(F.col("text")).alias("text")))).alias("w"))
     text = F.array_join(F.col("w.text"), " ")
     return joined.select("transcript_id", "span_id", F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text).alias("excerpt"))

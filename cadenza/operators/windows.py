@@ -59,6 +59,8 @@ def window_text(windows: DataFrame, segments: DataFrame) -> DataFrame:
     s = segments.filter(stripped(F.col("text")) != "")
     order = Window.partitionBy("transcript_id").orderBy("seg_idx")
     s = s.select("transcript_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), F.format_string("[%.1f] %s", F.col("start_ms") / 1000, stripped(F.col("text"))).alias("line"))
-    met = windows.join(s, "transcript_id").filter((F.col("idx") >= F.col("first_idx")) & (F.col("idx") <= F.col("last_idx")))
+    # A window names its segments by position, so each position meets one segment.
+    each = windows.select("transcript_id", "window", F.explode(F.sequence("first_idx", "last_idx")).alias("idx"))
+    met = each.join(s, ["transcript_id", "idx"])
     lines = met.groupBy("transcript_id", "window").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("l"))
     return lines.select("transcript_id", "window", F.array_join(F.col("l.line"), "\n").alias("text"))

@@ -51,6 +51,25 @@ def prompts(segments: DataFrame, settings: Settings = Settings(), ask: str = "Fi
     return text.select("transcript_id", "window", prompt.alias("prompt"), candidates.budget_issue(prompt, settings.answer_tokens, settings.context_tokens).alias("budget_issue"))
 
 
+def rerank_prompts(shortlisted: DataFrame, words: DataFrame, ask: str = "Rank these {count} moments, the best first.") -> DataFrame:
+    """(transcript_id, prompt): what a model is asked about a shortlist (transcript_id, place, start_ms, end_ms, hook,
+    topic, category): an entry for each candidate, with the start of what is said."""
+    spans = shortlisted.select("transcript_id", F.col("place").alias("span_id"), F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
+    said = transcript.excerpt(words, spans).withColumnRenamed("span_id", "place")
+    shown = lambda c: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.col(c)).otherwise("(none)")
+    entry = F.format_string("[%d] hook: %s\n     topic: %s | category: %s\n     says: %s", F.col("place"), shown("hook"), shown("topic"), F.col("category"), F.coalesce("excerpt", F.lit("")))
+    entries = shortlisted.join(said, ["transcript_id", "place"], "left").select("transcript_id", F.struct("place", entry.alias("entry")).alias("e"))
+    listed = entries.groupBy("transcript_id").agg(F.array_sort(F.collect_list("e")).alias("e"))  # a shortlist is short
+    head, tail = ask.split("{count}")
+    return listed.select("transcript_id", F.concat(F.lit(head), F.size("e").cast("string"), F.lit(tail + "\n\n"), F.array_join(F.col("e.entry"), "\n\n")).alias("prompt"))
+
+
+def previews(issues: DataFrame, most: int = 20) -> DataFrame:
+    """Of each transcript the first `most` issues or rejections by ord, as a result shows them."""
+    order = Window.partitionBy("transcript_id").orderBy("ord")
+    return issues.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
+
+
 def discover(segments: DataFrame, words: DataFrame, answers: DataFrame, rankings: DataFrame | None = None, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(moments, rejections): parsed answers (transcript_id, window_idx, text), scored within their window, without
     overlaps, with a boundary hint, ranked, without near repetitions, by final score.
@@ -98,7 +117,7 @@ def generate_clips(segments: DataFrame, words: DataFrame, media: DataFrame, mome
 def clip_captions(clips: DataFrame, words: DataFrame, style: captions.Style = captions.Style()) -> DataFrame:
     """(clip_id, w, start_ms, end_ms, dialogue) of clips (transcript_id, clip, start_ms, end_ms), times from each clip's start."""
     c = clips.select("transcript_id", F.concat_ws("-", "transcript_id", "clip").alias("clip_id"), F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
-    inside = words.join(c, "transcript_id").filter((F.col("start_ms") >= F.col("from_ms")) & (F.col("end_ms") <= F.col("to_ms")))
+    inside = transcript.in_spans(words, F.col("start_ms"), c, "from_ms", "to_ms").filter(F.col("end_ms") <= F.col("to_ms"))
     order = Window.partitionBy("clip_id").orderBy("seg_idx", "word_idx")
     shift = lambda name: F.round(F.col(name) - F.col("from_ms")).cast("long").alias(name)
     w = inside.select("clip_id", (F.row_number().over(order) - 1).cast("long").alias("w"), "text", shift("start_ms"), shift("end_ms"))

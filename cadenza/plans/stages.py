@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in spark.checkpoint.dir (a folder of its own where that is unset)."""
+    """df as a Parquet table in spark.checkpoint.dir. Where that is unset: in a folder of its own if all executors run on
+    this machine, else an error, as other machines wouldn't see it."""
     conf = df.sparkSession.conf
     folder = conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/cadenza/{name}-{uuid.uuid4().hex}"

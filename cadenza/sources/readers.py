@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 SPEECH = "language string, segments array<struct<start:double,end:double,text:string,words:array<struct<word:string,text:string,start:double,end:double,probability:double>>>>"
 TRANSCRIPT = "transcript_id string, language string, backend string, model string, duration double, cache_key string, segments array<struct<start:double,end:double,text:string,words:array<struct<text:string,start:double,end:double,probability:double>>>>"
 EXTENSIONS = ("mp4", "mov", "mkv", "webm", "m4v", "avi")
@@ -21,7 +23,7 @@ def speech_transcripts(payloads: DataFrame, offset: Column | float = 0.0) -> Dat
 
     def segment(s: Column) -> Column:
         timed = F.filter(F.coalesce(s["words"], F.array()), lambda w: w["start"].isNotNull() & w["end"].isNotNull())
-        return F.struct((s["start"] + F.col("by")).alias("start"), (s["end"] + F.col("by")).alias("end"), F.trim(s["text"]).alias("text"), F.transform(timed, word).alias("words"))
+        return F.struct((s["start"] + F.col("by")).alias("start"), (s["end"] + F.col("by")).alias("end"), stripped(s["text"]).alias("text"), F.transform(timed, word).alias("words"))
 
     segments = F.transform(F.coalesce("p.segments", F.array()), segment)
     read = p.select("transcript_id", F.coalesce("p.language", F.lit("unknown")).alias("language"), segments.alias("segments"), "by")
@@ -34,6 +36,11 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("language", "backend", "model")})
 
 
+def load_transcript(spark: SparkSession, path: str) -> DataFrame:
+    """Stored transcripts that must be there and whole: a missing file or a damaged line is an error."""
+    return spark.read.schema(TRANSCRIPT).option("mode", "FAILFAST").json(path)
+
+
 def write_transcripts(transcripts: DataFrame, path: str) -> None:
     transcripts.write.mode("overwrite").json(path)
 
@@ -92,6 +99,24 @@ def latest_jobs(jobs: DataFrame, most: int = 50, project_id=None) -> DataFrame:
     return kept.orderBy(F.desc("created_at"), "job_id").limit(most)
 
 
+def list_projects(projects: DataFrame, clips: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Projects, the newest first, with what there is of each: clip_count, candidate_count, has_extracted_audio."""
+    shown = projects
+    for name, rows in (("clip_count", clips), ("candidate_count", candidates)):
+        if rows is not None:
+            counts = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
+            shown = shown.join(counts, "project_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    if "audio_path" in projects.columns:
+        shown = shown.withColumn("has_extracted_audio", F.coalesce(F.length("audio_path") > 0, F.lit(False)))
+    return shown.orderBy(F.desc("created_at"), "project_id")
+
+
+def shown_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs as an API shows them: progress in ten-thousandths, times in ISO 8601 with their zone."""
+    iso = lambda c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return jobs.withColumns({c: iso(c) for c in ("created_at", "started_at", "completed_at") if c in jobs.columns} | {"progress": F.round("progress", 4)})
+
+
 def clip_counts(projects: DataFrame, clips: DataFrame) -> DataFrame:
     """Projects with clip_count."""
     counts = clips.groupBy("project_id").agg(F.count(F.lit(1)).alias("clip_count"))

@@ -55,7 +55,8 @@ def follow_jobs(events: DataFrame) -> DataFrame:
             for row in frame.sort_values("seq").itertuples():
                 if status in TERMINAL:
                     break
-                status, progress, n = row.status, max(0.0, min(1.0, row.progress)), n + 1
+                # A null progress comes as NaN, which stays, as it does in clamp().
+                status, progress, n = row.status, row.progress if pd.isna(row.progress) else max(0.0, min(1.0, row.progress)), n + 1
         state.update((status, progress, n))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [progress], "n_events": [n]})
 
