@@ -40,7 +40,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 #: Characters of the stretches of text whose ids a worker remembers, twice: those met of late, and those before.
-MEMO_CHARS = 6_000_000
+MEMO_CHARS = 2_000_000
 #: A stretch is white space and the Latin letters that follow, up to an ASCII sign or white space, or else all that
 #: follows up to white space. Tokens never reach across stretches.
 _STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
