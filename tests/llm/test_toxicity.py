@@ -1,9 +1,11 @@
 """Toxicity: held-out accuracy on the small tables, edge cases."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza.llm import toxicity
@@ -37,6 +39,49 @@ def test_edges(spark):
     assert toxicity.toxicity(docs.limit(0), labels).collect() == []
 
 
+def plain_model(texts):
+    """P(byte | those before, class) by dictionaries: the last byte of an n-gram of any order up to ORDER."""
+    counts = [Counter(), Counter()]
+    for label, text in texts:
+        padded = b" " * (toxicity.ORDER - 1) + text.encode() + b" "
+        for i in range(len(padded) - toxicity.ORDER + 1):
+            counts[label][padded[i : i + toxicity.ORDER]] += 1
+    levels = {toxicity.ORDER: counts}
+    for order in range(toxicity.ORDER - 1, 0, -1):
+        levels[order] = [Counter(g[1:] for g in c) for c in levels[order + 1]]
+    for order in range(1, toxicity.SHARED_ORDER + 1):
+        levels[order] = [levels[order][0] + levels[order][1]] * 2
+
+    def p(gram, label):
+        if not gram:
+            return 1 / 256
+        c = levels[len(gram)][label]
+        mass = [max(1, sum(x.values())) for x in levels[len(gram)]]
+        prior = toxicity.PRIOR * mass[label] / min(mass)
+        beside = [n for g, n in c.items() if g[:-1] == gram[:-1]]
+        held = sum(max(n - toxicity.DISCOUNT, 0) for n in beside)
+        return (max(c[gram] - toxicity.DISCOUNT, 0) + (sum(beside) - held + prior) * p(gram[1:], label)) / (sum(beside) + prior)
+
+    return p
+
+
+def test_model_against_a_plain_one():
+    rng = random.Random(9)
+    texts = [(rng.randrange(2), "".join(rng.choices("abc", k=rng.randrange(12)))) for _ in range(14)]
+    p = plain_model(texts)
+    codes, sizes = toxicity.windows(pa.array([t for _, t in texts]))
+    toxic = np.repeat([label for label, _ in texts], sizes)
+    keys, at = np.unique(codes, return_inverse=True)
+    model = toxicity.Model(keys, np.c_[np.bincount(at, toxic), np.bincount(at, 1 - toxic)])
+    for _ in range(40):
+        gram = "".join(rng.choices("abc d", k=toxicity.ORDER)).encode()
+        code = np.array([int.from_bytes(gram, "big")], dtype=np.uint64)
+        assert model.evidence(code)[0] == pytest.approx(np.log(p(gram, 1)) - np.log(p(gram, 0)), abs=1e-5)
+    for label in (0, 1):
+        for head in (b"", b"a", b"  ab", b"abcab", b"zzzzz"):
+            assert sum(p(head + bytes([b]), label) for b in range(256)) == pytest.approx(1)
+
+
 def test_rare_grams_count(spark):
     letters = random.Random(7)
     text = lambda i: "".join(letters.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000)) + (" wretchling" if i == 41 else "")
