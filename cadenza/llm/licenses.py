@@ -7,7 +7,8 @@ their digests holds a row for each and is small beside the documents, so Spark b
 
 Defined cases: a null text is empty; a text without words has the digest of the empty text and no licence; equal rows
 get a row each, a null doc_id too; a licence inside a longer text isn't that text's licence; of known texts with one
-digest the first name counts; an empty table gives an empty result.
+digest the first name counts; other columns than doc_id and text, whatever their names, play no part; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import LICENSES, NOTICES
+from .license_texts import DIGESTS, LICENSES, NOTICES, TITLES
 
 # Spellings taken as one, written as the second.
 SPELLINGS = [
@@ -25,7 +26,8 @@ SPELLINGS = [
     ("optimisation", "optimization"), ("organisation", "organization"), ("practise", "practice"), ("programme", "program"), ("recognise", "recognize"),
     ("sub-license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("https:", "http:"), ("&", " and "),
 ]
-COPYRIGHT_LINE = r"(^|\n)[ \t/*#;%-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that name a holder: a sign or year behind the word, or the sign alone. Lines that go on about copyright stay.
+COPYRIGHT_LINE = r"(^|\n)[ \t/*#;%-]*((copyright[ \t]*)+(\(c\)|©|[0-9<\[]|by[ \t])|\(c\)[ \t]*[0-9<\[]|©|all rights reserved[.]?[ \t\r]*(\n|$))[^\n]*"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -40,10 +42,16 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, texts=tuple(LICENSES)) -> DataFrame:
-    """(digest, name) of named texts."""
-    named = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "n int, name string, text string")
-    return named.groupBy(digest(F.col("text")).alias("digest")).agg(F.min_by("name", "n").alias("name"))
+def titled(texts=tuple(LICENSES), titles: dict[str, str] = TITLES) -> list[tuple[str, str]]:
+    """(name, text) of each licence as it stands, and behind its title."""
+    return [(name, form) for name, text in texts for form in ((text, f"{titles[name]}\n{text}") if name in titles else (text,))]
+
+
+def known_digests(spark: SparkSession, texts, digests=()) -> DataFrame:
+    """(digest, name) of named texts, and of texts that are known by (name, digest) alone."""
+    named = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "n int, name string, text string").select("n", "name", digest(F.col("text")).alias("digest"))
+    ready = spark.createDataFrame([(1_000_000 + i, name, found) for i, (name, found) in enumerate(digests)], "n int, name string, digest string")
+    return named.unionByName(ready).groupBy("digest").agg(F.min_by("name", "n").alias("name"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame, notices: DataFrame) -> DataFrame:
@@ -60,6 +68,7 @@ def scan(docs: DataFrame, licenses: DataFrame, notices: DataFrame) -> DataFrame:
     return found.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, licenses: DataFrame | None = None, notices: DataFrame | None = None) -> DataFrame:
+    """scan() for known licences and notices, by default the built-in ones, given as (digest, name)."""
     spark = docs.sparkSession
-    return scan(docs, known_digests(spark), known_digests(spark, tuple(NOTICES)))
+    return scan(docs, known_digests(spark, titled(), DIGESTS) if licenses is None else licenses, known_digests(spark, NOTICES) if notices is None else notices)

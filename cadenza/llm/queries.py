@@ -97,15 +97,16 @@ def _canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, '{licenses.NOT_WORDS}', ' ', 'g'))"
 
 
-def _known_sql(texts) -> str:
+def _known_sql(texts, digests=()) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(texts))
-    return f"(SELECT sha256({_canonical_sql('t')}) AS digest, arg_min(name, n) AS name FROM (VALUES {rows}) AS x(n, name, t) GROUP BY 1)"
+    ready = "".join(f" UNION ALL SELECT {1_000_000 + i}, {quoted(name)}, {quoted(found)}" for i, (name, found) in enumerate(digests))
+    return f"(SELECT digest, arg_min(name, n) AS name FROM (SELECT n, name, sha256({_canonical_sql('t')}) AS digest FROM (VALUES {rows}) AS x(n, name, t){ready}) GROUP BY 1)"
 
 
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, text, sha256({_canonical_sql("text")}) AS digest FROM documents),
-k AS {_known_sql(license_texts.LICENSES)}, n AS {_known_sql(license_texts.NOTICES)},
+k AS {_known_sql(licenses.titled(), license_texts.DIGESTS)}, n AS {_known_sql(license_texts.NOTICES)},
 l AS (SELECT DISTINCT doc_id, sha256({_canonical_sql("line")}) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(lower(line), 'licen[cs]e|licensed|spdx')),
 f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM l JOIN n ON l.line = n.digest GROUP BY 1)
 SELECT d.doc_id, d.digest, k.name AS license, coalesce(f.notices, '') AS notices FROM d LEFT JOIN k USING (digest) LEFT JOIN f USING (doc_id)
