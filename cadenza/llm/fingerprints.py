@@ -7,10 +7,11 @@ match by places: an anchor of one matches where the other has the same anchor, f
 same distance in words, wherever that stands. The likeness is the Jaccard likeness of these matches over all anchors;
 a passage that a text repeats counts once.
 
-Defined cases: a null text is empty; a text without words has an empty fingerprint, like only to another such; fewer
-than K words are one anchor, the whole sequence; a document whose doc_id is null is in no order and has no next; rows
+Defined cases: a null text is empty; a text without words has an empty fingerprint, like only to another such; words of
+which no k-mer is an anchor, or fewer than K, are one anchor, the whole sequence; a document whose doc_id is null is in no order and has no next; rows
 that share a doc_id have the same next document, and where that id is repeated it is the row of least links, then
-text; the last document's next is the first, so a lone document is its own next.
+text; the last document's next is the first, so a lone document is its own next; other columns than doc_id and text,
+whatever their names, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ def anchors(text: Column) -> Column:
     def of_hashes(h: Column) -> Column:
         pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
         found = let(pairs, lambda g: F.array_compact(F.transform(g, edge(g))))
-        return F.when(F.size(h) >= K, found).when(F.size(h) == 0, F.array().cast(ANCHORS)).otherwise(F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("place"))))
+        whole = F.when(F.size(h) == 0, F.array().cast(ANCHORS)).otherwise(F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("place"))))
+        return F.when(F.size(h) >= K, let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))).otherwise(whole)
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 

@@ -7,7 +7,9 @@ bucket are summed again by the next bits, until a bucket holds a single hash. Ro
 depend on its hash alone, so reruns agree.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in order;
-rows of one doc_id and one text have one hash and are taken together; an empty table gives an empty result.
+rows of one doc_id and one text have one hash and are taken together; a document that alone is larger than its source's
+budget is taken or not, whichever comes nearer; other columns than doc_id, text and source, whatever their names, play no
+part, and mix() keeps them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, stage_table
+from .common import WORD_PATTERN, free_names, stage_table
 
 #: Hash bits that one histogram resolves; five rounds cover a hash.
 ROUND_BITS = 12
@@ -117,7 +119,8 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it, with the columns of docs."""
     thin = stage_table(docs.select("source", text_size(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")), "mix-sizes")
-    plan = thresholds(thin, weights, most).select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("below").alias("_below"))
-    joined = docs.join(plan, docs["source"].eqNullSafe(F.col("_s")))
-    n = copies(F.col("_passes"), row_hash(docs["doc_id"], docs["text"]), F.col("_below"), text_size(docs["text"]))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n))).select(*[docs[c] for c in docs.columns])
+    s, passes, below, copy = free_names(docs, "s", "passes", "below", "copy")
+    plan = thresholds(thin, weights, most).select(F.col("source").alias(s), F.col("passes").alias(passes), F.col("below").alias(below))
+    joined = docs.join(plan, docs["source"].eqNullSafe(F.col(s)))
+    n = copies(F.col(passes), row_hash(docs["doc_id"], docs["text"]), F.col(below), text_size(docs["text"]))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), n))).select(*[docs[c] for c in docs.columns])

@@ -10,7 +10,8 @@ part of the split key, so a host, or one URL, that holds a third of all rows spr
 
 Verdicts: the longest rule that fits (host and path together; then the longer host, then block before allow), else the
 default. Defined cases: a null URL, or one without "://", has an empty host and path, and no rule; equal rows each get a
-row; null and repeated page_ids are kept; without rules every verdict is the default.
+row; null and repeated page_ids are kept; other columns than page_id and url, whatever their names, play no part; without
+rules every verdict is the default; an empty table gives an empty result.
 """
 
 from __future__ import annotations

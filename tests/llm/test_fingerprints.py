@@ -2,6 +2,11 @@
 
 import hashlib
 import random
+import re
+import struct
+
+import pytest
+import xxhash
 
 from cadenza.llm.fingerprints import fingerprints
 
@@ -41,6 +46,51 @@ def test_repeated_null_and_lone_ids(spark):
     assert fingerprints(docs.limit(0)).collect() == []
 
 
+def chained(*values):
+    """Spark's xxhash64 of longs, ints and strings one after the other, nulls left out."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1)
+        seed -= (seed >> 63) << 64
+    return seed
+
+
+def plain_anchors(text):
+    h = [chained(w) for w in re.findall(r"[^ \t\n\x0b\x0c\r]+", text)]
+    if len(h) < 5:
+        return [(chained(*h), 0)] if h else []
+    pair = [chained(a, b) for a, b in zip(h, h[1:])]
+    found = []
+    for i in range(len(h) - 4):
+        inner = pair[i : i + 4]
+        if min(inner) in (inner[0], inner[3]):
+            found.append((chained(inner[0], inner[2], inner[3]), i))
+    return found or [(chained(*h), 0)]
+
+
+def plain_links(found):
+    return {chained(a[0], b[0], (b[1] - a[1],)) for a, b in zip(found, found[1:])} | {chained(a[0]) for a in found[-1:]}
+
+
+def test_anchors_and_likeness_by_brute_force(spark):
+    rng = random.Random(11)
+    vocab = ["a", "b", "ü", "🙂", "word", "x-y", "Word"]
+    texts = [rng.choice([" ", "\n ", "\t"]).join(rng.choices(vocab, k=n)) for n in range(21) for _ in range(3)] + [" ".join(rng.choices(vocab + [f"w{i}" for i in range(900)], k=9_000)), "", "  "]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, next_id string, before string").repartition(3)
+    got = {r.doc_id: r for r in fingerprints(docs).collect()}
+    show = lambda found: ",".join(f"{h & (1 << 64) - 1:016x}:{p}" for h, p in found)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, text in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        q = len(text) // 4
+        own, other, after = (plain_anchors(t) for t in (text, text[: len(text) - q] + following[:q], following))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (show(own), show(other))
+        assert got[i].near_edited == pytest.approx(like(plain_links(own), plain_links(other)))
+        assert got[i].near_next == pytest.approx(like(plain_links(own), plain_links(after)))
+        assert bool(got[i].fingerprint) == bool(text.split())
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b c", None, None, None)], SCHEMA)
     plan = fingerprints(docs)._jdf.queryExecution().toString()

@@ -1,5 +1,9 @@
 """The pipeline, stage by stage."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +21,45 @@ def test_stages(spark, tmp_path):
     assert counts[1] <= counts[0] and counts[2] <= counts[1] and counts[3] == counts[2] and counts[5] >= counts[4] > 0
     assert docs.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "secrets", "mixing", "packing"]
+
+
+def odd_documents(spark):
+    """Nulls in any column, blank and very long texts, repeated rows and ids, ties, and columns named as those within."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    base, long_one = text(60), text(20_000)
+    rows = [(i, text(40), "en", "abc"[i % 3], 0) for i in range(40)]
+    rows += [(100, base, "en", "a", 1), (101, base, None, "b", None), (102, base + " tail", "en", None, 1), (100, base, "en", "a", 1), (100, text(30), "en", "a", 1)]
+    rows += [(None, None, None, None, None), (None, text(20), None, None, None), (103, None, "en", "a", 0), (104, "", "en", "a", 0), (105, " \n ", "en", "a", 3), (106, long_one, "en", "b", 5)]
+    rows += [(107, "password = hunter2222 " + text(30), "en", "b", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.lit("clash") for c in ("node", "drop", "s", "passes", "below", "copy", "score", "spans", "size", "piece", "length", "component_id")})
+
+
+def test_odd_documents_through_all_stages(spark, tmp_path):
+    docs = odd_documents(spark)
+    kept = [docs.collect()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        stage(spark, docs, SF).write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        kept.append(docs.collect())
+        assert name == "packing" or docs.columns == columns
+    toxic, lone, masked, mixed, packed = ([(r.doc_id, r.text) if "text" in r else r for r in rows] for rows in kept[1:])
+    clean = [(r.doc_id, r.text) for r in kept[0]]
+    assert len(toxic) >= len(clean) - 2 and set(toxic) <= set(clean)
+    words = lambda t: (t or "").split()
+    assert sum(t is not None and words(t)[:60] == words(clean[40][1]) for _, t in lone) == 1  # one of the near copies
+    assert set(lone) <= set(toxic) and len(lone) == len(set(toxic)) - 2 - (len(set(toxic)) - len({*toxic}))
+    assert {d for d, t in lone} >= {0, 39, 100, 103, 104, 105, 106, 107, None}
+    assert [t for d, t in masked if d == 107][0].startswith("[SECRET] ") and len(masked) == len(lone)
+    assert all(words(t) for _, t in mixed) and {d for d, _ in mixed} <= {d for d, _ in masked}
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+
+
+def test_empty_table_through_all_stages(spark, tmp_path):
+    docs = odd_documents(spark).limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        assert docs.count() == 0
