@@ -123,7 +123,7 @@ def merge_midpoint(spark, sf_dir):
     segs = tables.segments(spark, sf_dir)
     w, chunks = tables.words(segs), transcript.plan_chunks(media_of(segs), 30_000)
     # Each chunk hears the words of its read window, so words near a seam are heard twice.
-    heard = w.join(chunks.select("transcript_id", "chunk", "read_start_ms", "read_end_ms"), "transcript_id").filter((F.col("start_ms") >= F.col("read_start_ms")) & (F.col("start_ms") < F.col("read_end_ms")))
+    heard = transcript.in_spans(w, F.col("start_ms"), chunks.select("transcript_id", "chunk", "read_start_ms", "read_end_ms"), "read_start_ms", "read_end_ms")
     return transcript.merge_chunks(chunks, heard).select("transcript_id", "chunk", "seg_idx", "word_idx", "text", "start_ms", "end_ms")
 
 
@@ -234,10 +234,10 @@ def token_sets(spark, sf_dir):
 
 
 @query(f"""WITH f AS (SELECT item_id, item_id % 8 AS g, {TOKENS_SQL} AS tokens, {GRAMS_SQL} AS grams FROM benchmark)
-SELECT a.g AS g, a.item_id AS a, b.item_id AS b, round({lexical_sql("a", "b")}, 6) AS similarity FROM f a JOIN f b ON a.g = b.g AND a.item_id < b.item_id""")
+SELECT a.g AS g, a.item_id AS a, b.item_id AS b, round({lexical_sql("a", "b")}, 6) AS similarity FROM f a JOIN f b ON a.g = b.g AND a.item_id < b.item_id WHERE round({lexical_sql("a", "b")}, 6) >= 0.05""")
 def lexical_pairs(spark, sf_dir):
     items = tables.table(spark, sf_dir, "benchmark").withColumn("g", F.col("item_id") % 8)
-    return ranking.similar_pairs(items, "g", "item_id", "text")
+    return ranking.similar_pairs(items, "g", "item_id", "text", 0.05)
 
 
 DOT_SQL = "list_sum([x * y for x, y in list_zip({0}, {1})])"

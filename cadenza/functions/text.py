@@ -75,6 +75,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(a: Column) -> Column:
+    """The vector with length 1; one without length stays."""
+    return F.element_at(F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))), 1)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 at least; a vector without length is like nothing."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..functions.json_recovery import model_ranks
-from ..functions.text import cosine, lexical_similarity, tokens, trigrams
+from ..functions.text import cosine, dot, lexical_similarity, tokens, trigrams, unit
 from .boundaries import duration_fit, weighted_total
 from .candidates import greedy
 
@@ -83,13 +83,24 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tokens", tokens(F.col(text))).withColumn("grams", trigrams(F.col(text)))
 
 
-def similar_pairs(items: DataFrame, group: str, key: str, text: str, least: float = 0.0) -> DataFrame:
-    """(group, a, b, similarity) of the pairs a < b of each group of texts with a similarity of `least` or more."""
+def similar_pairs(items: DataFrame, group: str, key: str, text: str, least: float = SIMILAR) -> DataFrame:
+    """(group, a, b, similarity) of the pairs a < b of each group of texts with a similarity of `least` (above 0) or more.
+
+    Texts that share no token can only be alike by their trigrams, of which nearly all must be shared then: these meet in
+    one of the first trigrams by hash. So pairs come from shared tokens and trigram prefixes, and each is scored once."""
     f = text_features(items.select(group, key, text), text).select(group, key, "tokens", "grams")
-    a, b = f.alias("a"), f.alias("b")
-    met = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    s = F.round(lexical_similarity(F.col("a.tokens"), F.col("b.tokens"), F.col("a.grams"), F.col("b.grams")), 6)
-    return met.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), s.alias("similarity")).filter(F.col("similarity") >= least)
+    share = min(1.0, max(1e-6, (least - 1e-5) / 0.3))
+    ranked = F.transform(F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda x: F.concat(F.lit("3 "), x["g"]))
+    prefix = F.slice(ranked, F.lit(1), F.greatest(F.lit(0), F.size("grams") - F.ceil(F.size("grams") * share) + 1).cast("int"))
+    tokens_ = F.transform("tokens", lambda t: F.concat(F.lit("t "), t))
+    dealt = f.select(group, key, F.explode(F.concat(tokens_, prefix) if least <= 0.3 else tokens_).alias("_shared"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    met = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a._shared") == F.col("b._shared")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    pairs = met.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+    side = lambda n: f.select(group, F.col(key).alias(n), F.col("tokens").alias(f"tokens_{n}"), F.col("grams").alias(f"grams_{n}"))
+    scored = pairs.join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
+    s = F.round(lexical_similarity(F.col("tokens_a"), F.col("tokens_b"), F.col("grams_a"), F.col("grams_b")), 6)
+    return scored.select(group, "a", "b", s.alias("similarity")).filter(F.col("similarity") >= least)
 
 
 #: How alike two items are, by backend: of their words and letters, or of their vectors.
@@ -121,10 +132,10 @@ def most_alike(vectors: DataFrame, queries: DataFrame, most: int = 3, blocks: in
 
     vectors and queries: (vec_id, embedding). Vectors lie in blocks; each query is sent to every block and meets its
     vectors there, keeps the best of the block, and then the best of those."""
-    v = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    v = vectors.select("vec_id", unit(F.col("embedding")).alias("unit"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     met = v.join(q, "block").filter("vec_id <> query_id")
-    scored = met.select("query_id", "block", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    scored = met.select("query_id", "block", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("q"), F.col("unit"))), 6).alias("similarity"))
     for keys in (("query_id", "block"), ("query_id",)):
         order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "vec_id")
         scored = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)

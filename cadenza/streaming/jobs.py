@@ -4,7 +4,9 @@ Batch and stream share the fold: of a job's status events in order, a terminal s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATES = ("QUEUED", "PROCESSING", "COMPLETED", "FAILED", "CANCELLED")
@@ -45,6 +47,22 @@ def progress_rollup(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "mean_value")
 
 
+def run_job(spark: SparkSession, job_id, action: Callable[[], object]) -> tuple[str, object]:
+    """(status, result or error) of an action, whose Spark jobs carry the job's tag, so that cancel_job() ends them."""
+    sc, tag = spark.sparkContext, f"job-{job_id}"
+    sc.addJobTag(tag)
+    try:
+        return "COMPLETED", action()
+    except Exception as e:
+        return ("CANCELLED" if "cancelled" in str(e).lower() else "FAILED"), str(e)
+    finally:
+        sc.removeJobTag(tag)
+
+
+def cancel_job(spark: SparkSession, job_id) -> None:
+    spark.sparkContext.cancelJobsWithTag(f"job-{job_id}")
+
+
 def follow_jobs(events: DataFrame) -> DataFrame:
     """The stream of latest_state(): status events (job_id, seq, status, progress) folded per job in a state store."""
     import pandas as pd
