@@ -40,7 +40,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 #: Characters of the stretches of text whose ids a worker remembers, twice: those met of late, and those before.
-MEMO_CHARS = 2_000_000
+MEMO_CHARS = 4_000_000
 #: A stretch is white space and the Latin letters that follow, up to an ASCII sign or white space, or else all that
 #: follows up to white space. Tokens never reach across stretches.
 _STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
@@ -67,9 +67,11 @@ class TokenEncoder:
         self.chars = 0
 
     def exact(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        # Some at a time: an encoding holds far more than its ids.
+        batches = (self.tokenizer.encode_batch_fast(texts[lo : lo + 500], add_special_tokens=False) for lo in range(0, len(texts), 500))
+        return [np.array(e.ids, dtype="<u4").tobytes() for batch in batches for e in batch]
 
-    def stretches(self, text: str, most: int = 1 << 20) -> Iterator[list[str]]:
+    def stretches(self, text: str, most: int = 1 << 18) -> Iterator[list[str]]:
         """The stretches of a text, for about `most` characters at a time."""
         at = 0
         while len(text) - at > most:
