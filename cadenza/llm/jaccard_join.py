@@ -171,27 +171,30 @@ def could_link(s, t, i, j, percent: int):
 
 
 def _crossing(c: dict[str, np.ndarray], cuts: np.ndarray, percent: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """(x, blk, y) columns of whole groups: each probe by each member of its group, as far as the filters let them."""
+    """(x, blk, y) columns of whole groups: each probe by each member of its group, as far as the filters let them.
+
+    Members stand in order of size, so a probe is paired only with those that the length filter lets through."""
     starts = np.r_[0, cuts[cuts < len(c["token"])]].astype(np.int64)
     group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(c["token"])]))
     probe = c["probe"].astype(bool)
-    members = np.add.reduceat(~probe, starts, dtype=np.int64)  # they stand first in their group
-    probes = np.flatnonzero(probe)
-    widths = members[group[probes]]
+    members, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
+    sizes = (group[members] << 32) | c["size"][members]
+    of, own = group[probes] << 32, c["size"][probes]
+    first = np.searchsorted(sizes, of | ((percent * own + 99) // 100), "left")
+    widths = np.searchsorted(sizes, of | (100 * own // percent), "right") - first
     ends = np.cumsum(widths)
     lo = 0
     while lo < len(probes):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
         width = widths[lo:hi]
         a = np.repeat(probes[lo:hi], width)
-        b = starts[group[a]] + np.arange(len(a)) - np.repeat(np.cumsum(width) - width, width)
+        b = members[np.repeat(first[lo:hi], width) + np.arange(len(a)) - np.repeat(np.cumsum(width) - width, width)]
         # Two outsiders meet twice; the pair is taken where x < y.
         ok = np.flatnonzero((c["comp"][a] != c["comp"][b]) & (c["big"][b].astype(bool) | (c["node"][a] < c["node"][b])))
         a, b = a[ok], b[ok]
         s, t, i, j = c["size"][a], c["size"][b], c["place"][a], c["place"][b]
-        small = np.minimum(s, t)
-        overlap = np.minimum(np.minimum(i, j) + 1 + np.minimum(s - i, t - j) - 1, small)
-        ok = (100 * small >= percent * np.maximum(s, t)) & ((100 + percent) * overlap >= percent * (s + t))
+        overlap = np.minimum(np.minimum(i, j) + np.minimum(s - i, t - j), np.minimum(s, t))
+        ok = (100 + percent) * overlap >= percent * (s + t)
         if ok.any():
             yield np.stack([c["node"][a[ok]], c["blk"][b[ok]], c["node"][b[ok]]])
         lo = hi
@@ -216,7 +219,7 @@ def _by_class(found: np.ndarray) -> pa.RecordBatch:
 
 
 def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, slice, probe), candidates (x, blks, ys): x of another component than each y in its blk."""
+    """From rows sorted by (token, slice, probe, size), candidates (x, blks, ys): x of another component than each y in its blk."""
     names = ("token", "slice", "probe", "node", "comp", "blk", "big", "size", "place")
     held: dict[str, np.ndarray] = {n: np.zeros(0, np.int64) for n in names}
     found: list[np.ndarray] = []
@@ -392,7 +395,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     cols = ["token", "slice", "probe", "node", "comp", "blk", "big", "size", "place"]
     own = rows.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).withColumn("probe", F.lit(False)).select(cols)
     outside = rows.filter(~F.col("big")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("probe", F.lit(True)).select(cols)
-    crossing = own.unionByName(outside).repartition("token", "slice").sortWithinPartitions("token", "slice", "probe")
+    crossing = own.unionByName(outside).repartition("token", "slice").sortWithinPartitions("token", "slice", "probe", "size")
     crossed = crossing.mapInArrow(lambda batches: _cross(batches, percent), "x long, blks array<long>, ys array<long>")
     merged = crossed.repartition("x").sortWithinPartitions("x").mapInArrow(_merge, "blk long, x long, ys array<long>")
     candidates = stage_table(merged, "jaccard-cross")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadenza.llm.jaccard_join import one_of_each_group, signatures, similar_documents
+from cadenza.llm.jaccard_join import _crossing, one_of_each_group, signatures, similar_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -111,6 +111,31 @@ def test_rows_that_share_an_id(spark):
     assert len(kept) == len(groups) + sum(d is None or not (t or "").strip() for d, t in rows)
 
 
+def test_crossing_pairs_are_those_that_pass_the_filters():
+    rng = np.random.default_rng(5)
+    rows = []
+    for token in range(40):
+        for node in rng.choice(60, rng.integers(2, 20), replace=False):
+            size = int(rng.integers(3, 40)) if node % 3 else 20
+            rows.append((token, 0, 0, node, node % 7, node % 4, node % 7 == 1, size, int(rng.integers(0, min(size, 9)))))
+    rows += [(t, s, 1, n, c, b, big, size, place) for t, s, _, n, c, b, big, size, place in rows if not big]
+    rows.sort(key=lambda r: (r[0], r[1], r[2], r[7]))
+    names = ("token", "slice", "probe", "node", "comp", "blk", "big", "size", "place")
+    c = {n: np.array([r[i] for r in rows]).astype(np.int64) for i, n in enumerate(names)}
+    cuts = np.flatnonzero(c["token"][1:] != c["token"][:-1]) + 1
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[2] and not y[2] and x[4] != y[4] and (y[6] or x[3] < y[3]):
+                s, t, i, j = x[7], y[7], x[8], y[8]
+                most = min(min(i, j) + 1 + min(s - i - 1, t - j - 1), s, t)
+                if 100 * min(s, t) >= 75 * max(s, t) and 175 * most >= 75 * (s + t):
+                    want.add((x[3], y[5], y[3]))
+    for most in (1, 7, 1 << 20):
+        got = np.concatenate(list(_crossing(c, cuts, 75, most)), axis=1)
+        assert {tuple(map(int, v)) for v in got.T} == {tuple(map(int, v)) for v in want}
+
+
 def test_signatures_differ_by_seed():
     hashes, sizes = np.array([1, 2, 3, 1, 2, 3, 9], np.uint64), np.array([3, 3, 1])
     found = [signatures(hashes, sizes, seed) for seed in range(4)]
