@@ -122,11 +122,20 @@ def iou_clash(threshold: float):
     return clash
 
 
+def islands(spans: DataFrame) -> DataFrame:
+    """spans (transcript_id, ord, start_ms, end_ms) with `island`: a new one begins at a time that no earlier span covers,
+    so spans of two islands never overlap."""
+    order = Window.partitionBy("transcript_id").orderBy("start_ms", "ord")
+    covered = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("_opens", F.coalesce(F.col("start_ms") >= covered, F.lit(True)).cast("int"))
+    return opens.withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+
 def drop_overlaps(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Candidates without those that overlap a better one that was kept (best score first, then ord); as
-    (transcript_id, ord, start_ms, end_ms, normalized_score)."""
+    (transcript_id, ord, start_ms, end_ms, normalized_score). Each island of overlapping spans is a fold of its own."""
     item = F.struct((-F.col("normalized_score")).alias("key"), "ord", "start_ms", "end_ms")
-    per = candidates.groupBy("transcript_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    per = islands(candidates).groupBy("transcript_id", "island").agg(F.array_sort(F.collect_list(item)).alias("items"))
     kept = per.select("transcript_id", F.inline(greedy(F.col("items"), iou_clash(threshold))))
     return kept.select("transcript_id", "ord", "start_ms", "end_ms", (-F.col("key")).alias("normalized_score"))
 
