@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -145,9 +146,8 @@ def span_excerpts(spark, sf_dir):
     return transcript.excerpt(tables.words(tables.segments(spark, sf_dir)), spans, 120)
 
 
-WINDOWS_SQL = f"""WITH RECURSIVE {tables.SEGMENTS_SQL},
-s0 AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY seg_idx) - 1 AS idx, start_ms, end_ms, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, greatest(1, length(text) // 4) + 8 AS cost
-  FROM segments WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
+WINDOWS_BODY_SQL = r"""s0 AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY seg_idx) - 1 AS idx, start_ms, end_ms, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, greatest(1, length(text) // 4) + 8 AS cost
+  FROM segments WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
 s AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY transcript_id ORDER BY idx) AS BIGINT) AS upto, count(*) OVER (PARTITION BY transcript_id) AS n FROM s0),
 ahead AS (SELECT a.transcript_id, a.idx, min(b.idx) AS stop FROM s a JOIN s b ON a.transcript_id = b.transcript_id AND b.idx > a.idx AND b.upto - a.upto + a.cost > 300 GROUP BY 1, 2),
 chain AS (SELECT transcript_id, 0::BIGINT AS "window", 0::BIGINT AS first_idx FROM s WHERE idx = 0
@@ -155,6 +155,7 @@ chain AS (SELECT transcript_id, 0::BIGINT AS "window", 0::BIGINT AS first_idx FR
 wins AS (SELECT c.transcript_id, c."window", c.first_idx, coalesce(a.stop, f.n) - 1 AS last_idx, f.start_ms, f.n FROM chain c JOIN s f ON c.transcript_id = f.transcript_id AND c.first_idx = f.idx
   LEFT JOIN ahead a ON c.transcript_id = a.transcript_id AND c.first_idx = a.idx),
 texts AS (SELECT w.transcript_id, w."window", string_agg(printf('[%.1f] %s', s.start_ms / 1000.0, s.text), chr(10) ORDER BY s.idx) AS text FROM wins w JOIN s ON w.transcript_id = s.transcript_id AND s.idx BETWEEN w.first_idx AND w.last_idx GROUP BY 1, 2)"""
+WINDOWS_SQL = f"WITH RECURSIVE {tables.SEGMENTS_SQL},\n{WINDOWS_BODY_SQL}"
 
 
 @query(f"""{WINDOWS_SQL} SELECT w.transcript_id, w."window", w.first_idx, w.last_idx, w.start_ms, l.end_ms FROM wins w JOIN s l ON w.transcript_id = l.transcript_id AND w.last_idx = l.idx""")
@@ -261,13 +262,13 @@ def coerced_numbers(spark, sf_dir):
 
 # ---------------------------------------------------------------- candidates
 
-NORMALISED_SQL = f"""{tables.CANDIDATES_SQL},
-n0 AS (SELECT *, count(*) OVER c AS n, avg(raw_score) OVER c AS mean, stddev_pop(raw_score) OVER c AS sd FROM cands WINDOW c AS (PARTITION BY transcript_id, chunk_index)),
+NORM_BODY_SQL = """n0 AS (SELECT *, count(*) OVER c AS n, avg(raw_score) OVER c AS mean, stddev_pop(raw_score) OVER c AS sd FROM cands WINDOW c AS (PARTITION BY transcript_id, chunk_index)),
 n1 AS (SELECT *, min(CASE WHEN n < 3 THEN raw_score END) OVER t AS lo, max(CASE WHEN n < 3 THEN raw_score END) OVER t AS hi FROM n0 WINDOW t AS (PARTITION BY transcript_id)),
 norm AS (SELECT transcript_id, ord, start_ms, end_ms, chunk_index, raw_score, category,
   round(CASE WHEN n >= 3 THEN CASE WHEN sd < 1e-6 THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + (raw_score - mean) / sd / 4)) END
     ELSE CASE WHEN hi - lo < 1e-6 THEN 0.5 ELSE 0.15 + 0.7 * (raw_score - lo) / (hi - lo) END END, 4) AS normalized_score,
   round(CASE WHEN n >= 3 AND sd < 1e-6 THEN 0.3 WHEN n >= 3 THEN least(1.0, 0.6 + n / 20.0) ELSE 0.4 END, 3) AS confidence FROM n1)"""
+NORMALISED_SQL = f"{tables.CANDIDATES_SQL},\n{NORM_BODY_SQL}"
 
 
 @query(f"WITH {NORMALISED_SQL} SELECT transcript_id, ord, normalized_score, confidence FROM norm")
@@ -423,8 +424,7 @@ def even_anchors(spark, sf_dir):
     return selection.even_anchors(media_of(tables.segments(spark, sf_dir)), 15)
 
 
-@query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL}, {EVEN_SQL},
-found AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY ord) AS ord, anchor_ms::DOUBLE AS anchor_ms, 'discovered' AS strategy FROM anchors),
+CLIPS_SQL = f"""{EVEN_SQL},
 tops AS (SELECT e.transcript_id, (1::BIGINT << 40) + n AS ord, e.anchor_ms, 'even' AS strategy FROM even e WHERE (SELECT count(*) FROM found f WHERE f.transcript_id = e.transcript_id) < 5
   AND NOT EXISTS (SELECT 1 FROM found f WHERE f.transcript_id = e.transcript_id AND abs(f.anchor_ms - e.anchor_ms) <= 25000)),
 every AS (SELECT * FROM found UNION ALL SELECT * FROM tops),
@@ -436,7 +436,12 @@ picked AS (SELECT transcript_id, z.* FROM (SELECT transcript_id, unnest(kept) AS
 allowed AS (SELECT *, least(350.0::DOUBLE, (60000 - (end_ms - start_ms)) / 2.0::DOUBLE) AS allowance FROM padded)
 SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY start_ms, ord) - 1 AS clip, strategy, start_idx, end_idx,
   CASE WHEN allowance > 0 THEN greatest(0.0::DOUBLE, start_ms - {PAD_BY_SQL.format(LEAD_SQL, "allowance")}) ELSE start_ms END::DOUBLE AS start_ms,
-  CASE WHEN allowance > 0 THEN least(media_ms::DOUBLE, end_ms + {PAD_BY_SQL.format(TRAIL_SQL, "allowance")}) ELSE end_ms END::DOUBLE AS end_ms, total AS boundary_score FROM allowed""")
+  CASE WHEN allowance > 0 THEN least(media_ms::DOUBLE, end_ms + {PAD_BY_SQL.format(TRAIL_SQL, "allowance")}) ELSE end_ms END::DOUBLE AS end_ms, total AS boundary_score FROM allowed"""
+
+
+@query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL},
+found AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY ord) AS ord, anchor_ms::DOUBLE AS anchor_ms, 'discovered' AS strategy FROM anchors),
+{CLIPS_SQL}""")
 def select_clips(spark, sf_dir):
     segs, w, f = _features(spark, sf_dir)
     return selection.select_clips(f, w, media_of(segs), tables.anchors(spark, sf_dir))
@@ -662,14 +667,43 @@ def _answers(segs: DataFrame) -> DataFrame:
     return w.select("transcript_id", F.col("window").alias("window_idx"), F.concat(F.lit("Sure! ```json\n["), one, two, F.lit("]\n```")).alias("text"))
 
 
-@query()
+#: The flow from the made-up answers to moments: items as they are written, snapped, scored, without overlaps, hinted, without repetitions.
+MOMENTS_SQL = f"""WITH RECURSIVE {FEATURES_SQL},
+{WINDOWS_BODY_SQL},
+items AS (SELECT transcript_id, "window" AS chunk_index, 0 AS item, printf('%.1f', start_ms / 1000.0 + 3)::DOUBLE AS x, printf('%.1f', start_ms / 1000.0 + 15)::DOUBLE AS y,
+    printf('moment %d of %d', "window", transcript_id) AS hook, 'story' AS category, (("window" * 37 + transcript_id) % 100)::DOUBLE AS raw_score FROM wins
+  UNION ALL SELECT w.transcript_id, "window", 1, printf('%.1f', l.end_ms / 1000.0 - 11)::DOUBLE, printf('%.1f', l.end_ms / 1000.0 - 2)::DOUBLE, printf('second thought about point %d', "window" * 7), 'insight', 55.0::DOUBLE
+  FROM wins w JOIN s l ON w.transcript_id = l.transcript_id AND w.last_idx = l.idx),
+spans0 AS (SELECT *, chunk_index * 100000 + item AS ord, CAST(round(least(x, y) * 1000) AS BIGINT) AS s_ms, CAST(round(greatest(x, y) * 1000) AS BIGINT) AS e_ms FROM items),
+sn AS (SELECT a.transcript_id, ord, arg_min(w.start_ms, struct_pack(d := abs(w.start_ms - s_ms), o := seg_idx, i := word_idx)) AS v FROM spans0 a JOIN words w ON a.transcript_id = w.transcript_id AND abs(w.start_ms - s_ms) <= 6000 GROUP BY 1, 2),
+en AS (SELECT a.transcript_id, ord, arg_min(w.end_ms, struct_pack(d := abs(w.end_ms - e_ms), o := seg_idx, i := word_idx)) AS v FROM spans0 a JOIN words w ON a.transcript_id = w.transcript_id AND abs(w.end_ms - e_ms) <= 6000 GROUP BY 1, 2),
+cands AS (SELECT a.transcript_id, a.ord, chunk_index, hook, category, raw_score, sn.v AS start_ms, en.v AS end_ms FROM spans0 a JOIN sn USING (transcript_id, ord) JOIN en USING (transcript_id, ord) WHERE en.v - sn.v >= 2000),
+{NORM_BODY_SQL},
+listed1 AS (SELECT transcript_id, list(struct_pack(ord := ord, start_ms := start_ms, end_ms := end_ms) ORDER BY normalized_score DESC, ord) AS items FROM norm GROUP BY 1),
+folded1 AS (SELECT transcript_id, list_reduce(list_transform(items, lambda z: [z]), lambda k, x: CASE WHEN len(list_filter(k, lambda a: {IOU_SQL.replace("x.", "x[1].")})) > 0 THEN k ELSE list_concat(k, x) END) AS kept FROM listed1),
+mom0 AS (SELECT n.*, c.hook FROM norm n JOIN (SELECT transcript_id, unnest(kept).ord AS ord FROM folded1) USING (transcript_id, ord) JOIN cands c USING (transcript_id, ord)),
+hanchors AS (SELECT transcript_id, ord, start_ms AS anchor_ms FROM mom0),
+{re.sub(r"\b(near|tried|met|solved)\b", r"h\1", SOLVED_SQL).format(anchors="hanchors")},
+mom1 AS (SELECT m.*, m.hook || '  ' AS text, coalesce(h.total, 0) AS boundary_hint FROM mom0 m LEFT JOIN hsolved h ON m.transcript_id = h.transcript_id AND m.ord = h.ord),
+worded AS (SELECT transcript_id, ord, normalized_score, {TOKENS_SQL} AS tokens, {GRAMS_SQL} AS grams FROM mom1),
+listed2 AS (SELECT transcript_id, list(struct_pack(ord := ord, tokens := tokens, grams := grams) ORDER BY normalized_score DESC, ord) AS items FROM worded GROUP BY 1),
+folded2 AS (SELECT transcript_id, list_reduce(list_transform(items, lambda z: [z]), lambda k, x: CASE WHEN len(list_filter(k, lambda a: {lexical_sql("a", "x[1]")} >= 0.27)) > 0 THEN k ELSE list_concat(k, x) END) AS kept FROM listed2),
+mom2 AS (SELECT m.*, 1.0::DOUBLE / (1.0::DOUBLE + 0.75::DOUBLE * (row_number() OVER (PARTITION BY m.transcript_id, category ORDER BY ord) - 1)) AS diversity, greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(end_ms - start_ms - 42500.0::DOUBLE) / 17500.0::DOUBLE) AS fit
+  FROM mom1 m JOIN (SELECT transcript_id, unnest(kept).ord AS ord FROM folded2) USING (transcript_id, ord)),
+moments AS (SELECT transcript_id, ord, start_ms, end_ms, hook, category, normalized_score, boundary_hint, floor(10000 * (0.0::DOUBLE + normalized_score * 0.3::DOUBLE + 0.5::DOUBLE * 0.35::DOUBLE + boundary_hint * 0.2::DOUBLE + fit * 0.08::DOUBLE + diversity * 0.07::DOUBLE)
+  / {max(1e-9, sum(lexicon.SCORING_WEIGHTS.values()))!r}::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS final_score FROM mom2)"""
+
+
+@query(f"{MOMENTS_SQL} SELECT * FROM moments")
 def discover_moments(spark, sf_dir):
     segs = tables.segments(spark, sf_dir)
     moments, _ = pipelines.discover(segs, tables.words(segs), _answers(segs))
     return moments.select("transcript_id", "ord", "start_ms", "end_ms", "hook", "category", "normalized_score", "boundary_hint", "final_score")
 
 
-@query()
+@query(f"""{MOMENTS_SQL},
+found AS (SELECT transcript_id, n AS ord, round(start_ms / 1000.0::DOUBLE, 2) * 1000 AS anchor_ms, 'discovered' AS strategy FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY final_score DESC, ord) AS n FROM moments) WHERE n <= 10),
+{CLIPS_SQL}""")
 def generate_clips(spark, sf_dir):
     segs = tables.segments(spark, sf_dir)
     w = tables.words(segs)
