@@ -488,6 +488,14 @@ def semantic_nms(spark, sf_dir):
     return ranking.drop_similar(c)
 
 
+@query("""SELECT conv_id AS transcript_id, id, n AS rank FROM (SELECT DISTINCT conv_id, unnest([conv_id % 3, (conv_id + 1) % 3, (conv_id + 2) % 3, 3]) AS id, unnest([1, 2, 3, 4]) AS n FROM conversations)""")
+def rankings_parsed(spark, sf_dir):
+    t = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("t")).distinct()
+    text = F.format_string('Best first:\n[{"id": %d}, {id: %d, }, {"index": %d, "rank": 9}, {"id": 7}, "x"]', F.col("t") % 3, (F.col("t") + 1) % 3, F.col("t") % 3)
+    answers = t.select(F.col("t").alias("transcript_id"), text.alias("text"), F.lit(4).alias("candidate_count"))
+    return ranking.parse_rankings(answers).select("transcript_id", "id", "rank")
+
+
 # ---------------------------------------------------------------- captions
 
 
@@ -544,6 +552,18 @@ def caption_documents(spark, sf_dir):
 # ---------------------------------------------------------------- media, keys, lists, jobs
 
 
+@query(f"""WITH {tables.WORDS_SQL}, w AS (SELECT transcript_id, count(*) AS n_words FROM words GROUP BY 1)
+SELECT transcript_id, 'unknown' AS language, count(*) AS n_segments, any_value(w.n_words) AS n_words, round(max(end_ms) / 1000.0, 3) AS duration, round(min(start_ms) / 1000.0 + 100, 3) AS first_start,
+  arg_min(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), seg_idx) AS first_text FROM segments JOIN w USING (transcript_id) GROUP BY 1""")
+def speech_payloads(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    payloads = transcript.nested(segs, tables.words(segs)).select("transcript_id", F.to_json(F.struct("segments")).alias("json"))
+    read = readers.speech_transcripts(payloads, 100.0)
+    words = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.size(s["words"]))
+    first = F.get("segments", F.lit(0))
+    return read.select("transcript_id", "language", F.size("segments").cast("long").alias("n_segments"), words.alias("n_words"), F.round("duration", 3).alias("duration"), F.round(first["start"], 3).alias("first_start"), first["text"].alias("first_text"))
+
+
 @query("SELECT doc_id, left(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), source, 'turbo', coalesce(lang, 'auto'))), 16) AS cache_key FROM documents")
 def cache_key(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents")

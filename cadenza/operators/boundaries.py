@@ -150,6 +150,16 @@ def scored_pairs(features: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000
     return scored.withColumn("total", weighted_total(weights))
 
 
+def components_map(pairs: DataFrame) -> DataFrame:
+    """pairs with their components as one map from name to score."""
+    return pairs.withColumn("components", F.create_map(*[c for name in COMPONENTS for c in (F.lit(name), F.col(name))]))
+
+
+def opener_penalty(components: Column) -> Column:
+    """Whether a map of components tells of a weak opening; one that doesn't say has none."""
+    return F.coalesce(F.element_at(components, F.lit("opener")), F.lit(1.0)) < 1.0
+
+
 def boundary_notes(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """pairs of scored_pairs() or solve() with notes: what speaks against a boundary, as a list."""
     opens = features.select("transcript_id", F.col("idx").alias("start_idx"), "opener_text", (F.col("pause_ms") / 1000).alias("pause"))

@@ -127,6 +127,23 @@ def drop_similar(candidates: DataFrame, threshold: float = SIMILAR, text: str =
     return per.select("transcript_id", F.inline(greedy(F.col("items"), lambda a, b: alike(a, b) >= threshold))).select("transcript_id", "ord")
 
 
+def similarity_notes(candidates: DataFrame, threshold: float = SIMILAR, text: str = "text", backend: str = "lexical") -> DataFrame:
+    """(transcript_id, ord, note) of the candidates that drop_similar() drops: the best one that stays and that each
+    resembles. candidates also have hook and start_ms."""
+    columns, alike = SIMILARITY[similarity_backend(backend, candidates.columns)]
+    c = text_features(candidates, text) if "tokens" in columns else candidates
+    item = F.struct((-F.col("rerank_score")).alias("k1"), (-F.col("normalized_score")).alias("k2"), "ord", "hook", "start_ms", *columns).alias("x")
+    kept = drop_similar(candidates, threshold, text, backend)
+    stays = c.join(kept, ["transcript_id", "ord"]).select("transcript_id", item.alias("y"))
+    goes = c.join(kept, ["transcript_id", "ord"], "left_anti").select("transcript_id", item.alias("x"))
+    met = goes.join(stays, "transcript_id").filter(F.struct("y.k1", "y.k2", "y.ord") < F.struct("x.k1", "x.k2", "x.ord"))
+    met = met.withColumn("s", alike(F.col("y"), F.col("x"))).filter(F.col("s") >= threshold)
+    first = met.groupBy("transcript_id", F.col("x.ord").alias("ord")).agg(F.min(F.struct("y.k1", "y.k2", "y.ord", "s", F.col("x.hook").alias("hook"), F.col("x.start_ms").alias("at"), F.col("y.hook").alias("other"), F.col("y.start_ms").alias("other_at"))).alias("m"))
+    # Fixed value: the text of the note is part of the result.
+    note = F.format_string("dropped '%s' at %.0fs — %.0f%% similar to '%s' at %.0fs", "m.hook", F.col("m.at") / 1000, F.col("m.s") * 100, "m.other", F.col("m.other_at") / 1000)
+    return first.select("transcript_id", "ord", note.alias("note"))
+
+
 def most_alike(vectors: DataFrame, queries: DataFrame, most: int = 3, blocks: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, similarity): for each of a stated set of query vectors its most alike other vectors.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import media
 from cadenza.operators import boundaries, captions, ranking, transcript
 from cadenza.plans import pipelines
-from cadenza.sources import readers
+from cadenza.sources import readers, schemas
 from cadenza.streaming import jobs
 
 WORD = "transcript_id long, seg_idx long, word_idx long, text string, start_ms long, end_ms long, probability_pct long"
@@ -118,6 +118,26 @@ def test_similarity_backends(spark):
         ranking.drop_similar(c, backend="other")
 
 
+def test_similarity_notes(spark):
+    rows = [(1, 1, "cats purr softly", 0, 0.9), (1, 2, "dogs bark loudly", 7_000, 0.8), (1, 3, "cats purr softly today", 61_000, 0.7)]
+    c = spark.createDataFrame(rows, "transcript_id long, ord long, hook string, start_ms long, rerank_score double").withColumn("normalized_score", F.lit(0.5)).withColumn("text", F.col("hook"))
+    notes = ranking.similarity_notes(c).collect()
+    assert [(r.ord, r.note[:38], r.note.endswith("similar to 'cats purr softly' at 0s")) for r in notes] == [(3, "dropped 'cats purr softly today' at 61", True)]
+
+
+def test_stored_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("c1", "p1", 0.5)], "clip_id string, project_id string, score double")
+    schemas.store(rows, str(tmp_path), "clips")
+    found = schemas.stored(spark, str(tmp_path), "clips").first()
+    assert (found.clip_id, found.score, found.topic) == ("c1", 0.5, None) and len(found) == 20
+
+
+def test_components(spark):
+    pairs = spark.createDataFrame([tuple([0.15, *[1.0] * 5])], ", ".join(f"{c} double" for c in boundaries.COMPONENTS))
+    mapped = boundaries.components_map(pairs).select("components", boundaries.opener_penalty(F.col("components")).alias("weak")).first()
+    assert mapped.weak and mapped.components["opener"] == 0.15 and len(mapped.components) == 6
+
+
 def test_reframing(spark):
     one = lambda s: spark.range(1).select(media.reframe(s, F.lit(1920), F.lit(1080)).alias("c")).first().c
     assert tuple(one("center")) == (607, 1080, 656, 0) and tuple(one("fit")) == (1080, 607, 0, 656)
