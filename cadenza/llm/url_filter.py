@@ -5,8 +5,9 @@ host and all its subdomains is the interval of keys from "org.example." up to "o
 to key ranges; a rule goes to every range that its interval meets. Each range is sorted by key and swept once with a
 stack of the rules whose intervals are open, which nest; the paths of a host's rules are looked up by their lengths.
 
-The split points come from a bounded sample of keys, which decides how even the ranges are and nothing else; page_id is
-part of the split key, so a host, or one URL, that holds a third of all rows spreads over many ranges.
+The split points come from a bounded sample of keys, which decides how even the ranges are and nothing else; a hash of
+page_id and path is part of the split key, so a host, or one URL, that holds a third of all rows spreads over many
+ranges, also where page_ids are null or repeated. Only rows alike in all of these share one.
 
 Verdicts: the longest rule that fits (host and path together; then the longer host, then block before allow), else the
 default. Defined cases: a null URL, or one without "://", has an empty host and path, and no rule; equal rows each get a
@@ -98,9 +99,9 @@ def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.Recor
 
 def _deal(batches: Iterator[pa.RecordBatch], splits: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("page_id").fill_null(0).to_pylist()
-        parts = [bisect_right(splits, (key[:KEY_CHARS], i)) for key, i in zip(batch.column("key").to_pylist(), ids, strict=True)]
-        yield batch.append_column("part", pa.array(np.array(parts, dtype=np.int32)))
+        salts = batch.column("salt").to_pylist()
+        parts = [bisect_right(splits, (key[:KEY_CHARS], salt)) for key, salt in zip(batch.column("key").to_pylist(), salts, strict=True)]
+        yield batch.drop_columns(["salt"]).append_column("part", pa.array(np.array(parts, dtype=np.int32)))
 
 
 def _spread(batches: Iterator[pa.RecordBatch], splits: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +120,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     spark = pages.sparkSession
     url = F.col("url")
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
-    urls = urls.select("*", host_key(F.col("host")).alias("key"))
+    urls = urls.select("*", host_key(F.col("host")).alias("key"), F.xxhash64("page_id", "path").alias("salt"))
     n = pages.count()
     ranges = max(1, min(MOST_RANGES, max(n // ROWS_PER_RANGE, min(64, n // 100))))
     share = min(1.0, 2 * ranges * SAMPLE_PER_RANGE / max(1, n))
-    sample = urls.select(F.substring("key", 1, KEY_CHARS).alias("key"), F.coalesce("page_id", F.lit(0)).alias("id"))
+    sample = urls.select(F.substring("key", 1, KEY_CHARS).alias("key"), "salt")
     # About ranges * SAMPLE_PER_RANGE short keys, whatever the input.
-    picked = sample.filter(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * ranges * SAMPLE_PER_RANGE + 1000)
+    picked = sample.filter(F.pmod(F.xxhash64("key", "salt"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * ranges * SAMPLE_PER_RANGE + 1000)
     keys = sorted((r[0], r[1]) for r in picked.collect())
     splits = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     dealt = urls.mapInArrow(lambda batches: _deal(batches, splits), "page_id long, host string, path string, key string, part int")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm.mixing import mix, mix_sizes
 
@@ -52,3 +53,13 @@ def test_targets_and_words(spark, seed):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mix_sizes(docs).collect() == [] and mix(docs).collect() == []
+
+
+def test_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "en", "a", 0), (2, "w " * 10, "en", "a", 0), (3, "x " * 50, "en", "b", 0)], SCHEMA)
+    clash = docs.withColumns({c: F.lit("clash") for c in ("s", "passes", "below", "copy", "h", "size", "target", "source_size", "taken", "held", "budget", "prefix")})
+    rows = {r.doc_id: r for r in mix_sizes(clash).collect()}
+    assert rows == {r.doc_id: r for r in mix_sizes(docs).collect()}
+    assert [rows[i].size for i in (1, 2, 3)] == [300_000, 10, 50] and rows[3].target == 150.0 and rows[3].taken == 150
+    kept = mix(clash)
+    assert kept.columns == clash.columns and kept.filter("doc_id = 3 and s = 'clash'").count() == 3

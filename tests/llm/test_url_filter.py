@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cadenza.llm.queries import URL_RULES
 from cadenza.llm.url_filter import filter_urls, parsed_rules, rule_table
 
@@ -38,3 +40,10 @@ def test_no_rules_and_no_pages(spark):
     none = rule_table(spark, URL_RULES).limit(0)
     assert [tuple(r) for r in filter_urls(pages, none, "block").collect()] == [(None, "a.org", "/", None, "block")]
     assert filter_urls(pages.limit(0), rule_table(spark, URL_RULES)).collect() == []
+
+
+def test_null_ids_and_clashing_columns(spark):
+    rows = [(None, f"http://hot.example.org/es/{i % 7}") for i in range(600)] + [(3, "http://hot.example.org/x")] * 5 + [(None, None)] * 4
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("key", "part", "salt", "host", "path", "rule", "verdict", "is_url")})
+    got = sorted(map(str, map(tuple, filter_urls(pages, rule_table(spark, URL_RULES)).collect())))
+    assert got == sorted(str((i, *plain(u, URL_RULES))) for i, u in rows)
