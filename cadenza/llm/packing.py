@@ -37,6 +37,8 @@ CAPACITY = 2048
 #: About so many pieces of one length are ranked by one task.
 SLICE_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Each piece has a lane, by its place in its task, from which its slice comes: ids and texts may all be alike.
+LANES = 1 << 20
 
 
 #: Characters of the stretches of text whose ids a worker remembers, twice: those met of late, and those before.
@@ -114,7 +116,7 @@ def token_encoder(path: str) -> TokenEncoder:
 
 
 def piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, end = token_encoder(path), np.array([end_id], dtype="<u4").tobytes()
+    encoder, end, done = token_encoder(path), np.array([end_id], dtype="<u4").tobytes(), 0
     for whole in batches:
         for batch in text_slices(whole, "text", 1 << 22):
             rows: list[list] = [[], [], [], [], []]
@@ -128,7 +130,9 @@ def piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_
                         column.append(value)
                     start, stop, piece = stop, stop + capacity, piece + 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            lanes = (np.arange(done, done + len(rows[0])) * 40_503 % LANES).astype(np.int32)
+            done += len(rows[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(rows, kinds, strict=True)), pa.array(lanes)], ["doc_id", "piece", "start", "length", "ids_crc32", "lane"])
 
 
 def reduce_and_pack(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -254,14 +258,14 @@ def _places(batches: Iterator[pa.RecordBatch], runs: np.ndarray) -> Iterator[pa.
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """A row for each piece: its document, place there, length, CRC of its ids, its sequence and place in it. tokenizer:
     a file of the tokenizers library, at a path that the executors have too."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: piece_rows(batches, tokenizer, capacity, end_id), PIECES)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: piece_rows(batches, tokenizer, capacity, end_id), f"{PIECES}, lane int")
     pieces = stage_table(pieces, "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slices = max(1, -(-max(counts.values(), default=0) // SLICE_ROWS))
     slices = max(slices, min(64, -(-sum(counts.values()) // 2_000)))
     runs, _ = reduce_and_pack(counts, capacity)
     table = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
-    cut = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
+    cut = pieces.withColumn("slice", F.col("lane") % min(slices, LANES))
     sizes = cut.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(F.col("length").alias("l"), F.col("slice").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

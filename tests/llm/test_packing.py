@@ -142,6 +142,17 @@ def test_repeated_sets_dominate_each_time():
         assert bins(lengths * 10, capacity) <= 10 * bins(lengths, capacity)
 
 
+def test_rows_alike_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_ROWS", 10)
+    rows = [(None, "same text")] * 300 + [(5, "one"), (5, "another " * 3_000), (5, "one")]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), *tokenizer_files()).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and sum(r.doc_id is None for r in got) == 300
+    filled = {}
+    for r in got:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(p)[i][0] + sorted(p)[i][1] == sorted(p)[i + 1][0] for p in filled.values() for i in range(len(p) - 1))
+
+
 def test_few_runs():
     rng = random.Random(5)
     for most in (2048, 700, 100):
