@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import fingerprints, jaccard_join, license_texts, licenses, mixing, packing, secrets, topk, toxicity, url_filter, warc
 

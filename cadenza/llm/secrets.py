@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from bisect import bisect_left
