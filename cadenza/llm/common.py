@@ -37,8 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stage_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cadenza/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cadenza/{name}-{uuid.uuid4().hex}"
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Removes all stage tables of this application. Results that read them must have been written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
