@@ -7,7 +7,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Removes all stage tables of this application. Results that read them must have been written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/cadenza/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -20,6 +26,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cadenza/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/cadenza/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

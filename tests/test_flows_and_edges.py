@@ -132,6 +132,19 @@ def test_stored_tables(spark, tmp_path):
     assert (found.clip_id, found.score, found.topic) == ("c1", 0.5, None) and len(found) == 20
 
 
+def test_stage_tables_can_be_dropped(spark):
+    from pyspark.errors import AnalysisException
+
+    from cadenza.plans.stages import drop_stages, staged
+
+    made = staged(spark.range(3), "kept")
+    path = made.inputFiles()[0].rpartition("/")[0]
+    assert made.count() == 3
+    drop_stages(spark)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([tuple([0.15, *[1.0] * 5])], ", ".join(f"{c} double" for c in boundaries.COMPONENTS))
     mapped = boundaries.components_map(pairs).select("components", boundaries.opener_penalty(F.col("components")).alias("weak")).first()
