@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_join, license_texts, licenses, mixing, packing, secrets, topk, toxicity, url_filter, warc
+from . import collocations, filter_audit, fingerprints, jaccard_join, license_texts, licenses, mixing, packing, pii, secrets, topk, toxicity, url_filter, warc
 
 #: The rules of the URL query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -61,6 +63,18 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(pii.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_kneser_ney_toxicity, op2_syncmer_fingerprints, op3_license_scan, op4_exact_topk, op5_warc_salvage, op6_url_filter, op7_source_mix, op8_secret_scan, op9_jaccard_join, op10_sequence_packing, pipeline)}
+    return {f.__name__: f for f in (op1_kneser_ney_toxicity, op2_syncmer_fingerprints, op3_license_scan, op4_exact_topk, op5_warc_salvage, op6_url_filter, op7_source_mix, op8_secret_scan, op9_jaccard_join, op10_sequence_packing, op11_pii, op12_collocations, op13_filter_audit, pipeline)}
 
 
 OP6_SQL = r"""
@@ -162,5 +176,80 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS compon
 """
 
 
+_CONFIRMED_SQL = {
+    "email": "length(h[i])",
+    "ip": f"CASE WHEN regexp_matches(h[i], '{pii.IP_PARTS}') THEN length(h[i]) ELSE 0 END",
+    "card": """CASE WHEN length(regexp_replace(h[i], '[^0-9]', '', 'g')) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(regexp_replace(h[i], '[^0-9]', '', 'g')), ''),
+      lambda c, j: CASE WHEN j % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 THEN length(h[i]) ELSE 0 END""",
+    "phone": "CASE WHEN length(regexp_replace(h[i], '[^0-9]', '', 'g')) BETWEEN 10 AND 15 THEN length(h[i]) ELSE 0 END",
+    "iban": "CASE WHEN {0} THEN length(h[i]) WHEN contains(h[i], ' ') AND {1} THEN length(regexp_replace(h[i], ' [A-Z0-9]{{1,3}}$', '')) ELSE 0 END",
+    "ssn": f"CASE WHEN regexp_matches(h[i], '{pii.NO_SSN}') THEN 0 ELSE length(h[i]) END",
+}
+
+
+def _mod97_sql(code: str) -> str:
+    flat = f"replace({code}, ' ', '')"
+    values = f"list_transform(string_split(substr({flat}, 5) || left({flat}, 4), ''), lambda c: ascii(c) - CASE WHEN c < 'A' THEN 48 ELSE 55 END)"
+    return f"(length({flat}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, {values}), lambda r, v: (r * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1)"
+
+
+def _kind_sql(kind: str) -> str:
+    pattern = pii.PLAIN[kind].replace("'", "''")
+    sure = _CONFIRMED_SQL[kind]
+    if kind == "iban":
+        sure = sure.format(_mod97_sql("h[i]"), _mod97_sql("regexp_replace(h[i], ' [A-Z0-9]{1,3}$', '')"))
+    near = f"regexp_matches(translate(right(g[i], {pii.CONTEXT}) || chr(10) || left(g[i + 1], {pii.CONTEXT}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pii.WORDS[kind]}')"
+    wanted = "" if kind in pii.BASE or pii.SCORES[kind] >= pii.LEAST else f" AND {near}"
+    return f"""SELECT doc_id, row_id, '{kind}' AS kind, {pii.KINDS.index(kind)} AS k, s AS start, s + n AS stop FROM (
+    SELECT doc_id, row_id, g, h, i, {sure} AS n,
+      CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+    FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, row_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS h FROM d))) WHERE n > 0{wanted}"""
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_kind_sql(kind) for kind in pii.KINDS)}),
+a AS (SELECT row_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in pii.BASE)},
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < {len(pii.BASE)}) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM f GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (row_id)
+"""
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY 1),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS gram, count(*) AS f FROM places, (VALUES (1), (2), (3), (4), (5)) s(size) WHERE i + size - 1 <= len(ws) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT lang, gram, size, f AS a, string_split(gram, ' ') AS ws FROM g WHERE size > 1),
+held AS (SELECT DISTINCT s.lang, s.gram FROM c s JOIN c b ON s.lang = b.lang AND b.size > s.size AND 100 * b.a >= 100 * s.a AND contains(' ' || b.gram || ' ', ' ' || s.gram || ' ')),
+k AS (SELECT c.*, unnest(range(1, size)) AS k FROM c WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = c.lang AND h.gram = c.gram)),
+x AS (SELECT k.lang, k.gram, k.a, k.k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * k.a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.gram = array_to_string(k.ws[1:k.k], ' ') JOIN g r ON r.lang = k.lang AND r.gram = array_to_string(k.ws[k.k + 1:], ' ') JOIN t ON t.lang = k.lang),
+b AS (SELECT lang, gram, a, arg_min(struct_pack(l := l, r := r, n := n, score := score), struct_pack(s := score, k := k)) AS v FROM x GROUP BY 1, 2, 3)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY v.score DESC, a DESC, gram) AS rank, gram AS phrase, a, v.l AS l, v.r AS r, CAST(v.n AS BIGINT) AS n, CAST(v.score AS BIGINT) AS score FROM b QUALIFY rank <= 2000
+"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^ 	-
+]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+  CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END,
+  CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END,
+  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN l USING (doc_id)),
+o(filter_order) AS (VALUES {", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))}),
+s AS (SELECT filter_order, step, left(filter_order, step - 1) AS before, substr(filter_order, step, 1) AS f FROM o, range(1, 6) r(step)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY 1, 2),
+y AS (SELECT c.part, s.filter_order, s.step, s.f, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT contains(fails, f)), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT hit AND contains(fails, f)), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (hit AND contains(fails, f)), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(g) FILTER (NOT hit AND contains(fails, f)), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER (NOT hit AND contains(fails, f)), 0) AS BIGINT) AS toxic_lost
+  FROM (SELECT c.*, s.*, len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND before <> '' AND fails <> '' AS hit FROM c, s) c JOIN s USING (filter_order, step, f) GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM y
+"""
+
+
 def oracle_sql():
-    return {"op3_license_scan": OP3_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_salvage": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_source_mix": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op3_license_scan": OP3_SQL, "op4_exact_topk": OP4_SQL, "op5_warc_salvage": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_source_mix": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op11_pii": OP11_SQL, "op12_collocations": OP12_SQL, "op13_filter_audit": OP13_SQL}
