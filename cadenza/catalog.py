@@ -13,6 +13,7 @@ from .functions import media as m
 from .functions import text as t
 from .operators import boundaries, candidates, captions, ranking, selection, transcript, windows
 from .plans import pipelines
+from .plans.stages import staged
 from .sources import readers, tables
 from .streaming import jobs
 
@@ -364,7 +365,7 @@ solved AS (SELECT * FROM met WHERE k <= 400 QUALIFY row_number() OVER (PARTITION
 def _features(spark, sf_dir):
     segs = tables.segments(spark, sf_dir)
     w = tables.words(segs)
-    return segs, w, boundaries.segment_features(segs, w)
+    return segs, w, staged(boundaries.segment_features(segs, w), "features")
 
 
 @query(f"WITH {FEATURES_SQL} SELECT transcript_id, idx, opener_kind, pause_ms / 1000.0 AS pause, starts_sentence, ends_sentence, dangling FROM feats")
@@ -385,14 +386,23 @@ def solve_boundaries(spark, sf_dir):
     return boundaries.solve(f, tables.anchors(spark, sf_dir)).select("transcript_id", "ord", "anchor_ms", "start_idx", "end_idx", "start_ms", "end_ms", "total")
 
 
-@query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL}, {SOLVED_SQL.format(anchors='anchors')},
-named0 AS (SELECT transcript_id, seg_idx, arg_min(CASE WHEN coalesce(c || ' ' || c2 || ' ' || c3 IN {_in(lexicon.WEAK_OPENING_PHRASES)}, false) THEN c || ' ' || c2 || ' ' || c3 WHEN coalesce(c || ' ' || c2 IN {_in(lexicon.WEAK_OPENING_PHRASES)}, false) THEN c || ' ' || c2 ELSE c END, word_idx) AS o,
+NAMED_SQL = f"""named0 AS (SELECT transcript_id, seg_idx, arg_min(CASE WHEN coalesce(c || ' ' || c2 || ' ' || c3 IN {_in(lexicon.WEAK_OPENING_PHRASES)}, false) THEN c || ' ' || c2 || ' ' || c3 WHEN coalesce(c || ' ' || c2 IN {_in(lexicon.WEAK_OPENING_PHRASES)}, false) THEN c || ' ' || c2 ELSE c END, word_idx) AS o,
   arg_max(c, word_idx) AS l FROM cx GROUP BY 1, 2),
-named AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY seg_idx) - 1 AS idx FROM named0)
-SELECT s.transcript_id, s.ord, concat_ws(' | ', CASE WHEN opener = 0.75 THEN printf('opens on ''%s'', forgiven by %.1fs pause', a.o, f.pause_ms / 1000.0) WHEN opener = 0.15 THEN printf('opens on ''%s'' with only %.1fs before it', a.o, f.pause_ms / 1000.0)
+named AS (SELECT n.*, row_number() OVER (PARTITION BY transcript_id ORDER BY seg_idx) - 1 AS idx, regexp_replace(s.text, '^\\s+|\\s+$', '', 'g') AS said FROM named0 n JOIN segments s USING (transcript_id, seg_idx))"""
+
+
+def notes_sql(joint: str) -> str:
+    """The notes of a solved pair s whose first segment is a (features f) and whose last is b."""
+    return f"""concat_ws('{joint}', CASE WHEN opener = 0.75 THEN printf('opens on ''%s'', forgiven by %.1fs pause', a.o, f.pause_ms / 1000.0) WHEN opener = 0.15 THEN printf('opens on ''%s'' with only %.1fs before it', a.o, f.pause_ms / 1000.0)
   WHEN opener = 0 THEN 'opens on subordinate ''' || a.o || ''' — refers to unseen context' END, CASE WHEN s.starts_sentence = 0 THEN 'starts mid-sentence' END, CASE WHEN s.ends_sentence = 0 THEN 'does not end on a sentence' END,
-  CASE WHEN not_dangling = 0 THEN 'ends on ''' || b.l || '''' END, CASE WHEN filler_ratio > 0.12 THEN printf('%.0f%% filler words', filler_ratio * 100) END) AS notes
-FROM solved s JOIN named a ON s.transcript_id = a.transcript_id AND s.start_idx = a.idx JOIN named b ON s.transcript_id = b.transcript_id AND s.end_idx = b.idx JOIN feats f ON s.transcript_id = f.transcript_id AND s.start_idx = f.idx""")
+  CASE WHEN not_dangling = 0 THEN 'ends on ''' || b.l || '''' END, CASE WHEN filler_ratio > 0.12 THEN printf('%.0f%% filler words', filler_ratio * 100) END)"""
+
+
+NAMES_SQL = "JOIN named a ON s.transcript_id = a.transcript_id AND s.start_idx = a.idx JOIN named b ON s.transcript_id = b.transcript_id AND s.end_idx = b.idx JOIN feats f ON s.transcript_id = f.transcript_id AND s.start_idx = f.idx"
+
+
+@query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL}, {SOLVED_SQL.format(anchors='anchors')}, {NAMED_SQL}
+SELECT s.transcript_id, s.ord, {notes_sql(" | ")} AS notes FROM solved s {NAMES_SQL}""")
 def boundary_notes(spark, sf_dir):
     _, _, f = _features(spark, sf_dir)
     noted = boundaries.boundary_notes(boundaries.solve(f, tables.anchors(spark, sf_dir)), f)
@@ -433,18 +443,30 @@ listed AS (SELECT s.transcript_id, list(struct_pack(ord := s.ord, start_ms := st
   FROM solved s JOIN every e ON s.transcript_id = e.transcript_id AND s.ord = e.ord GROUP BY 1),
 folded AS (SELECT transcript_id, list_reduce(list_transform(items, lambda z: [z]), lambda k, x: CASE WHEN len(k) >= 5 OR len(list_filter(k, lambda a: a.start_ms < x[1].end_ms AND x[1].start_ms < a.end_ms)) > 0 THEN k ELSE list_concat(k, x) END) AS kept FROM listed),
 picked AS (SELECT transcript_id, z.* FROM (SELECT transcript_id, unnest(kept) AS z FROM folded)), {PAD_SQL.format(spans='picked')},
-allowed AS (SELECT *, least(350.0::DOUBLE, (60000 - (end_ms - start_ms)) / 2.0::DOUBLE) AS allowance FROM padded)
-SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY start_ms, ord) - 1 AS clip, strategy, start_idx, end_idx,
-  CASE WHEN allowance > 0 THEN greatest(0.0::DOUBLE, start_ms - {PAD_BY_SQL.format(LEAD_SQL, "allowance")}) ELSE start_ms END::DOUBLE AS start_ms,
-  CASE WHEN allowance > 0 THEN least(media_ms::DOUBLE, end_ms + {PAD_BY_SQL.format(TRAIL_SQL, "allowance")}) ELSE end_ms END::DOUBLE AS end_ms, total AS boundary_score FROM allowed"""
+allowed AS (SELECT *, least(350.0::DOUBLE, (60000 - (end_ms - start_ms)) / 2.0::DOUBLE) AS allowance FROM padded), {NAMED_SQL},
+noted AS (SELECT s.transcript_id, s.ord, {notes_sql("; ")} AS boundary_notes FROM solved s {NAMES_SQL}),
+said AS (SELECT p.transcript_id, p.ord, string_agg(n.said, ' ' ORDER BY n.idx) AS text FROM picked p JOIN named n ON p.transcript_id = n.transcript_id AND n.idx BETWEEN p.start_idx AND p.end_idx GROUP BY 1, 2)
+SELECT x.transcript_id, row_number() OVER (PARTITION BY x.transcript_id ORDER BY x.start_ms, x.ord) - 1 AS clip, x.strategy, x.start_idx, x.end_idx, left(t.text, 5000) AS text, n.boundary_notes, s.opener, s.starts_sentence, s.ends_sentence, s.not_dangling,
+  round(s.low_filler, 6) AS low_filler, round(s.duration_fit, 6) AS duration_fit, d.hook, d.topic, d.category, d.score,
+  CASE WHEN allowance > 0 THEN greatest(0.0::DOUBLE, x.start_ms - {PAD_BY_SQL.format("x." + LEAD_SQL, "allowance")}) ELSE x.start_ms END::DOUBLE AS start_ms,
+  CASE WHEN allowance > 0 THEN least(media_ms::DOUBLE, x.end_ms + {PAD_BY_SQL.format(TRAIL_SQL.replace("end_ms", "x.end_ms"), "allowance")}) ELSE x.end_ms END::DOUBLE AS end_ms, x.total AS boundary_score
+FROM allowed x JOIN noted n USING (transcript_id, ord) JOIN said t USING (transcript_id, ord) JOIN solved s USING (transcript_id, ord) LEFT JOIN known d USING (transcript_id, ord)"""
+
+
+def shown_clips(clips: DataFrame) -> DataFrame:
+    """Clips with a column for each component."""
+    parts = [F.col("components")[c].alias(c) for c in boundaries.COMPONENTS]
+    shown = clips.select("*", *parts).drop("components")
+    return shown.withColumns({c: F.round(c, 6) for c in ("low_filler", "duration_fit")})
 
 
 @query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL},
 found AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY ord) AS ord, anchor_ms::DOUBLE AS anchor_ms, 'discovered' AS strategy FROM anchors),
+known AS (SELECT transcript_id, ord, NULL::VARCHAR AS hook, NULL::VARCHAR AS topic, NULL::VARCHAR AS category, NULL::DOUBLE AS score FROM found),
 {CLIPS_SQL}""")
 def select_clips(spark, sf_dir):
     segs, w, f = _features(spark, sf_dir)
-    return selection.select_clips(f, w, media_of(segs), tables.anchors(spark, sf_dir))
+    return shown_clips(selection.select_clips(f, w, media_of(segs), tables.anchors(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- ranking
@@ -723,12 +745,13 @@ def discover_moments(spark, sf_dir):
 
 @query(f"""{MOMENTS_SQL},
 found AS (SELECT transcript_id, n AS ord, round(start_ms / 1000.0::DOUBLE, 2) * 1000 AS anchor_ms, 'discovered' AS strategy FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY final_score DESC, ord) AS n FROM moments) WHERE n <= 10),
+known AS (SELECT f.transcript_id, f.ord, m.hook, m.topic, m.category, m.final_score AS score FROM found f JOIN (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY final_score DESC, ord) AS ord, hook, '' AS topic, category, final_score FROM moments) m USING (transcript_id, ord)),
 {CLIPS_SQL}""")
 def generate_clips(spark, sf_dir):
     segs = tables.segments(spark, sf_dir)
     w = tables.words(segs)
     moments, _ = pipelines.discover(segs, w, _answers(segs))
-    return pipelines.generate_clips(segs, w, media_of(segs), moments)
+    return shown_clips(pipelines.generate_clips(segs, w, media_of(segs), moments))
 
 
 @query(f"""{WINDOWS_SQL},

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from ..functions.text import clean, ends_sentence
+from ..functions.text import clean, ends_sentence, stripped
+from ..plans.stages import staged
 
 SEARCH_BACK_MS, SEARCH_FORWARD_MS, MOST_PAIRS = 15_000, 25_000, 400
 FORGIVING_PAUSE_MS = 600
@@ -70,6 +71,7 @@ def segment_features(segments: DataFrame, words: DataFrame) -> DataFrame:
         ends_sentence(F.col("text")).alias("ends_sentence"),
         F.col("tail.c").isin(lexicon.DANGLING_ENDINGS).alias("dangling"),
         F.col("tail.phrase").alias("tail_phrase"),
+        stripped(F.col("text")).alias("text"),
         F.sum("n").over(so_far).alias("words_to"),
         F.sum("singles").over(so_far).alias("singles_to"),
         F.sum("phrases").over(so_far).alias("phrases_to"),
@@ -96,6 +98,31 @@ def weighted_total(weights: dict[str, float], columns: dict[str, str] | None = N
     return rounded(total / F.lit(max(1e-9, sum(weights.values()))))
 
 
+def within_reach(pairs: DataFrame, features: DataFrame, max_ms: int) -> DataFrame:
+    """The pairs (transcript_id, start_idx, end_idx, a_start_ms, ...) of which no segment from the first to the one before
+    the last ends more than max_ms after the first one's start.
+
+    The latest end of a range of segments is that of the two ranges of a power of two that cover it: each segment has
+    the latest end of the 1, 2, 4, ... segments from it on, so a pair meets two rows however far apart its ends are."""
+    order = Window.partitionBy("transcript_id").orderBy("idx")
+    some = features.join(pairs.select("transcript_id").distinct(), "transcript_id", "left_semi").select("transcript_id", "idx", "end_ms")
+    most = pairs.agg(F.max(F.col("end_idx") - F.col("start_idx"))).first()[0] or 0
+    # A level's ranges are two of the level below.
+    widths, levels = some.withColumn("level_0", F.col("end_ms")), most.bit_length()
+    for level in range(1, levels):
+        below = F.col(f"level_{level - 1}")
+        widths = widths.withColumn(f"level_{level}", F.greatest(below, F.lead(below, 1 << (level - 1)).over(order)))
+    listed = F.array(*[F.col(f"level_{level}") for level in range(max(1, levels))])
+    rows = widths.select("transcript_id", "idx", F.posexplode(listed).alias("level", "latest"))
+    n = F.col("end_idx") - F.col("start_idx")
+    p = pairs.withColumn("level", F.length(F.bin(n)) - 1).withColumn("second", F.col("end_idx") - F.expr("shiftleft(1L, level)"))
+    near = p.filter(n > 0)
+    for at, name in (("start_idx", "x"), ("second", "y")):
+        near = near.join(rows.select("transcript_id", F.col("idx").alias(at), "level", F.col("latest").alias(name)), ["transcript_id", at, "level"])
+    near = near.filter(F.greatest("x", "y") <= F.col("a_start_ms") + max_ms)
+    return near.select(*pairs.columns).unionByName(p.filter(n == 0).select(*pairs.columns))
+
+
 def scored_pairs(features: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000, weights: dict[str, float] | None = None, starts: DataFrame | None = None) -> DataFrame:
     """Every pair of segments whose span is of legal length, with six components and their weighted total; with starts
     (transcript_id, start_idx) the pairs that start there.
@@ -110,18 +137,17 @@ def scored_pairs(features: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000
         "transcript_id", F.col("idx").alias("end_idx"), F.col("top_ms").alias("b_top_ms"), *[F.col(c).alias(f"b_{c}") for c in ("end_ms", "last_ms", "ends_sentence", "dangling", "tail_phrase", "words_to", "singles_to", "phrases_to")]
     )
     # The running maximum at an end tells whether it is in reach, but where a segment before the start ends that late
-    # already. Such starts are few, and meet all segments from them on.
+    # already.
     odd = F.col("a_top_ms") > F.col("a_start_ms") + max_ms
-    ends = features.select("transcript_id", F.col("idx").alias("k"), F.col("end_ms").alias("k_end"))
-    late = a.filter(odd).select("transcript_id", "start_idx", "a_start_ms").join(ends, "transcript_id").filter((F.col("k") >= F.col("start_idx")) & (F.col("k_end") > F.col("a_start_ms") + max_ms))
-    a = a.join(late.groupBy("transcript_id", "start_idx").agg(F.min("k").alias("stop_idx")), ["transcript_id", "start_idx"], "left")
     width = max(1, max_ms)
     a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("a_start_ms") + min_ms) / width), F.floor((F.col("a_start_ms") + max_ms) / width))))
     b = b.withColumn("bucket", F.floor(F.col("b_end_ms") / width))
     span = F.col("b_end_ms") - F.col("a_start_ms")
     pairs = a.join(b, ["transcript_id", "bucket"]).filter((F.col("end_idx") >= F.col("start_idx")) & (span >= min_ms) & (span <= max_ms))
-    in_reach = F.when(odd, F.coalesce(F.col("end_idx") < F.col("stop_idx"), F.lit(True))).otherwise(F.col("b_top_ms") <= F.col("a_start_ms") + max_ms)
-    pairs = pairs.filter(in_reach)
+    sound = pairs.filter(F.col("b_top_ms") <= F.col("a_start_ms") + max_ms)
+    if not a.filter(odd).isEmpty():
+        sound = sound.filter(~odd).unionByName(within_reach(pairs.filter(odd), features, max_ms))
+    pairs = sound
     n_words = F.col("b_words_to") - F.col("a_words_to") + F.col("a_n")
     singles = F.col("b_singles_to") - F.col("a_singles_to") + F.col("a_singles")
     phrases = F.col("b_phrases_to") - F.col("a_phrases_to") + F.col("a_phrases") - F.col("b_tail_phrase")
@@ -208,14 +234,25 @@ def starts_near(features: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def solve(features: DataFrame, anchors: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000, weights: dict[str, float] | None = None) -> DataFrame:
     """The best pair near each anchor (transcript_id, ord, anchor_ms): of the first MOST_PAIRS pairs by start and end
-    index whose start lies within reach of the anchor (else at the nearest segment), the first of the highest total."""
-    tried = starts_near(features, anchors)
-    pairs = scored_pairs(features, min_ms, max_ms, weights, tried)
-    met = tried.join(pairs, ["transcript_id", "start_idx"])
-    by_order = Window.partitionBy("transcript_id", "ord").orderBy("start_idx", "end_idx")
-    counted = met.withColumn("n", F.row_number().over(by_order)).filter(F.col("n") <= MOST_PAIRS)
-    best = Window.partitionBy("transcript_id", "ord").orderBy(F.desc("total"), "start_idx", "end_idx")
-    return counted.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
+    index whose start lies within reach of the anchor (else at the nearest segment), the first of the highest total.
+
+    Anchors share their starts: each start has the number of its pairs and the best of them, and only the start in
+    which the last pair tried falls is looked at pair by pair. features are read several times: stage them."""
+    tried = staged(starts_near(features, anchors), "tried")
+    pairs = staged(scored_pairs(features, min_ms, max_ms, weights, tried), "pairs")
+    start = ["transcript_id", "start_idx"]
+    per = pairs.groupBy(*start).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("total")).alias("key"), "end_idx")).alias("b"))
+    so_far = Window.partitionBy("transcript_id", "ord").orderBy("start_idx").rowsBetween(Window.unboundedPreceding, 0)
+    met = tried.join(per, start).withColumn("left", MOST_PAIRS - (F.sum("n").over(so_far) - F.col("n"))).filter("left > 0")
+    best = met.filter("n <= left").select("transcript_id", "ord", "anchor_ms", F.struct("b.key", "start_idx", "b.end_idx").alias("c"))
+    cut = staged(met.filter("n > left").select("transcript_id", "ord", "anchor_ms", "start_idx", "left"), "cut-starts")
+    if not cut.isEmpty():
+        by_end = Window.partitionBy(*start).orderBy("end_idx")
+        placed = pairs.join(cut.select(*start).distinct(), start, "left_semi").select(*start, "end_idx", "total", F.row_number().over(by_end).alias("place"))
+        last = cut.join(placed, start).filter("place <= left").select("transcript_id", "ord", "anchor_ms", F.struct((-F.col("total")).alias("key"), "start_idx", "end_idx").alias("c"))
+        best = best.unionByName(last)
+    found = best.groupBy("transcript_id", "ord").agg(F.min("c").alias("c"), F.first("anchor_ms").alias("anchor_ms"))
+    return found.select("transcript_id", "ord", "anchor_ms", "c.start_idx", "c.end_idx").join(pairs, [*start, "end_idx"])
 
 
 def pad_into_silence(spans: DataFrame, words: DataFrame, media: DataFrame, max_pad_ms: Column | int = 350) -> DataFrame:

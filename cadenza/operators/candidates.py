@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions.json_recovery import model_items
 from ..functions.text import estimate_tokens, stripped
+from ..plans.stages import staged
+from . import greedy
 
 SNAP_MS = 6_000
 LEAST_ANCHOR_MS = 2_000
@@ -98,46 +100,37 @@ def normalise(candidates: DataFrame) -> DataFrame:
     return c.select(*[c[x] for x in candidates.columns], F.round(F.when(big, z).otherwise(pooled), 4).alias("normalized_score"), F.round(confidence, 3).alias("confidence"))
 
 
-def greedy(items: Column, clashes, most: Column | None = None) -> Column:
-    """Of an array in order of preference, what a greedy pass keeps: an item goes if it clashes with one kept before;
-    a full list takes no more."""
-    kind = F.array_compact(F.slice(items, 1, 0))
+def overlap_conflicts(spans: DataFrame, threshold: float) -> DataFrame:
+    """(group, better, worse) of spans (transcript_id, rank, start_ms, end_ms) of which two overlap by the threshold or
+    more of the range that both cover.
 
-    def step(kept: Column, x: Column) -> Column:
-        goes = F.exists(kept, lambda k: clashes(k, x))
-        goes = goes if most is None else goes | (F.size(kept) >= most)
-        return F.when(goes, kept).otherwise(F.concat(kept, F.array(x)))
+    Such spans differ in length by 1 / threshold at most, and start near each other, measured by their lengths: they meet
+    in one class of lengths, in the same bucket of starts or the next."""
+    base = 1.001 / threshold
+    size = F.col("end_ms") - F.col("start_ms")
+    s = spans.filter(size > 0).select("transcript_id", F.col("rank").cast("long").alias("rank"), "start_ms", "end_ms", F.floor(F.log(size.cast("double")) / F.log(F.lit(base))).cast("int").alias("class"))
+    width = lambda c: F.ceil(F.pow(F.lit(base), c + 1) * max(1.0, (1 - threshold) / threshold)) + 1
+    dealt = s.withColumn("at", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("bucket", F.floor(F.col("start_ms") / width(F.col("at"))))
+    a = dealt.select(*[F.col(c).alias(f"a_{c}") for c in ("rank", "start_ms", "end_ms", "class")], "transcript_id", "at", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    met = a.join(dealt, ["transcript_id", "at", "bucket"]).filter((F.col("a_rank") < F.col("rank")) & (F.col("at") == F.greatest("a_class", "class")))
+    shared = F.least("a_end_ms", "end_ms") - F.greatest("a_start_ms", "start_ms")
+    whole = F.greatest("a_end_ms", "end_ms") - F.least("a_start_ms", "start_ms")
+    return met.filter((shared > 0) & (shared >= threshold * whole)).select(F.col("transcript_id").alias("group"), F.col("a_rank").alias("better"), F.col("rank").alias("worse"))
 
-    return F.aggregate(items, kind, step)
 
-
-def iou_clash(threshold: float):
-    """Whether two spans overlap by the threshold or more of the range that both cover."""
-
-    def clash(a: Column, b: Column) -> Column:
-        shared = F.least(a["end_ms"], b["end_ms"]) - F.greatest(a["start_ms"], b["start_ms"])
-        whole = F.greatest(a["end_ms"], b["end_ms"]) - F.least(a["start_ms"], b["start_ms"])
-        return (shared > 0) & (shared >= threshold * whole)
-
-    return clash
-
-
-def islands(spans: DataFrame) -> DataFrame:
-    """spans (transcript_id, ord, start_ms, end_ms) with `island`: a new one begins at a time that no earlier span covers,
-    so spans of two islands never overlap."""
-    order = Window.partitionBy("transcript_id").orderBy("start_ms", "ord")
-    covered = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = spans.withColumn("_opens", F.coalesce(F.col("start_ms") >= covered, F.lit(True)).cast("int"))
-    return opens.withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
-
-
-def drop_overlaps(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
+def drop_overlaps(candidates: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
     """Candidates without those that overlap a better one that was kept (best score first, then ord); as
-    (transcript_id, ord, start_ms, end_ms, normalized_score). Each island of overlapping spans is a fold of its own."""
-    item = F.struct((-F.col("normalized_score")).alias("key"), "ord", "start_ms", "end_ms")
-    per = islands(candidates).groupBy("transcript_id", "island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = per.select("transcript_id", F.inline(greedy(F.col("items"), iou_clash(threshold))))
-    return kept.select("transcript_id", "ord", "start_ms", "end_ms", (-F.col("key")).alias("normalized_score"))
+    (transcript_id, ord, start_ms, end_ms, normalized_score). threshold is above 0.
+
+    Of equal spans only the best can stay, as whatever it overlaps the others overlap too."""
+    spans = candidates.select("transcript_id", "ord", "start_ms", "end_ms", "normalized_score")
+    best = F.min(F.struct((-F.col("normalized_score")).alias("key"), "ord")).alias("b")
+    some = spans.filter("end_ms > start_ms").groupBy("transcript_id", "start_ms", "end_ms").agg(best)
+    some = some.select("transcript_id", "start_ms", "end_ms", "b.ord", (-F.col("b.key")).alias("normalized_score"))
+    every = some.unionByName(spans.filter("not coalesce(end_ms > start_ms, false)"))
+    ranked = staged(greedy.ranked(every, "transcript_id", F.desc("normalized_score"), F.col("ord")), "ranked")
+    kept = greedy.survivors(ranked, "transcript_id", overlap_conflicts(ranked, threshold), **how)
+    return kept.select("transcript_id", "ord", "start_ms", "end_ms", "normalized_score")
 
 
 def rejection_kind(reason: Column) -> Column:

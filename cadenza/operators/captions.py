@@ -1,16 +1,15 @@
-"""Captions: words packed into lines by a fold, one event a word, subtitle documents."""
+"""Captions: words packed into lines, one event a word, subtitle documents."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import caption_escape, caption_time, stripped
+from ..plans.stages import staged
+from . import chains
 
 
 @dataclass(frozen=True)
@@ -37,31 +36,25 @@ class Style:
     margin_h: int = 80
 
 
-def _pack(batches: Iterator[pa.RecordBatch], style: Style) -> Iterator[pa.RecordBatch]:
-    """`line` for rows sorted by (clip_id, w); a clip may go on in the next batch."""
-    clip, line, n, chars, first = object(), 0, 0, 0, 0
-    for batch in batches:
-        lines = []
-        c = {name: batch.column(name).to_pylist() for name in ("clip_id", "size", "start_ms", "end_ms")}
-        for own, size, start, end in zip(*c.values(), strict=True):
-            if own != clip:
-                clip, line, n = own, 0, 0
-            elif chars + 1 + size > style.max_chars or n >= style.max_words or end - first > style.max_line_ms:
-                line, n = line + 1, 0
-            first = start if n == 0 else first
-            chars = size if n == 0 else chars + 1 + size
-            n += 1
-            lines.append(line)
-        yield batch.drop_columns(["size"]).append_column("line", pa.array(lines, pa.int64()))
-
-
-def caption_lines(words: DataFrame, style: Style = Style()) -> DataFrame:
+def caption_lines(words: DataFrame, style: Style = Style(), block: int = chains.BLOCK) -> DataFrame:
     """words (clip_id, w, text, start_ms, end_ms) with `line`: a new line starts when a word would pass the characters,
-    the words or the time of one. Blank words go. One pass over the words of each clip in order, holding a line's sums."""
+    the words or the time of one. Blank words go.
+
+    From each word the line that starts there ends within max_words words, so its neighbours tell where the next line
+    starts; the lines are the chain of these edges from the first word."""
     w = words.withColumn("text", stripped(F.col("text"))).filter("text <> ''")
-    rows = w.withColumn("size", F.length("text")).repartition("clip_id").sortWithinPartitions("clip_id", "w")
-    schema = StructType([*w.schema.fields, StructField("line", LongType())])
-    return rows.mapInArrow(lambda batches: _pack(batches, style), schema)
+    order = Window.partitionBy("clip_id").orderBy("w")
+    w = w.withColumn("_idx", (F.row_number().over(order) - 1).cast("long"))
+    chars = F.sum(F.length("text") + 1).over(order)  # those of a line of words p to c: chars(c) - chars(p - 1) - 1
+    sized = w.withColumn("_chars", chars)
+    before = F.col("_chars") - F.length("text") - 1
+    full = lambda k: (F.lead("_chars", k).over(order) - before - 1 > style.max_chars) | (F.lead("end_ms", k).over(order) - F.col("start_ms") > style.max_line_ms)
+    after = F.coalesce(*[F.when(full(k), F.col("_idx") + k) for k in range(1, style.max_words)], F.when(F.lead("_idx", style.max_words).over(order).isNotNull(), F.col("_idx") + style.max_words))
+    edges = staged(sized.withColumn("_next", after).drop("_chars"), "caption-edges")
+    firsts = chains.follow(edges.select(F.col("clip_id").alias("key"), F.col("_idx").alias("idx"), F.col("_next").alias("next")), block)
+    marked = edges.join(firsts.select(F.col("key").alias("clip_id"), F.col("idx").alias("_idx"), "step"), ["clip_id", "_idx"], "left")
+    by_place = Window.partitionBy("clip_id").orderBy("_idx")
+    return marked.select(*[marked[c] for c in w.columns if c != "_idx"], F.last("step", True).over(by_place).alias("line"))
 
 
 def caption_events(lines: DataFrame, offset_ms: int = 0, style: Style = Style()) -> DataFrame:

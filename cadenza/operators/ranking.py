@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions.json_recovery import model_ranks
 from ..functions.text import cosine, dot, lexical_similarity, tokens, trigrams, unit
+from ..plans.stages import staged
+from . import greedy
 from .boundaries import duration_fit, weighted_total
-from .candidates import greedy
 
 SIMILAR = 0.27
 SHORTLIST = 20
@@ -83,30 +84,56 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tokens", tokens(F.col(text))).withColumn("grams", trigrams(F.col(text)))
 
 
-def similar_pairs(items: DataFrame, group: str, key: str, text: str, least: float = SIMILAR) -> DataFrame:
-    """(group, a, b, similarity) of the pairs a < b of each group of texts with a similarity of `least` (above 0) or more.
-
-    Texts that share no token can only be alike by their trigrams, of which nearly all must be shared then: these meet in
-    one of the first trigrams by hash. So pairs come from shared tokens and trigram prefixes, and each is scored once."""
-    f = text_features(items.select(group, key, text), text).select(group, key, "tokens", "grams")
-    share = min(1.0, max(1e-6, (least - 1e-5) / 0.3))
-    ranked = F.transform(F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda x: F.concat(F.lit("3 "), x["g"]))
-    prefix = F.slice(ranked, F.lit(1), F.greatest(F.lit(0), F.size("grams") - F.ceil(F.size("grams") * share) + 1).cast("int"))
-    tokens_ = F.transform("tokens", lambda t: F.concat(F.lit("t "), t))
-    dealt = f.select(group, key, F.explode(F.concat(tokens_, prefix) if least <= 0.3 else tokens_).alias("_shared"))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    met = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a._shared") == F.col("b._shared")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    pairs = met.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+#: Where trigrams reach this share (or half of what is asked for, if less), pairs meet by trigrams; else by words, which
+#: must then make up the rest.
+GRAM_SHARE = 0.5
+
+
+def _rarest_first(f: DataFrame, group: str, key: str, column: str, least: float, name: str) -> DataFrame:
+    """(group, key, item, size, place): a row's set items, those of the fewest rows of its group first.
+
+    place counts from 0; an item is one of the prefix where place <= size - ceil(size * least)."""
+    each = f.select(group, key, F.size(column).alias("size"), F.explode(column).alias("item"))
+    seen = each.groupBy(group, "item").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # What no other row has links nothing, but counts among a row's first ones.
+    each = each.join(seen, [group, "item"], "left")
+    place = F.row_number().over(Window.partitionBy(group, key).orderBy(F.coalesce("rows", F.lit(0)), "item")) - 1
+    dealt = each.withColumn("place", place).withColumn("prefix", F.col("place") <= F.col("size") - F.ceil(F.col("size") * least))
+    return staged(dealt.filter("rows is not null").select(group, key, "item", "size", "prefix"), name)
+
+
+def _met(dealt: DataFrame, group: str, key: str, both: bool) -> DataFrame:
+    """Pairs (a < b) of rows that share an item in the prefix of the one with fewer items (`both`: of either one)."""
+    a = dealt.filter("prefix").select(group, "item", F.col(key).alias("x"), F.col("size").alias("nx"))
+    b = (dealt.filter("prefix") if both else dealt).select(group, "item", F.col(key).alias("y"), F.col("size").alias("ny"))
+    met = a.join(b, [group, "item"]).filter((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")))
+    return met.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def similar_pairs(items: DataFrame, group: str, key: str, text: str, least: float = SIMILAR, digits: int | None = 6) -> DataFrame:
+    """(group, a, b, similarity) of the pairs a < b of each group of texts with a similarity of `least` (above 0) or more,
+    after rounding to digits (None: as it is).
+
+    Either trigrams alone are alike by GRAM_SHARE, or words make up for what then lacks. The first share a trigram among
+    the rarest of each, the second a word among the rarest ones of the text with fewer words: what is frequent in a group
+    brings no pairs together but those of texts that have little else. Each pair is scored once."""
+    f = staged(text_features(items.select(group, key, text), text).select(group, key, "tokens", "grams"), "similar-features")
+    slack = least - 10.0 ** -(digits or 9)
+    grams = min(GRAM_SHARE, slack / 0.6)
+    # 0.7 * (0.45 * jaccard + 0.55 * overlap) <= 0.7 * overlap: the least overlap that words need beside the trigrams.
+    share = (slack - 0.3 * grams) / 0.7
+    words = _met(_rarest_first(f, group, key, "tokens", share - 1e-9, "similar-tokens"), group, key, False)
+    pairs = words.unionByName(_met(_rarest_first(f, group, key, "grams", grams - 1e-9, "similar-grams"), group, key, True)).distinct()
     side = lambda n: f.select(group, F.col(key).alias(n), F.col("tokens").alias(f"tokens_{n}"), F.col("grams").alias(f"grams_{n}"))
     scored = pairs.join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
-    s = F.round(lexical_similarity(F.col("tokens_a"), F.col("tokens_b"), F.col("grams_a"), F.col("grams_b")), 6)
-    return scored.select(group, "a", "b", s.alias("similarity")).filter(F.col("similarity") >= least)
+    s = lexical_similarity(F.col("tokens_a"), F.col("tokens_b"), F.col("grams_a"), F.col("grams_b"))
+    return scored.select(group, "a", "b", (s if digits is None else F.round(s, digits)).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 #: How alike two items are, by backend: of their words and letters, or of their vectors.
 SIMILARITY = {
-    "lexical": (("tokens", "grams"), lambda a, b: lexical_similarity(a["tokens"], b["tokens"], a["grams"], b["grams"])),
-    "embedding": (("embedding",), lambda a, b: cosine(a["embedding"], b["embedding"])),
+    "lexical": lambda a, b: lexical_similarity(a["tokens"], b["tokens"], a["grams"], b["grams"]),
+    "embedding": lambda a, b: cosine(a["embedding"], b["embedding"]),
 }
 
 
@@ -117,31 +144,44 @@ def similarity_backend(name: str, columns: list[str]) -> str:
     return "lexical" if name == "embedding" and "embedding" not in columns else name
 
 
-def drop_similar(candidates: DataFrame, threshold: float = SIMILAR, text: str = "text", backend: str = "lexical") -> DataFrame:
+def similar_conflicts(ranked: DataFrame, threshold: float, text: str, backend: str) -> DataFrame:
+    """(group, better, worse, similarity) of ranked candidates (transcript_id, rank, ...) alike by the threshold or more.
+
+    By words and trigrams, pairs meet through what they share; vectors are compared within a transcript, whose shortlist
+    is short."""
+    name = similarity_backend(backend, ranked.columns)
+    if name == "lexical":
+        pairs = similar_pairs(ranked, "transcript_id", "rank", text, threshold, None)
+    else:
+        side = lambda n: ranked.select("transcript_id", F.col("rank").alias(n), F.struct("embedding").alias(f"v_{n}"))
+        pairs = side("a").join(side("b"), "transcript_id").filter("a < b").select("transcript_id", "a", "b", SIMILARITY[name](F.col("v_a"), F.col("v_b")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return pairs.select(F.col("transcript_id").alias("group"), F.col("a").alias("better"), F.col("b").alias("worse"), "similarity")
+
+
+def _best_first(candidates: DataFrame) -> DataFrame:
+    return staged(greedy.ranked(candidates, "transcript_id", F.desc("rerank_score"), F.desc("normalized_score"), F.col("ord")), "ranked")
+
+
+def drop_similar(candidates: DataFrame, threshold: float = SIMILAR, text: str = "text", backend: str = "lexical", **how) -> DataFrame:
     """(transcript_id, ord) of the candidates that stay when each that resembles a better one that stays is dropped;
     best by (rerank_score, normalized_score), then ord."""
-    columns, alike = SIMILARITY[similarity_backend(backend, candidates.columns)]
-    item = F.struct((-F.col("rerank_score")).alias("k1"), (-F.col("normalized_score")).alias("k2"), "ord", *columns)
-    featured = text_features(candidates, text) if "tokens" in columns else candidates
-    per = featured.groupBy("transcript_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return per.select("transcript_id", F.inline(greedy(F.col("items"), lambda a, b: alike(a, b) >= threshold))).select("transcript_id", "ord")
+    ranked = _best_first(candidates)
+    return greedy.survivors(ranked, "transcript_id", similar_conflicts(ranked, threshold, text, backend), **how).select("transcript_id", "ord")
 
 
-def similarity_notes(candidates: DataFrame, threshold: float = SIMILAR, text: str = "text", backend: str = "lexical") -> DataFrame:
+def similarity_notes(candidates: DataFrame, threshold: float = SIMILAR, text: str = "text", backend: str = "lexical", **how) -> DataFrame:
     """(transcript_id, ord, note) of the candidates that drop_similar() drops: the best one that stays and that each
     resembles. candidates also have hook and start_ms."""
-    columns, alike = SIMILARITY[similarity_backend(backend, candidates.columns)]
-    c = text_features(candidates, text) if "tokens" in columns else candidates
-    item = F.struct((-F.col("rerank_score")).alias("k1"), (-F.col("normalized_score")).alias("k2"), "ord", "hook", "start_ms", *columns).alias("x")
-    kept = drop_similar(candidates, threshold, text, backend)
-    stays = c.join(kept, ["transcript_id", "ord"]).select("transcript_id", item.alias("y"))
-    goes = c.join(kept, ["transcript_id", "ord"], "left_anti").select("transcript_id", item.alias("x"))
-    met = goes.join(stays, "transcript_id").filter(F.struct("y.k1", "y.k2", "y.ord") < F.struct("x.k1", "x.k2", "x.ord"))
-    met = met.withColumn("s", alike(F.col("y"), F.col("x"))).filter(F.col("s") >= threshold)
-    first = met.groupBy("transcript_id", F.col("x.ord").alias("ord")).agg(F.min(F.struct("y.k1", "y.k2", "y.ord", "s", F.col("x.hook").alias("hook"), F.col("x.start_ms").alias("at"), F.col("y.hook").alias("other"), F.col("y.start_ms").alias("other_at"))).alias("m"))
+    ranked = _best_first(candidates)
+    conflicts = staged(similar_conflicts(ranked, threshold, text, backend), "similar")
+    gone = staged(greedy.removed(conflicts, **how), "removed")
+    kept = conflicts.join(gone.select("group", F.col("worse").alias("better")), ["group", "better"], "left_anti")
+    first = kept.join(gone, ["group", "worse"]).groupBy("group", "worse").agg(F.min(F.struct("better", "similarity")).alias("m")).select(F.col("group").alias("transcript_id"), F.col("worse").alias("rank"), "m.better", "m.similarity")
+    side = lambda rank, hook, at, *more: ranked.select("transcript_id", F.col("rank").alias(rank), F.col("hook").alias(hook), (F.col("start_ms") / 1000).alias(at), *more)
+    met = first.join(side("rank", "hook", "at", "ord"), ["transcript_id", "rank"]).join(side("better", "other", "other_at"), ["transcript_id", "better"])
     # Fixed value: the text of the note is part of the result.
-    note = F.format_string("dropped '%s' at %.0fs — %.0f%% similar to '%s' at %.0fs", "m.hook", F.col("m.at") / 1000, F.col("m.s") * 100, "m.other", F.col("m.other_at") / 1000)
-    return first.select("transcript_id", "ord", note.alias("note"))
+    note = F.format_string("dropped '%s' at %.0fs — %.0f%% similar to '%s' at %.0fs", "hook", "at", F.col("similarity") * 100, "other", "other_at")
+    return met.select("transcript_id", "ord", note.alias("note"))
 
 
 def most_alike(vectors: DataFrame, queries: DataFrame, most: int = 3, blocks: int = 64) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boundaries import pad_into_silence, solve
-from .candidates import greedy
+from ..plans.stages import staged
+from . import greedy
+from .boundaries import boundary_notes, components_map, pad_into_silence, solve
 
 EDGE = 0.05
 
@@ -32,23 +33,71 @@ def all_anchors(discovered: DataFrame, media: DataFrame, count: int, min_ms: int
     return found.unionByName(even.select("transcript_id", (F.lit(1 << 40) + F.col("n")).alias("ord"), "anchor_ms", F.lit("even").alias("strategy")))
 
 
-def overlap_clash(a: Column, b: Column) -> Column:
-    return (a["start_ms"] < b["end_ms"]) & (b["start_ms"] < a["end_ms"])
+def overlaps(windows: DataFrame, cell_ms: int = 60_000) -> DataFrame:
+    """(group, better, worse) of windows (transcript_id, rank, start_ms, end_ms) of which two overlap. Each lies in the
+    cells of time that it covers; two meet in the cell of the later start."""
+    w = windows.filter("end_ms > start_ms").select("transcript_id", "rank", "start_ms", "end_ms")
+    cell = lambda c: F.floor(F.col(c) / cell_ms)
+    dealt = w.withColumn("cell", F.explode(F.sequence(cell("start_ms"), cell("end_ms"))))
+    a = dealt.select("transcript_id", "cell", *[F.col(c).alias(f"a_{c}") for c in ("rank", "start_ms", "end_ms")])
+    met = a.join(dealt, ["transcript_id", "cell"]).filter((F.col("a_rank") < F.col("rank")) & (F.col("cell") == F.floor(F.greatest("a_start_ms", "start_ms") / cell_ms)))
+    both = met.filter((F.col("a_start_ms") < F.col("end_ms")) & (F.col("start_ms") < F.col("a_end_ms")))
+    return both.select(F.col("transcript_id").alias("group"), F.col("a_rank").alias("better"), F.col("rank").alias("worse"))
+
+
+def disjoint(solved: DataFrame, count: int) -> DataFrame:
+    """Of each transcript the first `count` windows by ord that overlap none of those before them that are kept.
+
+    Many anchors end in one window: only the first of equal ones can be kept."""
+    own = F.when(F.col("end_ms") <= F.col("start_ms"), F.col("ord"))
+    firsts = solved.groupBy("transcript_id", "start_idx", "end_idx", own.alias("own")).agg(F.min("ord").alias("ord")).drop("own", "start_idx", "end_idx")
+    ranked = staged(greedy.ranked(solved.join(firsts, ["transcript_id", "ord"], "left_semi"), "transcript_id", F.col("ord")), "windows")
+    kept = greedy.survivors(ranked, "transcript_id", overlaps(ranked))
+    place = F.row_number().over(Window.partitionBy("transcript_id").orderBy("rank"))
+    return kept.withColumn("place", place).filter(F.col("place") <= count).drop("rank", "place")
+
+
+#: What a clip takes over from the moment whose anchor it was found at.
+DISCOVERY = ("hook", "topic", "category", "score")
+
+
+def with_discovery(clips: DataFrame, discovered: DataFrame) -> DataFrame:
+    """clips (transcript_id, anchor_ms, ...) with what is known of the moments at their anchors; of two at one time the
+    last counts."""
+    columns = [F.col(c) if c in discovered.columns else F.lit(None).cast("double" if c == "score" else "string").alias(c) for c in DISCOVERY]
+    known = discovered.select("transcript_id", "ord", F.col("anchor_ms").cast("double").alias("anchor_ms"), F.struct(*columns).alias("d")).groupBy("transcript_id", "anchor_ms").agg(F.max_by("d", "ord").alias("d"))
+    return clips.join(known, ["transcript_id", "anchor_ms"], "left").select(*clips.columns, *[F.col(f"d.{c}").alias(c) for c in DISCOVERY])
+
+
+def window_texts(clips: DataFrame, features: DataFrame) -> DataFrame:
+    """clips (transcript_id, ord, start_idx, end_idx, ...) with `text`: what their segments say, one space between."""
+    each = clips.select("transcript_id", "ord", F.explode(F.sequence("start_idx", "end_idx")).alias("idx")).join(features.select("transcript_id", "idx", F.col("text").alias("said")), ["transcript_id", "idx"])
+    said = each.groupBy("transcript_id", "ord").agg(F.array_sort(F.collect_list(F.struct("idx", "said"))).alias("s"))  # a clip's segments
+    return clips.join(said.select("transcript_id", "ord", F.array_join(F.col("s.said"), " ").alias("text")), ["transcript_id", "ord"])
 
 
 def select_clips(
     features: DataFrame, words: DataFrame, media: DataFrame, discovered: DataFrame, count: int = 5, min_ms: int = 25_000, max_ms: int = 60_000, padding_ms: int = 350, least_score: float = 0.0
 ) -> DataFrame:
     """At most `count` disjoint clips of each transcript: anchors in order are solved, what falls below least_score or
-    overlaps an earlier pick is passed over; then each clip is padded into silence within max_ms."""
-    anchors = all_anchors(discovered, media, count, min_ms)
-    solved = solve(features, anchors.select("transcript_id", "ord", "anchor_ms"), min_ms, max_ms).filter(F.col("total") >= least_score)
-    solved = solved.join(anchors.select("transcript_id", "ord", "strategy"), ["transcript_id", "ord"])
-    item = F.struct("ord", "start_ms", "end_ms", "total", "strategy", "start_idx", "end_idx")
-    per = solved.groupBy("transcript_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    picked = per.select("transcript_id", F.inline(greedy(F.col("items"), overlap_clash, F.lit(count))))
+    overlaps an earlier pick is passed over; then each clip is padded into silence within max_ms. A clip has its text,
+    the notes and components of its boundaries, and what is known of the moment it was found at.
+
+    The first 2 * count anchors are solved at once, further ones only where these don't make `count` clips."""
+    anchors = staged(all_anchors(discovered, media, count, min_ms).withColumn("place", F.row_number().over(Window.partitionBy("transcript_id").orderBy("ord"))), "anchors")
+
+    def picks(some: DataFrame) -> DataFrame:
+        solved = solve(features, some.select("transcript_id", "ord", "anchor_ms"), min_ms, max_ms).filter(F.col("total") >= least_score)
+        return staged(disjoint(solved.join(some.select("transcript_id", "ord", "strategy"), ["transcript_id", "ord"]), count), "picked")
+
+    picked = picks(anchors.filter(F.col("place") <= 2 * count))
+    more = anchors.groupBy("transcript_id").agg(F.max("place").alias("n")).filter(F.col("n") > 2 * count).join(picked.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("picked")), "transcript_id", "left")
+    lacking = staged(more.filter(F.coalesce("picked", F.lit(0)) < count).select("transcript_id"), "lacking")
+    if not lacking.isEmpty():
+        picked = picked.join(lacking, "transcript_id", "left_anti").unionByName(picks(anchors.join(lacking, "transcript_id", "left_semi")))
     headroom = F.lit(max_ms) - (F.col("end_ms") - F.col("start_ms"))
-    picked = picked.withColumn("allowance", F.least(F.lit(float(padding_ms)), headroom / 2))
+    picked = window_texts(components_map(boundary_notes(with_discovery(picked, discovered), features)), features)
+    picked = staged(picked.withColumn("allowance", F.least(F.lit(float(padding_ms)), headroom / 2)), "clips")
     padded = pad_into_silence(picked, words, media, F.col("allowance"))
     grown = F.col("allowance") > 0
     order = Window.partitionBy("transcript_id").orderBy("start_ms", "ord")
@@ -61,4 +110,8 @@ def select_clips(
         F.when(grown, F.col("padded_start_ms")).otherwise(F.col("start_ms").cast("double")).alias("start_ms"),
         F.when(grown, F.col("padded_end_ms")).otherwise(F.col("end_ms").cast("double")).alias("end_ms"),
         F.col("total").alias("boundary_score"),
+        F.left("text", F.lit(5_000)).alias("text"),
+        F.array_join("notes", "; ").alias("boundary_notes"),
+        "components",
+        *DISCOVERY,
     )

@@ -1,8 +1,8 @@
 """Token windows over a transcript: greedy packing of whole segments with a restart some segments back.
 
-From each segment the window that starts there is fixed by prefix sums of token costs, so a self-join finds, per
-segment, the first one that doesn't fit; the windows are the chain that starts at segment 0 and goes on some segments
-before that one. Following the chain is a fold over the transcript's segments, in the JVM.
+From each segment the window that starts there is fixed by prefix sums of token costs: a range window finds, per segment,
+the first one that doesn't fit, and the next window starts some segments before that one. The windows are the chain of
+these edges from segment 0.
 """
 
 from __future__ import annotations
@@ -11,47 +11,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, stripped
+from ..plans.stages import staged
+from . import chains
 
 PREFIX_TOKENS = 8
 
 
-def token_windows(segments: DataFrame, target_tokens: int = 1800, overlap: int = 2) -> DataFrame:
+def token_windows(segments: DataFrame, target_tokens: int = 1800, overlap: int = 2, block: int = chains.BLOCK) -> DataFrame:
     """(transcript_id, window, first_idx, last_idx, start_ms, end_ms) over segments with text, numbered anew."""
     s = segments.filter(stripped(F.col("text")) != "")
     order = Window.partitionBy("transcript_id").orderBy("seg_idx")
     s = s.select("transcript_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "start_ms", "end_ms", (estimate_tokens(F.col("text")) + PREFIX_TOKENS).alias("cost"))
-    s = s.withColumn("upto", F.sum("cost").over(Window.partitionBy("transcript_id").orderBy("idx")))
-    rows = s.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("idx", "upto", "cost", "start_ms", "end_ms"))).alias("s"))
-    n = F.size("s").cast("long")
-    # The window at position p ends before the first segment c > p whose costs p..c pass the target. One pass carries the
-    # open windows' starts: with overlap, a window opens before its predecessor's successor has been read, so the state is
-    # the list of windows (first, last) so far, and a segment that doesn't fit opens the next one `overlap` segments back.
-    base = lambda p: F.get(F.col("s"), p.cast("int"))["upto"] - F.get(F.col("s"), p.cast("int"))["cost"]
-    empty = F.array_compact(F.slice(F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))), 1, 0))
-    state = F.struct(F.lit(0).cast("long").alias("p"), empty.alias("done"))
-
-    def step(acc, x):
-        # Several windows may close on one segment when overlapping segments are long: a bounded inner fold reopens them.
-        def close(a, _):
-            full = (x["idx"] > a["p"]) & (x["upto"] - base(a["p"]) > target_tokens)
-            after = F.struct(
-                F.greatest(a["p"] + 1, x["idx"] - overlap).alias("p"),
-                F.concat(a["done"], F.array(F.struct(a["p"].alias("first"), (x["idx"] - 1).alias("last")))).alias("done"),
-            )
-            return F.when(full, after).otherwise(a)
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(overlap)), acc, close)
-
-    folded = rows.select("transcript_id", "s", F.aggregate("s", state, step).alias("f"), n.alias("n"))
-    windows = folded.select("transcript_id", "s", F.posexplode(F.concat("f.done", F.array(F.struct(F.col("f.p").alias("first"), (F.col("n") - 1).alias("last"))))).alias("window", "w"))
-    return windows.select(
-        "transcript_id",
-        F.col("window").cast("long").alias("window"),
-        F.col("w.first").alias("first_idx"),
-        F.col("w.last").alias("last_idx"),
-        F.get(F.col("s"), F.col("w.first").cast("int"))["start_ms"].alias("start_ms"),
-        F.get(F.col("s"), F.col("w.last").cast("int"))["end_ms"].alias("end_ms"),
-    )
+    s = s.withColumn("base", F.sum("cost").over(Window.partitionBy("transcript_id").orderBy("idx")) - F.col("cost"))
+    # The segments whose costs before them are at most the target more than those before this one: all but the last of
+    # them fit into a window that starts here, and if nothing follows the last, it may fit as well.
+    reach = Window.partitionBy("transcript_id").orderBy("base").rangeBetween(0, target_tokens)
+    whole = Window.partitionBy("transcript_id")
+    s = s.withColumn("far", F.max("idx").over(reach)).withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("total", F.sum("cost").over(whole))
+    stop = F.greatest(F.col("far"), F.col("idx") + 1)
+    s = s.withColumn("stop", F.when((F.col("total") - F.col("base") > target_tokens) & (stop < F.col("n")), stop))
+    s = staged(s.select("transcript_id", "idx", "start_ms", "end_ms", "stop", "n"), "window-edges")
+    edges = s.select(F.col("transcript_id").alias("key"), "idx", F.greatest(F.col("idx") + 1, F.col("stop") - overlap).alias("next"), "stop")
+    edges = edges.withColumn("next", F.when(F.col("stop").isNotNull(), F.col("next"))).drop("stop")
+    firsts = chains.follow(edges, block).withColumnRenamed("key", "transcript_id")
+    found = firsts.join(s, ["transcript_id", "idx"]).select("transcript_id", F.col("step").alias("window"), F.col("idx").alias("first_idx"), (F.coalesce("stop", "n") - 1).alias("last_idx"), "start_ms")
+    return found.join(s.select("transcript_id", F.col("idx").alias("last_idx"), "end_ms"), ["transcript_id", "last_idx"]).select("transcript_id", "window", "first_idx", "last_idx", "start_ms", "end_ms")
 
 
 def window_text(windows: DataFrame, segments: DataFrame) -> DataFrame:

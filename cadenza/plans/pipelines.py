@@ -108,7 +108,8 @@ def generate_clips(segments: DataFrame, words: DataFrame, media: DataFrame, mome
     best = Window.partitionBy("transcript_id").orderBy(F.desc("final_score"), "ord")
     anchors = moments.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= 2 * settings.clips)
     # Stored moments carry their start in hundredths of a second.
-    anchors = anchors.select("transcript_id", F.col("n").alias("ord"), (F.round(F.col("start_ms") / 1000, 2) * 1000).alias("anchor_ms"))
+    known = [F.col(c) for c in ("hook", "topic", "category") if c in moments.columns]
+    anchors = anchors.select("transcript_id", F.col("n").alias("ord"), (F.round(F.col("start_ms") / 1000, 2) * 1000).alias("anchor_ms"), *known, F.col("final_score").alias("score"))
     words = staged(words, "words")
     features = staged(boundaries.segment_features(segments, words), "features")
     return selection.select_clips(features, words, media, staged(anchors, "anchors"), settings.clips, settings.min_ms, settings.max_ms, settings.padding_ms, settings.least_score)
