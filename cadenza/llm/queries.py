@@ -158,9 +158,10 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum
 t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size + 1e-9) AS INT)) ELSE 0 END AS passes FROM t),
 b AS (SELECT *, greatest(0.0::DOUBLE, target - passes * source_size) AS budget FROM p),
-r AS (SELECT d.doc_id, d.size, b.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS held
+r AS (SELECT d.doc_id, d.size, b.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS held,
+  count(*) FILTER (d.size > 0) OVER (PARTITION BY d.source, d.h) AS alike, row_number() OVER (PARTITION BY d.source, d.h) AS i
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN budget > 0 AND (upto <= budget OR (upto - held <= budget AND 2 * (budget - (upto - held)) >= held)) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN budget > 0 AND (upto <= budget OR (upto - held <= budget AND i <= floor((budget - (upto - held)) * alike / held + 0.5))) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
 OP9_SQL = r"""

@@ -7,10 +7,13 @@ DSA private key; the frame of an OpenSSH private key; or a signed token whose he
 header with an algorithm. Public keys and certificates have the same encodings but are no secrets: they aren't reported.
 Nor are keys whose whole body is encrypted and shows no structure.
 
-Base64 may be of either alphabet, and wrapped: lines of at least LEAST_LINE characters, the last of any length, between
-line ends that may be written out as \\n and may be followed by an indent. A key may start at any of the lines, and ends
-at the line end that its own lengths name: its span is the whole block. A token may start at any ey of its header, as
-other letters may stand directly before it.
+Base64 may be of either alphabet, and wrapped: lines of at least LEAST_LINE characters, the last of any length. Between two
+lines there is a blank or a line end, which may be written out as \\n, with an indent, quote signs or comment signs behind
+it, or the end of a string literal before and the start of the next one behind it. A key may start at any of the lines,
+and ends where its own lengths say, be it within a line: its span is the whole block. Hex may be wrapped alike, and its
+bytes may stand apart by colons or blanks; a key may start at any digit. A token may start at any ey of its header, as
+other letters may stand directly before it. The work on a text grows with its length, whatever stands in it: a header
+is looked for in four decodings of a run, one for each place in a group of four, and keys where their first bytes are.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; equal rows are scanned each;
 candidates that don't decode, or whose lengths don't add up, are not reported; whole texts are scanned, of any length;
@@ -41,18 +44,22 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_SIGN = re.compile(r"""(?:word|passwd|secret|token|key)["']?\x20*[:=]""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-LEAST_LINE, LEAST_KEY = 20, 40
-_BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
+LEAST_LINE, LONGEST_LINE, LEAST_KEY = 16, 128, 40
+#: Between two lines: the end of a string literal, a line end or blank, an indent, quote or comment signs, the next literal.
+_BREAK = re.compile(r"""(?:["'][\x20\t]*[+\\,.&]?)?[\x20\t]*(?:\r\n?|\n|(?:\\r)?\\n|(?<=[A-Za-z0-9+/_=-])\x20(?=[A-Za-z0-9+/_-]))(?:["'][\x20\t]*[+\\,.&]?[\x20\t]*(?:\r\n?|\n))?[\x20\t]*(?:(?:>|\#|\*|\||//|--|;)[\x20\t]*)*["']?""")
 #: A run of base64 begins behind another character, or behind an escape such as a written \n, whose letter isn't base64.
 _EDGE = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/\\])|(?<=\\)(?![nrt]))"
 _BASE64 = re.compile(rf"{_EDGE}[A-Za-z0-9+/]{{{LEAST_LINE},}}+(?:{_BREAK.pattern}[A-Za-z0-9+/]{{{LEAST_LINE},}}+)*+(?:{_BREAK.pattern}[A-Za-z0-9+/]++)?={{0,2}}")
 _URL_EDGE = _EDGE.replace("+/", r"_\-")
 _BASE64_URL = re.compile(_BASE64.pattern.replace(_EDGE, _URL_EDGE).replace("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
 #: All encoded keys have a run as long as this.
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}")
 #: How a SEQUENCE and an OpenSSH frame open in base64.
-_OPENS = ("M", "b3BlbnNzaC1rZXktdjEA")
-_HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
+_OPENS = ("M", "b3BlbnNzaC1rZXkt")
+#: Hex digits, in pairs apart by a sign or wrapped; all keys have at least as many.
+_HEX_ANY = re.compile(rf"[0-9a-fA-F]{{2}}(?:(?:[:\x20]?|{_BREAK.pattern}|:{_BREAK.pattern})[0-9a-fA-F]{{2}}){{23,}}+[0-9a-fA-F]?")
+#: How keys open in hex: a SEQUENCE of 24 bytes or more whose first field is a small INTEGER or a SEQUENCE, or the frame.
+_HEX_OPENS = re.compile(r"(?=(30(?:8[1-4]|[1-7][0-9a-f])(?:[0-9a-f]{2}){0,4}?(?:02010[01]|30)|6f70656e7373682d6b65792d763100))")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{4,}+)\.[A-Za-z0-9_-]*+")
 _OPENSSH = b"openssh-key-v1\x00"
 _LEAST = {"assign": 6, "access": 20}
@@ -186,9 +193,9 @@ def _decoded(run: str) -> bytes:
     return base64.b64decode(run + "=" * (-len(run) % 4))
 
 
-def _ends(run: str) -> Iterator[tuple[str, int]]:
-    """(kind, bytes) that a key at the start of unpadded base64 may have by its own lengths, the most first."""
-    head = _decoded(run[:32])
+def _ends(joined: str, start: int) -> Iterator[tuple[str, int]]:
+    """(kind, bytes) that a key at a place of unpadded base64 may have by its own lengths, the most first."""
+    head = _decoded(joined[start : start + 32])
     if head[0] == 0x30:
         more = head[1] & 0x7F if head[1] & 0x80 else 0
         if more <= 4:
@@ -196,7 +203,7 @@ def _ends(run: str) -> Iterator[tuple[str, int]]:
         return
     if not head.startswith(_OPENSSH):
         return
-    data, found = _decoded(run), []
+    data, found = _decoded(joined[start:]), []
     at, fields, most = len(_OPENSSH), 0, 3
     while at + 4 <= len(data) and fields < most:
         at += 4 + int.from_bytes(data[at : at + 4], "big")
@@ -210,8 +217,19 @@ def _ends(run: str) -> Iterator[tuple[str, int]]:
     yield "keyblob", len(data)
 
 
+def _apart(run: str) -> Iterator[tuple[int, str]]:
+    """A run of base64 where a blank doesn't wrap it: behind a line longer than any that is wrapped a new run begins."""
+    at, line = 0, 0
+    for m in _BREAK.finditer(run):
+        if m[0] == " " and m.start() - line > LONGEST_LINE:
+            yield at, run[at : m.start()]
+            at = m.end()
+        line = m.end()
+    yield at, run[at:]
+
+
 def _wrapped_keys(run: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of the keys in a run of base64, which begin and end with its lines."""
+    """(kind, start, end) of the keys in a run of base64, which begin with its lines."""
     breaks = [m.span() for m in _BREAK.finditer(run)]
     starts, stops = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(run)]
     joined = "".join(run[a:b] for a, b in zip(starts, stops, strict=True)).rstrip("=")
@@ -222,31 +240,79 @@ def _wrapped_keys(run: str) -> Iterator[tuple[str, int, int]]:
     while i < len(starts) and marks[i] + LEAST_KEY <= len(joined):
         after = i + 1
         if run.startswith(_OPENS, starts[i]):
-            for kind, size in _ends(joined[marks[i] :]):
+            for kind, size in _ends(joined, marks[i]):
                 chars = -(-size * 8 // 6)
-                last = bisect_left(marks, marks[i] + chars)
-                if chars < LEAST_KEY or last == len(marks) or marks[last] != marks[i] + chars:
+                if chars < LEAST_KEY or marks[i] + chars > len(joined):
                     continue
-                if last == len(starts) and pads not in (0, -chars % 4):
+                line = bisect_left(marks, marks[i] + chars) - 1
+                whole = marks[line + 1] == marks[i] + chars
+                if whole and line == len(starts) - 1 and pads not in (0, -chars % 4):
                     continue
-                if _key_kind(_decoded(joined[marks[i] : marks[last]])) == kind:
-                    yield kind, starts[i], stops[last - 1]
-                    after = last
+                if _key_kind(_decoded(joined[marks[i] : marks[i] + chars])) == kind:
+                    yield kind, starts[i], stops[line] if whole else starts[line] + marks[i] + chars - marks[line]
+                    after = line + 1
                     break
         i = after
 
 
+def _hex_keys(run: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in a run of hex digits that may be apart or wrapped."""
+    places = [i for i, c in enumerate(run) if c in "0123456789abcdefABCDEF"] if not run.isalnum() else range(len(run))
+    digits = ("".join(run[i] for i in places) if len(places) < len(run) else run).lower()
+    done = 0
+    for m in _HEX_OPENS.finditer(digits):
+        if m.start() < done:
+            continue
+        if digits[m.start()] == "3":
+            more = int(digits[m.start() + 3]) if digits[m.start() + 2] == "8" else 0
+            size = 2 + more + int(digits[m.start() + 4 : m.start() + 4 + 2 * more] if more else digits[m.start() + 2 : m.start() + 4], 16)
+        else:
+            size = (len(digits) - m.start()) // 2
+        end = m.start() + 2 * size
+        if size >= 24 and end <= len(digits) and (kind := _key_kind(bytes.fromhex(digits[m.start() : end]))):
+            yield kind, places[m.start()], places[end - 1] + 1
+            done = end
+
+
+_HEADER = re.compile(r'\{(?="|\x20[\x20\t\r\n]*")')
+_JSON = json.JSONDecoder()
+
+
+def _header_starts(text: str, start: int, end: int) -> Iterator[int]:
+    """Where in a run of base64 a JSON object begins that ends with the run and names an algorithm, ascending."""
+    found = []
+    for first in range(start, min(start + 4, end)):
+        data = _url_decoded(text[first:end])
+        if not data or not data.rstrip().endswith(b"}"):
+            continue
+        shown = data.decode("latin-1")  # a character a byte, so that places are bytes
+        for m in _HEADER.finditer(shown):
+            if m.start() % 3:
+                continue
+            try:
+                header, stop = _JSON.raw_decode(shown, m.start())
+                data[m.start() :].decode() if not shown[stop:].strip() else None
+            except (ValueError, RecursionError):
+                continue
+            if not shown[stop:].strip() and isinstance(header, dict) and isinstance(header.get("alg"), str):
+                found.append(first + m.start() // 3 * 4)
+    return iter(sorted(found))
+
+
 def _token_spans(text: str) -> Iterator[tuple[str, int, int]]:
     at = 0
     while m := _TOKEN.search(text, at):
         at = m.end(1) + 1
-        start = text.find("ey", m.start(), m.end(1))
-        while 0 <= start <= m.end(1) - 10:
-            if is_signed_token(text[start : m.end()]):
-                yield "token", start, m.end()
-                at = m.end()
-                break
-            start = text.find("ey", start + 1, m.end(1))
+        if "ey" not in m[1]:
+            continue
+        try:
+            payload = json.loads(_url_decoded(m[2]) or b"")
+        except (ValueError, RecursionError):
+            continue
+        start = next((i for i in _header_starts(text, m.start(), m.end(1)) if i <= m.end(1) - 10), None) if isinstance(payload, dict) else None
+        if start is not None:
+            yield "token", start, m.end()
+            at = m.end()
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
@@ -257,10 +323,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             run = m[0]
             if len(run) < LEAST_KEY or not any(x in run for x in _OPENS) or pattern is _BASE64_URL and not ("-" in run or "_" in run):
                 continue
-            found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _wrapped_keys(run.replace("-", "+").replace("_", "/"))]
-    for m in _HEX_ANY.finditer(text) if encoded else ():
-        if kind := _key_kind(bytes.fromhex(m[0])):
-            found.append((kind, *m.span()))
+            for at, part in _apart(run.replace("-", "+").replace("_", "/")):
+                found += [(kind, m.start() + at + a, m.start() + at + b) for kind, a, b in _wrapped_keys(part)]
+    for m in _HEX_ANY.finditer(text):
+        found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _hex_keys(m[0])]
     if "ey" in text and "." in text:
         found += _token_spans(text)
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0])))

@@ -40,6 +40,8 @@ PRIOR = 100.0
 PEAKS = 4
 LEAST_WORD = 8
 MOST_ROWS = 3_000
+#: Bytes of text of a class's sample.
+MOST_BYTES = 64 << 20
 FOLDS = 4
 SCORED = "score double, mean_evidence double, peak_evidence double"
 
@@ -241,8 +243,21 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS):
-    """(Model, curve) from labels (doc_id, toxic) of the rows of docs that may be learned, or None without two classes."""
+def _within(rows, most_bytes: int) -> list[tuple[int]]:
+    """The ids of each class, in order of their hash, whose texts together have at most most_bytes; a text that would pass
+    that is left out whole."""
+    kept, held = [], {0: 0, 1: 0}
+    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"])):
+        if held[r["toxic"]] + r["size"] <= most_bytes:
+            held[r["toxic"]] += r["size"]
+            kept.append((r["doc_id"],))
+    return kept
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES):
+    """(Model, curve) from labels (doc_id, toxic) of the rows of docs that may be learned, or None without two classes.
+
+    The sample has at most most_rows ids and most_bytes of text a class."""
     spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1))
@@ -250,9 +265,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS):
     h = F.xxhash64("doc_id", F.lit("toxicity"))
     picked = [known.filter(F.col("toxic") == c).orderBy(h, "doc_id").limit(most_rows) for c in (0, 1)]
     chosen = picked[0].unionByName(picked[1]).withColumn("fold", F.pmod(h, F.lit(FOLDS)).cast("int"))
-    # At most 2 * most_rows ids.
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
-    sample = stage_table(thin, "toxicity-sample")
+    # At most 2 * most_rows ids; of rows that share one the least text counts.
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    thin = stage_table(thin.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")), "toxicity-rows")
+    sizes = thin.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit("toxicity")).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()
+    sample = thin.join(F.broadcast(spark.createDataFrame(_within(sizes, most_bytes), "doc_id long")), "doc_id").select("text", "toxic", "fold")
     seen = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(seen) < 2:
         return None

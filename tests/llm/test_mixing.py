@@ -63,3 +63,20 @@ def test_long_texts_and_clashing_columns(spark):
     assert [rows[i].size for i in (1, 2, 3)] == [300_000, 10, 50] and rows[3].target == 150.0 and rows[3].taken == 150
     kept = mix(clash)
     assert kept.columns == clash.columns and kept.filter("doc_id = 3 and s = 'clash'").count() == 3
+
+
+@pytest.mark.parametrize(("alike", "other"), [(1_000, 0), (1_000, 250), (37, 11), (2, 1)])
+def test_rows_alike_come_near_the_target(spark, alike, other):
+    """Rows of one id and text share a hash: a part of them is taken, however they are dealt."""
+    rows = [(7, "five words stand here now", "en", "a", 0)] * alike + [(100 + i, "w w w", "en", "a", 0) for i in range(other)] + [(8, "x y z " * 30, "en", "b", 0)] * 10 + [(9, "u v", "en", "c", 0)] * 30
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mix_sizes(docs.repartition(7)).collect()
+    by_id = {r[0]: r[3] for r in rows}
+    taken, target, largest = {}, {}, {}
+    for r in got:
+        s = by_id[r.doc_id]
+        taken[s], target[s], largest[s] = taken.get(s, 0) + r.taken, r.target, max(largest.get(s, 0), r.size)
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in taken), (taken, target)
+    assert sorted(map(tuple, mix_sizes(docs.repartition(2)).collect())) == sorted(map(tuple, got))
+    assert sum(len(r.text.split()) for r in mix(docs).collect()) == sum(taken.values())

@@ -58,7 +58,6 @@ def look_alikes():
         "ssh public": field(b"ssh-ed25519") + field(b"k" * 32),
         "ssh rsa public": field(b"ssh-rsa") + field(b"\x01\x00\x01") + field(b"n" * 257),
         "length beyond": rsa_key()[:-1],
-        "length short": rsa_key() + b"\x00\x00\x00",
     }
 
 
@@ -72,6 +71,14 @@ def test_private_keys_and_look_alikes():
             assert secrets.confirmed_spans(f"k {encode(data).decode()} z") == [], name
 
 
+def test_a_key_with_more_behind_it_is_a_key():
+    """Its own lengths say where it ends: what stands directly behind is left."""
+    key = rsa_key()
+    for encode, end in ((base64.b64encode, -(-len(key) * 8 // 6)), (lambda d: d.hex().encode(), 2 * len(key))):
+        text = f"k {encode(key + bytes(3)).decode()} z"
+        assert [(a, b) for _, a, b in secrets.confirmed_spans(text)] == [(2, 2 + end)]
+
+
 def test_no_byte_of_a_wrapped_key_stays():
     for name, data in private_keys().items():
         for width in (64, 70, 76):
@@ -174,3 +181,51 @@ def test_tokens_behind_other_letters():
     token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'x'})}.c2ln"
     for before in ("key_", "monkey-", "x.keyvalues.", "they_obeyed.", "", "a=", "eyeyeyeyeyey"):
         assert secrets.confirmed_spans(f"{before}{token} b") == [("token", len(before), len(before + token))], before
+
+
+def wrapped_forms(key):
+    b64, digits = base64.b64encode(key).decode(), key.hex()
+    cut = lambda s, n: [s[i : i + n] for i in range(0, len(s), n)]
+    lines = cut(b64, 64)
+    yield "mail quote", "\n".join("> " + x for x in lines), 2
+    yield "literals by plus", " +\n    ".join(f'"{x}"' for x in lines), 1
+    yield "literals by backslash", " \\\n  ".join(f'"{x}"' for x in lines), 1
+    yield "blanks", " ".join(lines), 0
+    yield "carriage returns", "\r".join(lines), 0
+    yield "comments", "\n".join("# " + x for x in lines), 2
+    yield "16 columns", "\n".join(cut(b64, 16)), 0
+    yield "19 columns", "\n".join(cut(b64, 19)), 0
+    yield "hex", digits, 0
+    yield "hex in lines", "\n".join(cut(digits, 60)), 0
+    yield "colon hex", ":".join(cut(digits, 2)), 0
+    yield "colon hex in lines", ":\n    ".join(":".join(cut(x, 2)) for x in cut(digits, 30)), 0
+    yield "spaced hex", " ".join(cut(digits.upper(), 2)), 0
+    yield "one more digit", "f" + digits, 1
+    if len(key) % 3 == 0:
+        yield "letters behind", b64 + "QUJDREVG", 0
+
+
+def test_keys_as_they_stand_in_mails_and_code():
+    for name, key in private_keys().items():
+        key = key if name == "openssh" else key
+        for form, text, lead in wrapped_forms(key):
+            whole = f"see below\n\n{text}\n\nthanks, bye"
+            found = [s for s in secrets.confirmed_spans(whole) if s[0] in ("der", "keyblob")]
+            at = whole.index(text)
+            assert found and found[0][1] <= at + lead and found[0][2] >= at + len(text) - (8 if form == "letters behind" else 1), (name, form, found)
+    for name, key in look_alikes().items():
+        for form, text, _ in wrapped_forms(key):
+            assert not [s for s in secrets.confirmed_spans(text) if s[0] in ("der", "keyblob")], (name, form)
+
+
+def test_work_grows_with_the_text():
+    """Runs that open a token or key at every place: the number of decodings stays four a run."""
+    calls = []
+    plain = secrets._url_decoded
+    try:
+        secrets._url_decoded = lambda part: calls.append(len(part)) or plain(part)
+        secrets.spans("ey" * 200_000 + ".eyJhIjoxfQ.abc")
+    finally:
+        secrets._url_decoded = plain
+    assert len(calls) == 5 and sum(calls) < 5 * 400_000
+    assert secrets.spans("30" * 100_000)[0][0] == "hex" and secrets.spans("M" * 300_000) == []

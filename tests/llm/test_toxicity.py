@@ -97,3 +97,14 @@ def test_rare_grams_count(spark):
     whole = toxicity.Model(keys, np.c_[np.bincount(at, toxic), np.bincount(at, 1 - toxic)])
     assert model.grams[toxicity.ORDER].get(keys)[1].all()
     assert np.allclose(model.evidence(keys), whole.evidence(keys), atol=1e-6)
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    """Rows that share an id count once, and texts that pass the byte bound are left out whole."""
+    docs = spark.createDataFrame([(i % 40, f"some words {i % 40} here", "en", "s", 0) for i in range(4_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    (model, _), (less, _) = toxicity.train(docs, labels, most_rows=10), toxicity.train(docs.filter("doc_id < 40").dropDuplicates(["doc_id"]), labels, most_rows=10)
+    assert sorted(model.value.__dict__) == sorted(less.value.__dict__)
+    rows = [{"doc_id": i, "toxic": i % 2, "h": -i, "size": 10 * i} for i in range(20)]
+    kept = [i for (i,) in toxicity._within(rows, 400)]
+    assert sum(10 * i for i in kept if i % 2) <= 400 and sum(10 * i for i in kept if not i % 2) <= 400 and len(kept) > 4
