@@ -53,12 +53,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def follow(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(key, idx, step): the positions on each key's chain from position 0, numbered from 0. edges: (key, idx, next), a
-    row for each position 0, 1, 2, ... of a key; next is a later position, or null at the end."""
+    row for each position 0, 1, 2, ... of a key; next is a later position, or null at the end. They are read several
+    times: stage them."""
     kind = dict(edges.dtypes)["key"]
-    e = staged(edges.select("key", F.col("idx").cast("long").alias("idx"), F.col("next").cast("long").alias("next"), F.floor(F.col("idx") / block).cast("long").alias("block")), "edges")
+    e = edges.select("key", F.col("idx").cast("long").alias("idx"), F.col("next").cast("long").alias("next"), F.floor(F.col("idx") / block).cast("long").alias("block"))
     entries = e.filter("idx = 0").select("key", F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("step"))
-    long_keys = e.filter("block > 0").select("key").distinct()
-    if not long_keys.isEmpty():
+    if not e.filter("block > 0").isEmpty():
+        long_keys = staged(e.filter("block > 0").select("key").distinct(), "long-keys")
         parts = e.join(long_keys, "key", "left_semi")
         exits = parts.groupBy("key", "block").applyInArrow(_exits, f"key {kind}, idx long, exit long, steps long").filter("exit >= 0")
         jumps = staged(exits, "jumps")

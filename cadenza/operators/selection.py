@@ -86,15 +86,21 @@ def select_clips(
     The first 2 * count anchors are solved at once, further ones only where these don't make `count` clips."""
     anchors = staged(all_anchors(discovered, media, count, min_ms).withColumn("place", F.row_number().over(Window.partitionBy("transcript_id").orderBy("ord"))), "anchors")
 
-    def picks(some: DataFrame) -> DataFrame:
-        solved = solve(features, some.select("transcript_id", "ord", "anchor_ms"), min_ms, max_ms).filter(F.col("total") >= least_score)
-        return staged(disjoint(solved.join(some.select("transcript_id", "ord", "strategy"), ["transcript_id", "ord"]), count), "picked")
-
-    picked = picks(anchors.filter(F.col("place") <= 2 * count))
-    more = anchors.groupBy("transcript_id").agg(F.max("place").alias("n")).filter(F.col("n") > 2 * count).join(picked.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("picked")), "transcript_id", "left")
-    lacking = staged(more.filter(F.coalesce("picked", F.lit(0)) < count).select("transcript_id"), "lacking")
-    if not lacking.isEmpty():
-        picked = picked.join(lacking, "transcript_id", "left_anti").unionByName(picks(anchors.join(lacking, "transcript_id", "left_semi")))
+    def solved(some: DataFrame) -> DataFrame:
+        found = solve(features, some.select("transcript_id", "ord", "anchor_ms"), min_ms, max_ms).filter(F.col("total") >= least_score)
+        return staged(found.join(some.select("transcript_id", "ord", "strategy"), ["transcript_id", "ord"]), "solved")
+
+    first = solved(anchors.filter(F.col("place") <= 2 * count))
+    picked = disjoint(first, count)
+    more = anchors.groupBy("transcript_id").agg(F.max("place").alias("n")).filter(F.col("n") > 2 * count)
+    if not more.isEmpty():
+        picked = staged(picked, "picked")
+        more = more.join(picked.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("picked")), "transcript_id", "left")
+        lacking = staged(more.filter(F.coalesce("picked", F.lit(0)) < count).select("transcript_id"), "lacking")
+        if not lacking.isEmpty():
+            rest = solved(anchors.filter(F.col("place") > 2 * count).join(lacking, "transcript_id", "left_semi"))
+            again = disjoint(first.join(lacking, "transcript_id", "left_semi").unionByName(rest), count)
+            picked = picked.join(lacking, "transcript_id", "left_anti").unionByName(again)
     headroom = F.lit(max_ms) - (F.col("end_ms") - F.col("start_ms"))
     picked = window_texts(components_map(boundary_notes(with_discovery(picked, discovered), features)), features)
     picked = staged(picked.withColumn("allowance", F.least(F.lit(float(padding_ms)), headroom / 2)), "clips")
