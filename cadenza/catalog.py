@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,9 @@ from . import lexicon
 from .functions import media as m
 from .functions import text as t
 from .operators import boundaries, candidates, captions, ranking, selection, transcript, windows
-from .plans import pipelines
-from .plans.stages import staged
-from .sources import readers, tables
+from .plans import attempts, pipelines
+from .plans.stages import stage_folder, staged
+from .sources import readers, schemas, speech_source, tables
 from .streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -698,6 +699,51 @@ def progress_rollup(spark, sf_dir):
     return r.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 1800000000 AS session_end, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, session""")
+def sessions(spark, sf_dir):
+    s = jobs.session_rollup(tables.table(spark, sf_dir, "events"))
+    return s.withColumns({c: F.unix_micros(c) for c in ("session_start", "session_end")})
+
+
+STUB_SQL = tables.SEGMENTS_SQL + """,
+media AS (SELECT transcript_id, max(end_ms) AS media_ms FROM segments GROUP BY 1),
+parts AS (SELECT transcript_id, media_ms, k, least(k * 5000 + 5000, media_ms) - k * 5000 AS size FROM (SELECT *, unnest(range(CAST(ceil(media_ms / 5000.0) AS BIGINT))) AS k FROM media))"""
+
+
+@query(f"""WITH {STUB_SQL} SELECT CAST(transcript_id AS VARCHAR) AS transcript_id, 'stub' AS backend, any_value(media_ms) / 1000.0 AS duration, count(*) AS n_segments,
+  CAST(sum(ceil(size / 400.0)) AS BIGINT) AS n_words, 'word' || CAST(CAST(sum(ceil(size / 400.0)) AS BIGINT) - 1 AS VARCHAR) AS last_word FROM parts GROUP BY transcript_id""")
+def speech_source_stub(spark, sf_dir):
+    """Transcripts of the stub recogniser, by the Python data source, of a media list in the shared folder."""
+    media = staged(media_of(tables.segments(spark, sf_dir)).select(F.col("transcript_id").cast("string").alias("transcript_id"), F.lit(None).cast("string").alias("path"), F.col("media_ms").alias("duration_ms")), "media")
+    speech_source.register(spark)
+    folder = media.inputFiles()[0].rsplit("/", 1)[0]
+    t = spark.read.format(speech_source.NAME).option("backend", "stub").load(folder)
+    n = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.size(s["words"]))
+    last = F.element_at(F.element_at("segments", -1)["words"], -1)["text"]
+    return t.select("transcript_id", "backend", "duration", F.size("segments").cast("long").alias("n_segments"), n.alias("n_words"), last.alias("last_word"))
+
+
+@query(f"""WITH {STUB_SQL} SELECT transcript_id, count(*) AS n_segments, CAST(sum(ceil(size / 400.0)) AS BIGINT) AS n_words, CAST(max(k * 5000 + least((ceil(size / 400.0) - 1) * 400 + 320, size)) AS BIGINT) AS last_end
+FROM parts GROUP BY transcript_id""")
+def synthetic_words(spark, sf_dir):
+    w = readers.synthetic_transcripts(media_of(tables.segments(spark, sf_dir)))
+    return w.groupBy("transcript_id").agg((F.max("seg_idx") + 1).alias("n_segments"), F.count(F.lit(1)).alias("n_words"), F.max("end_ms").alias("last_end"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS project_id, o_orderkey AS clip_id FROM orders)
+SELECT project_id, clip_id FROM c WHERE project_id % 4 <> 0 AND project_id % 5 <> 0 UNION ALL SELECT c_custkey, -c_custkey FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 5 <> 0""")
+def clips_in_place(spark, sf_dir):
+    """clips_replaced, in a stored table whose untouched buckets stay."""
+    path = f"{stage_folder(spark)}/clips-{uuid.uuid4().hex}"
+    schemas.store_clips(tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("clip_id")), path, 16)
+    projects = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
+    schemas.replace_clips(spark, path, projects.filter("project_id % 4 = 0").select("project_id", (-F.col("project_id")).alias("clip_id")), 16)
+    schemas.delete_projects(spark, path, projects.filter("project_id % 5 = 0"), 16)
+    return spark.read.parquet(path).select("project_id", "clip_id")
+
+
 # ---------------------------------------------------------------- whole flows
 
 
@@ -736,6 +782,29 @@ moments AS (SELECT transcript_id, ord, start_ms, end_ms, hook, category, normali
   / {max(1e-9, sum(lexicon.SCORING_WEIGHTS.values()))!r}::DOUBLE + 0.5000001::DOUBLE) / 10000.0::DOUBLE AS final_score FROM mom2)"""
 
 
+def _attempts(segs: DataFrame) -> DataFrame:
+    """_answers() as a table of attempts: of every third window the first answer is no list, of every fifth all are, of
+    every seventh the first attempt fails."""
+    a = _answers(segs).select("transcript_id", F.col("window_idx").alias("window"), "text")
+    n = F.col("window") + F.col("transcript_id")
+    tries = a.withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1)))).filter((F.col("attempt") == 0) | (n % 3 == 0) | (n % 5 == 0) | (n % 7 == 0))
+    error = F.when((n % 7 == 0) & (n % 3 != 0) & (n % 5 != 0) & (F.col("attempt") == 0), "timed out")
+    good = (n % 5 != 0) & ((F.col("attempt") == 1) | (n % 3 != 0))
+    return tries.select("transcript_id", "window", F.col("attempt").cast("int").alias("attempt"), F.when(error.isNull(), F.when(good, F.col("text")).otherwise("none here")).alias("text"), error.alias("error"))
+
+
+@query(f"""{MOMENTS_SQL},
+usable AS (SELECT transcript_id, chunk_index, count(*) AS n FROM cands GROUP BY 1, 2),
+seen AS (SELECT w.transcript_id, w."window", coalesce(u.n, 0) AS n, (w."window" + w.transcript_id) AS k FROM wins w LEFT JOIN usable u ON w.transcript_id = u.transcript_id AND w."window" = u.chunk_index)
+SELECT transcript_id, "window", CASE WHEN k % 5 = 0 OR k % 3 = 0 OR k % 7 = 0 THEN 1 ELSE 0 END::INTEGER AS attempt,
+  CASE WHEN n > 0 AND k % 5 <> 0 THEN 'usable' WHEN k % 5 = 0 OR k % 3 = 0 OR k % 7 = 0 THEN 'failed' ELSE 'open' END AS outcome, CASE WHEN k % 5 <> 0 THEN n ELSE 0 END AS n_candidates FROM seen""")
+def window_attempts(spark, sf_dir):
+    segs = tables.segments(spark, sf_dir)
+    found, parsed = attempts.judged(staged(_attempts(segs), "answers"), staged(tables.words(segs), "words"))
+    counts = parsed.filter("reject_reason is null").groupBy("transcript_id", F.col("chunk_index").alias("window")).agg(F.count(F.lit(1)).alias("n_candidates"))
+    return found.join(counts, ["transcript_id", "window"], "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+
+
 @query(f"{MOMENTS_SQL} SELECT * FROM moments")
 def discover_moments(spark, sf_dir):
     segs = tables.segments(spark, sf_dir)

@@ -37,14 +37,16 @@ def snap(spans: DataFrame, words: DataFrame, tolerance_ms: int = SNAP_MS) -> Dat
 
 
 def parse(responses: DataFrame, words: DataFrame, min_ms: int = 25_000, max_ms: int = 60_000) -> DataFrame:
-    """Candidates and rejections (reject_reason) of model answers (transcript_id, window_idx, text).
+    """Candidates and rejections (reject_reason) of model answers (transcript_id, window_idx, text), which may be of several
+    attempts.
 
     One row for each item, or for an answer that holds none."""
-    read = responses.select("transcript_id", "window_idx", model_items(F.col("text")).alias("m"))
-    items = read.select("transcript_id", "window_idx", F.col("m.error").alias("error"), F.explode_outer("m.items").alias("item")).filter(F.col("error").isNotNull() | F.col("item").isNotNull())
-    items = items.select("transcript_id", "window_idx", "error", "item.*")
+    attempt = F.col("attempt") if "attempt" in responses.columns else F.lit(0).alias("attempt")
+    read = responses.select("transcript_id", "window_idx", attempt, model_items(F.col("text")).alias("m"))
+    items = read.select("transcript_id", "window_idx", "attempt", F.col("m.error").alias("error"), F.explode_outer("m.items").alias("item")).filter(F.col("error").isNotNull() | F.col("item").isNotNull())
+    items = items.select("transcript_id", "window_idx", "attempt", "error", "item.*")
     low, high = F.least("start", "end"), F.greatest("start", "end")
-    timed = items.withColumn("ord", F.struct("window_idx", "n")).withColumn("start_ms", F.when(F.col("start").isNotNull() & F.col("end").isNotNull(), F.round(low * 1000).cast("long")))
+    timed = items.withColumn("ord", F.struct("window_idx", "attempt", "n")).withColumn("start_ms", F.when(F.col("start").isNotNull() & F.col("end").isNotNull(), F.round(low * 1000).cast("long")))
     timed = timed.withColumn("end_ms", F.when(F.col("start_ms").isNotNull(), F.round(high * 1000).cast("long")))
     spans = timed.filter("start_ms is not null").select("transcript_id", "ord", "start_ms", "end_ms")
     snapped = timed.join(snap(spans, words).drop("start_ms", "end_ms"), ["transcript_id", "ord"], "left")
@@ -71,6 +73,7 @@ def parse(responses: DataFrame, words: DataFrame, min_ms: int = 25_000, max_ms:
     return snapped.select(
         "transcript_id",
         F.col("window_idx").alias("chunk_index"),
+        "attempt",
         F.coalesce("n", F.lit(0)).alias("item"),
         F.col("snapped_start_ms").alias("start_ms"),
         F.col("snapped_end_ms").alias("end_ms"),

@@ -104,11 +104,6 @@ def header(style: Style = Style(), width: int = 1080, height: int = 1920) -> str
     return "\n\n".join("\n".join([f"[{name}]", *lines]) for name, lines in sections.items()) + "\n"
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """A text file for each clip, below clip_id=... in the folder."""
-    documents.select("clip_id", F.col("document").alias("value")).write.partitionBy("clip_id").option("lineSep", "\n").text(path)
-
-
 def documents(dialogues: DataFrame, header: str) -> DataFrame:
     """(clip_id, document): a subtitle document for each clip."""
     per = dialogues.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("w", "dialogue"))).alias("d"))

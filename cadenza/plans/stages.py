@@ -10,22 +10,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset: a folder of its own if all executors run on this machine, else an error,
+    as other machines wouldn't see it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stage_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cadenza/{spark.sparkContext.applicationId}"
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Removes all stage tables of this application. Results that read them must have been written elsewhere."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/cadenza/{spark.sparkContext.applicationId}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in spark.checkpoint.dir. Where that is unset: in a folder of its own if all executors run on
-    this machine, else an error, as other machines wouldn't see it."""
-    conf = df.sparkSession.conf
-    folder = conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not df.sparkSession.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-        conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cadenza/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, written once."""
+    path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

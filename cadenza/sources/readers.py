@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from . import files
 
 SPEECH = "language string, segments array<struct<start:double,end:double,text:string,words:array<struct<word:string,text:string,start:double,end:double,probability:double>>>>"
 TRANSCRIPT = "transcript_id string, language string, backend string, model string, duration double, cache_key string, segments array<struct<start:double,end:double,text:string,words:array<struct<text:string,start:double,end:double,probability:double>>>>"
@@ -54,27 +55,33 @@ def cache_key(file_hash: Column, backend: Column, model: Column, language: Colum
     return F.left(F.sha2(F.concat_ws("|", file_hash, backend, model, F.coalesce(language, F.lit("auto"))), 256), F.lit(16))
 
 
-def fingerprint(content: Column, length: Column, part: int = 8 << 20) -> Column:
-    """SHA-256 of a file's length, first part and, where it is longer than two, last part."""
-    head = F.substring(content, 1, part)
-    tail = F.when(length > 2 * part, F.substring(content, -part, part)).otherwise(F.lit(b""))
-    return F.sha2(F.concat(length.cast("string").cast("binary"), head, tail), 256)
+def uploads(spark: SparkSession, path: str, most_bytes: int, probes: DataFrame | None = None) -> DataFrame:
+    """Files of a folder (path, length, extension), those accepted with their fingerprint, the others with a reject_reason:
+    their kind or size, or, where probes (path, has_audio) are given, that they have no sound or couldn't be inspected.
 
-
-def uploads(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
-    """Files of a folder with a reject_reason where their kind or size isn't accepted."""
-    files = spark.read.format("binaryFile").load(path)
+    Lengths come from the listing, and of what is accepted two parts are read: a file may be of any length."""
+    listed = files.listed(spark, path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     reason = F.when(~kind.isin(*EXTENSIONS), "unsupported type").when(F.col("length") == 0, "empty file").when(F.col("length") > most_bytes, "file too large")
-    return files.select("path", "length", kind.alias("extension"), reason.alias("reject_reason"), F.when(reason.isNull(), fingerprint(F.col("content"), F.col("length"))).alias("fingerprint"))
-
-
-def synthetic_transcripts(spark: SparkSession, n: int, duration_ms: int, step_ms: int = 400, segment_ms: int = 5_000, fill: float = 0.8) -> DataFrame:
-    """Words (transcript_id, seg_idx, word_idx, text, start_ms, end_ms) of n made-up transcripts: one a step, filling most of it."""
-    each = spark.range(n).select(F.col("id").alias("transcript_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(duration_ms // step_ms - 1).cast("long"))).alias("k"))
-    start = F.col("k") * step_ms
-    per = max(1, segment_ms // step_ms)
-    return each.select("transcript_id", F.floor(F.col("k") / per).alias("seg_idx"), (F.col("k") % per).alias("word_idx"), F.concat(F.lit("word"), F.col("k").cast("string")).alias("text"), start.alias("start_ms"), (start + int(step_ms * fill)).alias("end_ms"), F.lit(95).cast("long").alias("probability_pct"))
+    if probes is not None:
+        listed = listed.join(probes.select("path", F.col("has_audio").alias("_sound")), "path", "left")
+        reason = F.coalesce(reason, F.when(F.col("_sound").isNull(), "could not be inspected").when(~F.col("_sound"), "no audio track"))
+    judged = listed.select("path", "length", kind.alias("extension"), reason.alias("reject_reason"))
+    prints = files.fingerprints(judged.filter("reject_reason is null").select("path", "length")).select("path", "fingerprint")
+    return judged.join(prints, "path", "left")
+
+
+def synthetic_transcripts(media: DataFrame, step_ms: int = 400, segment_ms: int = 5_000, fill: float = 0.8) -> DataFrame:
+    """Words (transcript_id, seg_idx, word_idx, text, start_ms, end_ms, probability_pct) of made-up transcripts of media
+    (transcript_id, media_ms): segments of equal length, in each a word a step, that fills most of it or ends with it."""
+    last = lambda length, step: F.ceil(length / step).cast("long") - 1
+    segs = media.filter("media_ms > 0").select("transcript_id", "media_ms", F.explode(F.sequence(F.lit(0).cast("long"), last(F.col("media_ms"), segment_ms))).alias("seg_idx"))
+    begin = F.col("seg_idx") * segment_ms
+    segs = segs.withColumn("stop", F.least(begin + segment_ms, F.col("media_ms")))
+    each = segs.withColumn("word_idx", F.explode(F.sequence(F.lit(0).cast("long"), last(F.col("stop") - begin, step_ms))))
+    start = begin + F.col("word_idx") * step_ms
+    number = F.col("seg_idx") * -(-segment_ms // step_ms) + F.col("word_idx")
+    return each.select("transcript_id", "seg_idx", "word_idx", F.concat(F.lit("word"), number.cast("string")).alias("text"), start.alias("start_ms"), F.least(start + int(step_ms * fill), F.col("stop")).alias("end_ms"), F.lit(90).cast("long").alias("probability_pct"))
 
 
 def replace_by_project(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -99,13 +106,17 @@ def latest_jobs(jobs: DataFrame, most: int = 50, project_id=None) -> DataFrame:
     return kept.orderBy(F.desc("created_at"), "job_id").limit(most)
 
 
-def list_projects(projects: DataFrame, clips: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """Projects, the newest first, with what there is of each: clip_count, candidate_count, has_extracted_audio."""
+def list_projects(projects: DataFrame, clips: DataFrame | None = None, candidates: DataFrame | None = None, transcripts: DataFrame | None = None) -> DataFrame:
+    """Projects, the newest first, with what there is of each: clip_count, candidate_count, has_extracted_audio,
+    has_transcript (of stored transcripts, by project_id)."""
     shown = projects
     for name, rows in (("clip_count", clips), ("candidate_count", candidates)):
         if rows is not None:
             counts = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
             shown = shown.join(counts, "project_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    if transcripts is not None:
+        known = transcripts.select("project_id").distinct().withColumn("has_transcript", F.lit(True))
+        shown = shown.join(known, "project_id", "left").withColumn("has_transcript", F.coalesce("has_transcript", F.lit(False)))
     if "audio_path" in projects.columns:
         shown = shown.withColumn("has_extracted_audio", F.coalesce(F.length("audio_path") > 0, F.lit(False)))
     return shown.orderBy(F.desc("created_at"), "project_id")

@@ -4,10 +4,13 @@ Batch and stream share the fold: of a job's status events in order, a terminal s
 
 from __future__ import annotations
 
+import threading
+from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 STATES = ("QUEUED", "PROCESSING", "COMPLETED", "FAILED", "CANCELLED")
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
@@ -63,21 +66,139 @@ def cancel_job(spark: SparkSession, job_id) -> None:
     spark.sparkContext.cancelJobsWithTag(f"job-{job_id}")
 
 
-def follow_jobs(events: DataFrame) -> DataFrame:
-    """The stream of latest_state(): status events (job_id, seq, status, progress) folded per job in a state store."""
-    import pandas as pd
-
-    def fold(key, frames, state):
-        status, progress, n = state.get if state.exists else ("QUEUED", 0.0, 0)
-        for frame in frames:
-            for row in frame.sort_values("seq").itertuples():
-                if status in TERMINAL:
-                    break
-                # A null progress comes as NaN, which stays, as it does in clamp().
-                status, progress, n = row.status, row.progress if pd.isna(row.progress) else max(0.0, min(1.0, row.progress)), n + 1
-        state.update((status, progress, n))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [progress], "n_events": [n]})
-
-    return events.groupBy("job_id").applyInPandasWithState(
-        fold, "job_id long, status string, progress double, n_events long", "status string, progress double, n_events long", "update", "NoTimeout"
-    )
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_JOB = "job_id long, status string, progress double, n_events long"
+
+
+class JobFold(StatefulProcessor):
+    """A job's events by their seq, so that the state is that of the batch, in whatever order they come.
+
+    Events after the first terminal one are dropped, and come to nothing when they arrive later; an event that belongs
+    before it still counts, and an earlier terminal one takes its place. With keep_ms, a job that has ended is closed
+    keep_ms later: a timer replaces its events by their outcome, which with forget_ms goes that much later in turn."""
+
+    def __init__(self, keep_ms: int | None, forget_ms: int | None):
+        self.keep_ms, self.forget_ms = keep_ms, forget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "seq long", "status string, progress double")
+        self.outcome = handle.getValueState("outcome", "status string, progress double, n_events long")
+        self.due = handle.getValueState("due", "at long")
+
+    def _events(self) -> list[tuple]:
+        """(seq, status, progress) up to the first terminal one; the others go."""
+        found, ended = sorted((k[0], v[0], v[1]) for k, v in self.open.iterator()), False
+        kept = []
+        for seq, status, progress in found:
+            if ended:
+                self.open.removeKey((seq,))
+            else:
+                kept.append((seq, status, progress))
+            ended = ended or status in TERMINAL
+        return kept
+
+    @staticmethod
+    def _outcome(events: list[tuple]) -> tuple:
+        _, status, progress = events[-1]
+        return status, None if progress is None else max(0.0, min(1.0, progress)), len(events)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.outcome.exists():
+            return
+        for row in rows:
+            self.open.updateValue((row.seq,), (row.status, row.progress))
+        events = self._events()
+        if self.keep_ms is not None and events[-1][1] in TERMINAL and not self.due.exists():
+            at = timerValues.getCurrentProcessingTimeInMs() + self.keep_ms
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+        yield Row(job_id=key[0], **dict(zip(("status", "progress", "n_events"), self._outcome(events), strict=True)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.outcome.exists():
+            self.outcome.clear()
+            return
+        events = self._events()
+        self.open.clear()
+        self.due.clear()
+        self.outcome.update(self._outcome(events))
+        if self.forget_ms is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def follow_jobs(events: DataFrame, keep_ms: int | None = None, forget_ms: int | None = None) -> DataFrame:
+    """The stream of latest_state(): status events (job_id, seq, status, progress) of a job, folded in the order of seq.
+
+    After all events have come, in whatever batches, a job's last row is that of the batch. With keep_ms, the events of
+    ended jobs are forgotten that much later; such a query runs on a processing-time trigger, as one of availableNow
+    would wait for its timers forever. The session's state store must be RocksDB, which this sets."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return events.groupBy("job_id").transformWithState(JobFold(keep_ms, forget_ms), _JOB, "Update", "None" if keep_ms is None else "ProcessingTime")
+
+
+def session_rollup(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """Of each user the sessions that a gap without events ends: (user_id, session_start, session_end, n, value)."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if timed.isStreaming else timed
+    out = timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "value")
+
+
+def publish(rollup: DataFrame, path: str, checkpoint: str, subscriber: Callable[[DataFrame, int], None] | None = None, **trigger):
+    """A started query that writes each batch of a stream to a folder of its own, and tells a subscriber of it.
+
+    A batch that runs again after a restart has the same number and replaces what it wrote: no row stands twice."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if subscriber:
+            subscriber(batch.sparkSession.read.parquet(f"{path}/batch={number}"), number)
+
+    return rollup.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def published(spark: SparkSession, path: str, *key: str) -> DataFrame:
+    """What publish() has written: of each key the row of its latest batch."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    values = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*key, "v.*")
+
+
+class ProgressFeed(StreamingQueryListener):
+    """Progress of streaming queries for subscribers by query name; each has a queue, of which the oldest entries go."""
+
+    def __init__(self, most: int = 100):
+        self.most, self.queues, self.lock = most, {}, threading.Lock()
+
+    def subscribe(self, name: str) -> deque:
+        with self.lock:
+            self.queues.setdefault(name, []).append(queue := deque(maxlen=self.most))
+        return queue
+
+    def unsubscribe(self, name: str, queue: deque) -> None:
+        with self.lock:
+            self.queues[name] = [q for q in self.queues.get(name, []) if q is not queue]
+
+    def _tell(self, name: str | None, entry: dict) -> None:
+        with self.lock:
+            for queue in self.queues.get(name or "", []):
+                queue.append(entry)
+
+    def onQueryStarted(self, event) -> None:
+        self.names = getattr(self, "names", {}) | {str(event.id): event.name}
+        self._tell(event.name, {"state": "started"})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._tell(p.name, {"state": "progress", "batch": p.batchId, "rows": p.numInputRows})
+
+    def onQueryTerminated(self, event) -> None:
+        self._tell(getattr(self, "names", {}).get(str(event.id)), {"state": "terminated", "error": event.exception})
+
+    def onQueryIdle(self, event) -> None:
+        pass

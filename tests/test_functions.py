@@ -154,7 +154,10 @@ def test_lists(spark):
     order = lambda by: [r.clip_id for r in readers.sorted_clips(clips, by).collect()]
     assert order("score") == [3, 1, 2] and order("boundary") == [2, 3, 1] and order("duration") == [2, 3, 1] and order("start") == [2, 1, 3] and order("?") == [1, 2, 3]
     assert readers.replace_by_project(clips, clips.filter("clip_id = 1")).count() == 1
-    assert readers.synthetic_transcripts(spark, 2, 10_000).count() == 50
+    media = spark.createDataFrame([(1, 10_000), (2, 5_100), (3, 0)], "transcript_id long, media_ms long")
+    made = readers.synthetic_transcripts(media)
+    assert {r.transcript_id: r["count"] for r in made.groupBy("transcript_id").count().collect()} == {1: 26, 2: 14}
+    assert made.filter("transcript_id = 2 and seg_idx = 1").select("text", "start_ms", "end_ms").collect() == [("word13", 5_000, 5_100)]
 
 
 def test_progress_rollup_streams_like_a_batch(spark, tmp_path):
