@@ -176,7 +176,7 @@ def redact(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs with personal data replaced, kind by kind; null texts stay null, n_chars (where there is one) follows."""
     out = docs
     for kind in ("iban", "card", "phone", "ip", "ssn", "email"):
-        out = out.withColumn("text", F.when(docs["text"].isNotNull(), redacted(F.col("text"), kind, least)))
+        out = out.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), kind, least)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
