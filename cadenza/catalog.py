@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Callable
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from . import lexicon
 from .functions import media as m
 from .functions import text as t
+from .functions.json_recovery import model_items
 from .operators import boundaries, candidates, captions, ranking, selection, transcript, windows
 from .plans import attempts, pipelines
 from .plans.stages import stage_folder, staged
@@ -830,6 +832,136 @@ def discovery_prompts(spark, sf_dir):
     return pipelines.prompts(tables.segments(spark, sf_dir), pipelines.Settings(window_tokens=300))
 
 
+@query("""WITH c AS (SELECT o_orderkey AS clip_id, o_orderkey % 97 AS index, o_totalprice AS duration, o_orderkey * 7919 % 10007 AS start_ms, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 31 END AS score, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 17 END AS boundary_score FROM orders)
+SELECT * FROM (SELECT 'index' AS sorted_by, clip_id FROM c ORDER BY index, clip_id LIMIT 100) UNION ALL SELECT * FROM (SELECT 'duration', clip_id FROM c ORDER BY duration, index, clip_id LIMIT 100)
+UNION ALL SELECT * FROM (SELECT 'start', clip_id FROM c ORDER BY start_ms, index, clip_id LIMIT 100) UNION ALL SELECT * FROM (SELECT 'score', clip_id FROM c ORDER BY score DESC NULLS LAST, index, clip_id LIMIT 100)
+UNION ALL SELECT * FROM (SELECT 'boundary', clip_id FROM c ORDER BY boundary_score DESC NULLS LAST, index, clip_id LIMIT 100) UNION ALL SELECT * FROM (SELECT 'anything', clip_id FROM c ORDER BY index, clip_id LIMIT 100)""")
+def clip_lists(spark, sf_dir):
+    """The first hundred clips of each order that a list may have."""
+    k = F.col("o_orderkey")
+    c = tables.table(spark, sf_dir, "orders").select(
+        k.alias("clip_id"), (k % 97).alias("index"), F.col("o_totalprice").alias("duration"), (k * 7919 % 10007).alias("start_ms"), F.when(k % 9 != 0, k % 31).alias("score"), F.when(k % 11 != 0, k % 17).alias("boundary_score")
+    )
+    lists = [readers.sorted_clips(c, by).limit(100).select(F.lit(by).alias("sorted_by"), "clip_id") for by in ("index", "duration", "start", "score", "boundary", "anything")]
+    return functools.reduce(DataFrame.unionByName, lists)
+
+
+@query("""SELECT c_custkey AS project_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS clip_count, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS candidate_count,
+  c_custkey IN (SELECT conv_id FROM conversations) AS has_transcript, c_custkey % 3 = 0 AS has_extracted_audio FROM customer""")
+def project_list(spark, sf_dir):
+    k = F.col("c_custkey")
+    projects = tables.table(spark, sf_dir, "customer").select(k.alias("project_id"), F.timestamp_seconds(k * 60).alias("created_at"), F.when(k % 3 == 0, "a.wav").when(k % 3 == 1, "").alias("audio_path"))
+    of = lambda name, key: tables.table(spark, sf_dir, name).select(F.col(key).alias("project_id"))
+    return readers.list_projects(projects, of("orders", "o_custkey"), of("events", "user_id"), of("conversations", "conv_id")).drop("created_at", "audio_path")
+
+
+@query("""SELECT event_id AS ord, coalesce(CASE WHEN event_id % 3 = 0 THEN event_id % 101 END, CASE WHEN event_id % 5 = 0 THEN event_id % 53 END, 0)::DOUBLE AS score FROM events ORDER BY score DESC, ord LIMIT 50""")
+def best_candidates(spark, sf_dir):
+    """The fifty best candidates of all."""
+    k = F.col("event_id")
+    c = tables.table(spark, sf_dir, "events").select(k.alias("ord"), F.when(k % 3 == 0, (k % 101).cast("double")).alias("final_score"), F.when(k % 5 == 0, (k % 53).cast("double")).alias("normalized_score"))
+    return candidates.best_first(c).limit(50).select("ord", F.coalesce("final_score", "normalized_score", F.lit(0.0)).alias("score"))
+
+
+@query("""SELECT o_orderkey AS clip_id, round((o_orderkey * 37 % 90000 * 10 + 3) / 1000.0, 2) AS start, round((o_orderkey * 37 % 90000 * 10 + 30004) / 1000.0, 2) AS end, 30.0 AS duration, o_orderkey % 4 = 0 AS rendered FROM orders""")
+def clips_shown(spark, sf_dir):
+    k = F.col("o_orderkey")
+    start = (k * 37 % 90_000 * 10 + 3).cast("double")
+    c = tables.table(spark, sf_dir, "orders").select(k.alias("clip_id"), start.alias("start_ms"), (start + 30_001).alias("end_ms"), F.when(k % 4 == 0, "x.mp4").when(k % 4 == 1, "").alias("render_path"))
+    return pipelines.shown_clip(c).select("clip_id", "start", "end", "duration", "rendered")
+
+
+@query("""SELECT event_id AS job_id, round(floor(value * 100) / 10000 + 0.00001, 4) AS progress, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS created_at FROM events""")
+def jobs_shown(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), (F.floor(F.col("value") * 100) / 10000 + 0.00001).alias("progress"), F.col("ts").alias("created_at"))
+    return readers.shown_jobs(e)
+
+
+@query(f"""WITH {FEATURES_SQL} SELECT transcript_id, count(*) AS n_pairs, count(*) FILTER (opener < 1) AS n_penalised FROM scored GROUP BY 1""")
+def opener_penalties(spark, sf_dir):
+    p = boundaries.components_map(boundaries.scored_pairs(_features(spark, sf_dir)[2]))
+    return p.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(boundaries.opener_penalty(F.col("components"))).alias("n_penalised"))
+
+
+@query(f"""WITH {FEATURES_SQL}, {tables.ANCHORS_SQL},
+found AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY ord) AS ord, anchor_ms::DOUBLE AS anchor_ms, 'discovered' AS strategy FROM anchors WHERE ord % 5 = 0),
+known AS (SELECT transcript_id, ord, NULL::VARCHAR AS hook, NULL::VARCHAR AS topic, NULL::VARCHAR AS category, NULL::DOUBLE AS score FROM found),
+{CLIPS_SQL.replace("s.ord = e.ord GROUP BY 1)", "s.ord = e.ord WHERE s.total >= 0.8 GROUP BY 1)")}""")
+def sound_clips(spark, sf_dir):
+    """Clips whose boundaries score four fifths or more."""
+    segs, w, f = _features(spark, sf_dir)
+    return shown_clips(selection.select_clips(f, w, media_of(segs), tables.anchors(spark, sf_dir).filter("ord % 5 = 0"), least_score=0.8))
+
+
+@query("""SELECT o_custkey AS project_id, array_to_string(list_sort(list(o_orderkey)), ',') AS failed FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 GROUP BY 1""")
+def failed_checks(spark, sf_dir):
+    k = F.col("o_orderkey")
+    renders = tables.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("project_id"), k.alias("index"), F.lit(31.5).alias("expected"), F.lit(31.0).alias("duration"), F.when(k % 11 == 0, 720).otherwise(1080).alias("width"), F.lit(1920).alias("height"), (k % 5 != 0).alias("has_video"), (k % 7 != 0).alias("has_audio")
+    )
+    return pipelines.failed_checks(m.quality_check(renders)).withColumn("failed", F.array_join(F.col("failed").cast("array<string>"), ","))
+
+
+@query("""SELECT o_custkey AS project_id, CAST(sum(o_orderkey % 600) AS BIGINT) AS media_s, CAST(sum(o_orderkey % 7) AS BIGINT) AS work_s, sum(o_orderkey % 600)::DOUBLE / nullif(sum(o_orderkey % 7), 0) AS realtime_factor FROM orders GROUP BY 1""")
+def throughput(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return pipelines.throughput(tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), (k % 600).alias("duration"), (k % 7).alias("elapsed")))
+
+
+@query("""WITH d AS (SELECT doc_id, left(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), source, 'turbo', coalesce(lang, 'auto'))), 16) AS cache_key FROM documents) SELECT doc_id, doc_id % 3 = 0 AS hit FROM d""")
+def cache_hits(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents")
+    wanted = d.select("doc_id", readers.cache_key(F.col("doc_id").cast("string"), F.col("source"), F.lit("turbo"), F.col("lang")).alias("cache_key"))
+    hits, misses = readers.cached(wanted, wanted.filter("doc_id % 3 = 0").select("cache_key"))
+    return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
+
+
+@query("""SELECT event_id, least(200, event_id % 300 + 1) AS hook, least(120, event_id % 200 + 1) AS topic, least(400, event_id % 500 + 1) AS reason FROM events""")
+def field_lengths(spark, sf_dir):
+    """How long the fields of a model's items may be."""
+    k = F.col("event_id")
+    of = lambda n: F.repeat(F.lit("é"), (k % n + 1).cast("int"))
+    text = F.format_string('[{"start": 1, "end": 2, "hook": "%s", "topic": "%s", "reason": "%s"}]', of(300), of(200), of(500))
+    read = tables.table(spark, sf_dir, "events").select(k, model_items(text).alias("m"))
+    item = F.get("m.items", F.lit(0))
+    return read.select("event_id", *[F.length(item[c]).alias(c) for c in ("hook", "topic", "reason")])
+
+
+@query("SELECT doc_id, left(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), source)), 12) AS id FROM documents")
+def fixed_ids(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", pipelines.new_id(F.col("doc_id").cast("string"), F.col("source")).alias("id"))
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id AS t FROM conversations)
+SELECT t AS transcript_id, 1::INTEGER AS n, 'candidate ' || (t % 3)::VARCHAR || ' ranked twice' AS problem FROM t UNION ALL SELECT t, 2, 'rank refers to unknown candidate 9' FROM t
+UNION ALL SELECT t, 2147483647, '3 candidate(s) left unranked' FROM t""")
+def ranking_problems(spark, sf_dir):
+    t = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("t")).distinct()
+    text = F.format_string('[{"id": %d}, {"id": %d}, {"id": 9}]', F.col("t") % 3, F.col("t") % 3)
+    return ranking.ranking_problems(t.select(F.col("t").alias("transcript_id"), text.alias("text"), F.lit(4).alias("candidate_count")))
+
+
+def _ranked_sql() -> str:
+    """MOMENTS_SQL with ranks: of each shortlist the second one first, then the first, then the others in order."""
+    sql = MOMENTS_SQL.replace("mom1 AS (SELECT m.*,", "mom1a AS (SELECT m.*,").replace(
+        "worded AS (SELECT transcript_id, ord, normalized_score,",
+        """mom1 AS (SELECT *, CASE WHEN place >= 20 THEN 0.5 WHEN held = 1 THEN 1.0 ELSE 1.0 - (CASE place WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE place END)::DOUBLE / (held - 1) END AS rr
+  FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY normalized_score DESC, ord) - 1 AS place, least(20, count(*) OVER (PARTITION BY transcript_id)) AS held FROM mom1a)),
+worded AS (SELECT transcript_id, ord, rr, normalized_score,""",
+    )
+    sql = sql.replace("grams := grams) ORDER BY normalized_score DESC, ord) AS items FROM worded", "grams := grams) ORDER BY rr DESC, normalized_score DESC, ord) AS items FROM worded")
+    return sql.replace("PARTITION BY m.transcript_id, category ORDER BY ord)", "PARTITION BY m.transcript_id, category ORDER BY rr DESC, ord)").replace("0.5::DOUBLE * 0.35::DOUBLE", "rr * 0.35::DOUBLE")
+
+
+@query(f"{_ranked_sql()} SELECT * FROM moments")
+def ranked_moments(spark, sf_dir):
+    """discover_moments with a made-up model's ranking of each shortlist."""
+    segs = tables.segments(spark, sf_dir)
+    rankings = segs.select("transcript_id").distinct().withColumn("text", F.lit('Ranked:\n[{"id": 1}, {"id": 0}]'))
+    moments, _ = pipelines.discover(segs, tables.words(segs), _answers(segs), rankings)
+    return moments.select("transcript_id", "ord", "start_ms", "end_ms", "hook", "category", "normalized_score", "boundary_hint", "final_score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
