@@ -114,7 +114,7 @@ def within_reach(pairs: DataFrame, features: DataFrame, max_ms: int) -> DataFram
         widths = widths.withColumn(f"level_{level}", F.greatest(below, F.lead(below, 1 << (level - 1)).over(order)))
     listed = F.array(*[F.col(f"level_{level}") for level in range(max(1, levels))])
     rows = widths.select("transcript_id", "idx", F.posexplode(listed).alias("level", "latest"))
-    n = F.col("end_idx") - F.col("start_idx")
+    n = F.greatest(F.col("end_idx") - F.col("start_idx"), F.lit(0))  # of rows that a plan may look at before it drops them, too
     p = pairs.withColumn("level", F.length(F.bin(n)) - 1).withColumn("second", F.col("end_idx") - F.expr("shiftleft(1L, level)"))
     near = p.filter(n > 0)
     for at, name in (("start_idx", "x"), ("second", "y")):
