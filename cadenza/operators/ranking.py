@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..functions.json_recovery import model_ranks
-from ..functions.text import cosine, dot, lexical_similarity, tokens, trigrams, unit
+from ..functions.text import cosine, lexical_similarity, tokens, trigrams, unit
 from ..plans.stages import staged
 from . import greedy
 from .boundaries import duration_fit, weighted_total
@@ -184,16 +188,82 @@ def similarity_notes(candidates: DataFrame, threshold: float = SIMILAR, text: st
     return met.select("transcript_id", "ord", note.alias("note"))
 
 
-def most_alike(vectors: DataFrame, queries: DataFrame, most: int = 3, blocks: int = 64) -> DataFrame:
+#: Vectors and queries of a task's tile, and queries of one product.
+TILE_VECTORS, TILE_QUERIES, STRIP = 8_192, 1_024, 128
+MILLION = 1_000_000
+
+
+def _matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of lists of doubles, by their length; lists that are null or hold nulls aren't in it."""
+    lists = column.combine_chunks()
+    sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    values = lists.flatten()
+    ends = np.cumsum(sizes)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    lacks = np.zeros(len(sizes), dtype=bool)
+    lacks[rows[values.is_null().to_numpy(zero_copy_only=False)]] = True
+    flat = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes[(sizes > 0) & ~lacks]).tolist():
+        these = np.flatnonzero((sizes == n) & ~lacks)
+        out[n] = these, flat[(ends[these] - n)[:, None] + np.arange(n)]
+    return out
+
+
+def _millionths(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of rows, 0 at least, in millionths rounded half up; what isn't a number is above all.
+
+    A product that lies at a half but for its last bits is summed anew from the first component on, as Spark does."""
+    x = np.maximum(q @ v.T, 0.0) * MILLION
+    out = np.floor(x + 0.5)
+    a, b = np.nonzero(np.abs(x - np.floor(x) - 0.5) < 1e-6)
+    if len(a):
+        exact = np.zeros(len(a))
+        for j in range(q.shape[1]):
+            exact += q[a, j] * v[b, j]
+        each, at = np.unique(exact, return_inverse=True)
+        out[a, b] = np.array([int(Decimal(repr(e)).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP)) for e in np.maximum(each, 0.0).tolist()])[at]
+    return np.where(np.isnan(x), 2 * MILLION, out).astype(np.int64)
+
+
+def _tile_best(most: int):
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        vectors = vectors.sort_by("vec_id")
+        ids, asked = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+        n, found = len(ids), []
+        have, want = _matrices(vectors["unit"]), _matrices(queries["q"])
+        for low in range(0, len(asked) if n else 0, STRIP):
+            some = asked[low : low + STRIP]
+            score = np.zeros((len(some), n), dtype=np.int64)
+            for size in have.keys() & want.keys():
+                at = want[size][0]
+                mine = slice(*np.searchsorted(at, (low, low + STRIP)))
+                if mine.stop > mine.start:
+                    score[np.ix_(at[mine] - low, have[size][0])] = _millionths(want[size][1][mine], have[size][1])
+            # One number tells score and place: vectors lie in order of vec_id.
+            key = np.where(ids[None, :] == some[:, None], np.int64(-1), score * n + (n - 1 - np.arange(n)))
+            top = np.argpartition(key, -most, axis=1)[:, -most:] if n > most else np.broadcast_to(np.arange(n), key.shape)
+            kept = np.take_along_axis(key, top, axis=1)
+            a, b = np.nonzero(kept >= 0)
+            found.append((some[a], ids[top[a, b]], kept[a, b] // n))
+        query, vec, s = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        return pa.table({"query_id": query, "vec_id": vec, "similarity": np.where(s == 2 * MILLION, np.nan, s / MILLION)})
+
+    return best
+
+
+def most_alike(vectors: DataFrame, queries: DataFrame, most: int = 3, tile: tuple[int, int] = (TILE_VECTORS, TILE_QUERIES)) -> DataFrame:
     """(query_id, rank, vec_id, similarity): for each of a stated set of query vectors its most alike other vectors.
 
-    vectors and queries: (vec_id, embedding). Vectors lie in blocks; each query is sent to every block and meets its
-    vectors there, keeps the best of the block, and then the best of those."""
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("unit"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    met = v.join(q, "block").filter("vec_id <> query_id")
-    scored = met.select("query_id", "block", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("q"), F.col("unit"))), 6).alias("similarity"))
-    for keys in (("query_id", "block"), ("query_id",)):
-        order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "vec_id")
-        scored = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
-    return scored.select("query_id", "rank", "vec_id", "similarity")
+    vectors and queries: (vec_id, embedding). Every query meets every vector, in tiles of both that are products of
+    matrices, keeps the best of the tile, and then the best of those."""
+    blocks, strips = (max(1, -(-n // size)) for n, size in zip((vectors.count(), queries.count()), tile, strict=True))
+    dealt = lambda n, name: F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(name)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    doubles = lambda name: unit(F.col("embedding")).cast("array<double>").alias(name)
+    v = vectors.filter("vec_id is not null").select("vec_id", doubles("unit"), dealt(blocks, "block"), each(strips, "strip"))
+    q = queries.filter("vec_id is not null").select(F.col("vec_id").alias("query_id"), doubles("q"), dealt(strips, "strip"), each(blocks, "block"))
+    kinds = f"query_id {dict(queries.dtypes)['vec_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, similarity double"
+    scored = v.groupBy("block", "strip").cogroup(q.groupBy("block", "strip")).applyInArrow(_tile_best(most), kinds)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most).select("query_id", "rank", "vec_id", "similarity")
