@@ -12,6 +12,7 @@ import json
 import wave
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -20,8 +21,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .files import opened
 
 NAME = "cadenza_speech"
+#: Words of a batch, and rows of the media list read at a time: Spark's own batches go by rows, however long these are.
+BATCH_WORDS, LIST_ROWS = 20_000, 1_024
 SCHEMA = "transcript_id string, language string, backend string, model string, duration double, segments array<struct<start:double,end:double,text:string,words:array<struct<text:string,start:double,end:double,probability:double>>>>"
 
+_WORD = pa.struct([("text", pa.string()), ("start", pa.float64()), ("end", pa.float64()), ("probability", pa.float64())])
+_SEGMENT = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("text", pa.string()), ("words", pa.list_(_WORD))])
+ARROW = pa.schema([*[(c, pa.string()) for c in ("transcript_id", "language", "backend", "model")], ("duration", pa.float64()), ("segments", pa.list_(_SEGMENT))])
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+
 
 class Recorded:
     """Results of a recogniser that lie beside the audio file, with .json behind its name."""
@@ -115,17 +126,24 @@ class SpeechReader(DataSourceReader):
         groups = [(f, g) for f in files for g in range(pq.ParquetFile(f, filesystem=system).num_row_groups)]
         return [MediaFile(g) for g in groups] or [MediaFile(None)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
         system, _ = opened(self.options["path"])
         backend = chosen(self.options.get("backend"), self.backends)
         model, language, offset = self.options.get("model") or backend.default_model, self.options.get("language"), float(self.options.get("offset", 0.0))
         file, group = partition.value
-        for batch in pq.ParquetFile(file, filesystem=system).iter_batches(row_groups=[group]):
+        rows, held = [], 0
+        for batch in pq.ParquetFile(file, filesystem=system).iter_batches(batch_size=LIST_ROWS, row_groups=[group]):
             for row in batch.to_pylist():
                 t = backend.transcribe(row.get("path"), row.get("duration_ms"), model, language, offset)
-                yield (str(row["transcript_id"]), t["language"], backend.name, model, float(t["duration"]), t["segments"])
+                rows.append((str(row["transcript_id"]), t["language"], backend.name, model, float(t["duration"]), t["segments"]))
+                held += 1 + sum(len(s[3]) for s in t["segments"])
+                if held >= BATCH_WORDS:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
 
 class SpeechSource(DataSource):

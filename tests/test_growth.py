@@ -43,3 +43,12 @@ def test_most_alike_by_tiles(spark):
 def test_products_at_a_half_are_rounded_as_written():
     q, v = np.array([[1.0, 0.0]]), np.array([[0.0000005, 0.0], [0.0000015, 1.0], [-1.0, 0.0], [np.nan, 0.0]])
     assert ranking._millionths(q, v).tolist() == [[1, 2, 0, 2_000_000]]
+
+
+def test_speech_batches_go_by_words(spark, tmp_path):
+    pq.write_table(pa.table({"transcript_id": [str(i) for i in range(50)], "path": pa.nulls(50, pa.string()), "duration_ms": [400_000] * 50}), tmp_path / "list.parquet")
+    reader = speech_source.SpeechReader({"path": str(tmp_path), "backend": "stub"}, speech_source.BACKENDS)
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    sizes = [sum(len(s["words"]) for row in b.column("segments").to_pylist() for s in row) for b in batches]
+    assert sum(b.num_rows for b in batches) == 50 and sum(sizes) == 50 * 1040  # 80 segments of 13 words
+    assert max(sizes) < speech_source.BATCH_WORDS + 1040
