@@ -65,3 +65,20 @@ def test_excerpts_across_buckets(spark):
     assert found.count() == 4
     # Lists of words meet spans, not words one by one.
     assert "flatten(collect_list(part" in plan(found)
+
+
+def test_nearest_words_in_one_line_of_time(spark):
+    rows = [(1, 0, 0, "a", 0, 300), (1, 0, 1, "b", 0, 300), (1, 1, 0, "c", 299_000, 299_500), (1, 1, 1, "d", 303_000, 303_500), (1, 2, 0, "e", 10_000, None), (1, 9, 0, "f", 307_000, 309_000)]
+    spans = [(1, 1, 3_000, 301_500), (1, 2, 301_000, 305_500), (1, 3, 305_000, 309_000), (1, 4, 20_000, 303_500), (1, 5, None, 300), (2, 6, 0, 300)]
+    found = candidates.snap(spark.createDataFrame(spans, "transcript_id long, ord long, start_ms long, end_ms long"), words_of(spark, rows))
+
+    def nearest(t, i):
+        met = [(abs(w[i] - t), w[1], w[2], w[i]) for w in rows if t is not None and w[i] is not None and abs(w[i] - t) <= 6_000]
+        return min(met)[3] if met else None
+
+    for r in found.collect():
+        a, b = (nearest(r["start_ms"], 4), nearest(r["end_ms"], 5)) if r["transcript_id"] == 1 else (None, None)
+        good = a is not None and b is not None and b > a
+        assert (r["snapped_start_ms"], r["snapped_end_ms"]) == ((a, b) if good else (None, None)), r
+    # Words aren't joined with times.
+    assert plan(found).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("Join ") == 1
