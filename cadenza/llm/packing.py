@@ -20,9 +20,11 @@ and text, whatever their names, play no part; an empty table gives an empty resu
 from __future__ import annotations
 
 import bisect
+import contextlib
 import functools
 import os
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +44,9 @@ LANES = 1 << 20
 
 
 #: Characters of the stretches of text whose ids a worker remembers, twice: those met of late, and those before.
-MEMO_CHARS = 6_000_000
+MEMO_CHARS = 4_000_000
+#: Seconds without a task after which a worker forgets them: other stages run in the same workers.
+IDLE_S = 2.0
 #: A stretch is white space and the Latin letters that follow, up to an ASCII sign or white space, or else all that
 #: follows up to white space. Tokens never reach across stretches.
 _STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
@@ -67,6 +71,28 @@ class TokenEncoder:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
+        self.lock, self.tasks, self.begun = threading.Lock(), 0, 0
+
+    @contextlib.contextmanager
+    def task(self, idle_s: float = IDLE_S) -> Iterator[None]:
+        """While it lasts the memory stays; idle_s after it, without another task, it goes."""
+        with self.lock:
+            self.tasks += 1
+            self.begun += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.tasks -= 1
+            timer = threading.Timer(idle_s, self.forget, [self.begun])
+            timer.daemon = True
+            timer.start()
+
+    def forget(self, begun: int) -> None:
+        """Unless a task has begun since then."""
+        with self.lock:
+            if not self.tasks and begun == self.begun:
+                self.memo, self.older, self.chars = {}, {}, 0
 
     def exact(self, texts: list[str]) -> list[bytes]:
         # Some at a time: an encoding holds far more than its ids.
@@ -116,7 +142,13 @@ def token_encoder(path: str) -> TokenEncoder:
 
 
 def piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, end, done = token_encoder(path), np.array([end_id], dtype="<u4").tobytes(), 0
+    encoder = token_encoder(path)
+    with encoder.task():
+        yield from _pieces(encoder, batches, capacity, end_id)
+
+
+def _pieces(encoder: TokenEncoder, batches: Iterator[pa.RecordBatch], capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    end, done = np.array([end_id], dtype="<u4").tobytes(), 0
     for whole in batches:
         for batch in text_slices(whole, "text", 1 << 22):
             rows: list[list] = [[], [], [], [], []]

@@ -42,6 +42,8 @@ LEAST_WORD = 8
 MOST_ROWS = 3_000
 #: Bytes of text of a class's sample.
 MOST_BYTES = 64 << 20
+#: Bytes of text that are scored at once: some hundred bytes are held for each.
+SLICE = 1 << 18
 FOLDS = 4
 SCORED = "score double, mean_evidence double, peak_evidence double"
 
@@ -282,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_b
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text", 1 << 20):
+            for batch in text_slices(whole, "text", SLICE):
                 f = shared.value.features(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(f))], ["toxic", "features"])
 
@@ -312,7 +314,7 @@ def scored(docs: DataFrame, trained) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text", 1 << 20):
+            for batch in text_slices(whole, "text", SLICE):
                 p, f = _scores(batch, shared.value, curve)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "score", "mean_evidence", "peak_evidence"])
 
@@ -335,7 +337,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text", 1 << 20):
+            for batch in text_slices(whole, "text", SLICE):
                 yield batch.filter(pa.array(_scores(batch, shared.value, curve)[0] < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,11 +1,13 @@
 """Packing: the reduction against optimal packings, token ids, places."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -159,3 +161,21 @@ def test_few_runs():
         counts = Counter(min(2048, 1 + int(rng.expovariate(1 / most))) for _ in range(300_000))
         runs, _ = reduce_and_pack(counts)
         assert len(runs) <= 16 * 2048
+
+
+def test_an_idle_worker_forgets_its_stretches():
+    encoder = packing.TokenEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    with encoder.task(0.05):
+        first = list(encoder.encode(["some words, remembered"]))
+        assert encoder.memo
+        time.sleep(0.2)
+        assert encoder.memo
+    for _ in range(100):
+        if not encoder.memo:
+            break
+        time.sleep(0.05)
+    assert not encoder.memo and not encoder.older and encoder.chars == 0
+    with encoder.task():
+        assert list(encoder.encode(["some words, remembered"])) == first
+        encoder.forget(0)
+        assert encoder.memo
