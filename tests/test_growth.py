@@ -22,6 +22,14 @@ def words_of(spark, rows):
     return spark.createDataFrame(rows, "transcript_id long, seg_idx long, word_idx long, text string, start_ms long, end_ms long")
 
 
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    many = staged(spark.range(1000).selectExpr("id as transcript_id", "id % 7 as n"), "many")
+    assert "BroadcastHashJoin" not in plan(many.join(spark.range(1000).withColumnRenamed("id", "transcript_id"), "transcript_id"))
+    words = tables.words(tables.segments(spark, "/root/testdata/sf0.001"))
+    spans = tables.anchors(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in plan(words.join(spans.select("transcript_id", "ord"), "transcript_id"))
+
+
 def test_most_alike_by_tiles(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(40)] + [(40, None), (41, [1.0, None, 0.0, 0.0]), (42, [0.0] * 4), (43, [1.0, 2.0])]
