@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from cadenza.operators import candidates, ranking, transcript
+from cadenza.operators import boundaries, candidates, ranking, transcript
 from cadenza.plans.stages import staged
 from cadenza.sources import speech_source, tables
 
@@ -90,3 +90,11 @@ def test_nearest_words_in_one_line_of_time(spark):
         assert (r["snapped_start_ms"], r["snapped_end_ms"]) == ((a, b) if good else (None, None)), r
     # Words aren't joined with times.
     assert plan(found).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("Join ") == 1
+
+
+def test_lost_anchors_take_the_nearest_start_without_looking_ahead(spark):
+    features = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 2, 200_000), (1, 3, 200_000)], "transcript_id long, idx long, start_ms long")
+    anchors = spark.createDataFrame([(1, 1, 90_000), (1, 2, 110_000), (1, 3, 100_000), (1, 4, 900_000)], "transcript_id long, ord long, anchor_ms long")
+    near = boundaries.starts_near(features, anchors)
+    assert {(r["ord"], r["start_idx"]) for r in near.collect()} == {(1, 0), (2, 2), (3, 0), (4, 2)}
+    assert "unboundedfollowing" not in plan(near).lower()
