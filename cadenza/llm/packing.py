@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import contextlib
 import functools
+import itertools
 import os
 import re
 import threading
@@ -57,17 +58,20 @@ class TokenEncoder:
     """The ids that a tokenizer file gives, as bytes of unsigned 32-bit numbers.
 
     A byte-level tokenizer cuts a text into words before it merges bytes: no word holds white space behind anything else,
-    or a letter before a sign. So each stretch has its own ids, and those of stretches met before are remembered. Texts
-    with an added token, or with one of the four separators that Python alone takes for white space, go to the tokenizer
-    whole."""
+    or a letter before a sign. So each stretch has its own ids, and those of stretches met before are remembered; new ones
+    are encoded many at a time, as one text. Texts with an added token, or with one of the four separators that Python
+    alone takes for white space, go to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"[\x1c-\x1f]", *added]))
+        self.whole = ["\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        # A byte-level vocabulary has a letter for each byte.
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
@@ -99,6 +103,33 @@ class TokenEncoder:
         batches = (self.tokenizer.encode_batch_fast(texts[lo : lo + 500], add_special_tokens=False) for lo in range(0, len(texts), 500))
         return [np.array(e.ids, dtype="<u4").tobytes() for batch in batches for e in batch]
 
+    def joined(self, some: list[str]) -> list[bytes]:
+        """The ids of each of some stretches, none of which ends in white space, from one encoding of all.
+
+        Each begins with white space, or with a line end that is put before it and left out again, so that no word reaches
+        across two of them, as in a text. Bytes are counted: unless tokens end where stretches end, each is encoded alone."""
+        bare = [not s[0].isspace() for s in some]
+        text = "".join([f"\n{s}" if b else s for s, b in zip(some, bare, strict=True)])
+        ids = np.frombuffer(self.exact([text])[0], dtype="<u4")
+        edges = np.zeros((len(some), 2), dtype=np.int64)
+        edges[:, 0], edges[:, 1] = bare, [len(s) if s.isascii() else len(s.encode()) for s in some]
+        edges = np.cumsum(edges).reshape(-1, 2)  # where each begins and ends
+        ends = np.r_[0, np.cumsum(self.sizes[ids])]
+        cuts = np.searchsorted(ends, edges)
+        if ends[-1] != edges[-1, 1] or (ends[cuts] != edges).any():
+            return self.exact(some)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in (4 * cuts).tolist()]
+
+    def ids_of(self, some: list[str], most: int = 2_000) -> list[bytes]:
+        """The ids of each of some stretches."""
+        blank = {s for s in some if s[-1].isspace()}
+        met = dict(zip(blank, self.exact(list(blank)), strict=True))
+        rest = [s for s in some if s not in blank]
+        for lo in range(0, len(rest), most):
+            met.update(zip(rest[lo : lo + most], self.joined(rest[lo : lo + most]), strict=True))
+        return [met[s] for s in some]
+
     def stretches(self, text: str, most: int = 1 << 18) -> Iterator[list[str]]:
         """The stretches of a text, for about `most` characters at a time."""
         at = 0
@@ -110,29 +141,52 @@ class TokenEncoder:
             at = cut.start()
         yield _STRETCH.findall(text, at)
 
-    def learn(self, found: list[str]) -> None:
-        """From now on the memory has these stretches."""
+    def learn(self, new: set[str]) -> None:
+        """From now on the memory has these stretches, which it didn't have."""
+        self.chars += sum(map(len, new))
+        before = {c: self.older[c] for c in new if c in self.older}
+        self.memo.update(before)
+        rest = [c for c in new if c not in before]
+        self.memo.update(zip(rest, self.ids_of(rest), strict=True))
+
+    def met(self, found: list[str]) -> list[bytes]:
+        """The ids of each of some stretches, by the memory."""
         if self.chars > MEMO_CHARS:
             self.memo, self.older, self.chars = {}, self.memo, 0
-        new = set(found).difference(self.memo)
+        ids = list(map(self.memo.get, found))
+        new = {s for s, i in zip(found, ids, strict=True) if i is None}
         if new:
-            self.chars += sum(map(len, new))
-            before = {c: self.older[c] for c in new if c in self.older}
-            self.memo.update(before)
-            new = [c for c in new if c not in before]
-            self.memo.update(zip(new, self.exact(new), strict=True))
+            self.learn(new)
+            ids = [self.memo[s] if i is None else i for s, i in zip(found, ids, strict=True)]
+        return ids
+
+    def groups(self, texts: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
+        """The texts in order, some at a time, of about `most` characters; one that must stay whole is alone."""
+        some, chars = [], 0
+        for text in texts:
+            whole = any(w in text for w in self.whole)
+            if some and (whole or chars + len(text) > most):
+                yield some
+                some, chars = [], 0
+            some.append(text)
+            chars += len(text)
+            if whole:
+                yield some
+                some, chars = [], 0
+        if some:
+            yield some
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        for text in texts:
-            if self.whole.search(text):
-                yield self.exact([text])[0]
-                continue
-            parts = []
-            for found in self.stretches(text):
-                self.learn(found)
-                parts += map(self.memo.__getitem__, found)
-            yield b"".join(parts)
+        for some in self.groups(texts):
+            if len(some) > 1:
+                found = [_STRETCH.findall(text) for text in some]
+                ids = iter(self.met(list(itertools.chain.from_iterable(found))))
+                yield from (b"".join(itertools.islice(ids, len(f))) for f in found)
+            elif any(w in some[0] for w in self.whole):
+                yield self.exact(some)[0]
+            else:
+                yield b"".join(i for found in self.stretches(some[0]) for i in self.met(found))
 
 
 @functools.lru_cache(1)

@@ -179,3 +179,22 @@ def test_an_idle_worker_forgets_its_stretches():
         assert list(encoder.encode(["some words, remembered"])) == first
         encoder.forget(0)
         assert encoder.memo
+
+
+def test_new_stretches_are_encoded_together(monkeypatch):
+    """Stretches that a worker meets for the first time take one call of the tokenizer, not one each, and have the ids
+    that they have alone; where tokens don't end with stretches each is encoded alone."""
+    encoder = packing.TokenEncoder(*tokenizer_files())
+    some = sorted({s for text in odd_texts() for s in packing._STRETCH.findall(text)} - {""})
+    whole = [s for s in some if not any(w in s for w in encoder.whole)]
+    alone = encoder.exact(whole)
+    calls = []
+    exact = encoder.exact
+    monkeypatch.setattr(encoder, "exact", lambda texts: calls.append(len(texts)) or exact(texts))
+    assert encoder.ids_of(whole) == alone
+    assert list(encoder.encode(["some new words,here"] * 3 + ["and newer (ones)"])) == exact(["some new words,here"] * 3 + ["and newer (ones)"])
+    calls.clear()
+    list(encoder.encode([f"unseen{i} stretch{i}" for i in range(200)]))
+    assert sum(calls) <= 2
+    encoder.sizes[:] = 2
+    assert encoder.joined(whole[:50]) == alone[:50]
