@@ -11,7 +11,7 @@ from ..functions.text import estimate_tokens, stripped
 from ..plans.stages import staged
 from . import greedy
 
-SNAP_MS, SNAP_STRETCH_MS = 6_000, 300_000
+SNAP_MS, SNAP_STRETCH_MS = 6_000, 60_000
 LEAST_ANCHOR_MS = 2_000
 SMALL_GROUP = 3
 
@@ -20,29 +20,25 @@ def snap(spans: DataFrame, words: DataFrame, tolerance_ms: int = SNAP_MS) -> Dat
     """spans (transcript_id, ord, start_ms, end_ms) with snapped_start_ms and snapped_end_ms: the nearest word start and
     word end, the first on ties; null where one is farther than the tolerance or the end isn't after the start.
 
-    Words and times lie in one line of time, where a time's nearest word is the last before it or the first after it.
-    Each lies in its stretch of SNAP_STRETCH_MS and, near an edge, in the next one too."""
+    A stretch of SNAP_STRETCH_MS has its words as one list, and a time takes the nearest one of the lists that it reaches:
+    its own stretch and, near an edge, the next one."""
     stretch = max(SNAP_STRETCH_MS, 2 * tolerance_ms)
-
-    def line(rows: DataFrame, *columns: Column) -> DataFrame:
-        return rows.select("transcript_id", F.inline(F.array(*columns)))
-
-    at = lambda side, time, *more: F.struct(F.lit(side).alias("side"), F.col(time).cast("double").alias("at"), *more)
-    of_word = lambda c: (F.struct("seg_idx", "word_idx").alias("w_ord"), F.col(c).alias("time"))
-    w = line(words, at("start", "start_ms", *of_word("start_ms")), at("end", "end_ms", *of_word("end_ms")))
-    s = line(spans, at("start", "start_ms", F.col("ord")), at("end", "end_ms", F.col("ord")))
-    near = w.withColumn("stretch", F.explode(F.sequence(F.floor((F.col("at") - tolerance_ms) / stretch), F.floor((F.col("at") + tolerance_ms) / stretch))))
-    asked = s.filter("at is not null").withColumn("stretch", F.floor(F.col("at") / stretch))
-    every = near.unionByName(asked, allowMissingColumns=True)
-    # Spans behind the words of their time; of words at one time the first lies nearest to a span on either side.
-    word = F.when(F.col("w_ord").isNotNull(), F.struct("w_ord", "at", "time"))
-    group = Window.partitionBy("transcript_id", "side", "stretch")
-    ranks = (F.col("w_ord").isNull(), F.col("w_ord").desc())
-    for name, time in (("before", F.col("at").asc()), ("after", F.col("at").desc())):
-        every = every.withColumn(name, F.last(word, True).over(group.orderBy(time, *ranks).rowsBetween(Window.unboundedPreceding, 0)))
-    each = F.transform(F.array_compact(F.array("before", "after")), lambda m: F.struct(F.abs(m["at"] - F.col("at")).alias("d"), m["w_ord"].alias("w_ord"), m["time"].alias("time")))
-    best = F.array_min(F.filter(each, lambda m: m["d"] <= tolerance_ms))["time"]
-    found = every.filter("w_ord is null").groupBy("transcript_id", "ord").agg(*[F.max(F.when(F.col("side") == side, best)).alias(f"near_{side}") for side in ("start", "end")])
+    at = lambda side, time: F.struct(F.lit(side).alias("side"), F.col(time).cast("double").alias("at"))
+
+    def lists(side: int, time: str) -> DataFrame:
+        word = F.struct(F.col(time).alias("time"), "seg_idx", "word_idx")
+        dealt = words.filter(F.col(time).isNotNull()).select("transcript_id", F.lit(side).alias("side"), F.floor(F.col(time).cast("double") / stretch).alias("stretch"), word.alias("word"))
+        return dealt.groupBy("transcript_id", "side", "stretch").agg(F.collect_list("word").alias("said"))
+
+    asked = spans.select("transcript_id", "ord", F.inline(F.array(at(0, "start_ms"), at(1, "end_ms")))).filter("at is not null")
+    asked = asked.withColumn("stretch", F.explode(F.sequence(F.floor((F.col("at") - tolerance_ms) / stretch), F.floor((F.col("at") + tolerance_ms) / stretch))))
+    every = lists(0, "start_ms").unionByName(lists(1, "end_ms")).unionByName(asked, allowMissingColumns=True)
+    said = F.first("said", True).over(Window.partitionBy("transcript_id", "side", "stretch"))
+    met = every.withColumn("said", said).filter("at is not null")
+    near = F.filter("said", lambda w: F.abs(w["time"] - F.col("at")) <= tolerance_ms)
+    best = F.array_min(F.transform(near, lambda w: F.struct(F.abs(w["time"] - F.col("at")).alias("d"), w["seg_idx"].alias("s"), w["word_idx"].alias("w"), w["time"].alias("time"))))
+    met = met.select("transcript_id", "ord", "side", best.alias("best"))
+    found = met.groupBy("transcript_id", "ord").agg(*[F.min(F.when(F.col("side") == side, F.col("best")))["time"].alias(f"near_{name}") for side, name in ((0, "start"), (1, "end"))])
     both = spans.join(found, ["transcript_id", "ord"], "left")
     good = F.col("near_end") > F.col("near_start")
     return both.withColumn("snapped_start_ms", F.when(good, F.col("near_start"))).withColumn("snapped_end_ms", F.when(good, F.col("near_end"))).drop("near_start", "near_end")

@@ -70,11 +70,12 @@ def previews(issues: DataFrame, most: int = 20) -> DataFrame:
     return issues.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
 
 
-def discover(segments: DataFrame, words: DataFrame, answers: DataFrame, rankings: DataFrame | None = None, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+def discover(segments: DataFrame, words: DataFrame, answers: DataFrame, rankings: DataFrame | None = None, settings: Settings = Settings(), features: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(moments, rejections): parsed answers (transcript_id, window_idx, text), scored within their window, without
     overlaps, with a boundary hint, ranked, without near repetitions, by final score.
 
-    rankings (transcript_id, text) are ids of the shortlist in its order; without one, ranks don't tell candidates apart."""
+    rankings (transcript_id, text) are ids of the shortlist in its order; without one, ranks don't tell candidates apart.
+    features: boundaries.segment_features(segments, words), where a flow has them already; stage them."""
     words = staged(words, "words")
     parsed = staged(candidates.parse(staged(answers, "answers"), words, settings.min_ms, settings.max_ms), "parsed")
     rejections = parsed.filter("reject_reason is not null").select("transcript_id", "chunk_index", "item", "reject_reason")
@@ -84,7 +85,7 @@ def discover(segments: DataFrame, words: DataFrame, answers: DataFrame, rankings
     c = scored.join(kept, ["transcript_id", "ord"])
 
     c = staged(c, "kept")
-    features = staged(boundaries.segment_features(segments, words), "features")
+    features = staged(boundaries.segment_features(segments, words), "features") if features is None else features
     hints = boundaries.solve(features, c.select("transcript_id", "ord", F.col("start_ms").alias("anchor_ms")), settings.min_ms, settings.max_ms)
     c = c.join(hints.select("transcript_id", "ord", F.col("total").alias("boundary_hint")), ["transcript_id", "ord"], "left").withColumn("boundary_hint", F.coalesce("boundary_hint", F.lit(0.0)))
     c = staged(c, "hinted")
@@ -103,15 +104,16 @@ def discover(segments: DataFrame, words: DataFrame, answers: DataFrame, rankings
     return staged(ranking.final_scores(c, settings.min_ms, settings.max_ms, settings.scoring_weights), "moments"), rejections
 
 
-def generate_clips(segments: DataFrame, words: DataFrame, media: DataFrame, moments: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Clips of the best 2 * clips moments of each transcript (transcript_id, ord, start_ms, final_score)."""
+def generate_clips(segments: DataFrame, words: DataFrame, media: DataFrame, moments: DataFrame, settings: Settings = Settings(), features: DataFrame | None = None) -> DataFrame:
+    """Clips of the best 2 * clips moments of each transcript (transcript_id, ord, start_ms, final_score). features as for
+    discover()."""
     best = Window.partitionBy("transcript_id").orderBy(F.desc("final_score"), "ord")
     anchors = moments.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= 2 * settings.clips)
     # Stored moments carry their start in hundredths of a second.
     known = [F.col(c) for c in ("hook", "topic", "category") if c in moments.columns]
     anchors = anchors.select("transcript_id", F.col("n").alias("ord"), (F.round(F.col("start_ms") / 1000, 2) * 1000).alias("anchor_ms"), *known, F.col("final_score").alias("score"))
     words = staged(words, "words")
-    features = staged(boundaries.segment_features(segments, words), "features")
+    features = staged(boundaries.segment_features(segments, words), "features") if features is None else features
     return selection.select_clips(features, words, media, staged(anchors, "anchors"), settings.clips, settings.min_ms, settings.max_ms, settings.padding_ms, settings.least_score)
 
 

@@ -98,3 +98,33 @@ def test_lost_anchors_take_the_nearest_start_without_looking_ahead(spark):
     near = boundaries.starts_near(features, anchors)
     assert {(r["ord"], r["start_idx"]) for r in near.collect()} == {(1, 0), (2, 2), (3, 0), (4, 2)}
     assert "unboundedfollowing" not in plan(near).lower()
+
+
+def test_stage_tables_are_written_once(spark):
+    made = staged(spark.range(5), "once")
+    assert staged(made, "again") is made
+
+
+def test_features_count_words_within_segments(spark):
+    """Rows for segments, not for words."""
+    segs = tables.segments(spark, "/root/testdata/sf0.001")
+    words = tables.words(segs)
+    of_words, of_lists = boundaries.segment_features(segs, words), boundaries.segment_features(tables.with_words(segs), words)
+    assert of_words.exceptAll(of_lists).isEmpty() and of_words.count() == of_lists.count() > 0
+    assert not any("word_idx" in line for line in plan(of_lists).splitlines() if "Window [" in line or "Join" in line)
+    few = [(1, 0, 0, "so", 0, 300), (1, 1, 0, "you", 400, 700), (1, 2, 0, "know", 800, 1100), (1, 2, 1, "Um,", 1200, 1500), (1, 3, 0, None, 1600, 1900), (1, 3, 1, "of", 2000, 2300)]
+    segments = spark.createDataFrame([(1, i, 400 * i, 400 * i + 300, "x.") for i in (0, 1, 2, 3)], "transcript_id long, seg_idx long, start_ms long, end_ms long, text string")
+    got = boundaries.segment_features(segments, words_of(spark, few)).orderBy("idx").collect()
+    assert [(r["opener_text"], r["closer_text"], r["n"], r["singles"], r["phrases"], r["tail_phrase"]) for r in got][1][1:] == ("you", 1, 0, 1, 1)  # "you know" across segments
+    assert [(r["closer_text"], r["n"], r["first_ms"], r["last_ms"]) for r in got] == [("so", 1, 0, 300), ("you", 1, 400, 700), ("um", 2, 800, 1500), ("of", 2, 1600, 2300)]
+
+
+def test_padding_and_snapping_meet_lists_of_words(spark):
+    rows = [(1, i, 0, "w", 20_000 * i, 20_000 * i + 300) for i in range(10)]
+    spans = spark.createDataFrame([(1, 1, 100_000, 100_300), (1, 2, 5, 199_000), (1, 3, 61_000, 70_000)], "transcript_id long, ord long, start_ms long, end_ms long")
+    media = spark.createDataFrame([(1, 200_000)], "transcript_id long, media_ms long")
+    padded = boundaries.pad_into_silence(spans, words_of(spark, rows), media, 50_000)
+    got = {r["ord"]: (r["padded_start_ms"], r["padded_end_ms"]) for r in padded.collect()}
+    assert got == {1: (90_150.0, 110_150.0), 2: (0.0, 199_500.0), 3: (60_650.0, 75_000.0)}
+    for df in (padded, candidates.snap(spans, words_of(spark, rows))):
+        assert "collect_list" in plan(df)
